@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from grainmill.shipping import ship
@@ -72,6 +73,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_sample(df: DataFrame, key: str, limit: int, share: float = 1.0) -> DataFrame:
+    """About ``limit`` rows, never more, chosen by a hash of ``key`` over the whole table.
+
+    ``share`` is the least share of rows that a later filter keeps; the filter runs on ``limit / share``
+    rows. Rows are chosen by a hash threshold set from the row count, so no task sorts the table.
+    """
+    n = df.count()
+    part = F.pmod(F.xxhash64(key, F.lit(20)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    return df.filter(part < min(1.0, limit / share / max(n, 1)))
+
+
 def text_of(array: pa.Array) -> list[str]:
     """Texts of a string column; null is empty."""
     return [x or "" for x in array.to_pylist()]
@@ -102,30 +114,36 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes other than space and 0x09-0x0D."""
+def word_bounds(data: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes not in ``apart``: space and 0x09-0x0D by default."""
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(apart[data], out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of UTF-8 bytes, with their bounds.
+class Hasher:
+    """64-bit hashes of parts of a byte string.
 
-    A word's hash is a polynomial of its bytes modulo 2**64, read off running sums (each scaled to a
-    common power) and finalised with the word's length; equal words have equal hashes everywhere.
+    A part's hash is a polynomial of its bytes modulo 2**64, read off running sums (each scaled to a
+    common power) and finalised with the part's length; equal parts have equal hashes everywhere.
     """
+
+    def __init__(self, data: np.ndarray):
+        self.n = n = len(data)
+        self.run = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n)[::-1], out=self.run[1:])
+
+    def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        raw = (self.run[e] - self.run[s]) * inverse_powers(self.n + 1)[self.n - e]
+        return mix(raw ^ ((e - s).astype(np.uint64) * _MULT))
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of UTF-8 bytes, in order."""
     s, e = word_bounds(data)
-    if not len(s):
-        return np.zeros(0, np.uint64), s, e
-    n = len(data)
-    p = powers(n + 1)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n][::-1], out=run[1:])
-    raw = (run[e] - run[s]) * inverse_powers(n + 1)[n - e]
-    return mix(raw ^ ((e - s).astype(np.uint64) * _MULT)), s, e
+    return Hasher(data)(s, e) if len(s) else np.zeros(0, np.uint64)
 
 
 _inverses = np.ones(1, np.uint64)
