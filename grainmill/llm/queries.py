@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from grainmill.llm import op1_bpe
+from grainmill.llm import op1_bpe, op5_secrets, op7_quality, op8_toxicity, op9_pii
 
-_MODULES = (op1_bpe,)
+_MODULES = (op1_bpe, op5_secrets, op7_quality, op8_toxicity, op9_pii)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
