@@ -29,7 +29,7 @@ from grainmill.tables import table
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Documented bounds of the labelled sample, and of the features kept.
 TRAIN_ROWS, FEATURES = 12_000, 3000
-FOLDS, THRESHOLD = 4, 0.5
+FOLDS, THRESHOLD = 4, 0.4
 
 _APART = np.ones(256, bool)
 _APART[128:] = False
@@ -122,14 +122,18 @@ def select(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, limit: int) -> np.n
     return np.sort(f[order[score[order] > 2.5]])
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, names: tuple[str, ...], limit: int = FEATURES) -> Chain:
-    """Fits the chain; ``docs`` has (feature hashes, counts, words), ``labels`` one column for each category."""
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, names: tuple[str, ...], limit: int = FEATURES, features: np.ndarray | None = None) -> Chain:
+    """Fits the chain; ``docs`` has (feature hashes, counts, words), ``labels`` one column for each category.
+
+    ``features`` are the sorted hashes to use; without them they are selected for each category.
+    """
     if not len(docs):
         return Chain(names, np.zeros(0, np.int64), tuple((np.zeros(0), np.zeros(k), -40.0) for k in range(len(names))))
     rows = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
     ids = np.concatenate([d[0] for d in docs])
     x = np.concatenate([value(d[1], d[2]) for d in docs]) if len(rows) else np.zeros(0)
-    features = np.unique(np.concatenate([select(rows, ids, labels[:, k], limit // len(names)) for k in range(len(names))])) if len(rows) else np.zeros(0, np.int64)
+    if features is None:
+        features = np.unique(np.concatenate([select(rows, ids, labels[:, k], limit // len(names)) for k in range(len(names))])) if len(rows) else np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(features, ids), max(len(features) - 1, 0))
     own = features[at] == ids if len(features) else np.zeros(len(ids), bool)
     rows, at, x = rows[own], at[own], x[own]
@@ -159,38 +163,61 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
     broadcast by id and joined, so no text is shuffled; their feature counts reach the driver.
     """
     ids = bounded_sample(labels.filter(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y")), "doc_id", limit)
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    features, lean = selected(sample)
+    known = docs.sparkSession.sparkContext.broadcast(features)
 
     def kernel():
+        own = known.value
+
         def run(texts: pa.Array) -> list:
-            got = [feature_counts(t) for t in text_of(texts)]
-            return [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int64())]
+            got = []
+            for t in text_of(texts):
+                f, c, n = feature_counts(t)
+                kept = np.isin(f, own)
+                got.append((f[kept], c[kept].astype(np.int32), n))
+            return [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int64())]
 
         return run
 
-    found = extend(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), ["text"], "f array<long>, c array<int>, n long", kernel).drop("text")
-    return _fit_rows(found)
+    rows = extend(sample, ["text"], "f array<long>, c array<int>, n long", kernel).drop("text").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.n, r.f))
+    own = [(np.array(r.f, np.int64), np.array(r.c, np.int64), r.n) for r in rows]
+    y = np.array([r.y for r in rows], np.int64)
+    return fit(own, np.stack([y, _severe(own, y, features[lean > 0])], 1), ("toxic", "severe"), features=features)
 
 
-def _fit_rows(found: DataFrame) -> Chain:
-    t = found.toArrow().sort_by("doc_id")
-    f, c = t["f"].combine_chunks(), t["c"].combine_chunks()
-    ends = np.cumsum([0, *(len(x) for x in f)]).tolist() if len(t) else [0]
-    fv, cv = f.flatten().to_numpy(zero_copy_only=False), c.flatten().to_numpy(zero_copy_only=False)
-    n = t["n"].to_pylist()
-    docs = [(fv[a:b], cv[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], n, strict=True)]
-    y = np.array(t["y"].to_pylist(), np.int64).reshape(-1)
-    return fit(docs, np.stack([y, _severe(docs, y)], 1), ("toxic", "severe"))
+def selected(sample: DataFrame, limit: int = FEATURES, least: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the features whose document rates differ most between the labels, and the signed differences.
 
+    Tasks count the features of their documents by label and Spark adds the counts up, so the driver gets
+    at most ``limit`` rows. The score is that of ``select``.
+    """
 
-def _severe(docs: list, y: np.ndarray) -> np.ndarray:
+    def run(batches):
+        for b in batches:
+            y = b.column("y").to_numpy(zero_copy_only=False)
+            got = [feature_counts(t)[0] for t in text_of(b.column("text"))]
+            f, inverse = np.unique(np.concatenate([*got, np.zeros(0, np.int64)]), return_inverse=True)
+            w = np.repeat(y, [len(g) for g in got])
+            ones = np.bincount(inverse, w, len(f)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(ones), pa.array(np.bincount(inverse, minlength=len(f)) - ones)], names=["f", "a", "b"])
+
+    totals = sample.agg(F.count("*").alias("n"), F.sum("y").alias("n1")).first()
+    n, n1 = totals.n, totals.n1 or 0
+    if not 0 < n1 < n:
+        return np.zeros(0, np.int64), np.zeros(0)
+    sums = sample.select("text", "y").mapInArrow(run, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a + b >= 4")
+    p = (F.col("a") + F.col("b") + 1) / (n + 2)
+    lean = (F.col("a") / n1 - F.col("b") / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
+    top = sums.select("f", lean.alias("lean")).filter(F.abs("lean") > least).orderBy(F.desc(F.abs("lean")), "f").limit(limit).toPandas().sort_values("f")
+    return top["f"].to_numpy(np.int64), top["lean"].to_numpy(np.float64)
+
+
+def _severe(docs: list, y: np.ndarray, typical: np.ndarray) -> np.ndarray:
     if not y.sum() or y.all():
         return np.zeros_like(y)
-    rows = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
-    ids = np.concatenate([d[0] for d in docs])
-    counts = np.concatenate([d[1] for d in docs])
-    typical = select(rows, ids, y, 300)
-    own = np.isin(ids, typical)
-    rate = np.bincount(rows[own], counts[own], len(docs)) / np.maximum([d[2] for d in docs], 1)
+    rate = np.array([c[np.isin(f, typical)].sum() / max(n, 1) for f, c, n in docs])
     return (y * (rate >= np.median(rate[y == 1]))).astype(np.int64)
 
 
