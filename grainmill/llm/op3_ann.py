@@ -5,9 +5,8 @@ projections. NN-descent then repeats: each node gathers a bounded number of its
 that name it, all pairs among them with a new member are scored, and each node keeps its best. Both steps
 are Spark joins by node; only nodes' names and one-byte components move.
 
-Inner products become a metric order by one extra component, sqrt(M^2 - |x|^2), with M the largest norm.
-A query walks the graph from its own node's neighbours, or from spread entry nodes if it is not in the
-graph: its best nodes not yet expanded are expanded until none is left among its best. The nodes it ends
+A query, itself a node, walks the graph from its own neighbours (``walk`` takes other starts too): its best
+nodes not yet expanded are expanded until none is left among its best. The nodes it ends
 with are scored exactly on the original vectors, and nodes are expanded to the ids that share the vector.
 
 Every vector is indexed; nothing is fitted on a sample. Defined results: vectors that are null, empty, zero
@@ -59,32 +58,22 @@ def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def packed(nodes: DataFrame) -> DataFrame:
-    """(node, code): the augmented vector in one-byte components, on one scale for all."""
+    """(node, code): the vector in one-byte components, on one scale for all."""
     ship(nodes.sparkSession)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    most = nodes.agg(F.max(norm).alias("m"), F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))).alias("c")).first()
-    largest, widest = float(most.m or 1.0), float(most.c or 1.0)
+    widest = nodes.agg(F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))).alias("c")).first().c or 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column("embedding"))
-            if not len(x):
-                continue
-            extra = np.sqrt(np.maximum(0, largest**2 - (x * x).sum(1)))
-            extra[extra < 1e-3 * largest] = 0
-            parts = np.ceil(np.maximum(extra / widest, 1)).astype(int).max()
-            pad = np.zeros((len(x), 0)) if not extra.any() and parts == 1 else np.repeat((extra / np.sqrt(parts))[:, None], parts, 1)
-            code = np.rint(np.concatenate([x, pad], 1) * (127 / max(widest, float(np.abs(pad).max(initial=0))))).astype(np.int8)
+            code = np.rint(matrix(b.column("embedding")) * (127 / widest)).astype(np.int8)
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([c.tobytes() for c in code], pa.binary())], names=["node", "code"])
 
     return nodes.select("node", "embedding").mapInArrow(run, "node long, code binary")
 
 
 def codes(column: pa.Array) -> np.ndarray:
-    """Codes of a binary column as float32 rows; shorter codes are padded with zeros."""
+    """Codes of a binary column, all of one length, as float32 rows."""
     raw = column.to_pylist()
-    width = max(map(len, raw), default=0)
-    return np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.int8).reshape(len(raw), width).astype(np.float32)
+    return np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1 if raw else 0).astype(np.float32)
 
 
 def best_of_rows(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
