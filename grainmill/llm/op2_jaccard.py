@@ -281,19 +281,19 @@ def _tiles(percent: int):
     return run
 
 
-def tiled(rows: DataFrame, percent: int, block_rows: int, block_bytes: int) -> DataFrame:
-    """Adds (tile, side) to rows (root, cls, copies, n, grams); a row goes to every tile its partners may be in.
+def tiled(members: DataFrame, percent: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """(cls, copies, tile, side) for each tile that a class of ``members`` (root, cls, copies, n) goes to.
 
-    A group that fits a block is one tile. Side 2 is a block that meets itself, 0 and 1 are two blocks. Of others, each size band is cut into blocks by a
-    hash of the class; a block meets itself, the other blocks of its band and those of the next band. Each pair
-    of blocks is one tile.
+    A group that fits a block is one tile. Side 2 is a block that meets itself, 0 and 1 are two blocks. Of others,
+    each size band is cut into blocks by a hash of the class; a block meets itself, the other blocks of its band
+    and those of the next band. Each pair of blocks is one tile.
     """
-    groups = rows.groupBy("root").agg(F.count("*").alias("g_rows"), F.sum("n").alias("g_n"))
+    groups = members.groupBy("root").agg(F.count("*").alias("g_rows"), F.sum("n").alias("g_n"))
     big = (F.col("g_rows") > block_rows) | (8 * F.col("g_n") > block_bytes)
-    named = rows.join(groups, "root")
-    small = named.filter(~big).select(F.col("root").alias("tile"), "cls", "copies", F.lit(2).alias("side"), "grams")
+    named = members.join(groups, "root")
+    small = named.filter(~big).select("cls", "copies", F.col("root").alias("tile"), F.lit(2).alias("side"))
     width = math.log(100 / percent) * 1.0001
-    large = named.filter(big).withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    large = cut(named.filter(big).withColumn("band", F.floor(F.log("n") / width).cast("int")))
     cells = cut(large.groupBy("root", "band").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(8 * F.sum("n") / block_bytes)).cast("int").alias("blocks")))
     at = lambda d, name: cells.select("root", (F.col("band") + d).alias("band"), F.col("blocks").alias(name))
     placed = large.join(at(0, "own"), ["root", "band"]).join(at(1, "below"), ["root", "band"], "left").join(at(-1, "above"), ["root", "band"], "left")
@@ -307,7 +307,7 @@ def tiled(rows: DataFrame, percent: int, block_rows: int, block_bytes: int) -> D
         span("above", lambda j: F.struct(name(b, i, b + 1, j), F.lit(0).alias("side"))),
         span("below", lambda j: F.struct(name(b - 1, j, b, i), F.lit(1).alias("side"))),
     )
-    return small.unionByName(placed.select(F.explode(tiles).alias("t"), "cls", "copies", "grams").select("t.tile", "cls", "copies", "t.side", "grams"))
+    return small.unionByName(placed.select("cls", "copies", F.explode(tiles).alias("t")).select("cls", "copies", "t.tile", "t.side"))
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text", block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -334,9 +334,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text",
             yield b.filter(pa.array(own))
 
     found = sets.select("cls", "grams").mapInArrow(near, "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
-    members = nodes.withColumnRenamed("node", "cls").join(classes.select("cls", "copies", "n"), "cls")
-    rows = found.join(members, "cls")
-    tiles = tiled(rows, percent, block_rows, block_bytes)
+    members = cut(nodes.withColumnRenamed("node", "cls").join(classes.select("cls", "copies", "n"), "cls"))
+    tiles = found.join(tiled(members, percent, block_rows, block_bytes), "cls")
     links = cut(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "u long, v long, links long"))
     roots = components(links.select("u", "v"))
     n_links = links.groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"))
