@@ -94,8 +94,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, dense: np.ndarray, y: np.ndarray, n_cols: int, ridge: float = 2e-3, steps: int = 250) -> tuple[np.ndarray, np.ndarray, float]:
     """Ridge logistic regression on sparse triples and dense columns, by Adam on the full gradient."""
     n, width = len(y), n_cols + dense.shape[1] + 1
-    if y.min() == y.max():
-        p = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
+    if not n or y.min() == y.max():
+        p = float(np.clip(y.mean() if n else 0.0, 1e-4, 1 - 1e-4))
         return np.zeros(n_cols), np.zeros(dense.shape[1]), float(np.log(p / (1 - p)))
     w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
