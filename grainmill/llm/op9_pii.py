@@ -313,8 +313,8 @@ def examples(texts: list[str], spans: list[list[tuple[int, int, int]]], limit: i
                 xs.append(np.pad(px, (0, WINDOW - len(px))))
                 ys.append(np.pad(py, (0, WINDOW - len(py))))
                 if len(xs) >= limit:
-                    return np.array(xs), np.array(ys)
-    return np.array(xs).reshape(-1, WINDOW), np.array(ys).reshape(-1, WINDOW)
+                    return np.array(xs, np.int64), np.array(ys, np.int64)
+    return np.array(xs, np.int64).reshape(-1, WINDOW), np.array(ys, np.int64).reshape(-1, WINDOW)
 
 
 #: Documented bounds of the sample that the tagger is fitted on.
