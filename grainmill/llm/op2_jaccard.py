@@ -4,7 +4,8 @@
    form a class; everything below works on classes.
 2. Two sets that link share an element among the first ``size - ceil(t * size) + 1`` of each, in any
    common order. The order used puts elements that many documents share last; it affects speed only.
-   Classes that share such an element are drawn into one candidate group, so links never leave a group.
+   Classes that share such an element, and whose hashed bitmaps leave a link possible, are drawn into one
+   candidate group, so links never leave a group.
 3. A group is cut into tiles: blocks of a size band against blocks of the same or the next band, as sizes
    of linked sets differ by the factor ``t`` at most. A small group is one tile.
 4. In a tile, hashed bitmaps bound each pair's intersection from above by bit counts. For pairs that
@@ -132,12 +133,15 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int)
     return np.concatenate([rare, own[np.lexsort((own, c))][: p - len(rare)]])
 
 
-def candidate_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root): classes that may link with another, and the smallest class of their group."""
-    spark = sets.sparkSession
-    shared = spark.sparkContext.broadcast(common_elements(sets))  # at most COMMON entries
+def shared_entries(sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """(kind, a, b) from the classes' prefix elements that two or more classes have.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Kind 0 is an entry: element a is in the prefix of class b. Of an element that more than ``most`` classes
+    have, kind 1 joins class a with the element's least class b. Elements of one class give nothing.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(common_elements(sets))  # at most COMMON entries
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         seen: set[int] = set()
         for b in batches:
@@ -150,9 +154,107 @@ def candidate_groups(sets: DataFrame, percent: int) -> DataFrame:
             if es:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(es).view(np.int64)), pa.array(np.concatenate(cs))], names=["e", "cls"])
 
-    entries = sets.select("cls", "grams").mapInArrow(run, "e long, cls long")
-    first = entries.groupBy("e").agg(F.min("cls").alias("v"), F.max("cls").alias("w")).filter("v < w").select("e", "v")
-    return components(entries.join(first, "e").select(F.col("cls").alias("u"), "v"))
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        he, hc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out(e: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            keep = np.ones(len(e), bool)
+            keep[1:] = (e[1:] != e[:-1]) | (c[1:] != c[:-1])
+            e, c = e[keep], c[keep]
+            start = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1]))) if len(e) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(e)))
+            n, first = np.repeat(size, size), np.repeat(c[start], size)
+            few, many = (n > 1) & (n <= most), (n > most) & (c != first)
+            kind = np.concatenate([np.zeros(few.sum(), np.int32), np.ones(many.sum(), np.int32)])
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([e[few], c[many]])), pa.array(np.concatenate([c[few], first[many]]))], names=["kind", "a", "b"])
+
+        for b in batches:
+            he, hc = np.concatenate([he, b.column("e").to_numpy()]), np.concatenate([hc, b.column("cls").to_numpy()])
+            last = np.searchsorted(he, he[-1]) if len(he) else 0
+            if last:
+                yield out(he[:last], hc[:last])
+                he, hc = he[last:], hc[last:]
+        if len(he):
+            yield out(he, hc)
+
+    found = sets.select("cls", "grams").mapInArrow(entries, "e long, cls long")
+    return found.repartition("e").sortWithinPartitions("e", "cls").mapInArrow(tiles, "kind int, a long, b long")
+
+
+SIGNATURE = 1024
+
+
+def signatures(sets: DataFrame) -> DataFrame:
+    """(cls, n, sig): hashed bitmaps of ``SIGNATURE`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            cs, ns, sigs = [], [], []
+            for c, g in zip(b.column("cls").to_pylist(), b.column("grams").to_pylist(), strict=True):
+                if c not in seen:
+                    seen.add(c)
+                    bits = np.zeros(SIGNATURE, bool)
+                    bits[(np.frombuffer(g, np.uint64) >> np.uint64(20)) & np.uint64(SIGNATURE - 1)] = True
+                    cs.append(c)
+                    ns.append(len(g) // 8)
+                    sigs.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], names=["cls", "n", "sig"])
+
+    return sets.select("cls", "grams").mapInArrow(run, "cls long, n long, sig binary").groupBy("cls").agg(F.min(F.struct("n", "sig")).alias("s")).select("cls", "s.n", "s.sig")
+
+
+def bounded(percent: int, n: np.ndarray, sig: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """Those of rows ``js`` that sizes and bit counts leave as possible links of row i.
+
+    Each bit that one bitmap has and the other lacks is an element outside the intersection.
+    """
+    js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
+    if len(js):
+        only_i = np.bitwise_count(sig[i] & ~sig[js]).sum(1, dtype=np.int64)
+        only_j = np.bitwise_count(sig[js] & ~sig[i]).sum(1, dtype=np.int64)
+        most = np.minimum(n[i] - only_i, n[js] - only_j)
+        js = js[(100 + percent) * most >= percent * (n[i] + n[js])]
+    return js
+
+
+def candidate_groups(sets: DataFrame, percent: int, most: int = 256) -> DataFrame:
+    """(node, root): classes that may link with another, and the smallest class of their group.
+
+    Classes that share a prefix element are drawn together if their bitmaps leave a link possible; where
+    more than ``most`` classes share an element, all are drawn together, whatever their bitmaps.
+    """
+    shared = cut(shared_entries(sets, percent, most))
+    few = shared.filter("kind = 0").select(F.col("a").alias("e"), F.col("b").alias("cls"))
+    rows = few.join(signatures(sets), "cls").repartition("e").sortWithinPartitions("e")
+
+    def one(cls: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        label = np.arange(len(cls))
+        for i in range(len(cls) - 1):
+            js = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            js = bounded(percent, n, sig, i, js) if len(js) else js
+            if len(js):
+                own = np.isin(label, np.append(label[js], label[i]))
+                label[own] = label[own].min()
+        moved = label != np.arange(len(cls))
+        return cls[moved], cls[label[moved]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            part = (b.column("e").to_numpy(), b.column("cls").to_numpy(), b.column("n").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(b.num_rows, -1))
+            if held is not None and len(held[0]):
+                part = tuple(np.concatenate([h, q]) for h, q in zip(held, part, strict=True)) if b.num_rows else held
+            bounds = [0, *(np.flatnonzero(part[0][1:] != part[0][:-1]) + 1).tolist()]
+            found = [one(*(q[x:y] for q in part[1:])) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            held = tuple(q[bounds[-1] :] for q in part)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["u", "v"])
+        if held is not None and len(held[0]) > 1:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, one(*held[1:]))], names=["u", "v"])
+
+    near = rows.select("e", "cls", "n", "sig").mapInArrow(run, "u long, v long")
+    return components(near.unionByName(shared.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
 def members_filter(nodes: DataFrame) -> np.ndarray:
@@ -195,13 +297,9 @@ def tile_links(percent: int, sizes: np.ndarray, sets: list[np.ndarray], left: np
             fits = fits[fits > k]
         if not len(fits):
             continue
-        other = packed[right[fits]]
-        only_i = np.bitwise_count(packed[i] & ~other).sum(1, dtype=np.int64)
-        only_j = np.bitwise_count(other & ~packed[i]).sum(1, dtype=np.int64)
-        most = np.minimum(sizes[i] - only_i, n[fits] - only_j)
-        fits = fits[(100 + percent) * most >= percent * (sizes[i] + n[fits])]
-        if len(fits):
-            survivors[i] = right[fits]
+        js = bounded(percent, sizes, packed, i, right[fits])
+        if len(js):
+            survivors[i] = js
             needed[i] = True
             needed[survivors[i]] = True
     if not survivors:
