@@ -6,7 +6,7 @@ import importlib
 
 from grainmill.registry import ORACLES, QUERIES, Query
 
-MODULES = ("grainmill.plans.corpus",)
+MODULES = ("grainmill.plans.corpus", "grainmill.plans.filters")
 
 
 def _load() -> None:
