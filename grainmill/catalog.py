@@ -6,7 +6,7 @@ import importlib
 
 from grainmill.registry import ORACLES, QUERIES, Query
 
-MODULES = ("grainmill.plans.corpus", "grainmill.plans.filters")
+MODULES = ("grainmill.plans.corpus", "grainmill.plans.filters", "grainmill.plans.relational")
 
 
 def _load() -> None:
