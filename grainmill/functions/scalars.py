@@ -10,6 +10,7 @@ import operator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def final_number(c: Column) -> Column:
@@ -110,12 +111,12 @@ def calculate(text: str | None) -> str | None:
     return str(int(v)) if isinstance(v, float) and v.is_integer() and abs(v) < 1e15 else str(v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def calculated(s: pd.Series) -> pd.Series:
     return s.map(calculate)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(s: pd.Series) -> pd.Series:
     """X9 for every entity of HTML."""
     return s.map(lambda x: None if x is None else html.unescape(x))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from grainmill.functions.bpe import MergeTokenizer
 from grainmill.shipping import ship
@@ -24,8 +26,6 @@ def best_fit(sequences: list[list[int]], width: int, end: int) -> tuple[list[lis
     rows: list[list[int]] = []
     spans: list[list[tuple[int, int]]] = []
     free: list[tuple[int, int]] = []  # (room, row), a sorted list
-    from bisect import bisect_left, insort
-
     for s in sorted(sequences, key=len, reverse=True):
         s = [*s[: width - 1], end]
         at = bisect_left(free, (len(s), -1))
@@ -212,8 +212,6 @@ def encoded(df: DataFrame, t: MergeTokenizer, text: str = "text") -> DataFrame:
         for b in batches:
             yield b.assign(ids=[own.encode(x or "") for x in b[text]])
 
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    return df.mapInPandas(run, df.schema.add("ids", ArrayType(IntegerType())))
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
