@@ -38,7 +38,7 @@ _strong = " OR ".join(f"contains(t, {quoted(m)})" for m in P.STRONG_MARKERS)
 
 @query("f2_generated", f"SELECT doc_id, ({_strong}) OR ({_count}) >= 4 AS generated FROM (SELECT doc_id, lower({_ai_sql}) AS t FROM documents)")
 def f2(spark, d):
-    return docs(spark, d).select("doc_id", P.generated_text(_ai).alias("generated"))
+    return docs(spark, d).select("doc_id", P.generated_text(_ai()).alias("generated"))
 
 
 _TITLES = ["Talk:Water", "User talk:Ann", "Water", "Talking", "Help:Contents", "List of rivers", "Lists of lakes", "Mercury (disambiguation)", "Listing of all", "list ofall", "Gadget definition:x"]
@@ -48,7 +48,7 @@ _ns, _ns_sql = chosen(["0", "", "4", "0", "0", "0", "0"], "doc_id")
 
 @query("f3_namespace", f"SELECT doc_id, coalesce(nullif({_ns_sql}, ''), '0') = '0' AND NOT regexp_matches({_title_sql}, '^({'|'.join(P.NAMESPACES)}):') AS article FROM documents")
 def f3(spark, d):
-    return docs(spark, d).select("doc_id", P.article_namespace(_title, _ns).alias("article"))
+    return docs(spark, d).select("doc_id", P.article_namespace(_title(), _ns()).alias("article"))
 
 
 _wiki = ["#REDIRECT [[x]]", "  \n#redirect [[y]]", "no #redirect here", "{{Disambiguation}}", "see x (disambiguation) there", "plain"]
@@ -57,7 +57,7 @@ _w, _w_sql = chosen(_wiki, "doc_id")
 
 @query("f4_redirect", f"SELECT doc_id, doc_id % 5 = 0 OR starts_with(lower(regexp_replace({_w_sql}, '^\\s+', '')), '#redirect') AS redirect FROM documents")
 def f4(spark, d):
-    return docs(spark, d).select("doc_id", P.redirect(_w, F.when(C("doc_id") % 5 == 0, F.lit("x"))).alias("redirect"))
+    return docs(spark, d).select("doc_id", P.redirect(_w(), F.when(C("doc_id") % 5 == 0, F.lit("x"))).alias("redirect"))
 
 
 @query(
@@ -69,7 +69,7 @@ def f4(spark, d):
     FROM (SELECT doc_id, {_title_sql} AS t, {_w_sql} AS w FROM documents)""",
 )
 def f5(spark, d):
-    return docs(spark, d).select("doc_id", P.disambiguation(_title, _w).alias("dump"), P.list_title(_title).alias("api"), P.fandom_title(_title).alias("fandom"))
+    return docs(spark, d).select("doc_id", P.disambiguation(_title(), _w()).alias("dump"), P.list_title(_title()).alias("api"), P.fandom_title(_title()).alias("fandom"))
 
 
 _kind, _kind_sql = chosen(["1", "2", "3", "1", "4"], "doc_id")
@@ -77,7 +77,7 @@ _kind, _kind_sql = chosen(["1", "2", "3", "1", "4"], "doc_id")
 
 @query("f6_posts", f"SELECT doc_id FROM documents WHERE {_kind_sql} IN ('1', '2') AND n_chars >= 1000 AND CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END <> ''")
 def f6(spark, d):
-    return docs(spark, d).filter(P.usable_post(_kind, C("n_chars"), F.when(C("doc_id") % 4 == 0, F.lit("")).otherwise(C("text")), 1000)).select("doc_id")
+    return docs(spark, d).filter(P.usable_post(_kind(), C("n_chars"), F.when(C("doc_id") % 4 == 0, F.lit("")).otherwise(C("text")), 1000)).select("doc_id")
 
 
 @query("f7_pair_lengths", "SELECT doc_id FROM documents WHERE length(substr(text, 1, CAST(doc_id % 9 AS INT))) >= 5 AND length(substr(text, 10, CAST(doc_id % 17 AS INT))) >= 10")
@@ -98,7 +98,7 @@ _l1, _l1s = chosen(_LIC, "p_partkey")
 @query("f9_permissive", f"SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN TRUE ELSE lower({_l1s}) IN ({list_sql(P.PERMISSIVE)[1:-1]}) OR (p_partkey % 4 = 1 AND 'isc' IN ({list_sql(P.PERMISSIVE)[1:-1]})) END AS permitted FROM part")
 def f9(spark, d):
     k = C("p_partkey") % 4
-    own = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(_l1, F.lit("ISC"))).otherwise(F.array(_l1))
+    own = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(_l1(), F.lit("ISC"))).otherwise(F.array(_l1()))
     return table(spark, d, "part").select("p_partkey", P.permissive(own).alias("permitted"))
 
 
@@ -108,7 +108,7 @@ _v, _v_sql = injected(_VOICE)
 
 @query("f10_f11_f12_voice", f"SELECT doc_id, regexp_matches(t, {rx(P.BOILERPLATE)}) AS boilerplate, regexp_matches(t, {rx(P.FOREIGN)}) AS foreign_identity, regexp_matches(t, {rx([P.STALE])}) AS stale FROM (SELECT doc_id, {_v_sql} AS t FROM documents)")
 def f10(spark, d):
-    return docs(spark, d).select("doc_id", P.boilerplate(_v).alias("boilerplate"), P.foreign_identity(_v).alias("foreign_identity"), P.stale(_v).alias("stale"))
+    return docs(spark, d).select("doc_id", P.boilerplate(_v()).alias("boilerplate"), P.foreign_identity(_v()).alias("foreign_identity"), P.stale(_v()).alias("stale"))
 
 
 _EX = ["I should say", "[CMD]search.web x[/CMD] and more words to be long", "User: hi there friend\nAssistant: hello to you", "q: what is it that you say a: nothing at all", "short", "[CMD]file.read and never closed, which is wrong"]
@@ -126,7 +126,7 @@ _st, _st_sql = chosen(["basics", "commands", "web", "conversation", "basics"], "
       ELSE TRUE END AS valid FROM (SELECT doc_id, {_e_sql} AS t, {_st_sql} AS s FROM documents)""",
 )
 def f13(spark, d):
-    return docs(spark, d).select("doc_id", P.valid_example(_e, _st).alias("valid"))
+    return docs(spark, d).select("doc_id", P.valid_example(_e(), _st()).alias("valid"))
 
 
 _ASK = ["what is 7 * 8", "sum of 3 and 4", "sum yourself up", "remember that", "my dog's name is Rex", "I love tea", "3x4", "2 apples"]
@@ -135,7 +135,7 @@ _q, _q_sql = chosen(_ASK, "conv_id")
 
 @query("f14_f15_intent", f"SELECT DISTINCT conv_id, regexp_matches(t, '[0-9]') AND (regexp_matches(t, {rx([P.ARITHMETIC_WORDS])}) OR regexp_matches(t, {quoted(P.ARITHMETIC_SIGNS)})) AS arithmetic, regexp_matches(t, {rx([P.MEMORABLE])}) AS memorable FROM (SELECT conv_id, {_q_sql} AS t FROM conversations)")
 def f14(spark, d):
-    return table(spark, d, "conversations").select("conv_id", P.arithmetic(_q).alias("arithmetic"), P.memorable(_q).alias("memorable")).distinct()
+    return table(spark, d, "conversations").select("conv_id", P.arithmetic(_q()).alias("arithmetic"), P.memorable(_q()).alias("memorable")).distinct()
 
 
 @query("f16_graded", "SELECT conv_id, turn, (turn % 3 = 0 OR contains(lower(text), 'the') OR contains(lower(text), 'xyz')) AND NOT contains(lower(text), 'tion') AS passed FROM conversations")
@@ -167,7 +167,7 @@ _t, _t_sql = chosen(_TAG, "doc_id")
 
 @query("f20_tag_rules", f"SELECT doc_id FROM (SELECT doc_id, doc_id % 2 = 0 AS positive, {_t_sql} AS t FROM documents) WHERE CASE WHEN positive THEN NOT (contains(t, '<search>') AND contains(t, '</search>')) ELSE contains(t, '<search>') OR contains(t, '</search>') END")
 def f20(spark, d):
-    a, b = F.contains(_t, F.lit("<search>")), F.contains(_t, F.lit("</search>"))
+    a, b = F.contains(_t(), F.lit("<search>")), F.contains(_t(), F.lit("</search>"))
     return docs(spark, d).filter(F.when(C("doc_id") % 2 == 0, ~(a & b)).otherwise(a | b)).select("doc_id")
 
 
@@ -195,17 +195,17 @@ _r, _r_sql = injected(_RAW, size=120)
 
 @query("t1_clean", "SELECT doc_id, " + sql_chain(f"({_r_sql})", [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \t\n]+|[ \t\n]+$", "")]) + " AS clean FROM documents")
 def t1(spark, d):
-    return docs(spark, d).select("doc_id", T.clean_text(_r).alias("clean"))
+    return docs(spark, d).select("doc_id", T.clean_text(_r()).alias("clean"))
 
 
 @query("t2_one_line", f"SELECT doc_id, regexp_replace(regexp_replace({_r_sql}, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS line FROM documents")
 def t2(spark, d):
-    return docs(spark, d).select("doc_id", T.one_line(_r).alias("line"))
+    return docs(spark, d).select("doc_id", T.one_line(_r()).alias("line"))
 
 
 @query("t3_clean_wiki", "SELECT doc_id, " + sql_lines(sql_chain(f"({_r_sql})", T.WIKI_STEPS), "NOT (length(l) < 20 AND ends_with(l, ':'))") + " AS clean FROM documents")
 def t3(spark, d):
-    return docs(spark, d).select("doc_id", T.clean_wiki(_r).alias("clean"))
+    return docs(spark, d).select("doc_id", T.clean_wiki(_r()).alias("clean"))
 
 
 def _first_sql(x: str, markers) -> str:
@@ -224,7 +224,7 @@ _b, _b_sql = injected(_BOOK, size=100)
     SELECT doc_id, {sql_chain("substr(t, line + 1, greatest(0, CASE WHEN e > 0 THEN e - 1 ELSE length(t) END - line))", [('[ \\t]+', ' '), ('\\n{3,}', chr(10) * 2), (TRIM, '')])} AS body FROM l""",
 )
 def t5(spark, d):
-    return docs(spark, d).select("doc_id", T.book_text(_b).alias("body"))
+    return docs(spark, d).select("doc_id", T.book_text(_b()).alias("body"))
 
 
 def sql_entities(x: str) -> str:
@@ -257,7 +257,7 @@ _g, _g_sql = chosen(_GEN, "doc_id")
 
 @query("t11_generated", "SELECT doc_id, " + sql_chain(_g_sql, [("</?think>", ""), (TRIM, ""), (r"(?i)^The answer is\.{0,3}\s*", ""), (TRIM, ""), (r"(?i)^(?:Here is|Here's) (?:a |an |the )?(?:training )?example[:.\s]*", ""), (TRIM, "")]) + " AS clean FROM documents")
 def t11(spark, d):
-    return docs(spark, d).select("doc_id", T.generated_example(_g).alias("clean"))
+    return docs(spark, d).select("doc_id", T.generated_example(_g()).alias("clean"))
 
 
 @query("t13_context", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE lang || chr(10) || chr(10) || 'Context: ' || source END AS prompt FROM documents")
@@ -296,9 +296,9 @@ _wt, _ = injected(_WT, size=60)
 
 @query("t4_fan_wikitext")
 def t4(spark, d):
-    return docs(spark, d).select("doc_id", T.fan_wikitext(_wt).alias("plain"))
+    return docs(spark, d).select("doc_id", T.fan_wikitext(_wt()).alias("plain"))
 
 
 @query("t6_dump_wikitext")
 def t6(spark, d):
-    return docs(spark, d).select("doc_id", T.dump_wikitext(_wt).alias("plain"))
+    return docs(spark, d).select("doc_id", T.dump_wikitext(_wt()).alias("plain"))

@@ -46,7 +46,7 @@ _n, _n_sql = chosen(_NUM, "doc_id")
     FROM (SELECT doc_id, regexp_extract_all(t, '####\s*(-?[\d,]*\.?\d+)', 1) AS m, regexp_extract_all(t, '(-?[\d,]*\.?\d+)', 1) AS a, regexp_extract_all(t, '(-?\d+(?:\.\d+)?(?:\s*/\s*\d+)?)', 1) AS f FROM (SELECT doc_id, {_n_sql} AS t FROM documents))""",
 )
 def x3(spark, d):
-    return docs(spark, d).select("doc_id", X.final_number(_n).alias("final"), X.last_fraction(_n).alias("last"))
+    return docs(spark, d).select("doc_id", X.final_number(_n()).alias("final"), X.last_fraction(_n()).alias("last"))
 
 
 _J = ["SCORE: 7 | Good", "23/100", "I say 8/10", "rating of 9 here", "give it a 4", "line\n 6 \nend", "score 77", "nothing", "SCORE: 0"]
@@ -56,7 +56,7 @@ _tries = ", ".join(f"CASE WHEN regexp_extract(t, {quoted(p)}, 1) <> '' THEN grea
 
 @query("x5_judge_score", f"SELECT doc_id, coalesce({_tries}, TRY_CAST(nullif(regexp_extract(t, {quoted(X.BARE_SCORE)}, 1), '') AS INT), 5) AS score FROM (SELECT doc_id, {_j_sql} AS t FROM documents)")
 def x5(spark, d):
-    return docs(spark, d).select("doc_id", X.judge_score(_j).alias("score"))
+    return docs(spark, d).select("doc_id", X.judge_score(_j()).alias("score"))
 
 
 @query("x6_loss_score", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 1 ELSE greatest(1, least(8, CAST(round_even(9 - 4 * ((event_id % 80) / 32.0::DOUBLE), 0) AS INT))) END AS score FROM events")
@@ -71,7 +71,7 @@ _t, _t_sql = chosen(_TAGS, "doc_id")
 
 @query("x10_tag", f"SELECT doc_id, nullif(trim(regexp_extract({_t_sql}, '(?is)<answer>(.*?)</answer>', 1)), '') AS answer FROM documents")
 def x10(spark, d):
-    return docs(spark, d).select("doc_id", X.tag_content(_t, "answer").alias("answer"))
+    return docs(spark, d).select("doc_id", X.tag_content(_t(), "answer").alias("answer"))
 
 
 @query("x11_x12_digests", "SELECT doc_id, substr(sha256(text), 1, 16) AS sha8, substr(sha256(text), 1, 32) AS sha16, md5(source || ':' || CAST(n_chars AS VARCHAR) || ':' || lang) AS model FROM documents")
@@ -92,7 +92,7 @@ _m, _m_sql = chosen(_MAG, "doc_id")
     SELECT doc_id, CASE WHEN u > 0 AND q <> '' AND a <> '' THEN q END AS prompt, CASE WHEN u > 0 AND q <> '' AND a <> '' THEN a END AS completion, CASE WHEN u = 0 THEN 'no marker' WHEN q = '' THEN 'empty prompt' WHEN a = '' THEN 'empty answer' END AS error FROM x""",
 )
 def x13(spark, d):
-    return docs(spark, d).select("doc_id", X.magpie(_m, "<|u|>", "<|a|>").alias("m")).select("doc_id", "m.*")
+    return docs(spark, d).select("doc_id", X.magpie(_m(), "<|u|>", "<|a|>").alias("m")).select("doc_id", "m.*")
 
 
 @query("x15_eta", "SELECT doc_id, CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h' WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 60) || 'm' END AS eta FROM (SELECT doc_id, n_chars * 37 AS s FROM documents)")
@@ -114,13 +114,13 @@ def x19(spark, d):
 @query("x7_calculator")
 def x7(spark, d):
     text, _ = chosen(["2 + 3 * 4", "7 // 2", "2 ** 0.5", "1/0", "__import__('os')", "(1+2)*3.0", "9 % 4"], "doc_id")
-    return docs(spark, d).select("doc_id", X.calculated(text).alias("value"))
+    return docs(spark, d).select("doc_id", X.calculated(text()).alias("value"))
 
 
 @query("x8_rewards")
 def x8(spark, d):
     text, _ = chosen(["<think>a</think><answer>42</answer>", "the answer is 42", "<think>b</think><answer>41</answer>"], "doc_id")
-    return docs(spark, d).select("doc_id", X.reasoning_reward(text, F.lit("42")).alias("reward"))
+    return docs(spark, d).select("doc_id", X.reasoning_reward(text(), F.lit("42")).alias("reward"))
 
 
 @query("x9_unescape")

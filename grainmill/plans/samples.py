@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,20 +12,23 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def injected(phrases: list[str], key: str = "doc_id", text: str = "text", size: int = 300) -> tuple[Column, str]:
+def injected(phrases: list[str], key: str = "doc_id", text: str = "text", size: int = 300) -> tuple[Callable[[], Column], str]:
     """The first characters of a text, a blank, and one of the phrases by key (none for one key in n + 1)."""
     n = len(phrases) + 1
-    cut = F.substring(F.col(text), 1, size)
-    out = None
-    for i, p in enumerate(phrases):
-        own = F.concat(cut, F.lit(" "), F.lit(p))
-        out = F.when(F.col(key) % n == i, own) if out is None else out.when(F.col(key) % n == i, own)
+    def column() -> Column:
+        cut = F.substring(F.col(text), 1, size)
+        out = None
+        for i, p in enumerate(phrases):
+            own = F.concat(cut, F.lit(" "), F.lit(p))
+            out = F.when(F.col(key) % n == i, own) if out is None else out.when(F.col(key) % n == i, own)
+        return out.otherwise(cut)
+
     cases = " ".join(f"WHEN {i} THEN substr({text}, 1, {size}) || ' ' || {quoted(p)}" for i, p in enumerate(phrases))
-    return out.otherwise(cut), f"CASE {key} % {n} {cases} ELSE substr({text}, 1, {size}) END"
+    return column, f"CASE {key} % {n} {cases} ELSE substr({text}, 1, {size}) END"
 
 
-def chosen(values: list[str], key: str) -> tuple[Column, str]:
+def chosen(values: list[str], key: str) -> tuple[Callable[[], Column], str]:
     """One of the values by key."""
     n = len(values)
-    arr = F.array(*map(F.lit, values))
-    return F.element_at(arr, (F.col(key) % n + 1).cast("int")), f"list_extract([{', '.join(map(quoted, values))}], CAST({key} % {n} AS INTEGER) + 1)"
+    column = lambda: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % n + 1).cast("int"))
+    return column, f"list_extract([{', '.join(map(quoted, values))}], CAST({key} % {n} AS INTEGER) + 1)"

@@ -121,7 +121,7 @@ _A, _A_SQL = chosen(["all is well", "As an AI, no", "I'm OpenAssistant", "fine w
     SELECT CASE WHEN a = 'As an AI, no' THEN 'boilerplate' WHEN a = {quoted("I'm OpenAssistant")} THEN 'foreign' WHEN q IN (SELECT q FROM p) THEN 'leak' ELSE 'kept' END AS reason, count(*) AS n FROM g GROUP BY ALL""",
 )
 def r9_reasons(spark, d):
-    x = docs(spark, d).select(C("doc_id").alias("id"), F.substring("text", 1, 12).alias("prompt"), _A.alias("completion"))
+    x = docs(spark, d).select(C("doc_id").alias("id"), F.substring("text", 1, 12).alias("prompt"), _A().alias("completion"))
     return M.sft_mix(x.filter("id % 3 <> 0"), x.filter("id % 10 = 0").select("prompt"), x.filter("id % 3 = 0"), 8)[1]
 
 
@@ -133,13 +133,13 @@ def r9_reasons(spark, d):
     UNION ALL SELECT id, prompt, completion FROM x, range(8) AS r(k) WHERE id % 3 = 0 AND lower(trim(prompt)) NOT IN (SELECT q FROM p)""",
 )
 def r9_mix(spark, d):
-    x = docs(spark, d).select(C("doc_id").alias("id"), F.substring("text", 1, 12).alias("prompt"), _A.alias("completion"))
+    x = docs(spark, d).select(C("doc_id").alias("id"), F.substring("text", 1, 12).alias("prompt"), _A().alias("completion"))
     return M.sft_mix(x.filter("id % 3 <> 0"), x.filter("id % 10 = 0").select("prompt"), x.filter("id % 3 = 0"), 8)[0]
 
 
 @query("r4_identity", f"SELECT doc_id FROM (SELECT doc_id, {_A_SQL} AS a FROM documents) WHERE NOT regexp_matches(a, '(?i)qwen|base model')")
 def r4(spark, d):
-    return M.identity(docs(spark, d).select("doc_id", _A.alias("completion"))).select("doc_id")
+    return M.identity(docs(spark, d).select("doc_id", _A().alias("completion"))).select("doc_id")
 
 
 @query("r5_tool_examples", """SELECT p_partkey AS id, 'What is ' || p_size || ' * 2?' AS question, '{"name":"calculate","arguments":{"expression":"' || p_size || '"}}' AS call FROM part""")

@@ -19,7 +19,7 @@ MAX_FILE_BYTES = 100 << 30
 
 def text_files(spark: SparkSession, path: str, suffix: str = "*.txt") -> DataFrame:
     """(path, text): one row a file below ``path``, read whole."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=suffix)
     return raw.filter(F.col("_metadata.file_size") <= MAX_FILE_BYTES).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
