@@ -1,11 +1,11 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection.
 
-1. Each document becomes the sorted 64-bit hashes of its distinct word n-grams. Documents with equal sets
+1. Each document becomes the sorted 64-bit names of its distinct word n-grams. Documents with equal sets
    form a class; everything below works on classes.
 2. Two sets that link share an element among the first ``size - ceil(t * size) + 1`` of each, in any
-   common order. The order used puts elements that many documents share last; it affects speed only.
-   Classes that share such an element, and whose hashed bitmaps leave a link possible, are drawn into one
-   candidate group, so links never leave a group.
+   common order. The order used puts n-grams of rare words first and elements that many documents share
+   last; it affects speed only. Two sets of like sizes even share many of those elements. Classes that
+   share as many as a link needs are drawn into one candidate group, so links never leave a group.
 3. A group is cut into tiles: blocks of a size band against blocks of the same or the next band, as sizes
    of linked sets differ by the factor ``t`` at most. A small group is one tile.
 4. In a tile, hashed bitmaps bound each pair's intersection from above by bit counts. For pairs that
@@ -17,13 +17,14 @@ links; pairs are never written out. Components of the tiles' results are the joi
 Defined results: a document with fewer words than n is the whole sequence as one n-gram; null, empty and
 blank texts have no n-gram, link with nothing and are their own component; copies are links of each
 other; repeated rows are documents like others; texts are read whole; an empty table gives an empty
-table; further columns are ignored. Equal 64-bit hashes count as equal n-grams and equal sets.
+table; further columns are ignored. Equal 64-bit names count as equal n-grams and equal sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +36,44 @@ from grainmill.llm.graph import components, smallest_labels
 from grainmill.shipping import ship
 from grainmill.tables import table
 
-#: Common elements known by name, at most; n-grams a task looks at together when it finds them.
-COMMON, CHUNK = 1 << 18, 4_000_000
+#: Common elements and frequent words known by name, at most; elements a task counts together to find them.
+COMMON, WORDS, CHUNK = 1 << 18, 1 << 16, 4_000_000
 #: Classes and bytes of sets in a block of a tile, at most on average.
 BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
 
 
-def ngrams(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct word n-grams."""
+@dataclass(frozen=True)
+class Words:
+    """Hashes of frequent words, sorted, and their weights: the more frequent, the heavier."""
+
+    hashes: np.ndarray
+    weights: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(h))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.weights[at], 0.0)
+
+
+NO_WORDS = Words(np.zeros(0, np.uint64), np.zeros(0))
+
+
+def ngrams(text: str | None, n: int, words: Words = NO_WORDS) -> np.ndarray:
+    """Sorted names of the distinct word n-grams: six bits of how frequent the words are, then a 58-bit hash.
+
+    N-grams of rare words come first in the order; few documents share those by chance.
+    """
     h = word_hashes(lower_ascii(text))
     if not len(h):
         return h
     k = min(n, len(h))
-    acc = np.full(len(h) - k + 1, k, np.uint64)
+    last = len(h) - k + 1
+    acc, level, weight = np.full(last, k, np.uint64), np.zeros(last), words.of(h)
     for i in range(k):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(acc)
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : last + i])
+        level += weight[i : last + i]
+    return np.unique((np.minimum(level, 63).astype(np.uint64) << np.uint64(58)) | (acc >> np.uint64(6)))
 
 
 def class_of(s: np.ndarray) -> int:
@@ -62,59 +85,81 @@ def class_of(s: np.ndarray) -> int:
 
 def sets_of(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, cls, grams): ``cls`` is null for documents without n-grams."""
+    docs = df.select("doc_id", F.col(text_col).alias("text"))
+    words = df.sparkSession.sparkContext.broadcast(frequent_words(docs))  # at most WORDS entries
 
     def kernel():
+        w = words.value
+
         def run(texts: pa.Array) -> list:
-            sets = [ngrams(t, n) for t in texts.to_pylist()]
+            sets = [ngrams(t, n, w) for t in texts.to_pylist()]
             return [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
         return run
 
-    return extend(df.select("doc_id", F.col(text_col).alias("text")), ["text"], "n_shingles long, cls long, grams binary", kernel).drop("text")
+    return extend(docs, ["text"], "n_shingles long, cls long, grams binary", kernel).drop("text")
 
 
-def common_elements(sets: DataFrame, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Elements that many documents share, sorted, with their counts.
+def counted(df: DataFrame, arrays, least: int) -> DataFrame:
+    """(e, c): sums over tasks of what a chunk of a task's elements holds ``least`` times or more.
 
-    Tasks count over all their rows, chunk by chunk, and report what occurs four times or more in a chunk;
-    Spark adds up. A histogram of the sums gives the least count that at most ``limit`` elements reach, so
-    what reaches the driver is bounded.
+    ``arrays`` gives a batch's arrays of 64-bit elements.
     """
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             e, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= 4
+            often = c >= least
             return pa.RecordBatch.from_arrays([pa.array(e[often].view(np.int64)), pa.array(c[often])], names=["e", "c"])
 
         for b in batches:
-            for g in b.column("grams").to_pylist():
-                held.append(np.frombuffer(g, np.uint64))
-                size += len(held[-1])
+            for x in arrays(b):
+                held.append(x)
+                size += len(x)
                 if size > CHUNK:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
-    sums = cut(sets.select("grams").mapInArrow(run, "e long, c long").groupBy("e").agg(F.sum("c").alias("c")))
-    steps = sums.groupBy(F.floor(F.log2("c") * 4).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
+    return cut(df.mapInArrow(run, "e long, c long").groupBy("e").agg(F.sum("c").alias("c")))
+
+
+def most_frequent(sums: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of the largest counts, at most ``limit``, sorted by element, with their counts.
+
+    A histogram of the counts gives the least count to take, so what reaches the driver is bounded.
+    """
+    step = F.floor(F.log2("c") * 4).cast("int")
     total, least = 0, None
-    for s in steps:
+    for s in sums.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         total += s["count"]
         if total > limit:
             break
         least = s["step"]
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    t = sums.filter(F.floor(F.log2("c") * 4).cast("int") >= least).toArrow()
+    t = sums.filter(step >= least).toArrow()
     e, c = t["e"].to_numpy().view(np.uint64), t["c"].to_numpy()
     order = np.argsort(e)
     return e[order], c[order]
 
 
+def frequent_words(docs: DataFrame) -> Words:
+    """Counts the words of all texts; a word's weight is the log of its count in units of the least one kept."""
+    sums = counted(docs.select("text"), lambda b: (word_hashes(lower_ascii(t)) for t in b.column("text").to_pylist()), 8)
+    e, c = most_frequent(sums, WORDS)
+    return Words(e, np.log2(c / c.min() + 1)) if len(e) else NO_WORDS
+
+
+def common_elements(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that many documents share, sorted, with their counts over all documents."""
+    return most_frequent(counted(sets.select("grams"), lambda b: (np.frombuffer(g, np.uint64) for g in b.column("grams").to_pylist()), 4), COMMON)
+
+
 def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
@@ -133,11 +178,22 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int)
     return np.concatenate([rare, own[np.lexsort((own, c))][: p - len(rare)]])
 
 
+def least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """How many prefix elements sets of sizes a and b have in common at least, if they link.
+
+    Of two prefixes, one ends first in the common order; what both sets share up to there is in both
+    prefixes. The rest of that set, ``least_overlap - 1`` elements, holds what else they can share.
+    """
+    both = -(-percent * (a + b) // (100 + percent))
+    return np.maximum(1, both - (-(-percent * np.maximum(a, b) // 100)) + 1)
+
+
 def shared_entries(sets: DataFrame, percent: int, most: int) -> DataFrame:
-    """(kind, a, b) from the classes' prefix elements that two or more classes have.
+    """(kind, a, b, least) from the classes' prefix elements that two or more classes have.
 
-    Kind 0 is an entry: element a is in the prefix of class b. Of an element that more than ``most`` classes
-    have, kind 1 joins class a with the element's least class b. Elements of one class give nothing.
+    Kind 0 is a pair of classes that share an element and whose sizes let them link, once for each element;
+    ``least`` is how many they must share. Of an element that more than ``most`` classes have, kind 1 joins
+    each class a with the element's least class b. Elements of one class give nothing.
     """
     shared = sets.sparkSession.sparkContext.broadcast(common_elements(sets))  # at most COMMON entries
 
@@ -145,63 +201,55 @@ def shared_entries(sets: DataFrame, percent: int, most: int) -> DataFrame:
         common, counts = shared.value
         seen: set[int] = set()
         for b in batches:
-            es, cs = [], []
+            es, cs, ns = [], [], []
             for c, g in zip(b.column("cls").to_pylist(), b.column("grams").to_pylist(), strict=True):
                 if c not in seen:
                     seen.add(c)
                     es.append(prefix(np.frombuffer(g, np.uint64), common, counts, percent))
                     cs.append(np.full(len(es[-1]), c))
+                    ns.append(np.full(len(es[-1]), len(g) // 8, np.int32))
             if es:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(es).view(np.int64)), pa.array(np.concatenate(cs))], names=["e", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(es).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(ns))], names=["e", "cls", "n"])
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        he, hc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = None
+
+        def batch(kind: int, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(least.astype(np.int64))], names=["kind", "a", "b", "least"])
 
-        def out(e: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        def out(e: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             keep = np.ones(len(e), bool)
             keep[1:] = (e[1:] != e[:-1]) | (c[1:] != c[:-1])
-            e, c = e[keep], c[keep]
+            e, c, n = e[keep], c[keep], n[keep].astype(np.int64)
             start = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1]))) if len(e) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(e)))
-            n, first = np.repeat(size, size), np.repeat(c[start], size)
-            few, many = (n > 1) & (n <= most), (n > most) & (c != first)
-            kind = np.concatenate([np.zeros(few.sum(), np.int32), np.ones(many.sum(), np.int32)])
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([e[few], c[many]])), pa.array(np.concatenate([c[few], first[many]]))], names=["kind", "a", "b"])
+            rows, first = np.repeat(size, size), np.repeat(c[start], size)
+            many = (rows > most) & (c != first)
+            if many.any():
+                yield batch(1, c[many], first[many], np.ones(many.sum()))
+            few = (rows > 1) & (rows <= most)
+            e, c, n = e[few], c[few], n[few]
+            for d in range(1, most):
+                at = np.flatnonzero(e[d:] == e[:-d])
+                if not len(at):
+                    break
+                x, y = n[at], n[at + d]
+                at = at[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
+                if len(at):
+                    yield batch(0, c[at], c[at + d], least_shared(n[at], n[at + d], percent))
 
         for b in batches:
-            he, hc = np.concatenate([he, b.column("e").to_numpy()]), np.concatenate([hc, b.column("cls").to_numpy()])
-            last = np.searchsorted(he, he[-1]) if len(he) else 0
+            part = tuple(b.column(k).to_numpy() for k in ("e", "cls", "n"))
+            held = part if held is None else tuple(np.concatenate([h, q]) for h, q in zip(held, part, strict=True))
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if last:
-                yield out(he[:last], hc[:last])
-                he, hc = he[last:], hc[last:]
-        if len(he):
-            yield out(he, hc)
-
-    found = sets.select("cls", "grams").mapInArrow(entries, "e long, cls long")
-    return found.repartition("e").sortWithinPartitions("e", "cls").mapInArrow(tiles, "kind int, a long, b long")
-
+                yield from out(*(h[:last] for h in held))
+                held = tuple(h[last:] for h in held)
+        if held is not None and len(held[0]):
+            yield from out(*held)
 
-SIGNATURE = 1024
-
-
-def signatures(sets: DataFrame) -> DataFrame:
-    """(cls, n, sig): hashed bitmaps of ``SIGNATURE`` bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            cs, ns, sigs = [], [], []
-            for c, g in zip(b.column("cls").to_pylist(), b.column("grams").to_pylist(), strict=True):
-                if c not in seen:
-                    seen.add(c)
-                    bits = np.zeros(SIGNATURE, bool)
-                    bits[(np.frombuffer(g, np.uint64) >> np.uint64(20)) & np.uint64(SIGNATURE - 1)] = True
-                    cs.append(c)
-                    ns.append(len(g) // 8)
-                    sigs.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], names=["cls", "n", "sig"])
-
-    return sets.select("cls", "grams").mapInArrow(run, "cls long, n long, sig binary").groupBy("cls").agg(F.min(F.struct("n", "sig")).alias("s")).select("cls", "s.n", "s.sig")
+    found = sets.select("cls", "grams").mapInArrow(entries, "e long, cls long, n int")
+    return found.repartition("e").sortWithinPartitions("e", "cls").mapInArrow(tiles, "kind int, a long, b long, least long")
 
 
 def bounded(percent: int, n: np.ndarray, sig: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
@@ -221,40 +269,11 @@ def bounded(percent: int, n: np.ndarray, sig: np.ndarray, i: int, js: np.ndarray
 def candidate_groups(sets: DataFrame, percent: int, most: int = 256) -> DataFrame:
     """(node, root): classes that may link with another, and the smallest class of their group.
 
-    Classes that share a prefix element are drawn together if their bitmaps leave a link possible; where
-    more than ``most`` classes share an element, all are drawn together, whatever their bitmaps.
+    Classes are drawn together if they share as many prefix elements as a link of their sizes needs; where
+    more than ``most`` classes share an element, all are drawn together.
     """
-    shared = cut(shared_entries(sets, percent, most))
-    few = shared.filter("kind = 0").select(F.col("a").alias("e"), F.col("b").alias("cls"))
-    rows = few.join(signatures(sets), "cls").repartition("e").sortWithinPartitions("e")
-
-    def one(cls: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        label = np.arange(len(cls))
-        for i in range(len(cls) - 1):
-            js = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-            js = bounded(percent, n, sig, i, js) if len(js) else js
-            if len(js):
-                own = np.isin(label, np.append(label[js], label[i]))
-                label[own] = label[own].min()
-        moved = label != np.arange(len(cls))
-        return cls[moved], cls[label[moved]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            part = (b.column("e").to_numpy(), b.column("cls").to_numpy(), b.column("n").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(b.num_rows, -1))
-            if held is not None and len(held[0]):
-                part = tuple(np.concatenate([h, q]) for h, q in zip(held, part, strict=True)) if b.num_rows else held
-            bounds = [0, *(np.flatnonzero(part[0][1:] != part[0][:-1]) + 1).tolist()]
-            found = [one(*(q[x:y] for q in part[1:])) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            held = tuple(q[bounds[-1] :] for q in part)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["u", "v"])
-        if held is not None and len(held[0]) > 1:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, one(*held[1:]))], names=["u", "v"])
-
-    near = rows.select("e", "cls", "n", "sig").mapInArrow(run, "u long, v long")
-    return components(near.unionByName(shared.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    shared = cut(shared_entries(sets, percent, most).groupBy("kind", "a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("kind = 1 OR n >= least").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return components(shared)
 
 
 def members_filter(nodes: DataFrame) -> np.ndarray:
