@@ -6,7 +6,7 @@ import importlib
 
 from grainmill.registry import ORACLES, QUERIES, Query
 
-MODULES = ("grainmill.plans.corpus", "grainmill.plans.filters", "grainmill.plans.relational", "grainmill.plans.measures", "grainmill.plans.tokens")
+MODULES = ("grainmill.plans.corpus", "grainmill.plans.filters", "grainmill.plans.relational", "grainmill.plans.measures", "grainmill.plans.tokens", "grainmill.plans.records")
 
 
 def _load() -> None:

@@ -75,9 +75,16 @@ def magpie(c: Column, end_of_user: str, end_of_answer: str) -> Column:
     return F.struct(F.when(error.isNull(), prompt).alias("prompt"), F.when(error.isNull(), answer).alias("completion"), error.alias("error"))
 
 
-def next_level(average: Column, level: Column, tries: Column) -> Column:
-    """Advance on a high average, ease on a low one, and move on after many tries."""
-    return F.when(average >= 8, F.when(level >= 5, F.lit("advance")).otherwise(F.lit("harder"))).when((average < 4) & (level > 1), F.lit("easier")).when(tries >= 10, F.lit("advance")).otherwise(F.lit("repeat"))
+def next_step(average: Column, stage: Column, stages: int, attempt: Column, most: int) -> Column:
+    """A score of 7 moves on; below it the stage is tried again, harder, until attempts run out."""
+    onward = F.when(stage + 1 >= stages, F.lit("complete")).otherwise(F.lit("advance"))
+    return F.when((average < 7) & (attempt < most), F.lit("retry")).otherwise(onward)
+
+
+def harder(level: Column, levels: list[str]) -> Column:
+    """The next difficulty; an unknown one counts as the first, the last stays."""
+    at = F.greatest(F.lit(1), F.array_position(F.array(*map(F.lit, levels)), level))
+    return F.element_at(F.array(*map(F.lit, levels)), F.least(F.lit(len(levels)), at + 1).cast("int"))
 
 
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod}

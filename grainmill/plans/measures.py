@@ -100,10 +100,12 @@ def x15(spark, d):
     return docs(spark, d).select("doc_id", X.eta(C("n_chars") * 37).alias("eta"))
 
 
-@query("x16_next_level", "SELECT doc_id, CASE WHEN a >= 8 THEN CASE WHEN l >= 5 THEN 'advance' ELSE 'harder' END WHEN a < 4 AND l > 1 THEN 'easier' WHEN t >= 10 THEN 'advance' ELSE 'repeat' END AS action FROM (SELECT doc_id, doc_id % 11 AS a, doc_id % 6 AS l, doc_id % 13 AS t FROM documents)")
+@query("x16_next_step", "SELECT doc_id, CASE WHEN doc_id % 11 < 7 AND doc_id % 4 < 3 THEN 'retry' WHEN doc_id % 5 + 1 >= 5 THEN 'complete' ELSE 'advance' END AS action, list_extract(['medium', 'advanced', 'advanced', 'medium'], CAST(doc_id % 4 AS INT) + 1) AS harder FROM documents")
 def x16(spark, d):
     k = C("doc_id")
-    return docs(spark, d).select("doc_id", X.next_level(k % 11, k % 6, k % 13).alias("action"))
+    levels = ["simple", "medium", "advanced"]
+    level = F.element_at(F.array(*map(F.lit, [*levels, "odd"])), (k % 4 + 1).cast("int"))
+    return docs(spark, d).select("doc_id", X.next_step(k % 11, k % 5, 5, k % 4, 3).alias("action"), X.harder(level, levels).alias("harder"))
 
 
 @query("x19_local_host", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) IN ('localhost', '127.0.0.1', '::1') AS local FROM pages")
