@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +75,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shared_table(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table written to the shared checkpoint folder, deleted at the end.
+
+    What is computed from it and is used later must have been cut at a checkpoint inside.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bounded_sample(df: DataFrame, key: str, limit: int, share: float = 1.0) -> DataFrame:
     """About ``limit`` rows, never more, chosen by a hash of ``key`` over the whole table.
 

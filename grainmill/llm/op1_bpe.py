@@ -28,7 +28,9 @@ from grainmill.tables import table
 
 #: Entries of a worker's memo of encoded words, and the longest word that enters it. A full memo takes
 #: no more words until half of the words looked up are missing from it; then it starts afresh.
-MEMO_WORDS, MEMO_LENGTH = 500_000, 40
+MEMO_WORDS, MEMO_LENGTH = 400_000, 40
+#: Entries of a worker's memos of stable pairs, and of the last tokens of prefixes up to a length in bytes.
+PAIRS, PREFIXES, PREFIX_BYTES = 200_000, 200_000, 12
 
 
 class Vocabulary:
@@ -45,7 +47,8 @@ class Vocabulary:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.halves: list[tuple[int, int] | None] = [None] * top
         self.usable = bytearray(top)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._known: dict[bytes, int] = {}
         for r, b in enumerate(self.bytes_of):
             if b is None:
                 continue
@@ -57,7 +60,9 @@ class Vocabulary:
                 if x < r and y < r and self.usable[x] and self.usable[y] and self._stable(x, y, r):
                     self.halves[r], self.usable[r] = (x, y), 1
                     break
-        self.tails = {b[i:] for r, b in enumerate(self.bytes_of) if b is not None and self.usable[r] for i in range(len(b))}
+        #: Ends of tokens: the token's id where the end is a whole token, else -1.
+        self.ends = {b[i:]: -1 for r, b in enumerate(self.bytes_of) if b is not None and self.usable[r] for i in range(1, len(b))}
+        self.ends.update((b, r) for r, b in enumerate(self.bytes_of) if b is not None and self.usable[r])
 
     @classmethod
     def read(cls, data: bytes) -> Vocabulary:
@@ -84,15 +89,14 @@ class Vocabulary:
                 before, y = y + 1, right[0]
 
     def stable(self, x: int, y: int) -> bool:
-        found = self._pairs.get((x, y))
-        if found is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            found = self._pairs[x, y] = self._stable(x, y, len(self.halves))
+        found = self._stable(x, y, len(self.halves))
+        if len(self._pairs) >= PAIRS:
+            self._pairs.clear()
+        self._pairs[x << 32 | y] = found
         return found
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_pairs", "_memo")} | {"_pairs": {}}
+        return self.__dict__ | {"_pairs": {}, "_known": {}}
 
 
 class PieceTable:
@@ -107,25 +111,30 @@ class PieceTable:
         start = len(self.data)
         self.data += data
         b, last = self.data, self.last
-        rank, usable, tails, stable, pairs = self.v.rank, self.v.usable, self.v.tails, self.v.stable, self.v._pairs
+        ends, stable, pairs, known = self.v.ends, self.v.stable, self.v._pairs, self.v._known
+        look, store = not start, len(known) < PREFIXES
         for i in range(start + 1, len(b) + 1):
+            if i <= PREFIX_BYTES and look:  # prefixes are kept in order, so after the first unknown one none is known
+                t = known.get(b[:i])
+                if t is not None:
+                    last.append(t)
+                    continue
+                look = False
             j = i - 1
             while True:
-                tail = b[j:i]
-                t = rank.get(tail)
-                if t is not None and usable[t]:
-                    if j == 0:
-                        last.append(t)
+                t = ends.get(b[j:i])
+                if t is None or j < 0:
+                    raise AssertionError("no valid last token: the ranks are not those of a byte-level BPE")
+                if t >= 0:
+                    if not j:
                         break
-                    fits = pairs.get((last[j], t))
+                    fits = pairs.get(last[j] << 32 | t)
                     if fits or (fits is None and stable(last[j], t)):
-                        last.append(t)
                         break
-                elif tail not in tails:
-                    j = 0
                 j -= 1
-                if j < 0:
-                    raise AssertionError("no valid last token: the ranks are not those of a byte-level BPE")
+            last.append(t)
+            if store and i <= PREFIX_BYTES:
+                known[b[:i]] = t
 
     def replace(self, start: int, stop: int, data: bytes) -> None:
         """Replaces bytes ``start..stop``; entries up to ``start`` stay."""
@@ -165,6 +174,9 @@ class Encoder:
     def chunk(self, chunk: str) -> bytes:
         ids: list[int] = []
         for p in self.pieces(chunk):
+            if p[0] == " " and (kept := self.memo.get(p[1:])) is not None:
+                ids += struct.unpack(f"<{len(kept) // 4}I", kept)
+                continue
             b = p.encode("utf-8", "replace")
             t = self.v.rank.get(b)
             if t is not None:
@@ -317,21 +329,41 @@ def decode(df: DataFrame, tables, ids_col: str = "ids_le") -> DataFrame:
     """Adds ``decoded``: the bytes that the ids of ``ids_col`` stand for (null ids: no bytes)."""
 
     def kernel():
-        names = encoder_of(tables).v.bytes_of
+        names = tables.value[0].bytes_of
 
         def run(ids: pa.Array) -> list:
-            return [pa.array([b"".join(map(names.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids.to_pylist()], pa.binary())]
+            return [pa.array([bytes_of_ids(names, x or b"") for x in ids.to_pylist()], pa.binary())]
 
         return run
 
     return extend(df, [ids_col], "decoded binary", kernel)
 
 
+def bytes_of_ids(names: list[bytes], packed: bytes) -> bytes:
+    return b"".join(map(names.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
+def round_trip(df: DataFrame, tables, text_col: str = "text") -> DataFrame:
+    """``decode(encode(df))`` in one pass of Python workers."""
+
+    def kernel():
+        e = encoder_of(tables)
+
+        def run(texts: pa.Array) -> list:
+            out = [e.packed(t) for t in text_of(texts)]
+            back = [bytes_of_ids(e.v.bytes_of, x) for x in out]
+            return [pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array(back, pa.binary())]
+
+        return run
+
+    return extend(df, [text_col], "n_tokens long, ids_le binary, decoded binary", kernel)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tables = load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tables).drop("text"), tables)
+    out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tables)
     return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import cut, extend, lower_ascii, mix, word_hashes
+from grainmill.llm.common import cut, extend, lower_ascii, mix, shared_table, word_hashes
 from grainmill.llm.graph import components, smallest_labels
 from grainmill.shipping import ship
 from grainmill.tables import table
@@ -300,6 +300,24 @@ def _bits(nodes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
 
 
+def sets_among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cls, grams) once for each class of ``nodes``; a Bloom filter keeps most other sets from moving."""
+    bloom = sets.sparkSession.sparkContext.broadcast(members_filter(nodes))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bloom.value
+        seen: set[int] = set()
+        for b in batches:
+            c = b.column("cls").to_numpy(zero_copy_only=False)
+            word, mask = _bits(c, len(words) * 64)
+            own = ((words[word] & mask) != 0).all(0)
+            own &= [not (x in seen or seen.add(x)) if o else False for x, o in zip(c.tolist(), own.tolist(), strict=True)]
+            yield b.filter(pa.array(own))
+
+    once = sets.mapInArrow(near, "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
+    return once.join(nodes.select(F.col("node").alias("cls")), "cls", "left_semi")
+
+
 def tile_links(percent: int, sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, np.ndarray]]:
     """For rows ``left`` of a tile, the rows ``right`` that link with each; with ``same``, later rows only."""
     width = 1 << max(7, min(13, int(np.median(sizes) * 2).bit_length()))
@@ -434,23 +452,13 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text",
     """
     spark = docs.sparkSession
     ship(spark)
-    every = cut(sets_of(docs, n, text_col))
-    sets = every.filter("cls IS NOT NULL")
-    classes = sets.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    nodes = cut(candidate_groups(sets, percent))
-    bloom = spark.sparkContext.broadcast(members_filter(nodes))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bloom.value
-        seen: set[int] = set()
-        for b in batches:
-            c = b.column("cls").to_numpy(zero_copy_only=False)
-            word, mask = _bits(c, len(words) * 64)
-            own = ((words[word] & mask) != 0).all(0)
-            own &= [not (x in seen or seen.add(x)) if o else False for x, o in zip(c.tolist(), own.tolist(), strict=True)]
-            yield b.filter(pa.array(own))
-
-    found = sets.select("cls", "grams").mapInArrow(near, "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
+    with shared_table(sets_of(docs, n, text_col)) as written:
+        every = cut(written.select("doc_id", "n_shingles", "cls"))
+        sets = written.filter("cls IS NOT NULL").select("cls", "grams")
+        nodes = cut(candidate_groups(sets, percent))
+        found = cut(sets_among(sets, nodes))
+    named_sets = every.filter("cls IS NOT NULL")
+    classes = named_sets.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
     members = cut(nodes.withColumnRenamed("node", "cls").join(classes.select("cls", "copies", "n"), "cls"))
     tiles = found.join(tiled(members, percent, block_rows, block_bytes), "cls")
     links = cut(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "u long, v long, links long"))
@@ -460,7 +468,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text",
     least = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
     linked = joined.join(least, "root").select("cls", "component_id", "links")
     named = classes.join(linked, "cls", "left").select("cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = sets.select("doc_id", "n_shingles", "cls").join(named, "cls")
+    full = named_sets.join(named, "cls")
     alone = every.filter("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
     return full.select("doc_id", "n_shingles", "component_id", "n_links", "class_id").unionByName(alone)
 

@@ -221,8 +221,8 @@ def _severe(docs: list, y: np.ndarray, typical: np.ndarray) -> np.ndarray:
     return (y * (rate >= np.median(rate[y == 1]))).astype(np.int64)
 
 
-def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """Adds one ``p_<category>`` for each category."""
+def score(df: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
+    """Adds one ``<prefix><category>`` for each category."""
     model = df.sparkSession.sparkContext.broadcast(chain)  # at most FEATURES weights a category
 
     def kernel():
@@ -234,7 +234,7 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
 
         return run
 
-    return extend(df, [text_col], ", ".join(f"p_{n} double" for n in chain.names), kernel)
+    return extend(df, [text_col], ", ".join(f"{prefix}{n} double" for n in chain.names), kernel)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

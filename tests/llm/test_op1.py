@@ -68,6 +68,8 @@ def test_table(spark):
         assert bytes(rows[i].ids_le) == struct.pack(f"<{len(ids)}I", *ids)
         assert bytes(rows[i].decoded) == (t or "").encode()
     assert op.encode(df.limit(0), tables).count() == 0
+    both = {r.doc_id: (r.n_tokens, bytes(r.ids_le), bytes(r.decoded)) for r in op.round_trip(df, tables).collect()}
+    assert both == {k: (r.n_tokens, bytes(r.ids_le), bytes(r.decoded)) for k, r in rows.items()}
 
 
 def test_query(spark):
