@@ -19,8 +19,8 @@ from grainmill.tables import table
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     chain = op8_toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = op8_toxicity.score(docs.select("*", F.col("text").alias("_text")), chain, "_text")
-    return scored.filter(F.col("p_toxic") < op8_toxicity.THRESHOLD).select(*docs.columns)
+    scored = op8_toxicity.score(docs, chain, prefix="_stage_p_")
+    return scored.filter(F.col("_stage_p_toxic") < op8_toxicity.THRESHOLD).select(*docs.columns)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tables = op1_bpe.load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = op1_bpe.decode(op1_bpe.encode(docs.select("doc_id", "text"), tables), tables)
+    out = op1_bpe.round_trip(docs.select("doc_id", "text"), tables)
     return out.select("doc_id", "n_tokens", "ids_le", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
 
 
