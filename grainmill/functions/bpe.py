@@ -92,3 +92,24 @@ class MergeTokenizer:
         if not self.bytes:
             return "".join(names)
         return b"".join(n.encode() if n in self.specials else n.encode("latin-1") for n in names).decode("utf-8", "replace")
+
+
+class WordTokenizer:
+    """P5: a known word is one id; other words are spelt; words are separated by the id of a blank."""
+
+    PAD, BEGIN, END, UNKNOWN = 0, 1, 2, 3
+
+    def __init__(self, words: list[str], alphabet: str):
+        names = [*dict.fromkeys([" ", *alphabet, *words])]
+        self.id_of = {n: 4 + i for i, n in enumerate(names)}
+        self.name_of = {i: n for n, i in self.id_of.items()}
+
+    def encode(self, text: str, ends: bool = True) -> list[int]:
+        out: list[int] = []
+        for i, w in enumerate(text.split(" ")):
+            out += [self.id_of[" "]] * (i > 0)
+            out += [self.id_of[w]] if w in self.id_of else [self.id_of.get(c, self.UNKNOWN) for c in w]
+        return [self.BEGIN, *out, self.END] if ends else out
+
+    def decode(self, ids: list[int]) -> str:
+        return "".join(self.name_of.get(i, "") for i in ids)

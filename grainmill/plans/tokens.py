@@ -176,3 +176,15 @@ def s26(spark, d):
 def s17(spark, d):
     c = table(spark, d, "customer").filter("c_acctbal >= 500 AND c_mktsegment <> 'MACHINERY'")
     return c.groupBy(F.lower(F.trim("c_mktsegment")).alias("site")).agg(F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("id"))
+
+
+@query("f21_vocab_bounds", "SELECT doc_id, list_max(list_transform(string_split(substr(text, 1, 50), ''), lambda c: unicode(c))) < 200 AS inside FROM documents WHERE length(text) > 0")
+def f21(spark, d):
+    ids = F.transform(F.split(F.substring("text", 1, 50), ""), lambda c: F.ascii(c))
+    return docs(spark, d).filter("length(text) > 0").select("doc_id", ((F.array_max(ids) < 200) & (F.array_min(ids) >= 0)).alias("inside"))
+
+
+@query("f19_fits_block", f"SELECT doc_id, n <= {BLOCK} + 1 AS sft, n <= {BLOCK} AS dpo FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS n FROM documents)")
+def f19(spark, d):
+    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+"), F.lit(0)))
+    return docs(spark, d).select("doc_id", (n <= BLOCK + 1).alias("sft"), (n <= BLOCK).alias("dpo"))

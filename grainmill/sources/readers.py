@@ -170,3 +170,11 @@ def in_priority(parts: list[tuple[int, DataFrame]]) -> DataFrame:
 def first_of_names(df: DataFrame, name: Column, order: list[str]) -> DataFrame:
     """Of rows with one name the first by ``order``."""
     return df.groupBy(name.alias("_n")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
+def sample_corpus(spark: SparkSession, paragraphs: list[str], target_bytes: int) -> DataFrame:
+    """(cycle, pos, text): the paragraphs again and again, each repeat marked, until the target is passed."""
+    one = sum(len(p.encode()) + 8 for p in paragraphs)
+    cycles = spark.range(max(1, -(-target_bytes // max(one, 1)))).select(F.col("id").alias("cycle"))
+    own = F.posexplode(F.array(*map(F.lit, paragraphs))).alias("pos", "p")
+    return cycles.select("cycle", own).select("cycle", "pos", F.when(F.col("cycle") == 0, F.col("p")).otherwise(F.format_string("[%d.%d] %s", "cycle", F.col("pos") + 1, "p")).alias("text"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions import scalars, text
-from grainmill.functions.bpe import MergeTokenizer, marked_words
+from grainmill.functions.bpe import MergeTokenizer, WordTokenizer, marked_words
 from grainmill.operators import minhash, mixing, packing, series
 from grainmill.operators.dedup import paragraphs_once
 from grainmill.plans.tokens import MERGES, TOKENIZER
@@ -185,3 +185,14 @@ def test_memories(spark, tmp_path):
     mem([(2, "dog named Rex")]).coalesce(1).write.mode("append").parquet(src)
     streams.keep_memories(stream(), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert [r.text for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()] == ["dog named Rex"]
+
+
+def test_word_tokenizer():
+    t = WordTokenizer(["hello", "world"], "abcdefghijklmnopqrstuvwxyz")
+    assert len(t.encode("hello world", ends=False)) == 3 and t.decode(t.encode("hello odd  world")) == "hello odd  world"
+    assert t.encode("é", ends=False) == [t.UNKNOWN]
+
+
+def test_sample_corpus(spark):
+    rows = readers.sample_corpus(spark, ["one paragraph", "another"], 200).collect()
+    assert len({r.text for r in rows}) == len(rows) and sum(len(r.text) for r in rows) >= 150
