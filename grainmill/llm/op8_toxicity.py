@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,14 +177,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
                 f, c, n = feature_counts(t)
                 kept = np.isin(f, own)
                 got.append((f[kept], c[kept].astype(np.int32), n))
-            return [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int64())]
+            order = [int(np.bitwise_xor.reduce(g[0], initial=0)) for g in got]
+            return [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int64()), pa.array(order, pa.int64())]
 
         return run
 
-    rows = extend(sample, ["text"], "f array<long>, c array<int>, n long", kernel).drop("text").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.n, r.f))
-    own = [(np.array(r.f, np.int64), np.array(r.c, np.int64), r.n) for r in rows]
-    y = np.array([r.y for r in rows], np.int64)
+    t = extend(sample, ["text"], "f array<long>, c array<int>, n long, k long", kernel).drop("text").toArrow()
+    t = t.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("k", "ascending")]).combine_chunks()
+    ends = np.cumsum([0, *pc.list_value_length(t["f"]).to_pylist()]).tolist()
+    f, c = (pc.list_flatten(t[x]).to_numpy() for x in ("f", "c"))
+    own = [(f[a:b], c[a:b], n) for a, b, n in zip(ends[:-1], ends[1:], t["n"].to_pylist(), strict=True)]
+    y = t["y"].to_numpy().astype(np.int64)
     return fit(own, np.stack([y, _severe(own, y, features[lean > 0])], 1), ("toxic", "severe"), features=features)
 
 
