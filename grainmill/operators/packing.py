@@ -6,7 +6,9 @@ import json
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -15,6 +17,8 @@ from grainmill.functions.bpe import MergeTokenizer
 from grainmill.shipping import ship
 
 IGNORE = -100
+#: Texts encoded at a time.
+ROWS = 256
 
 # Control tokens of the chat template.
 CHAT_TOKENS = ["<|im_start|>", "<|im_end|>", "<|tool_call|>", "<|/tool_call|>", "<|tool_result|>", "<|/tool_result|>", "<think>", "</think>"]
@@ -46,16 +50,47 @@ def packed(df: DataFrame, width: int, end: int, groups: int, ids: str = "ids", k
     """(pack, row, ids, starts, ends): best-fit packing within hash groups of bounded size.
 
     Packing all rows in one order would be one task; groups of some thousand rows waste as little.
+    Sequences longer than ``width - 1`` are split into pieces of that length and a rest, so nothing is
+    cut off. A whole piece fills a row by itself and goes out as it comes; only rests are held and packed.
     """
     ship(df.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        rows, spans = best_fit([list(map(int, x)) for x in pdf["ids"]], width, end)
-        return pd.DataFrame({"pack": int(pdf["pack"].iloc[0]), "row": range(len(rows)), "ids": rows, "starts": [[a for a, _ in s] for s in spans], "ends": [[b for _, b in s] for s in spans]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, row, rests = None, 0, []
 
-    x = df.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("pack"), F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return x.groupBy("pack").applyInPandas(run, "pack int, row int, ids array<int>, starts array<int>, ends array<int>")
+        def out(rows: list, spans: list[list[tuple[int, int]]], first: int) -> pa.RecordBatch:
+            parts = [[a for a, _ in s] for s in spans], [[b for _, b in s] for s in spans]
+            flat = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r, np.int32) for r in rows]])
+            at = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+            columns = [pa.array([pack] * len(rows), pa.int32()), pa.array(range(first, first + len(rows)), pa.int32()), pa.ListArray.from_arrays(at, flat), *[pa.array(x, pa.list_(pa.int32())) for x in parts]]
+            return pa.RecordBatch.from_arrays(columns, names=["pack", "row", "ids", "starts", "ends"])
+
+        for b in batches:
+            full = []
+            for k, x in zip(b.column("pack").to_pylist(), b.column("ids"), strict=True):
+                if k != pack:
+                    if full:
+                        yield out(full, [[(0, width)]] * len(full), row)
+                    if rests:
+                        yield out(*best_fit(rests, width, end), row + len(full))
+                    pack, row, rests, full = k, 0, [], []
+                x = x.values.to_numpy()
+                if len(x) == width - 1:
+                    full.append(np.append(x, np.int32(end)))
+                else:
+                    rests.append(x.copy())  # a view would keep its batch
+            if full:
+                yield out(full, [[(0, width)]] * len(full), row)
+                row += len(full)
+        if rests:
+            yield out(*best_fit(rests, width, end), row)
+
+    own = F.coalesce(F.col(ids), F.array().cast("array<int>"))
+    last = F.greatest(F.lit(0), F.ceil(F.size(own) / (width - 1)).cast("int") - 1)
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(own, i * (width - 1) + 1, width - 1))
+    x = df.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("pack"), F.col(key).alias("key"), F.posexplode(pieces).alias("piece", "ids"))
+    x = x.repartition("pack").sortWithinPartitions("pack", "key", "piece").select("pack", "ids")
+    return x.mapInArrow(run, "pack int, row int, ids array<int>, starts array<int>, ends array<int>")
 
 
 def next_fit(examples: list[tuple[list[int], list[bool]]], block: int, pad: int = 0) -> list[tuple[list[int], list[int]]]:
@@ -210,7 +245,9 @@ def encoded(df: DataFrame, t: MergeTokenizer, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for b in batches:
-            yield b.assign(ids=[own.encode(x or "") for x in b[text]])
+            for i in range(0, len(b), ROWS):  # ids of few texts at a time take little memory
+                part = b.iloc[i : i + ROWS]
+                yield part.assign(ids=[np.array(own.encode(x or ""), np.int32) for x in part[text]])
 
     return df.mapInPandas(run, StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 

@@ -49,8 +49,7 @@ def p6(spark, d):
 
 @query("p7_packed")
 def p7(spark, d):
-    ids = docs(spark, d).select("doc_id", F.transform(F.slice(words(C("text")), 1, 400), lambda w: F.length(w)).cast("array<int>").alias("ids"))
-    return K.packed(ids, 512, TOKENIZER.END, 8)
+    return K.packed(K.encoded(docs(spark, d).select("doc_id", "text"), TOKENIZER), 512, TOKENIZER.END, 8)
 
 
 def _messages(t):
