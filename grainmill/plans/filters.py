@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import predicates as P
 from grainmill.functions import text as T
-from grainmill.plans.samples import chosen, injected, quoted
-from grainmill.registry import query
+from grainmill.plans.samples import chosen, injected, quoted, whole
+from grainmill.registry import ORACLES, query
 from grainmill.tables import table
 
 C = F.col
@@ -291,7 +291,7 @@ def t12(spark, d):
 
 
 _WT = ["{{Infobox|a={{b}}}} '''Bold''' [[Target|shown]] and [[plain]] text.<ref>x</ref>", "== Head ==\n* item one\n[[File:a.png|thumb]]\n[http://a.b c d] end of the line that is long enough.", "{| class=x\n|-\n| cell\n|}\n&nbsp;after &amp; more<!-- gone -->"]
-_wt, _ = injected(_WT, size=60)
+_wt, _ = injected(_WT, size=None)
 
 
 @query("t4_fan_wikitext")
@@ -302,3 +302,39 @@ def t4(spark, d):
 @query("t6_dump_wikitext")
 def t6(spark, d):
     return docs(spark, d).select("doc_id", T.dump_wikitext(_wt()).alias("plain"))
+
+
+_all_ai, _all_ai_sql = injected(_AI, size=None)
+_all_v, _all_v_sql = injected(_VOICE, size=None)
+_all_r, _all_r_sql = injected(_RAW, size=None)
+_all_b, _all_b_sql = injected(_BOOK, size=None)
+
+
+@query("f2_generated_whole", whole(ORACLES["f2_generated"], _ai_sql, _all_ai_sql))
+def f2_whole(spark, d):
+    return docs(spark, d).select("doc_id", P.generated_text(_all_ai()).alias("generated"))
+
+
+@query("f10_f11_f12_voice_whole", whole(ORACLES["f10_f11_f12_voice"], _v_sql, _all_v_sql))
+def f10_whole(spark, d):
+    return docs(spark, d).select("doc_id", P.boilerplate(_all_v()).alias("boilerplate"), P.foreign_identity(_all_v()).alias("foreign_identity"), P.stale(_all_v()).alias("stale"))
+
+
+@query("t1_clean_whole", whole(ORACLES["t1_clean"], _r_sql, _all_r_sql))
+def t1_whole(spark, d):
+    return docs(spark, d).select("doc_id", T.clean_text(_all_r()).alias("clean"))
+
+
+@query("t2_one_line_whole", whole(ORACLES["t2_one_line"], _r_sql, _all_r_sql))
+def t2_whole(spark, d):
+    return docs(spark, d).select("doc_id", T.one_line(_all_r()).alias("line"))
+
+
+@query("t3_clean_wiki_whole", whole(ORACLES["t3_clean_wiki"], _r_sql, _all_r_sql))
+def t3_whole(spark, d):
+    return docs(spark, d).select("doc_id", T.clean_wiki(_all_r()).alias("clean"))
+
+
+@query("t5_book_text_whole", whole(ORACLES["t5_book_text"], _b_sql, _all_b_sql))
+def t5_whole(spark, d):
+    return docs(spark, d).select("doc_id", T.book_text(_all_b()).alias("body"))

@@ -42,3 +42,20 @@ def test_split_pieces_pack_as_one_best_fit(spark):
     rows, spans = packing.best_fit(pieces, 64, 99)
     assert [r.ids for r in got] == rows and [list(zip(r.starts, r.ends, strict=True)) for r in got] == spans
     assert [r.row for r in got] == list(range(len(rows)))
+
+
+DOCS = "doc_id long, text string, lang string"
+
+
+def test_samples_read_whole_texts(spark, tables):
+    late = LONG + "Regenerate response. As an AI, I can't. A\tB\r\nC [[plain]] {{x}}"
+    d = tables("documents", DOCS, [(5, late, "en"), (10, late, "en"), (11, LONG, "en"), (3, late, "en")])
+    by = lambda q, c: {r.doc_id: r[c] for r in QUERIES[q](spark, d).collect()}
+    assert by("f2_generated_whole", "generated")[5] and not by("f2_generated_whole", "generated")[11]
+    assert by("f10_f11_f12_voice_whole", "boilerplate")[10]
+    assert by("t1_clean_whole", "clean")[5] == late.replace("\r\n", "\n")
+    assert by("t2_one_line_whole", "line")[5] == " ".join(late.split())
+    assert by("t3_clean_wiki_whole", "clean")[5].startswith(LONG.strip())
+    assert by("t5_book_text_whole", "body")[11] == LONG.strip()
+    for q in ("t4_fan_wikitext", "t6_dump_wikitext"):
+        assert LONG.strip() in by(q, "plain")[3] and "plain" in by(q, "plain")[3] and "[[" not in by(q, "plain")[3]
