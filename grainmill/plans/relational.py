@@ -8,8 +8,8 @@ from grainmill.functions import text as T
 from grainmill.operators import conversations as V
 from grainmill.operators import retrieval as R
 from grainmill.operators.dedup import first_rows, pair_key, paragraphs_once, unseen
-from grainmill.plans.samples import chosen, quoted
-from grainmill.registry import query
+from grainmill.plans.samples import chosen, quoted, whole
+from grainmill.registry import ORACLES, query
 from grainmill.tables import table
 
 C = F.col
@@ -278,3 +278,33 @@ def t20(spark, d):
 def t21(spark, d):
     t = C("t")
     return V.turns(talk(spark, d)).select("conv_id", F.lower(F.trim(V.first_text(t, "user"))).alias("question"), F.array_join(F.transform(V.of_role(t, "assistant"), lambda x: x["text"]), " ").alias("answers"))
+
+
+ALL_PAIRS = "(SELECT doc_id, split_part(text, chr(10), 1) AS prompt, substr(text, length(split_part(text, chr(10), 1)) + 1) AS completion FROM documents)"
+
+
+def all_pairs(spark, d):
+    """The first line of each text as prompt and all that follows as completion."""
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    return docs(spark, d).select("doc_id", line.alias("prompt"), F.substr("text", F.length(line) + 1).alias("completion"))
+
+
+@query("d2_pairs_once_whole", whole(ORACLES["d2_pairs_once"], PAIRS, ALL_PAIRS))
+def d2_whole(spark, d):
+    return first_rows(all_pairs(spark, d), pair_key(C("prompt"), C("completion")), ["doc_id"])
+
+
+@query("d3_captions_once_whole", whole(ORACLES["d3_captions_once"], PAIRS, ALL_PAIRS))
+def d3_whole(spark, d):
+    return first_rows(all_pairs(spark, d), pair_key(C("prompt"), C("completion"), "\x00"), ["doc_id"]).select("doc_id")
+
+
+@query("d9_questions_once_whole", whole(ORACLES["d9_questions_once"], PAIRS, ALL_PAIRS))
+def d9_whole(spark, d):
+    return all_pairs(spark, d).groupBy(F.lower(F.trim("prompt")).alias("q")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
+
+
+@query("j3_leak_guard_whole", whole(ORACLES["j3_leak_guard"], "substr(text, 1, 30)", "text"))
+def j3_whole(spark, d):
+    key = F.lower(F.trim("text"))
+    return unseen(docs(spark, d).withColumn("k", key), C("k"), docs(spark, d).filter("doc_id % 25 = 0"), key).select("doc_id")

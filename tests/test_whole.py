@@ -59,3 +59,11 @@ def test_samples_read_whole_texts(spark, tables):
     assert by("t5_book_text_whole", "body")[11] == LONG.strip()
     for q in ("t4_fan_wikitext", "t6_dump_wikitext"):
         assert LONG.strip() in by(q, "plain")[3] and "plain" in by(q, "plain")[3] and "[[" not in by(q, "plain")[3]
+
+
+def test_keys_are_whole_texts(spark, tables):
+    d = tables("documents", "doc_id long, text string", [(25, LONG + "a"), (26, LONG + "b"), (27, LONG + "A "), (28, LONG + "b"), (29, "q\n" + LONG), (30, " Q\n" + LONG)])
+    ids = lambda q: sorted(r.doc_id for r in QUERIES[q](spark, d).collect())
+    assert ids("j3_leak_guard_whole") == [26, 28, 29, 30]
+    assert ids("d2_pairs_once_whole") == ids("d3_captions_once_whole") == [25, 26, 27, 29, 30]
+    assert sorted((r.doc_id, r.n) for r in QUERIES["d9_questions_once_whole"](spark, d).collect()) == [(25, 2), (26, 2), (29, 2)]
