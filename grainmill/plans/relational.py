@@ -308,3 +308,23 @@ def d9_whole(spark, d):
 def j3_whole(spark, d):
     key = F.lower(F.trim("text"))
     return unseen(docs(spark, d).withColumn("k", key), C("k"), docs(spark, d).filter("doc_id % 25 = 0"), key).select("doc_id")
+
+
+@query("j9_fuzzy_match_whole")
+def j9_whole(spark, d):
+    """Whole texts whose sets of terms have a Jaccard index of 1/2 or more: such sets share one of the n // 2 + 1 rarest terms of each."""
+    m = docs(spark, d).select("doc_id", F.array_distinct(R.content_terms(C("text"))).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
+    x = m.select("doc_id", "n", F.explode("t").alias("term"))
+    ranked = x.join(x.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("r"))
+    rare = ranked.select("doc_id", "n", F.explode(F.slice("r", F.lit(1), (F.floor(C("n") / 2) + 1).cast("int"))).alias("e")).select("doc_id", "n", C("e.term").alias("term"))
+    y = rare.select(C("doc_id").alias("other"), C("n").alias("m"), "term")
+    near = rare.join(y, "term").filter("doc_id > other AND 2 * least(n, m) >= greatest(n, m)").select("doc_id", "other").distinct()
+    both = near.join(m, "doc_id").join(m.select(C("doc_id").alias("other"), C("t").alias("u"), C("n").alias("m")), "other").withColumn("k", F.size(F.array_intersect("t", "u")))
+    return both.filter("2 * k >= n + m - k").groupBy("doc_id").agg(F.min("other").alias("replaces"))
+
+
+@query("u4_jaccard_whole", whole(ORACLES["u4_jaccard"], "substr(text, 1, 200)", "text"))
+def u4_whole(spark, d):
+    a = docs(spark, d).select("doc_id", R.terms(C("text")).alias("a"))
+    b = table(spark, d, "benchmark").select("item_id", R.terms(C("text")).alias("b"))
+    return a.join(b, C("doc_id") == C("item_id")).select("doc_id", "item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("k"), F.size(F.array_union("a", "b")).cast("long").alias("n"))

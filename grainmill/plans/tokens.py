@@ -12,8 +12,8 @@ from grainmill.operators import conversations as V
 from grainmill.operators import mixing as M
 from grainmill.operators import packing as K
 from grainmill.operators.minhash import keep_longest
-from grainmill.plans.samples import chosen, quoted
-from grainmill.registry import query
+from grainmill.plans.samples import chosen, quoted, whole
+from grainmill.registry import ORACLES, query
 from grainmill.shipping import ship
 from grainmill.sources.readers import training_log
 from grainmill.tables import table
@@ -88,7 +88,10 @@ def p11(spark, d):
             got = [K.fitted(TOKENIZER, p, c, BLOCK) for p, c in zip(b["prompt"], b["completion"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "status": [s for s, _ in got], "prompt": [p for _, p in got]})
 
-    return docs(spark, d).select("doc_id", F.substring("text", 1, 600).alias("prompt"), F.substring("text", 1, 60).alias("completion")).mapInPandas(run, "doc_id long, status string, prompt string")
+    # The last line, or the last word of a text of one line, is the completion; all before it is the prompt.
+    x = docs(spark, d).select("doc_id", F.rtrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")).alias("t"))
+    x = x.withColumn("completion", F.when(F.contains("t", F.lit("\n")), F.substring_index("t", "\n", -1)).otherwise(F.substring_index("t", " ", -1)))
+    return x.select("doc_id", F.substr("t", F.lit(1), F.length("t") - F.length("completion")).alias("prompt"), "completion").mapInPandas(run, "doc_id long, status string, prompt string")
 
 
 @query("p13_preferences")
@@ -187,3 +190,9 @@ def f21(spark, d):
 def f19(spark, d):
     n = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+"), F.lit(0)))
     return docs(spark, d).select("doc_id", (n <= BLOCK + 1).alias("sft"), (n <= BLOCK).alias("dpo"))
+
+
+@query("f21_vocab_bounds_whole", whole(ORACLES["f21_vocab_bounds"], "substr(text, 1, 50)", "text"))
+def f21_whole(spark, d):
+    ids = F.transform(F.split("text", ""), lambda c: F.ascii(c))
+    return docs(spark, d).filter("length(text) > 0").select("doc_id", ((F.array_max(ids) < 200) & (F.array_min(ids) >= 0)).alias("inside"))

@@ -3,9 +3,11 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from grainmill import catalog
 from grainmill.operators import packing
+from grainmill.operators import retrieval as R
 from grainmill.plans.tokens import TOKENIZER
 
 QUERIES = catalog.queries()
@@ -67,3 +69,24 @@ def test_keys_are_whole_texts(spark, tables):
     assert ids("j3_leak_guard_whole") == [26, 28, 29, 30]
     assert ids("d2_pairs_once_whole") == ids("d3_captions_once_whole") == [25, 26, 27, 29, 30]
     assert sorted((r.doc_id, r.n) for r in QUERIES["d9_questions_once_whole"](spark, d).collect()) == [(25, 2), (26, 2), (29, 2)]
+
+
+def test_j9_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", R.content_terms(F.col("text")).alias("t"))
+    sets = {r.doc_id: set(r.t) for r in docs.collect()}
+    want = {}
+    for a, s in sets.items():
+        near = [b for b, t in sets.items() if b < a and s & t and 2 * len(s & t) >= len(s | t)]
+        want |= {a: min(near)} if near else {}
+    assert want and {r.doc_id: r.replaces for r in QUERIES["j9_fuzzy_match_whole"](spark, d).collect()} == want
+
+
+def test_sets_and_bounds_of_whole_texts(spark, tables):
+    rows = [(1, LONG + "seldom"), (2, LONG + "\u4e00"), (3, LONG + "\nlast line"), (4, "one short line")]
+    tables("benchmark", "item_id long, text string", [(1, "seldom seen")])
+    d = tables("documents", "doc_id long, text string", rows)
+    assert QUERIES["u4_jaccard_whole"](spark, d).first().k == 1
+    assert {r.doc_id: r.inside for r in QUERIES["f21_vocab_bounds_whole"](spark, d).collect()} == {1: True, 2: False, 3: True, 4: True}
+    got = {r.doc_id: (r.status, r.prompt) for r in QUERIES["p11_fitted"](spark, d).collect()}
+    assert got[4] == ("kept", "one short ") and got[3][0] == "trimmed" and LONG.strip().endswith(got[3][1])
