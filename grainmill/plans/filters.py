@@ -338,3 +338,30 @@ def t3_whole(spark, d):
 @query("t5_book_text_whole", whole(ORACLES["t5_book_text"], _b_sql, _all_b_sql))
 def t5_whole(spark, d):
     return docs(spark, d).select("doc_id", T.book_text(_all_b()).alias("body"))
+
+
+_all_e, _all_e_sql = injected(_EX, size=None)
+_all_q, _all_q_sql = injected(_ASK, key="conv_id", size=None)
+_all_t, _all_t_sql = injected(_TAG, size=None)
+_all_g, _all_g_sql = injected(_GEN, size=None)
+
+
+@query("f13_valid_example_whole", whole(ORACLES["f13_valid_example"], _e_sql, _all_e_sql))
+def f13_whole(spark, d):
+    return docs(spark, d).select("doc_id", P.valid_example(_all_e(), _st()).alias("valid"))
+
+
+@query("f14_f15_intent_whole", whole(whole(ORACLES["f14_f15_intent"], _q_sql, _all_q_sql), "conv_id,", "conv_id, turn,").replace("DISTINCT ", ""))
+def f14_whole(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", P.arithmetic(_all_q()).alias("arithmetic"), P.memorable(_all_q()).alias("memorable"))
+
+
+@query("f20_tag_rules_whole", whole(ORACLES["f20_tag_rules"], _t_sql, _all_t_sql))
+def f20_whole(spark, d):
+    a, b = F.contains(_all_t(), F.lit("<search>")), F.contains(_all_t(), F.lit("</search>"))
+    return docs(spark, d).filter(F.when(C("doc_id") % 2 == 0, ~(a & b)).otherwise(a | b)).select("doc_id")
+
+
+@query("t11_generated_whole", whole(ORACLES["t11_generated"], _g_sql, _all_g_sql))
+def t11_whole(spark, d):
+    return docs(spark, d).select("doc_id", T.generated_example(_all_g()).alias("clean"))

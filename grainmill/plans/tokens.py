@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
+from grainmill.functions import predicates as P
 from grainmill.functions.bpe import MergeTokenizer, words
 from grainmill.operators import conversations as V
 from grainmill.operators import mixing as M
 from grainmill.operators import packing as K
 from grainmill.operators.minhash import keep_longest
-from grainmill.plans.samples import chosen, quoted, whole
+from grainmill.plans.filters import rx
+from grainmill.plans.samples import chosen, injected, quoted, whole
 from grainmill.registry import ORACLES, query
 from grainmill.shipping import ship
 from grainmill.sources.readers import training_log
@@ -196,3 +198,29 @@ def f19(spark, d):
 def f21_whole(spark, d):
     ids = F.transform(F.split("text", ""), lambda c: F.ascii(c))
     return docs(spark, d).filter("length(text) > 0").select("doc_id", ((F.array_max(ids) < 200) & (F.array_min(ids) >= 0)).alias("inside"))
+
+
+_ALL_A, _ALL_A_SQL = injected(["all is well", "As an AI, no", "I'm OpenAssistant", "fine words", "a Qwen base model"], size=None)
+_MIX_SQL = f"""WITH x AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS prompt, {_ALL_A_SQL} AS completion FROM documents),
+    p AS (SELECT DISTINCT lower(trim(prompt)) AS q FROM x WHERE id % 10 = 0),
+    g AS (SELECT *, CASE WHEN regexp_matches(completion, {rx(P.BOILERPLATE)}) THEN 'boilerplate' WHEN regexp_matches(completion, {rx(P.FOREIGN)}) THEN 'foreign' WHEN lower(trim(prompt)) IN (SELECT q FROM p) THEN 'leak' ELSE 'kept' END AS reason FROM x WHERE id % 3 <> 0)"""
+
+
+def _all_mix(spark, d):
+    x = docs(spark, d).select(C("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("prompt"), _ALL_A().alias("completion"))
+    return M.sft_mix(x.filter("id % 3 <> 0"), x.filter("id % 10 = 0").select("prompt"), x.filter("id % 3 = 0"), 8)
+
+
+@query("r9_mix_reasons_whole", f"{_MIX_SQL} SELECT reason, count(*) AS n FROM g GROUP BY ALL")
+def r9_reasons_whole(spark, d):
+    return _all_mix(spark, d)[1]
+
+
+@query("r9_mix_whole", f"{_MIX_SQL} SELECT id, prompt, completion FROM g WHERE reason = 'kept' UNION ALL SELECT id, prompt, completion FROM x, range(8) AS r(k) WHERE id % 3 = 0 AND lower(trim(prompt)) NOT IN (SELECT q FROM p)")
+def r9_mix_whole(spark, d):
+    return _all_mix(spark, d)[0]
+
+
+@query("r4_identity_whole", whole(ORACLES["r4_identity"], _A_SQL, _ALL_A_SQL))
+def r4_whole(spark, d):
+    return M.identity(docs(spark, d).select("doc_id", _ALL_A().alias("completion"))).select("doc_id")

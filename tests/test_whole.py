@@ -90,3 +90,15 @@ def test_sets_and_bounds_of_whole_texts(spark, tables):
     assert {r.doc_id: r.inside for r in QUERIES["f21_vocab_bounds_whole"](spark, d).collect()} == {1: True, 2: False, 3: True, 4: True}
     got = {r.doc_id: (r.status, r.prompt) for r in QUERIES["p11_fitted"](spark, d).collect()}
     assert got[4] == ("kept", "one short ") and got[3][0] == "trimmed" and LONG.strip().endswith(got[3][1])
+
+
+def test_rules_judge_the_tables_texts(spark, tables):
+    tables("conversations", "conv_id long, turn int, role string, text string", [(8, 0, "user", LONG + "what is 7 * 8"), (8, 1, "assistant", LONG)])
+    d = tables("documents", "doc_id long, text string", [(11, LONG + "As an AI, I can't. </think>"), (23, LONG), (47, LONG + "a Qwen base model <search>x</search>")])
+    assert {r.turn: r.arithmetic for r in QUERIES["f14_f15_intent_whole"](spark, d).collect()} == {0: True, 1: False}
+    assert {r.reason: r.n for r in QUERIES["r9_mix_reasons_whole"](spark, d).collect()} == {"boilerplate": 1, "kept": 2}
+    assert sorted(r.doc_id for r in QUERIES["r4_identity_whole"](spark, d).collect()) == [11, 23]
+    assert [r.doc_id for r in QUERIES["f20_tag_rules_whole"](spark, d).collect() if r.doc_id == 47] == [47]
+    assert "</think>" not in {r.doc_id: r.clean for r in QUERIES["t11_generated_whole"](spark, d).collect()}[11]
+    assert all(r.valid for r in QUERIES["f13_valid_example_whole"](spark, d).collect() if r.doc_id == 23)
+    assert {r.id: r.completion for r in QUERIES["r9_mix_whole"](spark, d).collect()}[23] == LONG
