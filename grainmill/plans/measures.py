@@ -9,7 +9,7 @@ from grainmill.functions import scalars as X
 from grainmill.functions.text import token_estimate
 from grainmill.operators import conversations as V
 from grainmill.operators import series as S
-from grainmill.operators.retrieval import content_terms, terms, top_rows
+from grainmill.operators.retrieval import content_terms, terms
 from grainmill.plans.relational import TERMS, _STOP_SQL
 from grainmill.plans.samples import chosen, quoted
 from grainmill.registry import query
@@ -415,9 +415,14 @@ def o14(spark, d):
 
 @query("o16_distractors")
 def o16(spark, d):
-    b = table(spark, d, "benchmark").select("item_id")
-    x = b.join(b.select(C("item_id").alias("other")), C("item_id") % 10 == C("other") % 10).filter("item_id <> other")
-    return top_rows(x, ["item_id"], [F.xxhash64("item_id", "other"), C("other")], 2).select("item_id", "other", "rank")
+    """Two other items for each, drawn from all: those at the next places of a seeded hash order, which is a ring."""
+    b = table(spark, d, "benchmark").select("item_id").orderBy(F.xxhash64("item_id", F.lit(16)), "item_id")
+    places = b.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("item_id long, place long")
+    n = places.count()
+    if n < 2:
+        return places.select("item_id", C("item_id").alias("other"), F.lit(1).alias("rank")).limit(0)
+    steps = places.select("item_id", "place", F.explode(F.sequence(F.lit(1), F.lit(min(2, n - 1)))).alias("rank")).withColumn("place", (C("place") + C("rank")) % n)
+    return steps.join(places.withColumnRenamed("item_id", "other"), "place").select("item_id", "other", "rank")
 
 
 @query("o17_head_mid_tail", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) WHERE n <= 300 OR i < 100 OR (i >= n // 2 - 50 AND i < n // 2 + 50) OR i >= n - 100")

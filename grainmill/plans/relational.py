@@ -328,3 +328,9 @@ def u4_whole(spark, d):
     a = docs(spark, d).select("doc_id", R.terms(C("text")).alias("a"))
     b = table(spark, d, "benchmark").select("item_id", R.terms(C("text")).alias("b"))
     return a.join(b, C("doc_id") == C("item_id")).select("doc_id", "item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("k"), F.size(F.array_union("a", "b")).cast("long").alias("n"))
+
+
+@query("u5_recrawl_whole", whole(ORACLES["u5_recrawl"], " WHERE doc_id % 2 = 0", ""))
+def u5_whole(spark, d):
+    again = table(spark, d, "labels").select("doc_id").intersect(docs(spark, d).filter("n_chars < 500").select("doc_id"))
+    return docs(spark, d).select("doc_id").subtract(again)

@@ -102,3 +102,20 @@ def test_rules_judge_the_tables_texts(spark, tables):
     assert "</think>" not in {r.doc_id: r.clean for r in QUERIES["t11_generated_whole"](spark, d).collect()}[11]
     assert all(r.valid for r in QUERIES["f13_valid_example_whole"](spark, d).collect() if r.doc_id == 23)
     assert {r.id: r.completion for r in QUERIES["r9_mix_whole"](spark, d).collect()}[23] == LONG
+
+
+def test_no_document_or_item_is_left_out(spark, tables):
+    tables("labels", "doc_id long", [(1,), (2,), (3,)])
+    tables("documents", "doc_id long, text string, n_chars long", [(1, "a", 1), (2, "b", 900), (3, "c", 900), (4, "d", 1), (5, "e", 1)])
+    d = tables("benchmark", "item_id long, text string", [(i, "x") for i in range(40)])
+    assert sorted(r.doc_id for r in QUERIES["u5_recrawl_whole"](spark, d).collect()) == [2, 3, 4, 5]
+    got = QUERIES["o16_distractors"](spark, d).collect()
+    assert Counter(r.item_id for r in got) == Counter(r.other for r in got) == dict.fromkeys(range(40), 2)
+    assert all(r.item_id != r.other for r in got) and len({(r.item_id, r.other) for r in got}) == 80
+    assert any(r.item_id % 10 != r.other % 10 for r in got)
+
+
+@pytest.mark.parametrize("items", [0, 1, 2])
+def test_o16_of_few_items(spark, tables, items):
+    d = tables("benchmark", "item_id long, text string", [(i, "x") for i in range(items)])
+    assert sorted((r.item_id, r.other, r["rank"]) for r in QUERIES["o16_distractors"](spark, d).collect()) == ([(0, 1, 1), (1, 0, 1)] if items == 2 else [])
