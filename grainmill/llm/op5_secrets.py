@@ -41,7 +41,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 CHECKED_PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 CHECKED = re.compile(r"(ghp_|gho_|ghu_|ghs_|ghr_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{16,}")
-KEY = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[\s\S]{16,8000}?-----END \1-----")
+KEY = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+MIN_KEY = 16
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,6 +67,22 @@ def _jwt_ok(token: str) -> bool:
         return False
 
 
+def _key_end(text: str, start: int, missing: set[str]) -> int:
+    """Where the key block that begins at ``start`` ends, however long it is; 0 if it has no END line.
+
+    ``missing`` keeps the labels whose END line doesn't come any more, so none is searched for again.
+    """
+    m = KEY.match(text, start)
+    if not m or m[1] in missing:
+        return 0
+    line = f"-----END {m[1]}-----"
+    at = text.find(line, m.end() + MIN_KEY)
+    if at < 0:
+        missing.add(m[1])
+        return 0
+    return at + len(line)
+
+
 def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for w in words:
@@ -95,15 +112,18 @@ class Scanner:
         """All spans as (start, kind, end), sorted by start, then kind."""
         found = self.base(text) if any(w in text for w in "=:") else []
         ends = [0] * len(KINDS)
+        missing: set[str] = set()
         for last, n in self.exact.iter(text):
             start = last - n + 1
             c = text[start]
+            if c == "-":
+                if start >= ends[5] and (end := _key_end(text, start, missing)):
+                    ends[5] = end
+                    found.append((start, 5, end))
+                continue
             if c == "A":
                 kind, m = 1, ACCESS.match(text, start) if start >= ends[1] else None
                 ok = m and m.end() - start >= MIN_ACCESS
-            elif c == "-":
-                kind, m = 5, KEY.match(text, start) if start >= ends[5] else None
-                ok = m
             elif c == "e":
                 kind, m = 4, JWT.match(text, start) if start >= ends[4] else None
                 ok = m and _jwt_ok(m[0])
