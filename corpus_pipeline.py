@@ -24,10 +24,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, once."""
-    groups = op2_jaccard.join(docs.select("doc_id", "text"))
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of near copies the document with the smallest doc_id stays, once.
+
+    Rows that share a doc_id, or have none, are documents of their own if their texts differ; of equal
+    rows one stays, and a row with a doc_id comes before one without.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+    groups = op2_jaccard.join(docs.select(key.alias("doc_id"), "text"))
+    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
+    rows = docs.withColumn("_key", key)
+    return rows.join(keep, rows["_key"] == keep["_kept"], "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
