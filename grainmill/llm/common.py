@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -60,13 +61,21 @@ def slices(b: pa.RecordBatch, inputs: list[str], limit: int = 16 << 20) -> Itera
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only where none is set, one below the warehouse."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local session gets one of its own; a cluster fails, as its executors share no
+    other folder that is known here.
+    """
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
-    name = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    name = spark.conf.get("spark.checkpoint.dir", None)
+    if not name:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        name = tempfile.mkdtemp(prefix="grainmill-checkpoints-")
     spark.sparkContext.setCheckpointDir(name)
-    return name
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -75,6 +84,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder below the shared folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a table that ``cut`` gave; neither it nor what is built on it can be read any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        delete(df.sparkSession, file.get())
+
+
 @contextmanager
 def shared_table(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` as a table written to the shared checkpoint folder, deleted at the end.
@@ -87,19 +109,24 @@ def shared_table(df: DataFrame) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, path)
 
 
-def bounded_sample(df: DataFrame, key: str, limit: int, share: float = 1.0) -> DataFrame:
-    """About ``limit`` rows, never more, chosen by a hash of ``key`` over the whole table.
+def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """About ``limit`` rows, chosen by a hash of ``key`` over the whole table.
 
-    ``share`` is the least share of rows that a later filter keeps; the filter runs on ``limit / share``
-    rows. Rows are chosen by a hash threshold set from the row count, so no task sorts the table.
+    The hash's threshold follows from the row count, so no task sorts the table. The number of rows varies
+    about ``limit`` by its square root; rows that share a key are chosen or left together.
     """
     n = df.count()
     part = F.pmod(F.xxhash64(key, F.lit(20)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    return df.filter(part < min(1.0, limit / share / max(n, 1)))
+    return df.filter(part < min(1.0, limit / max(n, 1)))
+
+
+def labelled_ids(labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """(doc_id, y) of about ``limit`` labelled ids, each once; of several labels of one id the largest counts."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    return bounded_sample(known, "doc_id", limit).groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
 def text_of(array: pa.Array) -> list[str]:

@@ -5,7 +5,10 @@ rules' expressions tried, anchored where the hit demands. Kinds that carry a che
 (CRC-32 in base 62, a decodable JSON header, a key block with both of its lines) are kept only when
 the check holds. Runs of hexadecimal digits have no keyword; a byte-class pass finds them.
 
-Defined results: a null or empty text has no spans; spans are in code points, end exclusive; a match
+Each search is linear in the text: a run that can't begin a token is tried once, and END lines of key
+blocks are listed once.
+
+Defined results: a null or empty text has no spans; a token whose header can't be parsed is none; spans are in code points, end exclusive; a match
 that fails its length rule is dropped and what it covered is not searched again for that kind; long
 texts are scanned whole; repeated rows give repeated results; an empty table gives an empty table;
 columns clashing with an output's name are replaced.
@@ -18,6 +21,7 @@ import binascii
 import json
 import re
 import zlib
+from bisect import bisect_left
 
 import ahocorasick
 import numpy as np
@@ -41,7 +45,9 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 CHECKED_PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 CHECKED = re.compile(r"(ghp_|gho_|ghu_|ghs_|ghr_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{16,}")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 KEY = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+KEY_END = re.compile(r"-----END ([A-Z ]*PRIVATE KEY)-----")
 MIN_KEY = 16
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -60,27 +66,29 @@ def crc62(body: str) -> str:
 
 
 def _jwt_ok(token: str) -> bool:
+    """Whether the header is a JSON object that names an algorithm; one nested too deeply to parse isn't."""
     head = token.partition(".")[0]
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, binascii.Error, TypeError):
+        header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, binascii.Error, RecursionError):
         return False
+    return isinstance(header, dict) and "alg" in header
+
 
+def _key_ends(text: str) -> dict[str, list[tuple[int, int]]]:
+    """The END lines of key blocks by label, as (start, end), in order."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for m in KEY_END.finditer(text):
+        out.setdefault(m[1], []).append(m.span())
+    return out
 
-def _key_end(text: str, start: int, missing: set[str]) -> int:
-    """Where the key block that begins at ``start`` ends, however long it is; 0 if it has no END line.
 
-    ``missing`` keeps the labels whose END line doesn't come any more, so none is searched for again.
-    """
+def _key_end(text: str, start: int, lines: dict[str, list[tuple[int, int]]]) -> int:
+    """Where the key block that begins at ``start`` ends, however long it is; 0 if it has no END line."""
     m = KEY.match(text, start)
-    if not m or m[1] in missing:
-        return 0
-    line = f"-----END {m[1]}-----"
-    at = text.find(line, m.end() + MIN_KEY)
-    if at < 0:
-        missing.add(m[1])
-        return 0
-    return at + len(line)
+    own = lines.get(m[1], []) if m else []
+    at = bisect_left(own, (m.end() + MIN_KEY,)) if own else 0
+    return own[at][1] if at < len(own) else 0
 
 
 def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
@@ -112,12 +120,14 @@ class Scanner:
         """All spans as (start, kind, end), sorted by start, then kind."""
         found = self.base(text) if any(w in text for w in "=:") else []
         ends = [0] * len(KINDS)
-        missing: set[str] = set()
+        lines: dict[str, list[tuple[int, int]]] | None = None
         for last, n in self.exact.iter(text):
             start = last - n + 1
             c = text[start]
             if c == "-":
-                if start >= ends[5] and (end := _key_end(text, start, missing)):
+                if lines is None:
+                    lines = _key_ends(text)
+                if start >= ends[5] and (end := _key_end(text, start, lines)):
                     ends[5] = end
                     found.append((start, 5, end))
                 continue
@@ -127,6 +137,8 @@ class Scanner:
             elif c == "e":
                 kind, m = 4, JWT.match(text, start) if start >= ends[4] else None
                 ok = m and _jwt_ok(m[0])
+                if not m and start >= ends[4]:  # what follows the run fails for all other starts in it too
+                    ends[4] = JWT_RUN.match(text, start).end()
             else:
                 kind, m = 3, CHECKED.match(text, start) if start >= ends[3] else None
                 ok = m and crc62(m[2]) == m[3]

@@ -1,7 +1,9 @@
 """op5 against plain expressions run over the whole text."""
 
+import base64
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,3 +59,16 @@ def test_cases(spark):
     rows = op.scan(df).orderBy("doc_id").collect()
     assert [r.spans for r in rows] == ["", "", "hex:0:200000", "hex:0:200000"]
     assert op.scan(df.limit(0)).count() == 0
+
+
+def test_deep_and_repeated_token_headers():
+    s = op.Scanner()
+    deep = base64.urlsafe_b64encode(('{"a":' + "[" * 200_000).encode()).decode().rstrip("=")
+    assert s.spans(f"{deep}.eyJzdWIiOiIxIn0.abcdefghijklmnop_-") == []
+    start = time.time()
+    assert s.spans("eyJ" * 300_000) == []
+    assert s.spans("".join(f"-----BEGIN {chr(65 + i % 26) * (i % 97)}{chr(65 + i // 26 % 26) * (i // 97)} PRIVATE KEY-----\n" for i in range(20_000))) == []
+    assert time.time() - start < 20
+    good = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abcdefghijklmnop_-"
+    assert [(x[0], x[1]) for x in s.spans(f"eyJ.{good}")] == [(4, 4)]
+    assert [x[:2] for x in s.spans(f"eyJx {good}")] == [(5, 4)]
