@@ -3,8 +3,13 @@
 The rules find e-mail addresses, IP addresses, payment cards and telephone numbers exactly. The tagger
 is trained in numpy from labelled spans and reads overlapping windows around places that can hold
 personal data; where windows overlap, each character's scores come from the window in which it stands
-farthest from an edge, and one Viterbi pass over the joined stretch decides its spans. The rules' spans
-stay; the tagger adds spans that overlap none of them.
+farthest from an edge, and one best path over the whole joined stretch decides its spans. The path is found
+exactly from segments: each segment's best scores from every tag to every tag, the best tags at segments'
+ends, then the paths within. Segments of many texts are computed together, and of a long stretch only its
+segments' scores are kept, so memory is bounded by some bytes for each character. The rules' spans stay;
+the tagger adds spans that overlap none of them.
+
+Every kind needs a digit or an at sign, so only stretches around these are read by the tagger.
 
 Defined results: a null or empty text has no spans; spans are in code points, end exclusive; a rule's
 match that fails its check is dropped and not retried; texts are read whole; repeated rows give
@@ -14,14 +19,20 @@ replaced.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bounded_sample, extend, text_of
+from grainmill.llm.common import extend, text_of
+from grainmill.shipping import ship
 from grainmill.tables import table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,6 +45,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
+NEEDED = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -59,7 +71,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not DIGITS.search(text):
         return found
     for m in IP.finditer(text):
-        if all(len(x) <= 3 or len(x.lstrip("0")) <= 3 for x in m[0].split(".")) and all(int(x) <= 255 for x in m[0].split(".")):
+        parts = [x.lstrip("0") or "0" for x in m[0].split(".")]
+        if all(len(x) <= 3 and int(x) <= 255 for x in parts):
             found.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -86,13 +99,10 @@ _MARKS = "@._%+-() \n:/\"',;=#*!&$[]{}|<>"
 def char_classes(text: str) -> np.ndarray:
     """The class of each character: lower, upper, other letters, digits, each mark, the rest."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.full(len(codes), 3, np.int64)
-    low = np.minimum(codes, 127)
-    out[:] = np.where(codes < 128, _ASCII[low], 3)
-    return out
+    return np.where(codes < 128, _ASCII[np.minimum(codes, 127)], np.uint8(3))
 
 
-_ASCII = np.full(128, 4, np.int64)
+_ASCII = np.full(128, 4, np.uint8)
 _ASCII[[*range(97, 123)]] = 1
 _ASCII[[*range(65, 91)]] = 2
 for _i, _c in enumerate(_MARKS):
@@ -215,20 +225,6 @@ class Tagger:
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
-    def path(self, e: np.ndarray) -> np.ndarray:
-        """The best tags of one stretch, given its joined emission scores."""
-        trans = self.p["t"]
-        score, back = e[0] + self.p["s"], np.zeros(e.shape, np.int64)
-        for t in range(1, len(e)):
-            z = score[:, None] + trans
-            back[t] = z.argmax(0)
-            score = z.max(0) + e[t]
-        out = np.empty(len(e), np.int64)
-        out[-1] = score.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            out[t - 1] = back[t][out[t]]
-        return out
-
 
 def stretches(classes: np.ndarray, reach: int = REACH) -> list[tuple[int, int]]:
     """Parts of a text within ``reach`` of a digit or an at sign; parts that touch are one."""
@@ -246,91 +242,248 @@ def window_starts(n: int) -> list[int]:
 
 
 def tag_spans(tags: np.ndarray, start: int = 0) -> list[tuple[int, int, int]]:
-    """Spans (kind, start, end) of a tag path."""
-    out, kind, begun = [], -1, 0
-    for i, t in enumerate([*tags.tolist(), 0]):
-        if kind >= 0 and t != 2 + 2 * kind:
-            out.append((kind, start + begun, start + i))
-            kind = -1
-        if t % 2 and t:
-            kind, begun = (t - 1) // 2, i
+    """Spans (kind, start, end) of a tag path: a beginning tag and the continuing tags of its kind after it."""
+    begun = np.flatnonzero(tags % 2)
+    if not len(begun):
+        return []
+    edges = np.append(np.flatnonzero(tags[1:] != tags[:-1]) + 1, len(tags))
+    after = np.minimum(begun + 1, len(tags) - 1)
+    goes_on = (begun + 1 < len(tags)) & (tags[after] == tags[begun] + 1)
+    ends = np.where(goes_on, edges[np.searchsorted(edges, begun + 1, side="right").clip(max=len(edges) - 1)], begun + 1)
+    return [*zip(((tags[begun] - 1) // 2).tolist(), (begun + start).tolist(), (ends + start).tolist(), strict=True)]
+
+
+#: Characters of a segment of the best path; characters and windows computed together.
+SEGMENT, PIECE, BLOCK = 64, 1 << 16, 4096
+
+
+@dataclass
+class Piece:
+    """Characters a..b of a stretch; ``a`` is a multiple of the segment's length."""
+
+    x: np.ndarray
+    a: int
+    b: int
+
+
+class Segments:
+    """Best scores within the segments of some pieces, from each tag before a segment to each tag at its end.
+
+    A stretch's first segment has one lane, as nothing precedes it; others have a lane for each entering tag.
+    """
+
+    def __init__(self, tagger: Tagger, pieces: list[Piece]):
+        self.counts = [-(-(p.b - p.a) // SEGMENT) for p in pieces]
+        total = sum(self.counts)
+        e = np.zeros((total, SEGMENT, TAGS), np.float32)
+        sizes, first, at = np.full(total, SEGMENT), np.zeros(total, bool), 0
+        for p, n, own in zip(pieces, self.counts, emissions(tagger, pieces), strict=True):
+            e[at : at + n].reshape(-1, TAGS)[: p.b - p.a] = own
+            sizes[at + n - 1] = p.b - p.a - (n - 1) * SEGMENT
+            first[at] = p.a == 0
+            at += n
+        lanes = np.where(first, 1, TAGS)
+        self.lane = np.concatenate(([0], np.cumsum(lanes)))  # the first lane of each segment
+        self.first = first
+        of = np.repeat(np.arange(total), lanes)
+        trans = tagger.p["t"].astype(np.float64)
+        score = np.where(first[of][:, None], tagger.p["s"], trans[np.arange(len(of)) - self.lane[of]]) + e[of, 0]
+        self.back = np.zeros((SEGMENT, len(of), TAGS), np.uint8)
+        for t in range(1, SEGMENT):
+            z = score[:, :, None] + trans
+            self.back[t] = z.argmax(1)
+            step = z.max(1) + e[of, t]
+            over = sizes[of] <= t
+            self.back[t, over] = np.arange(TAGS)
+            score = np.where(over[:, None], score, step)
+        self.score = score
+        self.sizes = sizes
+
+    def ways(self) -> list[list[np.ndarray]]:
+        """For each piece its segments' scores: (entering tags or 1, tags)."""
+        out, at = [], 0
+        for n in self.counts:
+            out.append([self.score[self.lane[i] : self.lane[i + 1]] for i in range(at, at + n)])
+            at += n
+        return out
+
+    def paths(self, entering: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        """(segments, SEGMENT): the best tags within each segment, given the tags before it and at its end."""
+        lane = self.lane[:-1] + np.where(self.first, 0, entering)
+        out = np.empty((len(lane), SEGMENT), np.uint8)
+        now = ending
+        for t in range(SEGMENT - 1, -1, -1):
+            out[:, t] = now
+            if t:
+                now = self.back[t, lane, now]
+        return out
+
+
+def emissions(tagger: Tagger, pieces: list[Piece]) -> list[np.ndarray]:
+    """Each piece's scores of its characters, each from the window in which it stands farthest from an edge."""
+    grids, picks, rows = [], [], 0
+    for p in pieces:
+        at = np.arange(p.a, p.b)
+        last = (max(1, len(p.x) - STRIDE) - 1) // STRIDE
+        k = at // STRIDE
+        own = np.where((k == 0) | ((at % STRIDE >= STRIDE // 2) & (k <= last)), k, k - 1)
+        low, high = int(own[0]), int(own[-1])
+        need = np.zeros((high - low + 2) * STRIDE, np.uint8)
+        part = p.x[low * STRIDE : (high + 2) * STRIDE]
+        need[: len(part)] = part
+        grids.append(np.lib.stride_tricks.sliding_window_view(need, WINDOW)[::STRIDE])
+        picks.append((rows + own - low, at - own * STRIDE))
+        rows += high - low + 1
+    grid = np.concatenate(grids)
+    e = np.concatenate([tagger.scores(grid[i : i + BLOCK]) for i in range(0, rows, BLOCK)])
+    return [e[r, c] for r, c in picks]
+
+
+def ends_of(ways: list[np.ndarray]) -> np.ndarray:
+    """The best path's tags at the ends of a stretch's segments."""
+    score, back = ways[0][0], []
+    for w in ways[1:]:
+        z = score[:, None] + w
+        back.append(z.argmax(0))
+        score = z.max(0)
+        score = score - score.max()
+    out = np.empty(len(ways), np.int64)
+    out[-1] = score.argmax()
+    for i in range(len(back) - 1, -1, -1):
+        out[i] = back[i][out[i + 1]]
+    return out
+
+
+def best_paths(tagger: Tagger, stretches: list[np.ndarray]) -> list[np.ndarray]:
+    """The best tags of each of some stretches of at most ``PIECE`` characters."""
+    s = Segments(tagger, [Piece(x, 0, len(x)) for x in stretches])
+    ends = [ends_of(w) for w in s.ways()]
+    entering = np.concatenate([np.concatenate(([0], x[:-1])) for x in ends])
+    tags, out, at = s.paths(entering, np.concatenate(ends)), [], 0
+    for x, n in zip(stretches, s.counts, strict=True):
+        out.append(tags[at : at + n].ravel()[: len(x)])
+        at += n
     return out
 
 
-def decode(tagger: Tagger, texts: list[str], block: int = 4096) -> list[list[tuple[int, int, int]]]:
+def long_path(tagger: Tagger, x: np.ndarray) -> np.ndarray:
+    """The best tags of one stretch of any length: its pieces are computed twice, and not kept."""
+    pieces = [Piece(x, a, min(len(x), a + PIECE)) for a in range(0, len(x), PIECE)]
+    ends = ends_of([w for p in pieces for w in Segments(tagger, [p]).ways()[0]])
+    entering, out, at = np.concatenate(([0], ends[:-1])), np.empty(len(x), np.uint8), 0
+    for p in pieces:
+        s = Segments(tagger, [p])
+        n = s.counts[0]
+        out[p.a : p.b] = s.paths(entering[at : at + n], ends[at : at + n]).ravel()[: p.b - p.a]
+        at += n
+    return out
+
+
+def decode(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans the tagger finds in each text."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    jobs: list[tuple[int, int, np.ndarray]] = []
+    held: list[tuple[int, int, np.ndarray]] = []
+    waiting = 0
 
     def flush() -> None:
-        rows = [(j, s, x[s : s + WINDOW]) for j, (_, _, x) in enumerate(jobs) for s in window_starts(len(x))]
-        e_of = [np.zeros((len(x), TAGS), np.float32) for _, _, x in jobs]
-        depth = [np.full(len(x), -1, np.int64) for _, _, x in jobs]
-        for i in range(0, len(rows), block):
-            part = rows[i : i + block]
-            grid = np.zeros((len(part), WINDOW), np.int64)
-            for k, (_, _, x) in enumerate(part):
-                grid[k, : len(x)] = x
-            e = tagger.scores(grid)
-            for k, (j, s, x) in enumerate(part):
-                n = len(x)
-                own = np.minimum(np.arange(n), np.arange(n)[::-1])
-                if s == 0:
-                    own[: STRIDE] += WINDOW  # nothing else has the first characters' left side
-                better = own > depth[j][s : s + n]
-                depth[j][s : s + n][better] = own[better]
-                e_of[j][s : s + n][better] = e[k, :n][better]
-        for (doc, start, _), e in zip(jobs, e_of, strict=True):
-            found[doc] += tag_spans(tagger.path(e), start)
-        jobs.clear()
+        for (doc, start, _), tags in zip(held, best_paths(tagger, [x for _, _, x in held]), strict=True):
+            found[doc] += tag_spans(tags, start)
+        held.clear()
 
-    waiting = 0
     for d, t in enumerate(texts):
+        if not NEEDED.search(t):
+            continue
         x = char_classes(t)
-        for s, e in stretches(x):
-            jobs.append((d, s, x[s:e]))
-            waiting += e - s
-        if waiting > block * STRIDE:
-            flush()
-            waiting = 0
-    if jobs:
+        for a, b in stretches(x):
+            if b - a > PIECE:
+                found[d] += tag_spans(long_path(tagger, x[a:b]), a)
+                continue
+            held.append((d, a, x[a:b]))
+            waiting += b - a
+            if waiting > PIECE:
+                flush()
+                waiting = 0
+    if held:
         flush()
+    for own in found:
+        own.sort(key=lambda s: s[1])
     return found
 
 
-def examples(texts: list[str], spans: list[list[tuple[int, int, int]]], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows and their tags, taken where the tagger will look; at most ``limit``."""
+def examples(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Training windows and their tags, taken where the tagger will look."""
     xs, ys = [], []
     for t, own in zip(texts, spans, strict=True):
         x = char_classes(t)
-        y = np.zeros(len(x), np.int64)
-        for kind, s, e in own:
-            y[s:e] = 2 + 2 * kind
-            y[s] = 1 + 2 * kind
+        y = tags_of(len(x), own)
         for a, b in stretches(x):
             for s in window_starts(b - a):
-                px, py = x[a + s : min(b, a + s + WINDOW)], y[a + s : min(b, a + s + WINDOW)]
-                xs.append(np.pad(px, (0, WINDOW - len(px))))
-                ys.append(np.pad(py, (0, WINDOW - len(py))))
-                if len(xs) >= limit:
-                    return np.array(xs, np.int64), np.array(ys, np.int64)
+                xs.append(padded(x, a + s, b))
+                ys.append(padded(y, a + s, b))
     return np.array(xs, np.int64).reshape(-1, WINDOW), np.array(ys, np.int64).reshape(-1, WINDOW)
 
 
-#: Documented bounds of the sample that the tagger is fitted on.
-TRAIN_DOCS, TRAIN_WINDOWS = 1500, 3000
+def tags_of(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    y = np.zeros(n, np.uint8)
+    for kind, s, e in spans:
+        y[s:e] = 2 + 2 * kind
+        y[s] = 1 + 2 * kind
+    return y
+
+
+def padded(v: np.ndarray, start: int, stop: int) -> np.ndarray:
+    part = v[start : min(stop, start + WINDOW)]
+    return np.pad(part, (0, WINDOW - len(part)))
+
+
+#: Documented bound of the sample that the tagger is fitted on.
+TRAIN_WINDOWS = 3000
 
 
-def labelled(spark: SparkSession, docs: DataFrame, limit: int = TRAIN_DOCS) -> list[str]:
-    """Pieces of texts for training: about ``limit`` documents by a hash of doc_id, over the whole table.
+def labelled(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
+    """About ``limit`` windows of the texts and their tags, labelled by the rules.
 
-    Spans are labelled by the rules. Of each text the 1,200 characters around its first digit or at sign
-    come to the driver, so what it gets is bounded by ``2 * limit`` such pieces.
+    Every window of every text that the tagger will read may be chosen: by a hash of its characters' classes
+    and its place, below a threshold that follows from the number of windows. Equal choices count once, and
+    the windows come in the order of their hash, so they don't depend on how the table is split.
     """
-    at = F.regexp_instr(F.col("text"), F.lit("[0-9@]"))
-    near = bounded_sample(docs, "doc_id", limit, 0.05).withColumn("at", at).filter("at > 0")
-    rows = near.select("doc_id", F.substring("text", F.greatest(F.lit(1), F.col("at") - 400), F.lit(1200)).alias("t")).limit(2 * limit).collect()
-    return [r.t for r in sorted(rows, key=lambda r: r.doc_id)]
+    ship(docs.sparkSession)
+    texts = docs.select(F.col("text").alias("text")).filter("text RLIKE '[0-9@]'")
+
+    def places(t: str) -> Iterator[tuple[np.ndarray, int, int]]:
+        x = char_classes(t)
+        for a, b in stretches(x):
+            for s in window_starts(b - a):
+                yield x, a + s, b
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for t in b.column("text"):
+                n += sum(len(window_starts(e - a)) for a, e in stretches(char_classes(t.as_py())))
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    total = texts.mapInArrow(counted, "n long").agg(F.sum("n").alias("n")).first().n or 0
+    least = int(min(1.0, limit / max(total, 1)) * (1 << 62))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, xs, ys = [], [], []
+            for t in batch.column("text"):
+                t, y = t.as_py(), None
+                for x, a, b in places(t):
+                    own = padded(x, a, b).astype(np.uint8).tobytes()
+                    h = int.from_bytes(hashlib.blake2b(own + a.to_bytes(8, "big"), digest_size=8).digest(), "big") >> 2
+                    if h < least:
+                        y = tags_of(len(x), base_spans(t)) if y is None else y
+                        hs.append(h)
+                        xs.append(own)
+                        ys.append(padded(y, a, b).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["h", "x", "y"])
+
+    rows = texts.mapInArrow(picked, "h long, x binary, y binary").groupBy("h").agg(F.min(F.struct("x", "y")).alias("w")).orderBy("h").limit(2 * limit).collect()
+    grid = lambda name: np.frombuffer(b"".join(bytes(r.w[name]) for r in rows), np.uint8).reshape(-1, WINDOW).astype(np.int64)
+    return grid("x"), grid("y")
 
 
 def synthetic(seed: int = 11, n: int = 1200) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
@@ -369,12 +522,11 @@ def card(body: str) -> str:
     return next(body + str(d) for d in range(10) if luhn(body + str(d)))
 
 
-def train(spark: SparkSession, docs: DataFrame) -> Tagger:
+def train(docs: DataFrame) -> Tagger:
     """Fits the tagger on the driver: a bounded sample labelled by the rules, and synthetic texts."""
-    real = labelled(spark, docs)
-    x, y = examples(real, [base_spans(t) for t in real], TRAIN_WINDOWS)
-    xs, ys = examples(*synthetic(), TRAIN_WINDOWS)
-    return Tagger().fit(np.concatenate([x, xs]), np.concatenate([y, ys]))
+    x, y = labelled(docs)
+    xs, ys = examples(*synthetic())
+    return Tagger().fit(np.concatenate([x, xs[:TRAIN_WINDOWS]]), np.concatenate([y, ys[:TRAIN_WINDOWS]]))
 
 
 def plausible(kind: int, value: str) -> bool:
@@ -390,8 +542,10 @@ def merged(text: str, tagged: list[tuple[int, int, int]]) -> list[tuple[int, int
     out = [(*x, True) for x in base]
     if tagged:
         taken = sorted((s, e) for _, s, e in base)
+        reach = [*accumulate((e for _, e in taken), max)]
         for k, s, e in tagged:
-            if plausible(k, text[s:e]) and not any(s < b and a < e for a, b in taken):
+            before = bisect_left(taken, (e,))  # the rules' spans that start before this one ends
+            if plausible(k, text[s:e]) and not (before and reach[before - 1] > s):
                 out.append((k, s, e, False))
     return sorted(out)
 
@@ -449,7 +603,7 @@ def mask(df: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = find(docs, train(spark, docs))
+    out = find(docs, train(docs))
     count = lambda kind: F.size(F.filter("pii", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *map(count, KINDS), F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -56,7 +57,7 @@ def test_gradient():
 
 @pytest.fixture(scope="module")
 def tagger():
-    return op.Tagger().fit(*op.examples(*op.synthetic(n=500), 1500), passes=6)
+    return op.Tagger().fit(*(a[:1500] for a in op.examples(*op.synthetic(n=500))), passes=6)
 
 
 def test_tagger_finds_held_out_spans(tagger):
@@ -66,12 +67,68 @@ def test_tagger_finds_held_out_spans(tagger):
     assert hit >= 0.85 * sum(map(len, spans)) and hit >= 0.85 * sum(map(len, got))
 
 
-def test_decoding_does_not_depend_on_blocks(tagger):
+def one_by_one(tagger, text):
+    """Every window by itself, scores by depth, and the best path character by character."""
+    x, out = op.char_classes(text), []
+    for a, b in op.stretches(x):
+        own = x[a:b]
+        e, depth = np.zeros((len(own), op.TAGS)), np.full(len(own), -1)
+        for s in op.window_starts(len(own)):
+            part = own[s : s + op.WINDOW]
+            got = tagger.scores(np.pad(part, (0, op.WINDOW - len(part)))[None])[0]
+            for i in range(len(part)):
+                d = min(i, len(part) - 1 - i) + (op.WINDOW if s == 0 and i < op.STRIDE else 0)
+                if d > depth[s + i]:
+                    depth[s + i], e[s + i] = d, got[i]
+        score, back = e[0] + tagger.p["s"], []
+        for t in range(1, len(own)):
+            z = score[:, None] + tagger.p["t"]
+            back.append(z.argmax(0))
+            score = z.max(0) + e[t]
+        tags = [int(score.argmax())]
+        for q in reversed(back):
+            tags.append(int(q[tags[-1]]))
+        tags, kind = tags[::-1], -1
+        for i, t in enumerate([*tags, 0]):
+            if kind >= 0 and t != 2 + 2 * kind:
+                out.append((kind, a + begun, a + i))
+                kind = -1
+            if t % 2:
+                kind, begun = (t - 1) // 2, i
+    return out
+
+
+def test_decoding_is_exact_and_does_not_depend_on_pieces(tagger, monkeypatch):
     texts, _ = op.synthetic(seed=5, n=20)
-    long = " ".join(texts)
-    assert op.decode(tagger, [long, *texts], block=7)[1:] == op.decode(tagger, texts)
-    spans = op.decode(tagger, [long])[0]
-    assert spans == sorted(spans, key=lambda s: s[1]) and len(spans) > 30
+    texts += [" ".join(texts), "12 " * 300, "", "9" * 64, "1" * 65, "a@b.c"]
+    want = [one_by_one(tagger, t) for t in texts]
+    assert op.decode(tagger, texts) == want and len(want[20]) > 30
+    monkeypatch.setattr(op, "PIECE", 128)
+    assert op.decode(tagger, texts) == want
+
+
+def test_long_runs_of_digits(tagger):
+    start = time.time()
+    text = "4 5 6 +1 7-" * 30_000
+    assert op.decode(tagger, [text]) == op.decode(tagger, [text])
+    assert time.time() - start < 60
+    many = "".join(f"+1 555 123 {i:04d} x 10.0.0.{i % 256} " for i in range(8000))
+    assert sum(x[3] for x in op.merged(many, [(3, 5, 9), (1, 8_000_000, 8_000_007)])) == 16_000
+
+
+def test_leading_zeros():
+    assert op.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+    assert [k for k, _, _ in op.base_spans("0" * 5000 + "256.1.1.1")] == []
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    rows = [(None if i % 3 else i, f"call +1 (555) 123-{i:04d} or write a{i}@b.example.com about {i}") for i in range(300)] + [(1, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    x, y = op.labelled(df.repartition(1), 100)
+    x2, y2 = op.labelled(df.repartition(7), 100)
+    assert (x == x2).all() and (y == y2).all() and 50 < len(x) < 150 and (y > 0).any()
+    assert op.labelled(df.limit(0))[0].shape == (0, op.WINDOW)
+    assert op.find(df, op.train(df)).count() == 302
 
 
 def test_base_stays_and_kinds_are_added(tagger):
