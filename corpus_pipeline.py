@@ -38,7 +38,7 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; ``n_chars`` follows."""
-    out = op9_pii.mask(docs, op9_pii.train(spark, docs))
+    out = op9_pii.mask(docs, op9_pii.train(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
