@@ -6,8 +6,8 @@ expression over the statistics' columns.
 
 Defined results: null and empty texts have all-zero statistics and a score like any other; long texts
 are read whole; repeated rows get equal scores; an empty table gives an empty table; with no labelled
-row, or one class only, the score is the constant share of label 1 (0.5 without labels); columns that
-clash with a statistic's or the score's name are replaced.
+row, or one class only, the score is the constant share of label 1 (0.5 without labels); a column
+that clashes with the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import Hasher, bounded_sample, extend, text_of, word_bounds
+from grainmill.llm.common import Hasher, extend, labelled_ids, text_of, word_bounds
 from grainmill.tables import table
 
 STATS = (
@@ -188,15 +188,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 
     The labelled ids are bounded by ``limit`` and broadcast, so no text is shuffled.
     """
-    known = labels.filter(~held_out() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
-    ids = bounded_sample(known, "doc_id", limit)
+    ids = labelled_ids(labels.filter(~held_out()), label, limit).withColumn("y", F.col("y").cast("double"))
     rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")).drop("text").toPandas().sort_values(["doc_id", *STATS])
     return fit(rows[[*STATS]].to_numpy(np.float64).reshape(-1, len(STATS)), rows["y"].to_numpy(np.float64))
 
 
 def score(df: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """``df`` with ``score``; the statistics' columns are dropped."""
-    return with_stats(df, text_col).withColumn("score", model.column()).drop(*STATS)
+    """``df`` with ``score``; a column of that name is replaced, others stay, those named like a statistic too."""
+    kept = [c for c in df.columns if c.lower() != "score"]
+    own = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)])
+    scored = with_stats(df.select(own.alias("_kept"), F.col(text_col).alias("_text")), "_text").select("_kept", model.column().alias("score"))
+    return scored.select(*[F.col(f"_kept.k{i}").alias(c) for i, c in enumerate(kept)], "score")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

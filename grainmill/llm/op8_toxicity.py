@@ -1,8 +1,12 @@
 """Toxicity by a classifier chain over word and word-prefix features.
 
-Categories are predicted in order. Each is a logistic model over the features and the probabilities of
-the categories before it; in training those probabilities are out-of-fold predictions, so a later model
-sees earlier ones as they will be on new documents.
+Categories are predicted in order, ``toxic`` last, and it alone is the verdict. Each is a logistic model over
+the features and the log-odds of the categories before it; in training those come from out-of-fold
+predictions, so a later model sees earlier ones as they will be on new documents. A fold's model selects its
+features and is fitted without the fold's rows, and folds go by the text, so copies are never on both sides.
+
+The earlier categories are weak: their labels are found in the text alone, by a few words of each
+(``CATEGORIES``). The words are labels of the training sample only; a model decides by all features.
 
 A feature is a hashed lower-case word or the first 4 to 9 bytes of one; its value grows with the
 feature's rate among the document's words. Features are kept if their document rates differ most
@@ -24,13 +28,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import Hasher, bounded_sample, extend, mix, text_of, word_bounds
+from grainmill.llm.common import Hasher, cut, drop_cut, extend, labelled_ids, mix, text_of, word_bounds
+from grainmill.shipping import ship
 from grainmill.tables import table
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
-#: Documented bounds of the labelled sample, and of the features kept.
-TRAIN_ROWS, FEATURES = 12_000, 3000
-FOLDS, THRESHOLD = 4, 0.4
+#: Documented bounds of the labelled sample, and of the features kept for a category.
+TRAIN_ROWS, FEATURES = 12_000, 1200
+FOLDS, THRESHOLD = 3, 0.4
+
+#: Words that mark a text as a weak example of a category.
+CATEGORIES = {
+    "insult": ("idiot", "moron", "stupid", "loser", "clown", "dumb", "fool", "imbecile"),
+    "contempt": ("trash", "scum", "worthless", "disgusting", "pathetic", "garbage", "vermin", "filth"),
+}
+NAMES = (*CATEGORIES, "toxic")
 
 _APART = np.ones(256, bool)
 _APART[128:] = False
@@ -59,7 +71,7 @@ def value(counts: np.ndarray, words: np.ndarray | int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Chain:
-    """Sorted feature hashes; for each category the feature weights, the weights of earlier categories' logits, and a bias."""
+    """Sorted feature hashes; for each category the feature weights, the weights of earlier categories' log-odds, and a bias."""
 
     names: tuple[str, ...]
     features: np.ndarray
@@ -84,7 +96,7 @@ class Chain:
 def _link(z: np.ndarray, weights) -> np.ndarray:
     p = np.zeros_like(z)
     for k, (_, earlier, bias) in enumerate(weights):
-        p[:, k] = _sigmoid(z[:, k] + bias + (p[:, :k] @ earlier if k else 0))
+        p[:, k] = _sigmoid(z[:, k] + bias + (_odds(p[:, :k]) @ earlier if k else 0))
     return p
 
 
@@ -110,119 +122,199 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, dense: np.ndarr
     return w[:n_cols], w[n_cols:-1], float(w[-1])
 
 
-def select(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
-    """The features whose document rates differ most between the classes, in standard errors, on either side."""
-    f, inverse = np.unique(ids, return_inverse=True)
-    n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-    a = np.bincount(inverse, y[rows], len(f))
-    b = np.bincount(inverse, 1 - y[rows], len(f))
-    p = (a + b + 1) / (len(y) + 2)
-    score = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    score[a + b < 4] = 0
-    order = np.lexsort((f, -score))[:limit]
-    return np.sort(f[order[score[order] > 2.5]])
+def lexicon() -> list[np.ndarray]:
+    """Each weak category's words as feature hashes."""
+    return [np.array([_word(w) for w in words], np.int64) for words in CATEGORIES.values()]
+
+
+def _word(w: str) -> int:
+    data = np.frombuffer(w.encode(), np.uint8)
+    return int(Hasher(data)(np.array([0]), np.array([len(data)])).view(np.int64)[0])
+
+
+def weak_labels(features: np.ndarray, words: list[np.ndarray]) -> list[int]:
+    """For each weak category, whether one of its words is among a text's features."""
+    return [int(np.isin(w, features).any()) for w in words]
+
+
+def fold_of(features: np.ndarray) -> int:
+    """A document's fold; it follows from what the text holds, so copies share one."""
+    return int(mix(np.array([np.bitwise_xor.reduce(features.view(np.uint64), initial=np.uint64(0))], np.uint64))[0] % np.uint64(FOLDS))
+
+
+def leanings(with_: np.ndarray, without: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """How far document rates differ between the classes, in standard errors; 0 for features of fewer than 4 documents."""
+    p = (with_ + without + 1) / (n1 + n0 + 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = (with_ / max(n1, 1) - without / max(n0, 1)) / np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)))
+    return np.where(with_ + without < 4, 0.0, z)
+
+
+def strongest(features: np.ndarray, z: np.ndarray, limit: int, least: float = 2.5) -> np.ndarray:
+    """Sorted hashes of the features that lean most to either class."""
+    order = np.lexsort((features, -np.abs(z)))[:limit]
+    return np.sort(features[order[np.abs(z[order]) > least]])
+
+
+@dataclass(frozen=True)
+class Selection:
+    """Features chosen on all rows, and for each fold those chosen without it; each for all categories together."""
 
+    every: np.ndarray
+    without: tuple[np.ndarray, ...]
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, names: tuple[str, ...], limit: int = FEATURES, features: np.ndarray | None = None) -> Chain:
-    """Fits the chain; ``docs`` has (feature hashes, counts, words), ``labels`` one column for each category.
+    def union(self) -> np.ndarray:
+        return np.unique(np.concatenate([self.every, *self.without]))
 
-    ``features`` are the sorted hashes to use; without them they are selected for each category.
+
+def selected_from(features: np.ndarray, docs: np.ndarray, marked: np.ndarray, n: np.ndarray, n1: np.ndarray, limit: int = FEATURES) -> Selection:
+    """Chooses from counts: ``docs`` (features, folds) documents, ``marked`` (features, categories, folds) of them marked.
+
+    ``n`` (folds) and ``n1`` (categories, folds) count the sample's documents and its marked ones.
     """
-    if not len(docs):
-        return Chain(names, np.zeros(0, np.int64), tuple((np.zeros(0), np.zeros(k), -40.0) for k in range(len(names))))
+
+    def choose(use: np.ndarray) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for k in range(n1.shape[0]):
+            total, own = n[use].sum(), n1[k, use].sum()
+            if 0 < own < total:
+                a = marked[:, k][:, use].sum(1)
+                out.append(strongest(features, leanings(a, docs[:, use].sum(1) - a, own, total - own), limit))
+        return np.unique(np.concatenate(out))
+
+    folds = np.arange(len(n))
+    return Selection(choose(folds >= 0), tuple(choose(folds != f) for f in folds))
+
+
+def _triples(docs: list, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place among the features, value) of the documents' features that are among ``features``."""
     rows = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
-    ids = np.concatenate([d[0] for d in docs])
-    x = np.concatenate([value(d[1], d[2]) for d in docs]) if len(rows) else np.zeros(0)
-    if features is None:
-        features = np.unique(np.concatenate([select(rows, ids, labels[:, k], limit // len(names)) for k in range(len(names))])) if len(rows) else np.zeros(0, np.int64)
+    ids = np.concatenate([np.zeros(0, np.int64), *[d[0] for d in docs]])
+    x = np.concatenate([np.zeros(0), *[value(d[1], d[2]) for d in docs]])
     at = np.minimum(np.searchsorted(features, ids), max(len(features) - 1, 0))
     own = features[at] == ids if len(features) else np.zeros(len(ids), bool)
-    rows, at, x = rows[own], at[own], x[own]
-    fold = np.arange(len(docs)) % FOLDS
+    return rows[own], at[own], x[own]
+
+
+def _odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, fold: np.ndarray, names: tuple[str, ...], chosen: Selection) -> Chain:
+    """Fits the chain; ``docs`` has (feature hashes, counts, words), ``labels`` one column for each category."""
+    if not len(docs):
+        return Chain(names, np.zeros(0, np.int64), tuple((np.zeros(0), np.zeros(k), -40.0) for k in range(len(names))))
+    rows, at, x = _triples(docs, chosen.every)
+    parts = [_triples(docs, own) for own in chosen.without]
     earlier, weights = np.zeros((len(docs), 0)), []
     for k in range(len(names)):
         y = labels[:, k].astype(float)
-        weights.append(_logistic(rows, at, x, earlier, y, len(features)))
+        weights.append(_logistic(rows, at, x, earlier, y, len(chosen.every)))
         if k + 1 < len(names):
             out = np.zeros(len(docs))
-            for f in range(FOLDS):
-                fit_rows = fold[rows] != f
-                index = np.cumsum(fold != f) - 1
-                w, e, b = _logistic(index[rows[fit_rows]], at[fit_rows], x[fit_rows], earlier[fold != f], y[fold != f], len(features), steps=120)
-                z = np.bincount(rows, w[at] * x, len(docs)) + earlier @ e + b
-                out[fold == f] = _sigmoid(z)[fold == f]
-            earlier = np.concatenate([earlier, out[:, None]], axis=1)
-    return Chain(names, features, tuple(weights))
+            for f, (r, c, v) in enumerate(parts):
+                if (fold == f).any():
+                    fitted = fold[r] != f
+                    index = np.cumsum(fold != f) - 1
+                    w, e, b = _logistic(index[r[fitted]], c[fitted], v[fitted], earlier[fold != f], y[fold != f], len(chosen.without[f]), steps=120)
+                    z = np.bincount(r, w[c] * v, len(docs)) + earlier @ e + b
+                    out[fold == f] = _sigmoid(z)[fold == f]
+            earlier = np.concatenate([earlier, _odds(out)[:, None]], axis=1)
+    return Chain(names, chosen.every, tuple(weights))
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
-    """Fits ``toxic`` from its labels and ``severe`` from a weak label.
+    """Fits the weak categories and ``toxic`` on a sample of labelled documents.
 
-    ``labels`` marks one category only. The second, a toxic document whose rate of features typical of
-    toxic ones is at least the toxic documents' median, is derived from the first; the chain is there for
-    any number of label columns. About ``limit`` labelled rows, chosen by a hash over the whole table, are
-    broadcast by id and joined, so no text is shuffled; their feature counts reach the driver.
+    About ``limit`` labelled ids, chosen by a hash over the whole table, are broadcast and joined, so no text
+    is shuffled; counts of the features that may be used reach the driver.
     """
-    ids = bounded_sample(labels.filter(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y")), "doc_id", limit)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    features, lean = selected(sample)
-    known = docs.sparkSession.sparkContext.broadcast(features)
+    sample = docs.select("doc_id", "text").join(F.broadcast(labelled_ids(labels, "toxic", limit)), "doc_id")
+    chosen = selected(sample)
+    known = docs.sparkSession.sparkContext.broadcast(chosen.union())
 
     def kernel():
-        own = known.value
+        own, words = known.value, lexicon()
 
         def run(texts: pa.Array) -> list:
-            got = []
+            got, order, fold, weak = [], [], [], []
             for t in text_of(texts):
                 f, c, n = feature_counts(t)
                 kept = np.isin(f, own)
                 got.append((f[kept], c[kept].astype(np.int32), n))
-            order = [int(np.bitwise_xor.reduce(g[0], initial=0)) for g in got]
-            return [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int64()), pa.array(order, pa.int64())]
+                order.append(int(np.bitwise_xor.reduce(f, initial=0)))
+                fold.append(fold_of(f))
+                weak.append(weak_labels(f, words))
+            return [
+                pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int64()),
+                pa.array(order, pa.int64()), pa.array(fold, pa.int32()), pa.array(weak, pa.list_(pa.int32())),
+            ]
 
         return run
 
-    t = extend(sample, ["text"], "f array<long>, c array<int>, n long, k long", kernel).drop("text").toArrow()
-    t = t.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("k", "ascending")]).combine_chunks()
+    t = extend(sample, ["text"], "f array<long>, c array<int>, n long, k long, fold int, weak array<int>", kernel).drop("text").toArrow()
+    t = t.sort_by([("k", "ascending"), ("n", "ascending"), ("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     ends = np.cumsum([0, *pc.list_value_length(t["f"]).to_pylist()]).tolist()
     f, c = (pc.list_flatten(t[x]).to_numpy() for x in ("f", "c"))
     own = [(f[a:b], c[a:b], n) for a, b, n in zip(ends[:-1], ends[1:], t["n"].to_pylist(), strict=True)]
-    y = t["y"].to_numpy().astype(np.int64)
-    return fit(own, np.stack([y, _severe(own, y, features[lean > 0])], 1), ("toxic", "severe"), features=features)
+    weak = pc.list_flatten(t["weak"]).to_numpy().reshape(len(own), len(CATEGORIES))
+    y = np.concatenate([weak, t["y"].to_numpy().astype(np.int64)[:, None]], axis=1)
+    return fit(own, y, t["fold"].to_numpy(), NAMES, chosen)
 
 
-def selected(sample: DataFrame, limit: int = FEATURES, least: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the features whose document rates differ most between the labels, and the signed differences.
+def selected(sample: DataFrame, limit: int = FEATURES) -> Selection:
+    """The features to use, chosen from counts over the sample (text, y).
 
-    Tasks count the features of their documents by label and Spark adds the counts up, so the driver gets
-    at most ``limit`` rows. The score is that of ``select``.
+    Tasks count the documents of each feature by fold and category and Spark adds the counts up. Of the sums
+    only those that lean far enough, on all rows or without one fold, reach the driver.
     """
+    ship(sample.sparkSession)
+    K, width = len(NAMES), FOLDS * (len(NAMES) + 1)
+    names = [f"c{i}" for i in range(width)]  # documents by fold, then marked ones by category and fold
 
     def run(batches):
+        words = lexicon()
         for b in batches:
-            y = b.column("y").to_numpy(zero_copy_only=False)
-            got = [feature_counts(t)[0] for t in text_of(b.column("text"))]
-            f, inverse = np.unique(np.concatenate([*got, np.zeros(0, np.int64)]), return_inverse=True)
-            w = np.repeat(y, [len(g) for g in got])
-            ones = np.bincount(inverse, w, len(f)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(ones), pa.array(np.bincount(inverse, minlength=len(f)) - ones)], names=["f", "a", "b"])
-
-    totals = sample.agg(F.count("*").alias("n"), F.sum("y").alias("n1")).first()
-    n, n1 = totals.n, totals.n1 or 0
-    if not 0 < n1 < n:
-        return np.zeros(0, np.int64), np.zeros(0)
-    sums = sample.select("text", "y").mapInArrow(run, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a + b >= 4")
-    p = (F.col("a") + F.col("b") + 1) / (n + 2)
-    lean = (F.col("a") / n1 - F.col("b") / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
-    top = sums.select("f", lean.alias("lean")).filter(F.abs("lean") > least).orderBy(F.desc(F.abs("lean")), "f").limit(limit).toPandas().sort_values("f")
-    return top["f"].to_numpy(np.int64), top["lean"].to_numpy(np.float64)
-
-
-def _severe(docs: list, y: np.ndarray, typical: np.ndarray) -> np.ndarray:
-    if not y.sum() or y.all():
-        return np.zeros_like(y)
-    rate = np.array([c[np.isin(f, typical)].sum() / max(n, 1) for f, c, n in docs])
-    return (y * (rate >= np.median(rate[y == 1]))).astype(np.int64)
+            own, marks, size = [np.zeros(0, np.int64)], [np.zeros(width)], []
+            for t, y in zip(text_of(b.column("text")), b.column("y").to_pylist(), strict=True):
+                f = feature_counts(t)[0]
+                m = np.zeros((K + 1, FOLDS), np.int64)
+                m[:, fold_of(f)] = [1, *weak_labels(f, words), y]
+                own.append(np.append(f, 0))  # 0 stands for the document itself
+                marks.append(m.ravel())
+                size.append(len(f) + 1)
+            f, inverse = np.unique(np.concatenate(own), return_inverse=True)
+            m = np.array(marks[1:]).reshape(len(size), width)
+            cols = [np.bincount(inverse, np.repeat(m[:, i], size), len(f)).astype(np.int64) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([pa.array(f), *map(pa.array, cols)], names=["f", *names])
+
+    sums = sample.select("text", "y").mapInArrow(run, "f long, " + ", ".join(f"{n} long" for n in names)).groupBy("f").agg(*[F.sum(n).alias(n) for n in names])
+    sums = cut(sums)
+    whole = sums.filter("f = 0").select(*names).first()
+    totals = np.array(whole if whole else [0] * width, np.int64).reshape(K + 1, FOLDS)
+    n, n1 = totals[0], totals[1:]
+    pick = lambda k, use: sum((F.col(names[k * FOLDS + f]) for f in use), F.lit(0))
+    leans = []
+    for use in [range(FOLDS), *[[g for g in range(FOLDS) if g != f] for f in range(FOLDS)]]:
+        every, own = pick(0, use), int(n[list(use)].sum())
+        for k in range(K):
+            a, m = pick(k + 1, use), int(n1[k, list(use)].sum())
+            if 0 < m < own:
+                p = (every + 1) / (own + 2)
+                z = (a / m - (every - a) / (own - m)) / F.sqrt(p * (1 - p) * (1 / m + 1 / (own - m)))
+                leans.append(F.when(every >= 4, F.abs(z)).otherwise(F.lit(0.0)))
+    if not leans:
+        return Selection(np.zeros(0, np.int64), tuple(np.zeros(0, np.int64) for _ in range(FOLDS)))
+    found = sums.filter("f <> 0")
+    top = None
+    for z in leans:  # at most ``limit`` rows for each
+        best = found.withColumn("z", z).filter("z > 2.5").orderBy(F.desc("z"), "f").limit(limit).select("f")
+        top = best if top is None else top.unionByName(best)
+    t = found.join(F.broadcast(top.distinct()), "f").toArrow().sort_by("f")
+    drop_cut(sums)
+    counts = np.stack([t[x].to_numpy() for x in names], axis=1).reshape(-1, K + 1, FOLDS)
+    return selected_from(t["f"].to_numpy(), counts[:, 0], counts[:, 1:], n, n1, limit)
 
 
 def score(df: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
@@ -244,7 +336,7 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, chain).select("doc_id", "p_toxic", "p_severe", (F.col("p_toxic") >= THRESHOLD).cast("int").alias("toxic"))
+    return score(docs, chain).select("doc_id", *[f"p_{n}" for n in NAMES], (F.col("p_toxic") >= THRESHOLD).cast("int").alias("toxic"))
 
 
 QUERIES = {"op8_toxicity": op8_toxicity}

@@ -1,5 +1,9 @@
 """op7 and op8: held-out accuracy, compiled rules against numpy, and odd inputs."""
 
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 
@@ -43,14 +47,121 @@ def test_toxicity_held_out(spark):
     assert len(t.op8_toxicity(spark, SF).collect()) == 1000
 
 
-def test_later_categories_see_earlier_ones():
+def plain_stats(text):
+    """The statistics of op7, by plain Python."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(q.STATS)
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / len(raw)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, lines = len(words), raw.split(b"\n")
+    top = max((words.count(w) for w in set(words)), default=0)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / (n - 1) if n > 1 else 0.0
+    return [
+        math.log1p(n), sum(map(len, words)) / n if n else 0.0, len(set(words)) / math.sqrt(n) if n else 0.0, again,
+        share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#$%&*@^~<>{}[]\\_="), share(b".,;:?'\"()-"), share(b"!"), share(b"|"), share(b"\n"),
+        len(set(lines)) / len(lines), top / n if n else 0.0, sum(c >= 128 for c in raw) / len(raw),
+    ]
+
+
+def test_quality_query_by_brute_force(spark, monkeypatch):
+    models = []
+    fitted = q.fit
+    monkeypatch.setattr(q, "fit", lambda x, y: models.append((fitted(x, y), len(y))) or models[-1][0])
+    got = {r.doc_id: r for r in q.op7_quality(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = [r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    model, n = models[0]
+    assert n == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in labels)
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        z = model.bias
+        x = plain_stats(t)
+        for rule, w in model.rules:
+            z += w * all((x[s] > c) == above for s, above, c in rule)
+        p = 1 / (1 + math.exp(-z))
+        assert abs(p - got[i].score) < 1e-6
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == int(got[i].score >= 0.3)
+
+
+def toy(n=240):
     r = np.random.default_rng(1)
-    docs = [t.feature_counts(" ".join(["bad"] * (i % 2) + [f"w{k}" for k in r.integers(0, 30, 20)])) for i in range(200)]
-    y = np.array([i % 2 for i in range(200)])
-    chain = t.fit(docs, np.stack([y, y], 1), ("a", "b"))
-    assert chain.weights[1][1].shape == (1,) and chain.weights[1][1][0] > 0.1
-    p = chain.texts(["bad w1 w2 w3", "w1 w2 w3 w4", ""])
-    assert p[0, 0] > 0.5 > p[1, 0]
+    texts = [" ".join([["idiot", "trash", "calm", "calm"][i % 4]] + [f"w{k}" for k in r.integers(0, 30, 20)]) for i in range(n)]
+    return texts, np.array([int(i % 4 < 2) for i in range(n)])
+
+
+def counts_by_hand(texts, y):
+    """Documents of each feature by fold, and marked ones by category and fold, one document at a time."""
+    docs, marked, n, n1 = {}, {}, np.zeros(t.FOLDS, int), np.zeros((len(t.NAMES), t.FOLDS), int)
+    for text, label in zip(texts, y, strict=True):
+        f = t.feature_counts(text)[0]
+        own = t.fold_of(f)
+        marks = [*[int(any(w in text.split() for w in words)) for words in t.CATEGORIES.values()], label]
+        n[own] += 1
+        n1[:, own] += marks
+        for h in f.tolist():
+            docs.setdefault(h, np.zeros(t.FOLDS, int))[own] += 1
+            marked.setdefault(h, np.zeros((len(t.NAMES), t.FOLDS), int))[:, own] += marks
+    names = np.array(sorted(docs))
+    return names, np.stack([docs[h] for h in names]), np.stack([marked[h] for h in names]), n, n1
+
+
+def test_selection_from_spark_counts(spark):
+    texts, y = toy()
+    df = spark.createDataFrame([(x, int(v)) for x, v in zip(texts, y, strict=True)], "text string, y int").repartition(3)
+    got, want = t.selected(df, 12), t.selected_from(*counts_by_hand(texts, y), 12)
+    assert (got.every == want.every).all() and all((a == b).all() for a, b in zip(got.without, want.without, strict=True))
+    assert len(got.every) and t._word("idiot") in got.every
+
+
+def test_folds_keep_copies_together():
+    texts, _ = toy(40)
+    assert len({t.fold_of(t.feature_counts(x)[0]) for x in texts}) == t.FOLDS
+    assert t.fold_of(t.feature_counts("a b c a")[0]) == t.fold_of(t.feature_counts("a b c a")[0])
+
+
+def test_the_verdict_goes_through_the_chain():
+    texts, y = toy()
+    docs = [t.feature_counts(x) for x in texts]
+    weak = np.array([t.weak_labels(d[0], t.lexicon()) for d in docs])
+    labels = np.concatenate([weak, y[:, None]], axis=1)
+    fold = np.array([t.fold_of(d[0]) for d in docs])
+    chain = t.fit(docs, labels, fold, t.NAMES, t.selected_from(*counts_by_hand(texts, y)))
+    p = chain.texts(texts)
+    assert ((p[:, -1] >= t.THRESHOLD) == y).mean() > 0.95
+    w, earlier, bias = chain.weights[-1]
+    assert (earlier > 0.1).all()
+    cut = t.Chain(chain.names, chain.features, (*chain.weights[:-1], (w, np.zeros_like(earlier), bias)))
+    assert ((cut.texts(texts)[:, -1] >= t.THRESHOLD) != (p[:, -1] >= t.THRESHOLD)).any()
+    # the chain's arithmetic, one text at a time
+    for x, own in zip(texts[:20], p, strict=False):
+        f, c, n = t.feature_counts(x)
+        done = []
+        for weights, before, b in chain.weights:
+            z = b + sum(weights[np.searchsorted(chain.features, h)] * math.log1p(100 * k / n) for h, k in zip(f, c, strict=True) if h in chain.features)
+            z += sum(v * math.log(min(max(q_, 1e-4), 1 - 1e-4) / (1 - min(max(q_, 1e-4), 1 - 1e-4))) for v, q_ in zip(before, done, strict=True))
+            done.append(1 / (1 + math.exp(-z)))
+        assert np.allclose(done, own)
+
+
+def test_toxicity_query_goes_through_the_chain(spark, monkeypatch):
+    chains = []
+    trained = t.train
+    monkeypatch.setattr(t, "train", lambda *a: chains.append(trained(*a)) or chains[-1])
+    rows = {r.doc_id: r for r in t.op8_toxicity(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    p = chains[0].texts([texts[i] or "" for i in rows])
+    assert np.allclose(p, [[r.p_insult, r.p_contempt, r.p_toxic] for r in rows.values()])
+    assert [r.toxic for r in rows.values()] == [int(v >= t.THRESHOLD) for v in p[:, -1]]
+    w, earlier, bias = chains[0].weights[-1]
+    without = t.Chain(t.NAMES, chains[0].features, (*chains[0].weights[:-1], (w, np.zeros_like(earlier), bias)))
+    assert ((without.texts([texts[i] or "" for i in rows])[:, -1] >= t.THRESHOLD) != (p[:, -1] >= t.THRESHOLD)).any()
+
+
+def test_columns_named_like_statistics_stay(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 7)], "doc_id long, text string, s_words int, `odd.name` int")
+    r = q.score(df, q.RuleModel(0.0, ())).first()
+    assert r.asDict() == {"doc_id": 1, "text": "a b", "s_words": 5, "odd.name": 7, "score": 0.5}
 
 
 @pytest.mark.parametrize("kind", ["empty", "one class"])
