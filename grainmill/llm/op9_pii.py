@@ -112,10 +112,6 @@ for _i in range(10):
 assert 5 + len(_MARKS) + 10 <= CLASSES
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Tagger:
     """Embedding, LSTMs both ways, tag scores, CRF transitions; float32 throughout."""
 
@@ -141,12 +137,16 @@ class Tagger:
         h, c = np.zeros((n, w), np.float32), np.zeros((n, w), np.float32)
         out = np.empty((steps, n, w), np.float32)
         trace = []
-        wx, wh, b = self.p["x" + way], self.p["h" + way], self.p["c" + way]
+        b = self.p["c" + way]
+        wx, wh, at = self.p["x" + way] + b, self.p["h" + way], np.ascontiguousarray(x.T, np.intp)
+        half = np.repeat(np.array([0.5, 1], b.dtype), [3 * w, w])
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            a = wx[x[:, t]] + h @ wh + b
-            g = np.empty_like(a)
-            g[:, : 3 * w] = _sigmoid(a[:, : 3 * w])
-            g[:, 3 * w :] = np.tanh(a[:, 3 * w :])
+            g = wx.take(at[t], axis=0)
+            g += h @ wh
+            g *= half  # a sigmoid is a tangent of half the argument, halved and raised
+            np.tanh(g, out=g)
+            g *= half
+            g += 1 - half
             i, f, o, u = (g[:, k * w : (k + 1) * w] for k in range(4))
             c2 = f * c + i * u
             tc = np.tanh(c2)
@@ -254,7 +254,7 @@ def tag_spans(tags: np.ndarray, start: int = 0) -> list[tuple[int, int, int]]:
 
 
 #: Characters of a segment of the best path; characters and windows computed together.
-SEGMENT, PIECE, BLOCK = 64, 1 << 16, 4096
+SEGMENT, PIECE, BLOCK = 64, 1 << 16, 512
 
 
 @dataclass
@@ -272,7 +272,7 @@ class Segments:
     A stretch's first segment has one lane, as nothing precedes it; others have a lane for each entering tag.
     """
 
-    def __init__(self, tagger: Tagger, pieces: list[Piece]):
+    def __init__(self, tagger: Tagger, pieces: list[Piece], traced: bool = True):
         self.counts = [-(-(p.b - p.a) // SEGMENT) for p in pieces]
         total = sum(self.counts)
         e = np.zeros((total, SEGMENT, TAGS), np.float32)
@@ -286,18 +286,26 @@ class Segments:
         self.lane = np.concatenate(([0], np.cumsum(lanes)))  # the first lane of each segment
         self.first = first
         of = np.repeat(np.arange(total), lanes)
-        trans = tagger.p["t"].astype(np.float64)
+        trans = tagger.p["t"]
         score = np.where(first[of][:, None], tagger.p["s"], trans[np.arange(len(of)) - self.lane[of]]) + e[of, 0]
-        self.back = np.zeros((SEGMENT, len(of), TAGS), np.uint8)
+        score, e, sizes = np.ascontiguousarray(score.T), np.ascontiguousarray(e.transpose(1, 2, 0)), sizes[of]
+        self.back = np.zeros((SEGMENT, TAGS, len(of)), np.uint8) if traced else None
+        short = sizes.min() if len(sizes) else SEGMENT
         for t in range(1, SEGMENT):
-            z = score[:, :, None] + trans
-            self.back[t] = z.argmax(1)
-            step = z.max(1) + e[of, t]
-            over = sizes[of] <= t
-            self.back[t, over] = np.arange(TAGS)
-            score = np.where(over[:, None], score, step)
-        self.score = score
-        self.sizes = sizes
+            step = score[0] + trans[0][:, None]
+            for j in range(1, TAGS):
+                z = score[j] + trans[j][:, None]
+                if traced:
+                    self.back[t][z > step] = j
+                np.maximum(step, z, out=step)
+            step += e[t][:, of]
+            if t >= short:
+                over = sizes <= t
+                step[:, over] = score[:, over]
+                if traced:
+                    self.back[t][:, over] = np.arange(TAGS)[:, None]
+            score = step
+        self.score = score.T.astype(np.float64)
 
     def ways(self) -> list[list[np.ndarray]]:
         """For each piece its segments' scores: (entering tags or 1, tags)."""
@@ -315,7 +323,7 @@ class Segments:
         for t in range(SEGMENT - 1, -1, -1):
             out[:, t] = now
             if t:
-                now = self.back[t, lane, now]
+                now = self.back[t, now, lane]
         return out
 
 
@@ -369,7 +377,7 @@ def best_paths(tagger: Tagger, stretches: list[np.ndarray]) -> list[np.ndarray]:
 def long_path(tagger: Tagger, x: np.ndarray) -> np.ndarray:
     """The best tags of one stretch of any length: its pieces are computed twice, and not kept."""
     pieces = [Piece(x, a, min(len(x), a + PIECE)) for a in range(0, len(x), PIECE)]
-    ends = ends_of([w for p in pieces for w in Segments(tagger, [p]).ways()[0]])
+    ends = ends_of([w for p in pieces for w in Segments(tagger, [p], traced=False).ways()[0]])
     entering, out, at = np.concatenate(([0], ends[:-1])), np.empty(len(x), np.uint8), 0
     for p in pieces:
         s = Segments(tagger, [p])
