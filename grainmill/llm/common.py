@@ -78,10 +78,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder and cuts its lineage."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _scopes and (file := checkpoint_file(out)):
+        _scopes[-1].append(file)
+    return out
+
+
+def checkpoint_file(df: DataFrame) -> str | None:
+    """Where the rows of a table that ``cut`` gave are."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is cut inside at the end, when its results have been written."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for file in _scopes.pop():
+            delete(spark, file)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -92,9 +115,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a table that ``cut`` gave; neither it nor what is built on it can be read any more."""
-    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if file.isDefined():
-        delete(df.sparkSession, file.get())
+    if file := checkpoint_file(df):
+        delete(df.sparkSession, file)
 
 
 @contextmanager

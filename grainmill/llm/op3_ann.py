@@ -6,7 +6,7 @@ that name it, all pairs among them with a new member are scored, and each node k
 are Spark joins by node; only nodes' names and one-byte components move.
 
 A query, itself a node, walks the graph from its own neighbours (``walk`` takes other starts too): its best
-nodes not yet expanded are expanded until none is left among its best. The nodes it ends
+nodes not yet expanded are expanded until none is left among its best, or ``steps`` times. The nodes it ends
 with are scored exactly on the original vectors, and nodes are expanded to the ids that share the vector.
 
 Every vector is indexed; nothing is fitted on a sample. Defined results: vectors that are null, empty, zero
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import cut
+from grainmill.llm.common import cut, drop_cut
 from grainmill.llm.vectors import matrix, usable
 from grainmill.shipping import ship
 from grainmill.tables import table
@@ -33,13 +33,15 @@ from grainmill.tables import table
 
 @dataclass(frozen=True)
 class Params:
-    """Neighbours kept, reverse neighbours used, nodes in a first block, projections, rounds; beam and expansions of a search step."""
+    """Neighbours kept, reverse neighbours used, nodes in a first block, projections, rounds; what a member gets from
+    one neighbourhood in a round, at most; beam, expansions of a search step, and steps at most."""
 
     neighbours: int = 40
     reverse: int = 24
     block: int = 2048
     projections: int = 6
     rounds: int = 5
+    given: int = 10
     beam: int = 120
     expand: int = 24
     steps: int = 6
@@ -58,22 +60,29 @@ def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def packed(nodes: DataFrame) -> DataFrame:
-    """(node, code): the vector in one-byte components, on one scale for all."""
+    """(node, code): the vector in one-byte components, and the vector's own scale in four bytes more.
+
+    Scales are shares of the table's largest component, so scores stay finite.
+    """
     ship(nodes.sparkSession)
     widest = nodes.agg(F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))).alias("c")).first().c or 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code = np.rint(matrix(b.column("embedding")) * (127 / widest)).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([c.tobytes() for c in code], pa.binary())], names=["node", "code"])
+            x = matrix(b.column("embedding"))
+            own = np.abs(x).max(1, keepdims=True, initial=0.0)
+            own[own == 0] = 1.0
+            code, scale = np.rint(x / own * 127).astype(np.int8), (own / widest / 127).astype("<f4")
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([c.tobytes() + s.tobytes() for c, s in zip(code, scale, strict=True)], pa.binary())], names=["node", "code"])
 
     return nodes.select("node", "embedding").mapInArrow(run, "node long, code binary")
 
 
 def codes(column: pa.Array) -> np.ndarray:
-    """Codes of a binary column, all of one length, as float32 rows."""
+    """Vectors of a column of codes, all of one length, as float32 rows."""
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1 if raw else 0).astype(np.float32)
+    grid = np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1 if raw else 4)
+    return grid[:, :-4].astype(np.float32) * np.ascontiguousarray(grid[:, -4:]).view("<f4")
 
 
 def best_of_rows(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +112,7 @@ def first_edges(code: DataFrame, p: Params, blocks: int) -> DataFrame:
             x = codes(b.column("code"))
             for t in range(p.projections):
                 r = np.random.default_rng(p.seed + t)
-                planes = r.standard_normal((max(1, blocks.bit_length() - 1), 512))[:, : x.shape[1]].astype(np.float32)
+                planes = r.standard_normal((max(1, blocks.bit_length() - 1), x.shape[1])).astype(np.float32)
                 sign = (x @ planes.T > 0) @ (1 << np.arange(len(planes)))
                 yield pa.RecordBatch.from_arrays([pa.array((sign.astype(np.int64) << 8) + t), b.column("node"), b.column("code")], names=["cell", "node", "code"])
 
@@ -136,7 +145,7 @@ def descend(edges: DataFrame, code: DataFrame, p: Params) -> DataFrame:
         score = x @ x.T
         score[~(fresh[:, None] | fresh[None, :]) | (m[:, None] == m[None, :])] = -np.inf
         score[score <= floor[:, None]] = -np.inf
-        r, c = best_of_rows(score, 10)
+        r, c = best_of_rows(score, p.given)
         return m[r], m[c], score[r, c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +201,8 @@ def graph(code: DataFrame, p: Params = Params()) -> DataFrame:
     if n <= p.block:
         return edges.select("u", "v", "score")
     for _ in range(p.rounds):
-        edges = cut(merged(edges.select("u", "v", "score"), descend(edges, code, p), p.neighbours))
+        before, edges = edges, cut(merged(edges.select("u", "v", "score"), descend(edges, code, p), p.neighbours))
+        drop_cut(before)
         if edges.filter("fresh = 1").count() < 0.005 * p.neighbours * n:
             break
     return edges.select("u", "v", "score")
@@ -219,15 +229,31 @@ def walk(queries: DataFrame, start: DataFrame, edges: DataFrame, code: DataFrame
     for _ in range(p.steps):
         w = Window.partitionBy("query").orderBy("done", *order)
         picked = beam.withColumn("turn", (F.col("done") == 0) & (F.row_number().over(w) <= p.expand))
-        picked = cut(picked.withColumn("done", F.greatest("done", F.col("turn").cast("int"))))
+        before, picked = beam, cut(picked.withColumn("done", F.greatest("done", F.col("turn").cast("int"))))
+        drop_cut(before)
         reached = picked.filter("turn").join(links, "node").select("query", F.explode("next").alias("node")).distinct()
         fresh = reached.join(picked.select("query", "node"), ["query", "node"], "left_anti")
         beam = cut(top(picked.drop("turn").unionByName(scored(fresh).withColumn("done", F.lit(0))), "query", p.beam, order))
+        drop_cut(picked)
         if beam.filter("done = 0").isEmpty():
             break
     return beam.select("query", "node")
 
 
+def named(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, node) of ``rows`` (vec_id, embedding).
+
+    Vectors with more than two tasks' share of the rows, fewer than half as many as tasks, are broadcast.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = rows.groupBy("embedding").count().filter(F.col("count") > max(1, 2 * rows.count() / tasks)).select("embedding")
+    known = nodes.select("node", "embedding")
+    hot = cut(known.join(F.broadcast(often), "embedding"))
+    own = rows.join(F.broadcast(hot), "embedding")
+    rest = rows.join(F.broadcast(hot.select("embedding")), "embedding", "left_anti").join(known, "embedding")
+    return own.unionByName(rest).select(F.col("vec_id").alias("query_id"), "node")
+
+
 def search(vectors: DataFrame, wanted: Column, k: int, p: Params = Params()) -> DataFrame:
     """(query_id, rank, vec_id, score): about the k largest inner products of the rows ``wanted`` picks, themselves excluded.
 
@@ -237,8 +263,7 @@ def search(vectors: DataFrame, wanted: Column, k: int, p: Params = Params()) ->
     nodes = cut(nodes_of(vectors, k + 1))
     code = cut(packed(nodes))
     edges = graph(code, p)
-    asked = vectors.filter(wanted).join(nodes.select("node", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "node")
-    asked = cut(asked)
+    asked = cut(named(vectors.filter(wanted), nodes))
     queries = asked.select(F.col("node").alias("query")).distinct().join(code.select(F.col("node").alias("query"), F.col("code").alias("q_code")), "query")
     queries = cut(queries)
     own = queries.select("query", F.col("query").alias("node"))

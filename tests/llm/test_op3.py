@@ -46,6 +46,35 @@ def test_descent_and_copies(spark):
     assert recall((np.arange(700), x), got, 10) >= 0.9
 
 
+def test_wide_vectors_and_one_huge_component(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 768))
+    x[17] *= 1e12
+    x[40:200:2] = x[3]  # a vector that a quarter of the rows have
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    p = op.Params(neighbours=20, reverse=12, block=64, projections=4, rounds=4)
+    got = [t for t in map(tuple, op.search(df, F.col("vec_id") % 20 == 0, 10, p).collect())]
+    by = {}
+    for q, rank, v, s in got:
+        by.setdefault(q, {})[rank] = (v, s)
+    hit = 0
+    for q in range(0, 300, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(300), -s))[:10]
+        assert sorted(by[q]) == [*range(1, 11)] and all(np.isclose(z, x[q] @ x[v]) for v, z in by[q].values())
+        hit += len({v for v, _ in by[q].values()} & set(want.tolist()))
+    assert hit >= 0.9 * 150
+
+
+def test_codes_keep_their_scale(spark):
+    x = np.array([[1e300, 0.0], [3.0, -4.0], [1e-3, 5e-4]])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "node long, embedding array<double>")
+    got = op.codes(op.packed(df.filter("node > 0")).orderBy("node").toArrow()["code"].combine_chunks())
+    assert np.allclose(got / got[0, 1] * -4, x[1:], rtol=0.01)
+    assert np.isfinite(op.codes(op.packed(df).toArrow()["code"].combine_chunks())).all()
+
+
 def test_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0], 1), (1, None, 1), (2, [nan, 1.0], 1), (3, [0.0, 0.0], 1), (4, [0.5, 0.5], 1), (4, [0.5, 0.5], 2), (5, [0.5, 0.5], 1), (20, [], 1)]
