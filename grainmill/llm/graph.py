@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import cut
+from grainmill.llm.common import cut, drop_cut
 from grainmill.shipping import ship
 
 
@@ -51,25 +51,44 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def hubs_of(least: DataFrame) -> DataFrame:
+    """(u, m) of the nodes with more than two tasks' share of the edges; there are fewer than half as many as tasks.
+
+    ``least`` has (u, m, n): each node's least neighbour and its number of edges.
+    """
+    tasks = int(least.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = least.agg(F.sum("n").alias("n")).first().n or 0
+    return least.filter(F.col("n") > 2 * total / tasks).select("u", "m")
+
+
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with each u's least neighbour m. A hub's edges stay where they are: hubs are broadcast."""
+    hubs = hubs_of(least)
+    own = edges.join(F.broadcast(hubs), "u")
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti")
+    return own.unionByName(rest.join(least.select("u", "m"), "u"))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long): root is the smallest node of its component.
 
     Alternates large-star and small-star steps until the edges are stars; tasks first contract the edges
-    they hold. A hub's edges are joined with one row, its least neighbour, found by partial minima; the
-    join may split a hub over tasks. Each round is cut at a checkpoint.
+    they hold. Each round is cut at a checkpoint, and the one before it deleted.
     """
     ship(edges.sparkSession)
-    e = edges.filter("u <> v").select("u", "v").mapInArrow(_contract, "u long, v long").distinct()
-    e = cut(e)
+    e = cut(edges.filter("u <> v").select("u", "v").mapInArrow(_contract, "u long, v long").distinct())
     last = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut(small.mapInArrow(_contract, "u long, v long").distinct())
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        down = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        low = cut(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = with_least(down, low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        new = cut(small.mapInArrow(_contract, "u long, v long").distinct())
+        for x in (e, least, down, low):
+            drop_cut(x)
+        e = new
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == last:
             break

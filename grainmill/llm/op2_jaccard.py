@@ -1,15 +1,17 @@
-"""N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection.
+"""N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection of sorted arrays.
 
-1. Each document becomes the sorted 64-bit names of its distinct word n-grams. Documents with equal sets
-   form a class; everything below works on classes.
+1. Each document becomes the sorted names of its distinct word n-grams. Documents with equal sets form a
+   class; everything below works on classes.
 2. Two sets that link share an element among the first ``size - ceil(t * size) + 1`` of each, in any
    common order. The order used puts n-grams of rare words first and elements that many documents share
    last; it affects speed only. Two sets of like sizes even share many of those elements. Classes that
    share as many as a link needs are drawn into one candidate group, so links never leave a group.
 3. A group is cut into tiles: blocks of a size band against blocks of the same or the next band, as sizes
-   of linked sets differ by the factor ``t`` at most. A small group is one tile.
+   of linked sets differ by the factor ``t`` at most. A group that fits a block is one tile; in every tile
+   the rows stand by size, and a row meets its own band of sizes only.
 4. In a tile, hashed bitmaps bound each pair's intersection from above by bit counts. For pairs that
-   remain, the sorted arrays are merged once for the tile and intersections counted exactly.
+   remain, the sorted arrays are merged once for the tile, which gives each element its rank, and the
+   pairs' rank arrays are intersected exactly.
 
 A tile gives, for each class, the smallest class it is joined with inside the tile and its number of
 links; pairs are never written out. Components of the tiles' results are the join's components.
@@ -17,7 +19,8 @@ links; pairs are never written out. Components of the tiles' results are the joi
 Defined results: a document with fewer words than n is the whole sequence as one n-gram; null, empty and
 blank texts have no n-gram, link with nothing and are their own component; copies are links of each
 other; repeated rows are documents like others; texts are read whole; an empty table gives an empty
-table; further columns are ignored. Equal 64-bit names count as equal n-grams and equal sets.
+table; further columns are ignored. An n-gram's name holds a 58-bit hash, and equal names count as equal
+n-grams. A class has a 64-bit name; different sets that share one are told apart by a second hash.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from grainmill.tables import table
 
 #: Common elements and frequent words known by name, at most; elements a task counts together to find them.
 COMMON, WORDS, CHUNK = 1 << 18, 1 << 16, 4_000_000
+#: Documents of an element for each part that the element is dealt to.
+PART_ROWS = 512
 #: Classes and bytes of sets in a block of a tile, at most on average.
 BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
 
@@ -76,15 +81,25 @@ def ngrams(text: str | None, n: int, words: Words = NO_WORDS) -> np.ndarray:
     return np.unique((np.minimum(level, 63).astype(np.uint64) << np.uint64(58)) | (acc >> np.uint64(6)))
 
 
-def class_of(s: np.ndarray) -> int:
+def class_of(s: np.ndarray, salt: int = 0xA5A5A5A5A5A5A5A5) -> int:
     """A 64-bit name of a set."""
     with np.errstate(over="ignore"):
-        total = np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) ^ (np.bitwise_xor.reduce(s) * np.uint64(31)) + np.uint64(len(s))
+        total = np.add.reduce(mix(s ^ np.uint64(salt))) ^ (np.bitwise_xor.reduce(s) * np.uint64(31)) + np.uint64(len(s))
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def told_apart(sets: DataFrame) -> DataFrame:
+    """``sets`` (cls, check, ...) with new names for classes whose sets differ in their second hash.
+
+    Two different sets among 10^10 share a name a few times by chance, so the list of such names is short.
+    """
+    shared = [r.cls for r in sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").select("cls").collect()]
+    name = F.when(F.col("cls").isin(shared), F.xxhash64("cls", "check")).otherwise(F.col("cls")) if shared else F.col("cls")
+    return sets.withColumn("cls", name).drop("check")
+
+
 def sets_of(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cls, grams): ``cls`` is null for documents without n-grams."""
+    """(doc_id, n_shingles, cls, check, grams): ``cls`` is null for documents without n-grams."""
     docs = df.select("doc_id", F.col(text_col).alias("text"))
     words = df.sparkSession.sparkContext.broadcast(frequent_words(docs))  # at most WORDS entries
 
@@ -93,11 +108,11 @@ def sets_of(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
 
         def run(texts: pa.Array) -> list:
             sets = [ngrams(t, n, w) for t in texts.to_pylist()]
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            return [pa.array([len(s) for s in sets], pa.int64()), *[pa.array([class_of(s, salt) if len(s) else None for s in sets], pa.int64()) for salt in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B)], pa.array([s.tobytes() for s in sets], pa.binary())]
 
         return run
 
-    return extend(docs, ["text"], "n_shingles long, cls long, grams binary", kernel).drop("text")
+    return extend(docs, ["text"], "n_shingles long, cls long, check long, grams binary", kernel).drop("text")
 
 
 def counted(df: DataFrame, arrays, least: int) -> DataFrame:
@@ -188,17 +203,21 @@ def least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(1, both - (-(-percent * np.maximum(a, b) // 100)) + 1)
 
 
-def shared_entries(sets: DataFrame, percent: int, most: int) -> DataFrame:
+def shared_entries(sets: DataFrame, percent: int, most: int, part_rows: int = PART_ROWS) -> DataFrame:
     """(kind, a, b, least) from the classes' prefix elements that two or more classes have.
 
     Kind 0 is a pair of classes that share an element and whose sizes let them link, once for each element;
     ``least`` is how many they must share. Of an element that more than ``most`` classes have, kind 1 joins
-    each class a with the element's least class b. Elements of one class give nothing.
+    each class a with the element's least class b. An element that very many documents have is dealt to parts
+    of about ``part_rows``; in a part kind 1 joins the classes, and kind 2 names the element a and the part's
+    least class b. Elements of one class give nothing.
     """
     shared = sets.sparkSession.sparkContext.broadcast(common_elements(sets))  # at most COMMON entries
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
+        many = counts > part_rows
+        hot, parts = common[many], -(-counts[many] // part_rows)
         seen: set[int] = set()
         for b in batches:
             es, cs, ns = [], [], []
@@ -209,25 +228,34 @@ def shared_entries(sets: DataFrame, percent: int, most: int) -> DataFrame:
                     cs.append(np.full(len(es[-1]), c))
                     ns.append(np.full(len(es[-1]), len(g) // 8, np.int32))
             if es:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(es).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(ns))], names=["e", "cls", "n"])
+                e, c = np.concatenate(es), np.concatenate(cs)
+                part = np.zeros(len(e), np.int32)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, e), len(hot) - 1)
+                    own = hot[at] == e
+                    part[own] = 1 + (mix(c[own].view(np.uint64)) % parts[at[own]].astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(part), pa.array(c), pa.array(np.concatenate(ns))], names=["e", "part", "cls", "n"])
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[tuple] = []
 
         def batch(kind: int, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(least.astype(np.int64))], names=["kind", "a", "b", "least"])
 
-        def out(e: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(e: np.ndarray, part: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             keep = np.ones(len(e), bool)
-            keep[1:] = (e[1:] != e[:-1]) | (c[1:] != c[:-1])
-            e, c, n = e[keep], c[keep], n[keep].astype(np.int64)
-            start = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1]))) if len(e) else np.zeros(0, np.int64)
+            keep[1:] = (e[1:] != e[:-1]) | (part[1:] != part[:-1]) | (c[1:] != c[:-1])
+            e, part, c, n = e[keep], part[keep], c[keep], n[keep].astype(np.int64)
+            start = np.flatnonzero(np.concatenate(([True], (e[1:] != e[:-1]) | (part[1:] != part[:-1])))) if len(e) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(e)))
+            dealt = part[start] > 0
+            if dealt.any():
+                yield batch(2, e[start[dealt]], c[start[dealt]], np.ones(dealt.sum()))
             rows, first = np.repeat(size, size), np.repeat(c[start], size)
-            many = (rows > most) & (c != first)
+            many = ((rows > most) | (part > 0)) & (c != first)
             if many.any():
                 yield batch(1, c[many], first[many], np.ones(many.sum()))
-            few = (rows > 1) & (rows <= most)
+            few = (rows > 1) & (rows <= most) & (part == 0)
             e, c, n = e[few], c[few], n[few]
             for d in range(1, most):
                 at = np.flatnonzero(e[d:] == e[:-d])
@@ -239,41 +267,44 @@ def shared_entries(sets: DataFrame, percent: int, most: int) -> DataFrame:
                     yield batch(0, c[at], c[at + d], least_shared(n[at], n[at + d], percent))
 
         for b in batches:
-            part = tuple(b.column(k).to_numpy() for k in ("e", "cls", "n"))
-            held = part if held is None else tuple(np.concatenate([h, q]) for h, q in zip(held, part, strict=True))
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if last:
-                yield from out(*(h[:last] for h in held))
-                held = tuple(h[last:] for h in held)
-        if held is not None and len(held[0]):
-            yield from out(*held)
+            own = tuple(b.column(k).to_numpy() for k in ("e", "part", "cls", "n"))
+            if not len(own[0]):
+                continue
+            last = int(np.searchsorted(own[0], own[0][-1]))  # where the batch's last element begins; it may go on
+            if last or (held and held[-1][0][-1] != own[0][0]):
+                held.append(tuple(x[:last] for x in own))
+                yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            held.append(tuple(x[last:] for x in own))
+        if held:
+            yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    found = sets.select("cls", "grams").mapInArrow(entries, "e long, cls long, n int")
-    return found.repartition("e").sortWithinPartitions("e", "cls").mapInArrow(tiles, "kind int, a long, b long, least long")
+    found = sets.select("cls", "grams").mapInArrow(entries, "e long, part int, cls long, n int")
+    return found.repartition("e", "part").sortWithinPartitions("e", "part", "cls").mapInArrow(tiles, "kind int, a long, b long, least long")
 
 
 def bounded(percent: int, n: np.ndarray, sig: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
-    """Those of rows ``js`` that sizes and bit counts leave as possible links of row i.
+    """Those of rows ``js`` that bit counts leave as possible links of row i.
 
     Each bit that one bitmap has and the other lacks is an element outside the intersection.
     """
-    js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-    if len(js):
-        only_i = np.bitwise_count(sig[i] & ~sig[js]).sum(1, dtype=np.int64)
-        only_j = np.bitwise_count(sig[js] & ~sig[i]).sum(1, dtype=np.int64)
-        most = np.minimum(n[i] - only_i, n[js] - only_j)
-        js = js[(100 + percent) * most >= percent * (n[i] + n[js])]
-    return js
+    only_i = np.bitwise_count(sig[i] & ~sig[js]).sum(1, dtype=np.int64)
+    only_j = np.bitwise_count(sig[js] & ~sig[i]).sum(1, dtype=np.int64)
+    most = np.minimum(n[i] - only_i, n[js] - only_j)
+    return js[(100 + percent) * most >= percent * (n[i] + n[js])]
 
 
-def candidate_groups(sets: DataFrame, percent: int, most: int = 256) -> DataFrame:
+def candidate_groups(sets: DataFrame, percent: int, most: int = 256, part_rows: int = PART_ROWS) -> DataFrame:
     """(node, root): classes that may link with another, and the smallest class of their group.
 
     Classes are drawn together if they share as many prefix elements as a link of their sizes needs; where
     more than ``most`` classes share an element, all are drawn together.
     """
-    shared = cut(shared_entries(sets, percent, most).groupBy("kind", "a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("kind = 1 OR n >= least").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return components(shared)
+    found = cut(shared_entries(sets, percent, most, part_rows).groupBy("kind", "a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("kind > 0 OR n >= least"))
+    parts = found.filter("kind = 2").select(F.col("a").alias("e"), F.col("b").alias("u"))
+    first = parts.groupBy("e").agg(F.min("u").alias("v"))
+    edges = found.filter("kind < 2").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(parts.join(first, "e").select("u", "v"))
+    return components(edges)
 
 
 def members_filter(nodes: DataFrame) -> np.ndarray:
@@ -319,54 +350,47 @@ def sets_among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def tile_links(percent: int, sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """For rows ``left`` of a tile, the rows ``right`` that link with each; with ``same``, later rows only."""
+    """For rows ``left`` of a tile, the rows ``right`` that link with each; with ``same``, later rows only.
+
+    Both come in the order of their sizes.
+    """
     width = 1 << max(7, min(13, int(np.median(sizes) * 2).bit_length()))
     signature = np.zeros((len(sets), width), bool)
     for i, s in enumerate(sets):
         signature[i, (s >> np.uint64(20)) & np.uint64(width - 1)] = True
     packed = np.packbits(signature, axis=1).view(np.uint64)
     del signature
-    n = sizes[right]
-    survivors, needed = {}, np.zeros(len(sets), bool)
+    n = sizes[right]  # ascending
+    low, high = np.searchsorted(n, -(-percent * sizes[left] // 100)), np.searchsorted(n, 100 * sizes[left] // percent, "right")
+    survivors = {}
     for k, i in enumerate(left):
-        fits = (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i])).nonzero()[0]
-        if same:
-            fits = fits[fits > k]
-        if not len(fits):
-            continue
-        js = bounded(percent, sizes, packed, i, right[fits])
+        band = right[max(k + 1, low[k]) if same else low[k] : high[k]]
+        js = bounded(percent, sizes, packed, i, band) if len(band) else band
         if len(js):
             survivors[i] = js
-            needed[i] = True
-            needed[survivors[i]] = True
     if not survivors:
         return
-    own = np.flatnonzero(needed)
-    lengths = np.array([len(sets[i]) for i in own])
-    values, inverse, counts = np.unique(np.concatenate([sets[i] for i in own]), return_inverse=True, return_counts=True)
-    repeated = np.cumsum(counts > 1) - 1
-    row = np.repeat(np.arange(len(own)), lengths)
-    keep = counts[inverse] > 1
-    row, column = row[keep], repeated[inverse[keep]]
+    own = np.unique(np.concatenate([np.fromiter(survivors, np.int64), *survivors.values()]))
+    own = own[np.lexsort((own, sizes[own]))]
     place = np.full(len(sets), -1)
     place[own] = np.arange(len(own))
-    total = int(repeated[-1]) + 1 if len(values) else 0
-    overlap = {i: np.zeros(len(js), np.int64) for i, js in survivors.items()}
-    step = max(64, min(1 << 16, (1 << 28) // max(1, len(own)) // 64 * 64))
-    for a in range(0, total, step):
-        part = (column >= a) & (column < a + step)
-        size = -(-min(step, total - a) // 64) * 64
-        grid = np.zeros((len(own), size), bool)
-        grid[row[part], column[part] - a] = True
-        grid = np.packbits(grid, axis=1).view(np.uint64)
-        for i, js in survivors.items():
-            mine = grid[place[i]]
-            use = np.flatnonzero(mine)
-            if len(use):
-                overlap[i] += np.bitwise_count(grid[place[js]][:, use] & mine[use]).sum(1, dtype=np.int64)
+    values, ranks = np.unique(np.concatenate([sets[i] for i in own]), return_inverse=True)
+    ranks = ranks.astype(np.int32)
+    start = np.concatenate(([0], np.cumsum(sizes[own])))
+    mark = np.zeros(len(values), bool)
     for i, js in survivors.items():
-        o = overlap[i]
-        linked = js[100 * o >= percent * (sizes[i] + sizes[js] - o)]
+        mine = ranks[start[place[i]] : start[place[i] + 1]]
+        mark[mine] = True
+        at = place[js]
+        lo, hi = at.min(), at.max() + 1
+        if hi - lo <= 2 * len(at):
+            held = mark[ranks[start[lo] : start[hi]]]
+            overlap = np.add.reduceat(held, start[lo:hi] - start[lo], dtype=np.int64)[at - lo]
+        else:
+            held = mark[np.concatenate([ranks[start[j] : start[j + 1]] for j in at])]
+            overlap = np.add.reduceat(held, np.concatenate(([0], np.cumsum(sizes[js])[:-1])), dtype=np.int64)
+        mark[mine] = False
+        linked = js[100 * overlap >= percent * (sizes[i] + sizes[js] - overlap)]
         if len(linked):
             yield int(i), linked
 
@@ -445,7 +469,7 @@ def tiled(members: DataFrame, percent: int, block_rows: int, block_bytes: int) -
     return small.unionByName(placed.select("cls", "copies", F.explode(tiles).alias("t")).select("cls", "copies", "t.tile", "t.side"))
 
 
-def join(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text", block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def join(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text", block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, class_id) for each row of ``docs`` (doc_id, text).
 
     ``class_id`` is the smallest doc_id with the same set; ``n_links`` counts other rows that link.
@@ -453,9 +477,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text",
     spark = docs.sparkSession
     ship(spark)
     with shared_table(sets_of(docs, n, text_col)) as written:
+        written = told_apart(written)
         every = cut(written.select("doc_id", "n_shingles", "cls"))
         sets = written.filter("cls IS NOT NULL").select("cls", "grams")
-        nodes = cut(candidate_groups(sets, percent))
+        nodes = cut(candidate_groups(sets, percent, part_rows=part_rows))
         found = cut(sets_among(sets, nodes))
     named_sets = every.filter("cls IS NOT NULL")
     classes = named_sets.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))

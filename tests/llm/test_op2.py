@@ -53,11 +53,11 @@ def near_copies(rng, count):
     return [(i * 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,block_rows", [(1, 2048), (2, 3), (3, 1)])
-def test_against_all_pairs(spark, seed, block_rows):
+@pytest.mark.parametrize("seed,block_rows,part_rows", [(1, 2048, 512), (2, 3, 4), (3, 1, 10)])
+def test_against_all_pairs(spark, seed, block_rows, part_rows):
     rows = near_copies(random.Random(seed), 25)
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, cls string")
-    got = op.join(df, block_rows=block_rows).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    got = op.join(df, block_rows=block_rows, part_rows=part_rows).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got)) == brute(rows)
 
 
@@ -75,6 +75,12 @@ def test_cases(spark):
     assert op.join(df.limit(0)).count() == 0
 
 
+def test_sets_that_share_a_name_are_told_apart(spark):
+    df = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 1), (5, None, None)], "doc_id long, cls long, check long")
+    got = {r.doc_id: r.cls for r in op.told_apart(df).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 8 and got[5] is None
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(300) if i % 60 != 59] + [(1000, 1000 + i) for i in range(1, 80)]
