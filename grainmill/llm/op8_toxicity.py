@@ -188,12 +188,14 @@ def selected_from(features: np.ndarray, docs: np.ndarray, marked: np.ndarray, n:
 
 def _triples(docs: list, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place among the features, value) of the documents' features that are among ``features``."""
-    rows = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
-    ids = np.concatenate([np.zeros(0, np.int64), *[d[0] for d in docs]])
-    x = np.concatenate([np.zeros(0), *[value(d[1], d[2]) for d in docs]])
-    at = np.minimum(np.searchsorted(features, ids), max(len(features) - 1, 0))
-    own = features[at] == ids if len(features) else np.zeros(len(ids), bool)
-    return rows[own], at[own], x[own]
+    rows, ats, xs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for i, (ids, counts, words) in enumerate(docs if len(features) else []):
+        at = np.minimum(np.searchsorted(features, ids), len(features) - 1)
+        own = features[at] == ids
+        rows.append(np.full(int(own.sum()), i))
+        ats.append(at[own])
+        xs.append(value(counts[own], words))
+    return np.concatenate(rows), np.concatenate(ats), np.concatenate(xs)
 
 
 def _odds(p: np.ndarray) -> np.ndarray:
@@ -206,15 +208,15 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, fold
     if not len(docs):
         return Chain(names, np.zeros(0, np.int64), tuple((np.zeros(0), np.zeros(k), -40.0) for k in range(len(names))))
     rows, at, x = _triples(docs, chosen.every)
-    parts = [_triples(docs, own) for own in chosen.without]
     earlier, weights = np.zeros((len(docs), 0)), []
     for k in range(len(names)):
         y = labels[:, k].astype(float)
         weights.append(_logistic(rows, at, x, earlier, y, len(chosen.every)))
         if k + 1 < len(names):
             out = np.zeros(len(docs))
-            for f, (r, c, v) in enumerate(parts):
+            for f, own in enumerate(chosen.without):
                 if (fold == f).any():
+                    r, c, v = _triples(docs, own)  # one fold's at a time
                     fitted = fold[r] != f
                     index = np.cumsum(fold != f) - 1
                     w, e, b = _logistic(index[r[fitted]], c[fitted], v[fitted], earlier[fold != f], y[fold != f], len(chosen.without[f]), steps=120)
