@@ -8,7 +8,7 @@ words, put through the inverse of the cumulative demand, is its training positio
 range-sorted by position.
 
 The running sum takes two steps, so that no task holds a source: sums of hash buckets, and places within
-a bucket. Buckets grow in number with the table.
+a bucket. A source has several buckets for each task, and more as the table grows.
 
 Defined results: a null text has no words; documents without words are taken 0 times; a null source is
 a source, after all others; ties of the hash are broken by doc_id and size; repeated rows are rows of
@@ -101,7 +101,8 @@ def placed(docs: DataFrame, mix: Mix = Mix(), text_col: str = "text", keep_text:
     sized = word_counts(docs, text_col)
     small = cut(sized.select("doc_id", "source", "size"))
     n = small.count()
-    buckets = 1 << max(4, (max(1, n) // BUCKET_ROWS).bit_length())
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << max((4 * tasks).bit_length(), (n // BUCKET_ROWS).bit_length())
     bucketed = lambda df: df.withColumn("_h", order).withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(buckets)))
     sums = bucketed(small).groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
     aim = targets(small, mix)

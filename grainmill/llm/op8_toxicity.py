@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain over word and word-prefix features.
 
 Categories are predicted in order, ``toxic`` last, and it alone is the verdict. Each is a logistic model over
-the features and the log-odds of the categories before it; in training those come from out-of-fold
+the features and the probabilities of the categories before it; in training those are out-of-fold
 predictions, so a later model sees earlier ones as they will be on new documents. A fold's model selects its
 features and is fitted without the fold's rows, and folds go by the text, so copies are never on both sides.
 
@@ -33,8 +33,8 @@ from grainmill.shipping import ship
 from grainmill.tables import table
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
-#: Documented bounds of the labelled sample, and of the features kept for a category.
-TRAIN_ROWS, FEATURES = 12_000, 1200
+#: Documented bounds of the labelled sample, and of the features kept for a weak category and for the verdict.
+TRAIN_ROWS, WEAK_FEATURES, FEATURES = 12_000, 300, 3000
 FOLDS, THRESHOLD = 3, 0.4
 
 #: Words that mark a text as a weak example of a category.
@@ -43,6 +43,7 @@ CATEGORIES = {
     "contempt": ("trash", "scum", "worthless", "disgusting", "pathetic", "garbage", "vermin", "filth"),
 }
 NAMES = (*CATEGORIES, "toxic")
+LIMITS = (*[WEAK_FEATURES] * len(CATEGORIES), FEATURES)
 
 _APART = np.ones(256, bool)
 _APART[128:] = False
@@ -71,7 +72,7 @@ def value(counts: np.ndarray, words: np.ndarray | int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Chain:
-    """Sorted feature hashes; for each category the feature weights, the weights of earlier categories' log-odds, and a bias."""
+    """Sorted feature hashes; for each category the feature weights, the weights of earlier categories' probabilities, and a bias."""
 
     names: tuple[str, ...]
     features: np.ndarray
@@ -96,7 +97,7 @@ class Chain:
 def _link(z: np.ndarray, weights) -> np.ndarray:
     p = np.zeros_like(z)
     for k, (_, earlier, bias) in enumerate(weights):
-        p[:, k] = _sigmoid(z[:, k] + bias + (_odds(p[:, :k]) @ earlier if k else 0))
+        p[:, k] = _sigmoid(z[:, k] + bias + (p[:, :k] @ earlier if k else 0))
     return p
 
 
@@ -167,7 +168,7 @@ class Selection:
         return np.unique(np.concatenate([self.every, *self.without]))
 
 
-def selected_from(features: np.ndarray, docs: np.ndarray, marked: np.ndarray, n: np.ndarray, n1: np.ndarray, limit: int = FEATURES) -> Selection:
+def selected_from(features: np.ndarray, docs: np.ndarray, marked: np.ndarray, n: np.ndarray, n1: np.ndarray, limits: tuple[int, ...] = LIMITS) -> Selection:
     """Chooses from counts: ``docs`` (features, folds) documents, ``marked`` (features, categories, folds) of them marked.
 
     ``n`` (folds) and ``n1`` (categories, folds) count the sample's documents and its marked ones.
@@ -179,7 +180,7 @@ def selected_from(features: np.ndarray, docs: np.ndarray, marked: np.ndarray, n:
             total, own = n[use].sum(), n1[k, use].sum()
             if 0 < own < total:
                 a = marked[:, k][:, use].sum(1)
-                out.append(strongest(features, leanings(a, docs[:, use].sum(1) - a, own, total - own), limit))
+                out.append(strongest(features, leanings(a, docs[:, use].sum(1) - a, own, total - own), limits[k]))
         return np.unique(np.concatenate(out))
 
     folds = np.arange(len(n))
@@ -198,11 +199,6 @@ def _triples(docs: list, features: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(ats), np.concatenate(xs)
 
 
-def _odds(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-4, 1 - 1e-4)
-    return np.log(p / (1 - p))
-
-
 def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, fold: np.ndarray, names: tuple[str, ...], chosen: Selection) -> Chain:
     """Fits the chain; ``docs`` has (feature hashes, counts, words), ``labels`` one column for each category."""
     if not len(docs):
@@ -222,7 +218,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, fold
                     w, e, b = _logistic(index[r[fitted]], c[fitted], v[fitted], earlier[fold != f], y[fold != f], len(chosen.without[f]), steps=120)
                     z = np.bincount(r, w[c] * v, len(docs)) + earlier @ e + b
                     out[fold == f] = _sigmoid(z)[fold == f]
-            earlier = np.concatenate([earlier, _odds(out)[:, None]], axis=1)
+            earlier = np.concatenate([earlier, out[:, None]], axis=1)
     return Chain(names, chosen.every, tuple(weights))
 
 
@@ -265,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
     return fit(own, y, t["fold"].to_numpy(), NAMES, chosen)
 
 
-def selected(sample: DataFrame, limit: int = FEATURES) -> Selection:
+def selected(sample: DataFrame, limits: tuple[int, ...] = LIMITS) -> Selection:
     """The features to use, chosen from counts over the sample (text, y).
 
     Tasks count the documents of each feature by fold and category and Spark adds the counts up. Of the sums
@@ -305,18 +301,18 @@ def selected(sample: DataFrame, limit: int = FEATURES) -> Selection:
             if 0 < m < own:
                 p = (every + 1) / (own + 2)
                 z = (a / m - (every - a) / (own - m)) / F.sqrt(p * (1 - p) * (1 / m + 1 / (own - m)))
-                leans.append(F.when(every >= 4, F.abs(z)).otherwise(F.lit(0.0)))
+                leans.append((F.when(every >= 4, F.abs(z)).otherwise(F.lit(0.0)), limits[k]))
     if not leans:
         return Selection(np.zeros(0, np.int64), tuple(np.zeros(0, np.int64) for _ in range(FOLDS)))
     found = sums.filter("f <> 0")
     top = None
-    for z in leans:  # at most ``limit`` rows for each
+    for z, limit in leans:  # at most ``limit`` rows for each
         best = found.withColumn("z", z).filter("z > 2.5").orderBy(F.desc("z"), "f").limit(limit).select("f")
         top = best if top is None else top.unionByName(best)
     t = found.join(F.broadcast(top.distinct()), "f").toArrow().sort_by("f")
     drop_cut(sums)
     counts = np.stack([t[x].to_numpy() for x in names], axis=1).reshape(-1, K + 1, FOLDS)
-    return selected_from(t["f"].to_numpy(), counts[:, 0], counts[:, 1:], n, n1, limit)
+    return selected_from(t["f"].to_numpy(), counts[:, 0], counts[:, 1:], n, n1, limits)
 
 
 def score(df: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
