@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm import op1_bpe, op2_jaccard, op4_mix, op8_toxicity, op9_pii
-from grainmill.llm.common import checkpoint_dir
+from grainmill.llm.common import checkpoint_dir, delete, scratch
 from grainmill.tables import table
 
 
@@ -62,10 +62,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written to the shared folder and read again."""
+    """Applies the stages to ``documents``; each result is written to the shared folder and read again.
+
+    A stage's checkpoints and its predecessor's table are deleted once it is written; the last table is the
+    result's own and stays.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return docs
