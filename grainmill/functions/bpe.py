@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import random
 import re
+from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,62 +35,95 @@ def marked_words(text: str) -> list[str]:
 class MergeTokenizer:
     """Merges in rank order within words; unknown pieces fall back to characters, then to ``unknown``.
 
-    Ids: 0 pad, 1 begin, 2 end, 3 unknown, then specials, characters (or bytes) and merged tokens.
+    Ids: 0 pad, 1 begin, 2 end, 3 unknown, then specials, characters (or bytes) and merged tokens. A merge's
+    rank is that of its pair, or, for a vocabulary of ranks, that of the token it makes.
     """
 
     PAD, BEGIN, END, UNKNOWN = 0, 1, 2, 3
 
-    def __init__(self, merges: list[tuple[str, str]], specials: list[str] = (), alphabet: str | None = None):
-        self.rank = {p: i for i, p in enumerate(merges)}
+    def __init__(self, merges: list[tuple[str, str]], specials: list[str] = (), alphabet: str | None = None, tokens: list[str] | None = None):
         self.bytes = alphabet is None
         chars = [chr(i) for i in range(256)] if self.bytes else sorted(set(alphabet))
-        names = [*specials, *chars, *[a + b for a, b in merges]]
+        self.rank: dict = {p: i for i, p in enumerate(merges)} if tokens is None else {t: i for i, t in enumerate(tokens)}
+        self.by_token = tokens is not None
+        names = [*specials, *([*chars, *[a + b for a, b in merges]] if tokens is None else tokens)]
         self.id_of: dict[str, int] = {}
         for n in names:
             self.id_of.setdefault(n, 4 + len(self.id_of))
         self.name_of = {i: n for n, i in self.id_of.items()}
         self.specials = sorted(specials, key=len, reverse=True)
         self.split = re.compile("|".join([*map(re.escape, self.specials), WORD_OR_SPACE]))
+        self._caches()
+
+    @classmethod
+    def from_ranks(cls, path: str, specials: list[str] = ()) -> MergeTokenizer:
+        """A byte-level vocabulary of a given file: lines of a token in base 64 and its rank."""
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+        return cls([], specials, tokens=[t.decode("latin-1") for t in sorted(ranks, key=ranks.__getitem__)])
+
+    def _caches(self) -> None:
         self.pieces = lru_cache(50_000)(self._pieces)
+        self.packed = lru_cache(50_000)(lambda word: array("i", self._pieces(word)).tobytes())
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "pieces"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pieces", "packed")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.pieces = lru_cache(50_000)(self._pieces)
+        self._caches()
 
-    def _pieces(self, word: str) -> tuple[int, ...]:
-        if word in self.id_of:
+    def __len__(self) -> int:
+        """Ids lie below this number."""
+        return 4 + len(self.id_of)
+
+    def _pieces(self, word: str, dropout: float = 0.0, chance: random.Random | None = None) -> tuple[int, ...]:
+        """The ids of a word. With ``dropout``, each merge that comes up is skipped with that probability."""
+        if word in self.id_of and not dropout:
             return (self.id_of[word],)
-        parts = list(word)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), len(self.rank)))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return tuple(self.id_of.get(p, self.UNKNOWN) for p in parts)
+        n = len(word)
+        parts, after, before = list(word), [*range(1, n + 1)], [*range(-1, n - 1)]
+        rank = (lambda i: self.rank.get(parts[i] + parts[after[i]])) if self.by_token else (lambda i: self.rank.get((parts[i], parts[after[i]])))
+        todo = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(i)) is not None]
+        heapify(todo)
+        while todo:
+            _, i, a, b = heappop(todo)
+            j = after[i] if parts[i] == a else n
+            if j >= n or parts[j] != b or (dropout and chance.random() < dropout):
+                continue  # one of the two was merged meanwhile
+            parts[i], parts[j] = a + b, ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := rank(i)) is not None:
+                    heappush(todo, (r, i, parts[i], parts[after[i]]))
+            if (h := before[i]) >= 0 and (r := rank(h)) is not None:
+                heappush(todo, (r, h, parts[h], parts[i]))
+        return tuple(self.id_of.get(p, self.UNKNOWN) for p in parts if p)
+
+    def _words(self, text: str):
+        for w in self.split.findall(text):
+            yield w, w if w in self.specials or not self.bytes else w.encode("utf-8", "surrogatepass").decode("latin-1")
 
-    def encode(self, text: str, ends: bool = True) -> list[int]:
+    def encode(self, text: str, ends: bool = True, dropout: float = 0.0, seed: int = 0) -> list[int]:
         if not text:
             return []
-        out = [self.BEGIN] if ends else []
-        for w in self.split.findall(text):
+        out, chance = [self.BEGIN] if ends else [], random.Random(seed)
+        for w, own in self._words(text):
             if w in self.specials:
                 out.append(self.id_of[w])
             else:
-                out += self.pieces(w.encode().decode("latin-1") if self.bytes else w)
+                out += self._pieces(own, dropout, chance) if dropout else self.pieces(own)
         return out + [self.END] if ends else out
 
+    def encode_packed(self, text: str) -> bytes:
+        """Ids, begin and end among them, as 32-bit integers."""
+        if not text:
+            return b""
+        one = lambda i: array("i", [i]).tobytes()
+        body = (one(self.id_of[w]) if w in self.specials else self.packed(own) for w, own in self._words(text))
+        return b"".join([one(self.BEGIN), *body, one(self.END)])
+
     def decode(self, ids: list[int]) -> str:
         names = [self.name_of.get(i, "") for i in ids if i > self.UNKNOWN]
         if not self.bytes:

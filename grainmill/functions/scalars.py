@@ -111,11 +111,11 @@ def calculate(text: str | None) -> str | None:
 
     try:
         v = of(ast.parse(text.replace("×", "*").replace("÷", "/").strip(), mode="eval").body)
-    except (SyntaxError, ValueError, ZeroDivisionError, OverflowError, KeyError, RecursionError):
-        return None
-    if isinstance(v, complex) or (isinstance(v, float) and not math.isfinite(v)):
-        return None
-    return str(int(v)) if isinstance(v, float) and v.is_integer() and abs(v) < 1e15 else str(v)
+        if isinstance(v, complex) or (isinstance(v, float) and not math.isfinite(v)):
+            return None
+        return str(int(v)) if isinstance(v, float) and v.is_integer() and abs(v) < 1e15 else str(v)
+    except (SyntaxError, ValueError, ZeroDivisionError, OverflowError, KeyError, RecursionError, MemoryError):
+        return None  # a number of more digits than Python prints is a ValueError
 
 
 @F.pandas_udf(StringType())

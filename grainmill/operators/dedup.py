@@ -22,12 +22,14 @@ def pair_key(a: Column, b: Column, between: str = "") -> Column:
 def paragraphs_once(docs: DataFrame, order: str = "doc_id", least: int = 50) -> DataFrame:
     """Paragraphs of all documents once; those under ``least`` characters always stay.
 
-    Only digests and places move for the deduplication; texts move once, to be put together again.
+    Digests and places move for the deduplication, which is a minimum by digest: the places that it gives are
+    what stays, so no paragraph is joined on its digest. Texts move with the places that stay.
     """
     parts = docs.select(order, F.posexplode(F.split("text", "\n\n")).alias("pos", "p")).withColumn("p", F.regexp_replace("p", "^\\s+|\\s+$", ""))
-    parts = parts.filter("p <> ''").withColumn("digest", F.when(F.length("p") >= least, F.substring(F.sha2("p", 256), 1, 16)))
-    first = parts.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(order, "pos")).alias("at"))
-    kept = parts.join(first, "digest", "left").filter(F.col("digest").isNull() | (F.struct(order, "pos") == F.col("at")))
+    long = parts.filter(F.length("p") >= least)
+    digest = F.substring(F.sha2("p", 256), 1, 16)
+    first = long.groupBy(digest.alias("digest")).agg(F.min(F.struct(order, "pos")).alias("at")).select("at.*")
+    kept = long.join(first, [order, "pos"], "left_semi").unionByName(parts.filter((F.col("p") != "") & (F.length("p") < least)))
     texts = kept.groupBy(order).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]), "\n\n").alias("text"))
     return texts.filter(F.length("text") >= least)
 

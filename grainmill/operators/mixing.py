@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.predicates import boilerplate, foreign_identity, stale
+from grainmill.operators.ranks import places
 
 
 def teachings(df: DataFrame) -> DataFrame:
@@ -24,20 +25,56 @@ def identity(df: DataFrame) -> DataFrame:
     return df.filter(~stale(F.col("completion")))
 
 
+def message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.cast("string").alias("content"))
+
+
+def tool_call(tool: str, argument: str, value: Column) -> Column:
+    return F.to_json(F.struct(F.lit(tool).alias("name"), F.struct(value.alias(argument)).alias("arguments")))
+
+
 def tool_examples(df: DataFrame, template: str, tool: str, argument: str) -> DataFrame:
     """Conversations that call a tool, one for each value; ``df`` has (id, value, result)."""
-    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    call = F.to_json(F.struct(F.lit(tool).alias("name"), F.struct(F.col("value").alias(argument)).alias("arguments")))
+    call = tool_call(tool, argument, F.col("value"))
     return df.select("id", F.array(message("user", F.format_string(template, "value")), message("assistant", call), message("tool", F.col("result")), message("assistant", F.col("result"))).alias("messages"))
 
 
-def with_distractors(facts: DataFrame, k: int, buckets: int = 64) -> DataFrame:
-    """Each fact with up to k other facts of its bucket, by hash order; ``facts`` has (id, fact)."""
-    from grainmill.operators.retrieval import top_rows
+def tool_errors(df: DataFrame, template: str, tool: str, argument: str, apology: str) -> DataFrame:
+    """The tool answers with an error, and the answer says so instead of making a result up; ``df`` has (id, value, error)."""
+    call = tool_call(tool, argument, F.col("value"))
+    failed = F.to_json(F.struct(F.col("error").alias("error")))
+    return df.select("id", F.array(message("user", F.format_string(template, "value")), message("assistant", call), message("tool", failed), message("assistant", F.format_string(apology, "error"))).alias("messages"))
+
+
+def tool_dialogues(df: DataFrame, template: str, again: str, tool: str, argument: str) -> DataFrame:
+    """Two calls in one conversation; the second question follows the first answer. ``df`` has (id, values, results), two each."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    turn = lambda t, i: [
+        message("user", F.format_string(t, at("values", i))), message("assistant", tool_call(tool, argument, at("values", i))), message("tool", at("results", i)), message("assistant", at("results", i)),
+    ]
+    return df.filter((F.size("values") >= 2) & (F.size("results") >= 2)).select("id", F.array(*turn(template, 0), *turn(again, 1)).alias("messages"))
+
 
-    b = facts.withColumn("b", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(buckets)))
-    other = b.select("b", F.col("id").alias("other"), F.col("fact").alias("other_fact"))
-    near = top_rows(b.join(other, "b").filter("id <> other"), ["id"], [F.xxhash64("id", "other"), F.col("other")], k)
+def tool_restraint(df: DataFrame) -> DataFrame:
+    """Questions that need no tool are answered without one; ``df`` has (id, question, answer)."""
+    return df.filter((F.trim("question") != "") & (F.trim("answer") != "")).select("id", F.array(message("user", F.col("question")), message("assistant", F.col("answer"))).alias("messages"))
+
+
+def ring(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """(key, other, rank): for each key the next ``k`` others in a seeded hash order, which is a ring."""
+    placed = places(df.select(F.col(key).alias("id"), F.xxhash64(key, F.lit(seed)).alias("_h")), ["_h", "id"]).select("id", "place")
+    n = placed.count()
+    steps = F.explode(F.sequence(F.lit(1), F.lit(min(k, n - 1)))) if n > 1 else F.explode(F.array().cast("array<int>"))
+    asked = placed.select(F.col("id").alias(key), "place", steps.alias("rank")).withColumn("place", (F.col("place") + F.col("rank")) % max(n, 1))
+    return asked.join(placed.withColumnRenamed("id", "other"), "place").select(key, "other", "rank")
+
+
+def with_distractors(facts: DataFrame, k: int, seed: int = 3) -> DataFrame:
+    """Each fact with up to k others, drawn from all facts by a ring of hashes; ``facts`` has unique (id, fact).
+
+    Each fact is a distractor of k others, so no key is hot.
+    """
+    near = ring(facts, "id", k, seed).join(facts.select(F.col("id").alias("other"), F.col("fact").alias("other_fact")), "other")
     lines = near.groupBy("id").agg(F.sort_array(F.collect_list("other_fact")).alias("others"))
     return facts.join(lines, "id", "left").select("id", "fact", F.coalesce("others", F.array().cast("array<string>")).alias("distractors"))
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from grainmill.functions.bpe import MergeTokenizer
 from grainmill.shipping import ship
@@ -46,8 +48,17 @@ def best_fit(sequences: list[list[int]], width: int, end: int) -> tuple[list[lis
     return rows, spans
 
 
+#: Sequences that a packing group holds on average.
+GROUP_ROWS = 4096
+
+
+def groups_for(rows: int) -> int:
+    """The number of packing groups, which grows with the table."""
+    return max(8, -(-rows // GROUP_ROWS))
+
+
 def packed(df: DataFrame, width: int, end: int, groups: int, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """(pack, row, ids, starts, ends): best-fit packing within hash groups of bounded size.
+    """(pack, row, ids, starts, ends): best-fit packing within hash groups; ``groups_for`` bounds their size.
 
     Packing all rows in one order would be one task; groups of some thousand rows waste as little.
     Sequences longer than ``width - 1`` are split into pieces of that length and a rest, so nothing is
@@ -225,9 +236,9 @@ def fitted(t: MergeTokenizer, prompt: str, completion: str, block: int) -> tuple
     return "dropped", None
 
 
-def preference(t: MergeTokenizer, prompt: str, chosen: str, rejected: str, most: int) -> dict | None:
-    """Ids and labels of both answers, padded to one length; None if a field is blank."""
-    if not (prompt.strip() and chosen.strip() and rejected.strip()):
+def preference(t: MergeTokenizer, prompt: str | None, chosen: str | None, rejected: str | None, most: int) -> dict | None:
+    """Ids and labels of both answers, padded to one length; None if a field is null or blank."""
+    if not all((x or "").strip() for x in (prompt, chosen, rejected)):
         return None
     out, head = {}, len(t.encode(prompt))
     for k, answer in (("chosen", chosen), ("rejected", rejected)):
@@ -237,18 +248,62 @@ def preference(t: MergeTokenizer, prompt: str, chosen: str, rejected: str, most:
     return {k: ([*i, *[t.PAD] * (n - len(i))], [*y, *[IGNORE] * (n - len(y))]) for k, (i, y) in out.items()}
 
 
-def encoded(df: DataFrame, t: MergeTokenizer, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (P3, P4, P6); the tokenizer's tables are broadcast, each worker keeps a cache of words."""
+def encoded(df: DataFrame, t: MergeTokenizer, text: str = "text", dropout: float = 0.0, seed: int = 0) -> DataFrame:
+    """Adds ``ids`` (P3, P4, P6); the tokenizer's tables are broadcast, each worker keeps a cache of words.
+
+    A null or empty text has no ids. With ``dropout``, merges are skipped by a seed and the text, so reruns agree.
+    """
+
+    def kernel(own: MergeTokenizer, texts: list[str]) -> pa.Array:
+        if dropout:
+            got = [array("i", own.encode(x, dropout=dropout, seed=seed ^ zlib.crc32(x.encode("utf-8", "surrogatepass")))).tobytes() for x in texts]
+        else:
+            got = [own.encode_packed(x) for x in texts]
+        return int_lists(got)
+
+    return with_tokenizer(df, t, [text], "ids array<int>", lambda own, texts: [kernel(own, [x or "" for x in texts])])
+
+
+def int_lists(packed: list[bytes]) -> pa.ListArray:
+    """Lists of 32-bit integers from their bytes."""
+    ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed], dtype=np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def with_tokenizer(df: DataFrame, t: MergeTokenizer, inputs: list[str], outputs: str, kernel) -> DataFrame:
+    """``df`` with the columns of the DDL ``outputs``: ``kernel(tokenizer, *lists of values)`` gives their values.
+
+    Works on Arrow batches, ``ROWS`` rows at a time.
+    """
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(t)
+    outs = StructType.fromDDL(outputs)
+    kept = [f for f in df.schema.fields if f.name not in outs.fieldNames()]
+    types = [f.type for f in to_arrow_schema(outs)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            for i in range(0, len(b), ROWS):  # ids of few texts at a time take little memory
-                part = b.iloc[i : i + ROWS]
-                yield part.assign(ids=[np.array(own.encode(x or ""), np.int32) for x in part[text]])
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                got = kernel(own, *[part.column(c).to_pylist() for c in inputs])
+                cols = [x if isinstance(x, pa.Array) else pa.array(x, ty) for x, ty in zip(got, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *cols], names=[*[f.name for f in kept], *outs.fieldNames()])
+
+    return df.mapInArrow(run, StructType([*kept, *outs.fields]))
+
 
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+def shown_spans(df: DataFrame, width: int, starts: str = "starts", ends: str = "ends") -> DataFrame:
+    """Adds ``sees``, for each position of a packed row the first position that it attends to, and -1 for padding.
+
+    Position j may look at i if ``sees[j] <= i <= j``: that is the block-diagonal causal mask, in one number a
+    position in place of ``width`` of them.
+    """
+    span = lambda j: F.filter(F.arrays_zip(F.col(starts).alias("a"), F.col(ends).alias("b")), lambda s: (s["a"] <= j) & (j < s["b"]))
+    return df.withColumn("sees", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.coalesce(F.get(span(j), F.lit(0))["a"], F.lit(-1))))
 
 
+def mask_of(sees: list[int]) -> np.ndarray:
+    """The additive mask of one row: 0 where a position attends, -1e9 elsewhere."""
+    s, at = np.asarray(sees), np.arange(len(sees))
+    return np.where((s[:, None] >= 0) & (s[:, None] <= at) & (at <= at[:, None]), 0.0, -1e9)

@@ -97,25 +97,31 @@ def combined(parts: list[DataFrame]) -> DataFrame:
     return first_rows(every, pair_key(F.col("prompt"), F.col("completion")), ["part", "at"]).select("prompt", "completion")
 
 
-def sequences(text: str) -> list[str]:
-    """Training sequences of a text, by the first format that gives any."""
-    text = text.strip()
+# The expressions of question-and-answer texts and of dialogues.
+QA_RULES = (r"(?s)Q:\s*(.+?)\s*A:\s*(.+?)(?=Q:|$)", r"(?si)(?:User|Human):\s*(.+?)\s*(?:AI|Assistant):\s*(.+?)(?=(?:User|Human):|$)")
+
+
+def of_line(line: str) -> str | None:
+    """The sequence of a JSON line; None for broken lines, lines that aren't objects, and those without a pair."""
+    try:
+        row = json.loads(line)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(row, dict):
+        return None
+    named = lambda *names: next((row[n] for n in names if n in row), "")
+    p, c, think = named("prompt", "question"), named("completion", "answer", "response"), named("thinking", "reasoning")
+    return f"User: {p}\nAssistant: " + (f"<think>{think}</think>\n" if think else "") + str(c) if p and c else None
+
+
+def sequences(text: str | None) -> list[str]:
+    """Training sequences of a text, by the first format that gives any; a null text has none."""
+    text = (text or "").strip()
     pair = lambda p, c: f"User: {p}\nAssistant: {c}"
     out: list[str] = []
-    if text.startswith("{"):
-        for line in filter(None, map(str.strip, text.split("\n"))):
-            try:
-                row = json.loads(line)
-            except ValueError:
-                continue
-            p = row.get("prompt", row.get("question", ""))
-            c = row.get("completion", row.get("answer", row.get("response", "")))
-            if p and c:
-                think = row.get("thinking", row.get("reasoning", ""))
-                out.append(pair(p, f"<think>{think}</think>\n{c}" if think else c))
-        if out:
-            return out
-    for rule in (r"(?s)Q:\s*(.+?)\s*A:\s*(.+?)(?=Q:|$)", r"(?si)(?:User|Human):\s*(.+?)\s*(?:AI|Assistant):\s*(.+?)(?=(?:User|Human):|$)"):
+    if text.startswith("{") and (out := [*filter(None, map(of_line, filter(None, map(str.strip, text.split("\n")))))]):
+        return out
+    for rule in QA_RULES:
         if out := [pair(a.strip(), b.strip()) for a, b in re.findall(rule, text)]:
             return out
     out = [p for p in map(str.strip, text.split("\n\n")) if len(p) > 50]
@@ -128,7 +134,7 @@ def parsed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, s) for k, t in zip(b["k"], b["t"], strict=True) for i, s in enumerate(sequences(t or ""))]
+            rows = [(k, i, s) for k, t in zip(b["k"], b["t"], strict=True) for i, s in enumerate(sequences(t))]
             yield pd.DataFrame(rows, columns=[key, "pos", "sequence"])
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, pos int, sequence string")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import predicates as P
 from grainmill.functions import text as T
+from grainmill.operators.curation import valid_row
 from grainmill.plans.samples import chosen, injected, quoted, whole
 from grainmill.registry import ORACLES, query
 from grainmill.tables import table
@@ -52,7 +53,7 @@ def f3(spark, d):
 
 
 _wiki = ["#REDIRECT [[x]]", "  \n#redirect [[y]]", "no #redirect here", "{{Disambiguation}}", "see x (disambiguation) there", "plain"]
-_w, _w_sql = chosen(_wiki, "doc_id")
+_w, _w_sql = injected(_wiki)
 
 
 @query("f4_redirect", f"SELECT doc_id, doc_id % 5 = 0 OR starts_with(lower(regexp_replace({_w_sql}, '^\\s+', '')), '#redirect') AS redirect FROM documents")
@@ -80,10 +81,10 @@ def f6(spark, d):
     return docs(spark, d).filter(P.usable_post(_kind(), C("n_chars"), F.when(C("doc_id") % 4 == 0, F.lit("")).otherwise(C("text")), 1000)).select("doc_id")
 
 
-@query("f7_pair_lengths", "SELECT doc_id FROM documents WHERE length(substr(text, 1, CAST(doc_id % 9 AS INT))) >= 5 AND length(substr(text, 10, CAST(doc_id % 17 AS INT))) >= 10")
+@query("f7_pair_lengths", "SELECT doc_id FROM documents WHERE length(split_part(text, ' ', 1)) >= 5 AND length(substr(text, length(split_part(text, ' ', 1)) + 2)) >= 10")
 def f7(spark, d):
-    c = F.col
-    return docs(spark, d).filter(P.pair_lengths(F.substring(c("text"), F.lit(1), (c("doc_id") % 9).cast("int")), F.substring(c("text"), F.lit(10), (c("doc_id") % 17).cast("int")))).select("doc_id")
+    first = F.split_part("text", F.lit(" "), F.lit(1))
+    return docs(spark, d).filter(P.pair_lengths(first, F.substr("text", F.length(first) + 2))).select("doc_id")
 
 
 @query("f8_english", "SELECT doc_id FROM documents WHERE coalesce(CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END, 'en') = 'en'")
@@ -112,7 +113,7 @@ def f10(spark, d):
 
 
 _EX = ["I should say", "[CMD]search.web x[/CMD] and more words to be long", "User: hi there friend\nAssistant: hello to you", "q: what is it that you say a: nothing at all", "short", "[CMD]file.read and never closed, which is wrong"]
-_e, _e_sql = chosen(_EX, "doc_id")
+_e, _e_sql = injected(_EX)
 _st, _st_sql = chosen(["basics", "commands", "web", "conversation", "basics"], "doc_id")
 
 
@@ -130,12 +131,12 @@ def f13(spark, d):
 
 
 _ASK = ["what is 7 * 8", "sum of 3 and 4", "sum yourself up", "remember that", "my dog's name is Rex", "I love tea", "3x4", "2 apples"]
-_q, _q_sql = chosen(_ASK, "conv_id")
+_q, _q_sql = injected(_ASK, key="conv_id")
 
 
-@query("f14_f15_intent", f"SELECT DISTINCT conv_id, regexp_matches(t, '[0-9]') AND (regexp_matches(t, {rx([P.ARITHMETIC_WORDS])}) OR regexp_matches(t, {quoted(P.ARITHMETIC_SIGNS)})) AS arithmetic, regexp_matches(t, {rx([P.MEMORABLE])}) AS memorable FROM (SELECT conv_id, {_q_sql} AS t FROM conversations)")
+@query("f14_f15_intent", f"SELECT conv_id, turn, regexp_matches(t, '[0-9]') AND (regexp_matches(t, {rx([P.ARITHMETIC_WORDS])}) OR regexp_matches(t, {quoted(P.ARITHMETIC_SIGNS)})) AS arithmetic, regexp_matches(t, {rx([P.MEMORABLE])}) AS memorable FROM (SELECT conv_id, turn, {_q_sql} AS t FROM conversations)")
 def f14(spark, d):
-    return table(spark, d, "conversations").select("conv_id", P.arithmetic(_q()).alias("arithmetic"), P.memorable(_q()).alias("memorable")).distinct()
+    return table(spark, d, "conversations").select("conv_id", "turn", P.arithmetic(_q()).alias("arithmetic"), P.memorable(_q()).alias("memorable"))
 
 
 @query("f16_graded", "SELECT conv_id, turn, (turn % 3 = 0 OR contains(lower(text), 'the') OR contains(lower(text), 'xyz')) AND NOT contains(lower(text), 'tion') AS passed FROM conversations")
@@ -155,6 +156,28 @@ def f17(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(ok.alias("preference_ok"), F.count_if(~r.isin("system", "user", "assistant")).alias("bad_roles"))
 
 
+_MODES = {
+    "dpo": "trim(coalesce(p, '')) <> '' AND trim(coalesce(c, '')) <> '' AND trim(coalesce(r, '')) <> ''",
+    "grpo": "trim(coalesce(p, '')) <> ''",
+    "kto": "trim(coalesce(p, '')) <> '' AND trim(coalesce(c, '')) <> '' AND d IS NOT NULL",
+    "lora": "trim(coalesce(c, '')) <> ''",
+    "vision": "trim(coalesce(i, '')) <> '' AND trim(coalesce(c, '')) <> ''",
+    "sft": "trim(coalesce(c, '')) <> '' OR (trim(coalesce(p, '')) <> '' AND trim(coalesce(c, '')) <> '')",
+}
+
+
+@query(
+    "f17_mode_rules",
+    f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 7 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS p, text AS c, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS r, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 2 = 0 END AS d, CASE WHEN doc_id % 11 <> 0 THEN lang END AS i FROM documents)
+    SELECT doc_id, {', '.join(f"{sql} AS {m}" for m, sql in _MODES.items())} FROM x""",
+)
+def f17_modes(spark, d):
+    k = C("doc_id")
+    prompt = F.when(k % 5 == 0, F.lit(" ")).when(k % 7 != 0, F.split_part("text", F.lit("\n"), F.lit(1)))
+    row = {"prompt": prompt, "chosen": C("text"), "rejected": F.when(k % 3 == 0, F.lit("")).otherwise(C("source")), "response": C("text"), "completion": C("text"), "text": C("text"), "desirable": F.when(k % 4 != 0, k % 2 == 0), "image": F.when(k % 11 != 0, C("lang"))}
+    return docs(spark, d).select("doc_id", *[valid_row(m, row).alias(m) for m in _MODES])
+
+
 @query("f18_min_tokens", r"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS BIGINT) AS n FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z0-9'']+')) >= 5")
 def f18(spark, d):
     n = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+"), F.lit(0))).cast("long")
@@ -162,7 +185,7 @@ def f18(spark, d):
 
 
 _TAG = ["<search>x</search>", "<search>open only", "none"]
-_t, _t_sql = chosen(_TAG, "doc_id")
+_t, _t_sql = injected(_TAG)
 
 
 @query("f20_tag_rules", f"SELECT doc_id FROM (SELECT doc_id, doc_id % 2 = 0 AS positive, {_t_sql} AS t FROM documents) WHERE CASE WHEN positive THEN NOT (contains(t, '<search>') AND contains(t, '</search>')) ELSE contains(t, '<search>') OR contains(t, '</search>') END")
@@ -190,7 +213,7 @@ def sql_lines(x: str, keep: str) -> str:
 
 
 _RAW = ["a\r\nb  \n\n\n\nc", "tab\t\nend ", "nul" + chr(1) + "x", "[12] seen [citation needed] at https://x.y/z and [note]\nHead:\nmore text is here", "plain"]
-_r, _r_sql = injected(_RAW, size=120)
+_r, _r_sql = injected(_RAW)
 
 
 @query("t1_clean", "SELECT doc_id, " + sql_chain(f"({_r_sql})", [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \t\n]+|[ \t\n]+$", "")]) + " AS clean FROM documents")
@@ -213,7 +236,7 @@ def _first_sql(x: str, markers) -> str:
 
 
 _BOOK = ["*** START OF THE PROJECT GUTENBERG EBOOK\nbody  of\n\n\n\nthe book\n*** END OF THIS PROJECT GUTENBERG EBOOK", "End of Project Gutenberg tail", "*END*THE SMALL PRINT\nx *** START OF THIS PROJECT GUTENBERG\ny"]
-_b, _b_sql = injected(_BOOK, size=100)
+_b, _b_sql = injected(_BOOK)
 
 
 @query(
@@ -252,7 +275,7 @@ def t9(spark, d):
 
 
 _GEN = ["<think>so</think> The answer is... 42", "Here's an example: a b", "here is the training example.\nx", "nothing to strip"]
-_g, _g_sql = chosen(_GEN, "doc_id")
+_g, _g_sql = injected(_GEN)
 
 
 @query("t11_generated", "SELECT doc_id, " + sql_chain(_g_sql, [("</?think>", ""), (TRIM, ""), (r"(?i)^The answer is\.{0,3}\s*", ""), (TRIM, ""), (r"(?i)^(?:Here is|Here's) (?:a |an |the )?(?:training )?example[:.\s]*", ""), (TRIM, "")]) + " AS clean FROM documents")
@@ -265,9 +288,9 @@ def t13(spark, d):
     return docs(spark, d).select("doc_id", F.when(C("doc_id") % 3 == 0, C("lang")).otherwise(F.concat("lang", F.lit("\n\nContext: "), "source")).alias("prompt"))
 
 
-@query("t17_pair_text", "SELECT doc_id, 'User: ' || source || chr(10) || 'Assistant: ' || substr(text, 1, 50) AS seq FROM documents")
+@query("t17_pair_text", "SELECT doc_id, 'User: ' || source || chr(10) || 'Assistant: ' || text AS seq FROM documents")
 def t17(spark, d):
-    return docs(spark, d).select("doc_id", F.format_string("User: %s\nAssistant: %s", "source", F.substring("text", 1, 50)).alias("seq"))
+    return docs(spark, d).select("doc_id", F.format_string("User: %s\nAssistant: %s", "source", "text").alias("seq"))
 
 
 @query("t19_paragraphs", "SELECT conv_id, CAST(i - 1 AS INT) AS pos, regexp_replace(p[i], '^\\s+|\\s+$', '', 'g') AS para FROM (SELECT conv_id, string_split(string_agg(text, chr(10) || chr(10) ORDER BY turn), chr(10) || chr(10)) AS p FROM conversations GROUP BY conv_id), unnest(range(1, len(p) + 1)) AS r(i)")
@@ -285,13 +308,18 @@ def t25(spark, d):
     return docs(spark, d).select("doc_id", T.found_stop(C("text"), _STOPS).cast("long").alias("stop"))
 
 
-@query("t12_dedup_key")
+_BETWEEN = ("([\\p{L}\\p{M}\\p{N}_])\\.([\\p{L}\\p{M}\\p{N}_])", "$1\ue000$2")
+#: T12 without looking around: dots between word characters are put by (twice, as matches may touch), others go.
+DEDUP_KEY_SQL = sql_chain(f"lower({sql_chain('text', [(TRIM, '')])})", [("\\s+", " "), _BETWEEN, _BETWEEN, ("\\.", ""), ("\ue000", "."), ("[,;:!?\"'`~@#$%^&*(){}|\\\\<>+=_-]", "")])
+
+
+@query("t12_dedup_key", f"SELECT doc_id, {DEDUP_KEY_SQL} AS key FROM documents")
 def t12(spark, d):
     return docs(spark, d).select("doc_id", T.dedup_key(C("text")).alias("key"))
 
 
 _WT = ["{{Infobox|a={{b}}}} '''Bold''' [[Target|shown]] and [[plain]] text.<ref>x</ref>", "== Head ==\n* item one\n[[File:a.png|thumb]]\n[http://a.b c d] end of the line that is long enough.", "{| class=x\n|-\n| cell\n|}\n&nbsp;after &amp; more<!-- gone -->"]
-_wt, _ = injected(_WT, size=None)
+_wt, _ = injected(_WT)
 
 
 @query("t4_fan_wikitext")
@@ -304,64 +332,55 @@ def t6(spark, d):
     return docs(spark, d).select("doc_id", T.dump_wikitext(_wt()).alias("plain"))
 
 
-_all_ai, _all_ai_sql = injected(_AI, size=None)
-_all_v, _all_v_sql = injected(_VOICE, size=None)
-_all_r, _all_r_sql = injected(_RAW, size=None)
-_all_b, _all_b_sql = injected(_BOOK, size=None)
 
 
-@query("f2_generated_whole", whole(ORACLES["f2_generated"], _ai_sql, _all_ai_sql))
+
+@query("f2_generated_whole", whole(ORACLES["f2_generated"], _ai_sql, "text"))
 def f2_whole(spark, d):
-    return docs(spark, d).select("doc_id", P.generated_text(_all_ai()).alias("generated"))
+    return docs(spark, d).select("doc_id", P.generated_text(C("text")).alias("generated"))
 
 
-@query("f10_f11_f12_voice_whole", whole(ORACLES["f10_f11_f12_voice"], _v_sql, _all_v_sql))
+@query("f10_f11_f12_voice_whole", whole(ORACLES["f10_f11_f12_voice"], _v_sql, "text"))
 def f10_whole(spark, d):
-    return docs(spark, d).select("doc_id", P.boilerplate(_all_v()).alias("boilerplate"), P.foreign_identity(_all_v()).alias("foreign_identity"), P.stale(_all_v()).alias("stale"))
+    return docs(spark, d).select("doc_id", P.boilerplate(C("text")).alias("boilerplate"), P.foreign_identity(C("text")).alias("foreign_identity"), P.stale(C("text")).alias("stale"))
 
 
-@query("t1_clean_whole", whole(ORACLES["t1_clean"], _r_sql, _all_r_sql))
+@query("t1_clean_whole", whole(ORACLES["t1_clean"], _r_sql, "text"))
 def t1_whole(spark, d):
-    return docs(spark, d).select("doc_id", T.clean_text(_all_r()).alias("clean"))
+    return docs(spark, d).select("doc_id", T.clean_text(C("text")).alias("clean"))
 
 
-@query("t2_one_line_whole", whole(ORACLES["t2_one_line"], _r_sql, _all_r_sql))
+@query("t2_one_line_whole", whole(ORACLES["t2_one_line"], _r_sql, "text"))
 def t2_whole(spark, d):
-    return docs(spark, d).select("doc_id", T.one_line(_all_r()).alias("line"))
+    return docs(spark, d).select("doc_id", T.one_line(C("text")).alias("line"))
 
 
-@query("t3_clean_wiki_whole", whole(ORACLES["t3_clean_wiki"], _r_sql, _all_r_sql))
+@query("t3_clean_wiki_whole", whole(ORACLES["t3_clean_wiki"], _r_sql, "text"))
 def t3_whole(spark, d):
-    return docs(spark, d).select("doc_id", T.clean_wiki(_all_r()).alias("clean"))
+    return docs(spark, d).select("doc_id", T.clean_wiki(C("text")).alias("clean"))
 
 
-@query("t5_book_text_whole", whole(ORACLES["t5_book_text"], _b_sql, _all_b_sql))
+@query("t5_book_text_whole", whole(ORACLES["t5_book_text"], _b_sql, "text"))
 def t5_whole(spark, d):
-    return docs(spark, d).select("doc_id", T.book_text(_all_b()).alias("body"))
-
-
-_all_e, _all_e_sql = injected(_EX, size=None)
-_all_q, _all_q_sql = injected(_ASK, key="conv_id", size=None)
-_all_t, _all_t_sql = injected(_TAG, size=None)
-_all_g, _all_g_sql = injected(_GEN, size=None)
+    return docs(spark, d).select("doc_id", T.book_text(C("text")).alias("body"))
 
 
-@query("f13_valid_example_whole", whole(ORACLES["f13_valid_example"], _e_sql, _all_e_sql))
+@query("f13_valid_example_whole", whole(ORACLES["f13_valid_example"], _e_sql, "text"))
 def f13_whole(spark, d):
-    return docs(spark, d).select("doc_id", P.valid_example(_all_e(), _st()).alias("valid"))
+    return docs(spark, d).select("doc_id", P.valid_example(C("text"), _st()).alias("valid"))
 
 
-@query("f14_f15_intent_whole", whole(whole(ORACLES["f14_f15_intent"], _q_sql, _all_q_sql), "conv_id,", "conv_id, turn,").replace("DISTINCT ", ""))
+@query("f14_f15_intent_whole", whole(ORACLES["f14_f15_intent"], _q_sql, "text"))
 def f14_whole(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", P.arithmetic(_all_q()).alias("arithmetic"), P.memorable(_all_q()).alias("memorable"))
+    return table(spark, d, "conversations").select("conv_id", "turn", P.arithmetic(C("text")).alias("arithmetic"), P.memorable(C("text")).alias("memorable"))
 
 
-@query("f20_tag_rules_whole", whole(ORACLES["f20_tag_rules"], _t_sql, _all_t_sql))
+@query("f20_tag_rules_whole", whole(ORACLES["f20_tag_rules"], _t_sql, "text"))
 def f20_whole(spark, d):
-    a, b = F.contains(_all_t(), F.lit("<search>")), F.contains(_all_t(), F.lit("</search>"))
+    a, b = F.contains(C("text"), F.lit("<search>")), F.contains(C("text"), F.lit("</search>"))
     return docs(spark, d).filter(F.when(C("doc_id") % 2 == 0, ~(a & b)).otherwise(a | b)).select("doc_id")
 
 
-@query("t11_generated_whole", whole(ORACLES["t11_generated"], _g_sql, _all_g_sql))
+@query("t11_generated_whole", whole(ORACLES["t11_generated"], _g_sql, "text"))
 def t11_whole(spark, d):
-    return docs(spark, d).select("doc_id", T.generated_example(_all_g()).alias("clean"))
+    return docs(spark, d).select("doc_id", T.generated_example(C("text")).alias("clean"))

@@ -9,10 +9,13 @@ from grainmill.functions import scalars as X
 from grainmill.functions.text import token_estimate
 from grainmill.operators import conversations as V
 from grainmill.operators import series as S
+from grainmill.operators.mixing import ring
+from grainmill.operators.ranks import least_hashed, places
 from grainmill.operators.retrieval import content_terms, terms
 from grainmill.plans.relational import TERMS, _STOP_SQL
-from grainmill.plans.samples import chosen, quoted
+from grainmill.plans.samples import chosen, injected, quoted
 from grainmill.registry import query
+from grainmill.sources.readers import budgeted
 from grainmill.tables import table
 
 C = F.col
@@ -37,7 +40,7 @@ def x2(spark, d):
 
 
 _NUM = ["so it is #### 1,234", "we get 12 then 3.5", "none", "#### 7 and later 9", "-3/4 of it", "6 / 0", "1,000 apples and 2"]
-_n, _n_sql = chosen(_NUM, "doc_id")
+_n, _n_sql = injected(_NUM)
 
 
 @query(
@@ -50,7 +53,7 @@ def x3(spark, d):
 
 
 _J = ["SCORE: 7 | Good", "23/100", "I say 8/10", "rating of 9 here", "give it a 4", "line\n 6 \nend", "score 77", "nothing", "SCORE: 0"]
-_j, _j_sql = chosen(_J, "doc_id")
+_j, _j_sql = injected(_J)
 _tries = ", ".join(f"CASE WHEN regexp_extract(t, {quoted(p)}, 1) <> '' THEN greatest(1, least(10, CAST(regexp_extract(t, {quoted(p)}, 1) AS INT))) END" for p in X.SCORE_PATTERNS)
 
 
@@ -66,7 +69,7 @@ def x6(spark, d):
 
 
 _TAGS = ["<answer> 42 </answer>", "<ANSWER>x\ny</ANSWER> z", "no tags", "<answer></answer>"]
-_t, _t_sql = chosen(_TAGS, "doc_id")
+_t, _t_sql = injected(_TAGS)
 
 
 @query("x10_tag", f"SELECT doc_id, nullif(trim(regexp_extract({_t_sql}, '(?is)<answer>(.*?)</answer>', 1)), '') AS answer FROM documents")
@@ -81,7 +84,7 @@ def x11(spark, d):
 
 
 _MAG = ["why? <|u|> because <|a|> tail", "no end", " <|u|> x", "q <|u|>  <|a|>", "a <|u|> b"]
-_m, _m_sql = chosen(_MAG, "doc_id")
+_m, _m_sql = injected(_MAG)
 
 
 @query(
@@ -113,16 +116,31 @@ def x19(spark, d):
     return table(spark, d, "pages").select("page_id", F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")).isin("localhost", "127.0.0.1", "::1").alias("local"))
 
 
-@query("x7_calculator")
+_CALC = ["2 + 3 * 4", "7 // 2", "2 ** 0.5", "1/0", "__import__('os')", "(1+2)*3.0", "9 % 4", "(10**12)**1000", "2 ** 5000"]
+_VALUES = ["14", "3", "1.4142135623730951", "", "", "9", "1", "", ""]
+_calc, _calc_sql = chosen(_CALC, "doc_id")
+
+
+@query("x7_calculator", f"SELECT doc_id, nullif({chosen(_VALUES, 'doc_id')[1]}, '') AS value FROM documents")
 def x7(spark, d):
-    text, _ = chosen(["2 + 3 * 4", "7 // 2", "2 ** 0.5", "1/0", "__import__('os')", "(1+2)*3.0", "9 % 4"], "doc_id")
-    return docs(spark, d).select("doc_id", X.calculated(text()).alias("value"))
+    return docs(spark, d).select("doc_id", X.calculated(_calc()).alias("value"))
+
 
+_ANSWERS = ["<think>a</think><answer>42</answer>", "the answer is 42", "<think>b</think><answer>41</answer>"]
+_ans, _ans_sql = injected(_ANSWERS)
+_FRACTION = r"(-?\d+(?:\.\d+)?(?:\s*/\s*\d+)?)"
 
-@query("x8_rewards")
+
+@query(
+    "x8_rewards",
+    rf"""WITH t AS (SELECT doc_id, {_ans_sql} AS t FROM documents),
+    a AS (SELECT doc_id, t, coalesce(nullif(trim(regexp_extract(t, '(?is)<answer>(.*?)</answer>', 1)), ''), t) AS a FROM t),
+    n AS (SELECT doc_id, t, regexp_extract_all(a, '{_FRACTION}', 1)[-1] AS x FROM a),
+    v AS (SELECT doc_id, t, CASE WHEN contains(x, '/') THEN CASE WHEN CAST(trim(string_split(x, '/')[2]) AS DOUBLE) <> 0 THEN CAST(trim(string_split(x, '/')[1]) AS DOUBLE) / CAST(trim(string_split(x, '/')[2]) AS DOUBLE) END ELSE CAST(x AS DOUBLE) END AS v FROM n)
+    SELECT doc_id, 0.8::DOUBLE * CASE WHEN abs(v - 42) < 1e-6 THEN 1.0 ELSE 0.0 END + 0.2::DOUBLE * CASE WHEN regexp_matches(t, '(?is)^\s*<think>.+?</think>\s*<answer>.+?</answer>\s*$') THEN 1.0 ELSE 0.0 END AS reward FROM v""",
+)
 def x8(spark, d):
-    text, _ = chosen(["<think>a</think><answer>42</answer>", "the answer is 42", "<think>b</think><answer>41</answer>"], "doc_id")
-    return docs(spark, d).select("doc_id", X.reasoning_reward(text(), F.lit("42")).alias("reward"))
+    return docs(spark, d).select("doc_id", X.reasoning_reward(_ans(), F.lit("42")).alias("reward"))
 
 
 @query("x9_unescape")
@@ -237,10 +255,12 @@ def a17(spark, d):
     return docs(spark, d).groupBy("source", "lang").count().groupBy("source").agg(F.count("*").alias("phrasings"), (F.count("*") < 3).alias("thin"))
 
 
-@query("a18_fingerprint", "SELECT source, substr(sha256(string_agg(sha256(text), '' ORDER BY doc_id)), 1, 16) AS fingerprint FROM documents GROUP BY source")
+@query("a18_fingerprint", "SELECT source, substr(sha256(CAST(sum(CAST('0x' || substr(sha256(doc_id || ':' || text), 1, 14) AS BIGINT)) AS VARCHAR) || ':' || count(*)), 1, 16) AS fingerprint FROM documents GROUP BY source")
 def a18(spark, d):
-    h = docs(spark, d).select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    return h.groupBy("source").agg(F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), ""), 256), 1, 16).alias("fingerprint"))
+    """A digest of the sum of the rows' digests, each of a text and its id, so no task holds a source's rows."""
+    own = F.conv(F.substring(F.sha2(F.concat_ws(":", C("doc_id").cast("string"), "text"), 256), 1, 14), 16, 10).cast("decimal(38,0)")
+    sums = docs(spark, d).filter("text IS NOT NULL").groupBy("source").agg(F.sum(own).alias("s"), F.count("*").alias("n"))
+    return sums.select("source", F.substring(F.sha2(F.concat_ws(":", C("s").cast("string"), C("n").cast("string")), 256), 1, 16).alias("fingerprint"))
 
 
 @query("a19_desirable", "SELECT count_if(coalesce(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE quality = 1 END, TRUE)) AS desirable, count_if(NOT coalesce(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE quality = 1 END, TRUE)) AS undesirable FROM labels")
@@ -307,11 +327,17 @@ def w10(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.max("event_id").alias("step"), F.max_by("value", "event_id").alias("value"))
 
 
-@query("w5_advantages")
+@query(
+    "w5_advantages",
+    """WITH RECURSIVE e AS (SELECT user_id, value AS r, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, value + 0.99 * coalesce(lead(value) OVER w * 0.5, 0) - value * 0.5 AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    a AS (SELECT user_id, i, delta AS adv FROM e WHERE i = n UNION ALL SELECT e.user_id, e.i, e.delta + 0.99 * 0.95 * a.adv FROM a JOIN e ON e.user_id = a.user_id AND e.i = a.i - 1)
+    SELECT user_id, i AS step, round(adv, 6) AS advantage FROM a""",
+)
 def w5(spark, d):
     e = events(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("e"))
     v = F.transform("e", lambda x: x["value"])
-    return e.select("user_id", S.advantages(v, F.transform(v, lambda x: x * 0.5)).alias("advantages"))
+    a = e.select("user_id", F.posexplode(S.advantages(v, F.transform(v, lambda x: x * 0.5))).alias("pos", "a"))
+    return a.select("user_id", (C("pos") + 1).cast("long").alias("step"), F.round("a", 6).alias("advantage"))
 
 
 @query("w11_span_weights", "SELECT conv_id, CAST(sum(CASE WHEN k IN (1, 2) THEN 2.5 ELSE 1 END) AS DOUBLE) AS total FROM (SELECT conv_id, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS u, turn, CASE WHEN turn = fu THEN 1 WHEN turn > fu AND turn <= fa THEN 2 ELSE 0 END AS k FROM (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS fu, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS fa FROM conversations)) GROUP BY conv_id")
@@ -343,12 +369,31 @@ def o3(spark, d):
 
 @query("o4_o5_split")
 def o4(spark, d):
-    x = docs(spark, d).select("doc_id", F.xxhash64("doc_id", F.lit(42)).alias("h"))
-    n = x.count()
-    held = x.orderBy("h", "doc_id").limit(max(1, int(n * 0.1))).select("doc_id", F.lit(True).alias("held"))
+    """Exactly a tenth of the rows, at least one, is held out, by a seeded hash."""
+    x = docs(spark, d).select("doc_id")
+    held = least_hashed(x, max(1, int(x.count() * 0.1)), 42, "doc_id").withColumn("held", F.lit(True))
     return x.join(held, "doc_id", "left").select("doc_id", F.coalesce("held", F.lit(False)).alias("held_out"))
 
 
+_HELD = "CASE WHEN n < 20 THEN 0 ELSE least(CAST(floor(n * 0.02) AS BIGINT), 512) END"
+
+
+@query("o4_o5_counts", f"SELECT 'o4' AS rule, greatest(1, CAST(floor(n * 0.1) AS BIGINT)) AS held, n FROM (SELECT count(*) AS n FROM documents) UNION ALL SELECT 'o5', {_HELD}, n FROM (SELECT count(*) AS n FROM conversations WHERE role = 'user') UNION ALL SELECT 'o5_few', {_HELD}, n FROM (SELECT count(*) AS n FROM region)")
+def o4_counts(spark, d):
+    """How many rows the two splits hold out; O5 holds none out of fewer than 20 and never more than 512."""
+    out = o4(spark, d).agg(F.count_if("held_out").alias("held"), F.count("*").alias("n")).select(F.lit("o4").alias("rule"), "held", "n")
+    asked = table(spark, d, "conversations").filter("role = 'user'").select((C("conv_id") * 1000 + C("turn")).alias("id"))
+    for rule, rows, key in (("o5", asked, "id"), ("o5_few", table(spark, d, "region").select("r_regionkey"), "r_regionkey")):
+        n = rows.count()
+        out = out.unionByName(least_hashed(rows, sft_held_out(n), 42, key).agg(F.count("*").alias("held")).select(F.lit(rule).alias("rule"), "held", F.lit(n).cast("long").alias("n")))
+    return out
+
+
+def sft_held_out(n: int) -> int:
+    """Validation rows of ``n`` instruction records."""
+    return 0 if n < 20 else min(int(n * 0.02), 512)
+
+
 @query("o6_tail_split", "SELECT doc_id, doc_id >= (SELECT count(*) FROM documents) - (SELECT least(500, count(*) // 100) FROM documents) AS validation FROM documents")
 def o6(spark, d):
     n = docs(spark, d).agg(F.count("*").alias("n"))
@@ -365,15 +410,35 @@ def o7(spark, d):
 
 @query("o8_general_mix")
 def o8(spark, d):
-    own, general = docs(spark, d).filter("doc_id % 3 = 0"), docs(spark, d).filter("doc_id % 3 <> 0")
-    n, g, r = own.count(), general.count(), 0.25
+    return _general_mix(spark, d, 0.25)
+
+
+def _general_mix(spark, d, r):
+    """General records so that they make the share ``r``: exactly as many, each as often as the others but for the rest."""
+    own, general = docs(spark, d).filter("doc_id % 3 = 0"), docs(spark, d).filter("doc_id % 3 <> 0").select("doc_id")
+    n, g, r = own.count(), general.count(), min(r, 0.9)
     want = max(1, int(n * r / max(0.01, 1 - r)))
     times, rest = divmod(want, max(g, 1))
-    picked = general.orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(rest).select("doc_id")
-    again = general.select("doc_id").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("k") if times else picked.limit(0)
+    picked = least_hashed(general, rest, 42, "doc_id")
+    again = general.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("k") if times else picked.limit(0)
     return own.select("doc_id", F.lit("own").alias("part")).unionByName(picked.unionByName(again).withColumn("part", F.lit("general")))
 
 
+@query(
+    "o8_mix_counts",
+    """WITH n AS (SELECT count_if(doc_id % 3 = 0) AS own, count_if(doc_id % 3 <> 0) AS general FROM documents)
+    SELECT 0.25 AS share, 'own' AS part, own AS n, own AS distinct_n FROM n UNION ALL SELECT 0.9, 'own', own, own FROM n
+    UNION ALL SELECT 0.25, 'general', w, least(w, general) FROM (SELECT *, greatest(1, CAST(floor(own * 0.25 / 0.75) AS BIGINT)) AS w FROM n)
+    UNION ALL SELECT 0.9, 'general', w, least(w, general) FROM (SELECT *, greatest(1, CAST(floor(own * 0.9 / (1 - 0.9::DOUBLE)) AS BIGINT)) AS w FROM n)""",
+)
+def o8_counts(spark, d):
+    out = None
+    for r in (0.25, 0.9):
+        own = _general_mix(spark, d, r).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct_n")).withColumn("share", F.lit(r).cast("decimal(3,2)"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("o9_oversample", "SELECT doc_id, k FROM documents, range(1, 9) AS r(k) WHERE k <= CASE WHEN source = 'src1' THEN 8 WHEN source = 'src2' THEN 5 ELSE 1 END")
 def o9(spark, d):
     times = F.when(C("source") == "src1", 8).when(C("source") == "src2", 5).otherwise(1).cast("long")
@@ -416,13 +481,7 @@ def o14(spark, d):
 @query("o16_distractors")
 def o16(spark, d):
     """Two other items for each, drawn from all: those at the next places of a seeded hash order, which is a ring."""
-    b = table(spark, d, "benchmark").select("item_id").orderBy(F.xxhash64("item_id", F.lit(16)), "item_id")
-    places = b.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("item_id long, place long")
-    n = places.count()
-    if n < 2:
-        return places.select("item_id", C("item_id").alias("other"), F.lit(1).alias("rank")).limit(0)
-    steps = places.select("item_id", "place", F.explode(F.sequence(F.lit(1), F.lit(min(2, n - 1)))).alias("rank")).withColumn("place", (C("place") + C("rank")) % n)
-    return steps.join(places.withColumnRenamed("item_id", "other"), "place").select("item_id", "other", "rank")
+    return ring(table(spark, d, "benchmark"), "item_id", 2, 16)
 
 
 @query("o17_head_mid_tail", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) WHERE n <= 300 OR i < 100 OR (i >= n // 2 - 50 AND i < n // 2 + 50) OR i >= n - 100")
@@ -431,6 +490,12 @@ def o17(spark, d):
     n = ids.count()
     if n <= 300:
         return ids
-    lo, hi = (n // 2 - 50), (n // 2 + 50)
-    head, tail = ids.orderBy("doc_id").limit(100), ids.orderBy(F.desc("doc_id")).limit(100)
-    return head.unionByName(ids.orderBy("doc_id").offset(lo).limit(hi - lo)).unionByName(tail)
+    i, mid = C("place"), n // 2
+    return places(ids, ["doc_id"]).filter((i < 100) | ((i >= mid - 50) & (i < mid + 50)) | (i >= n - 100)).select("doc_id")
+
+
+@query("o3_budget_files", "SELECT file, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT b, before // 100000 AS file FROM (SELECT strlen(text) AS b, sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text) AS before FROM documents) WHERE before < 1000000) GROUP BY file")
+def o3_files(spark, d):
+    """The running budget over the whole table, and the files it is cut into."""
+    x = budgeted(docs(spark, d).select("doc_id", "text"), 1_000_000, "doc_id", 100_000)
+    return x.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))

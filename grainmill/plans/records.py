@@ -52,11 +52,12 @@ def t16(spark, d):
 
 @query(
     "t13_instructions",
-    rf"""WITH x AS (SELECT doc_id, {LINE.replace('text', 'substr(text, 1, 40)')} AS i, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS c, {LINE.replace('text', 'substr(text, 41, 80)')} AS r FROM documents)
+    rf"""WITH x AS (SELECT doc_id, {LINE.replace('text', 'split_part(text, chr(10), 1)')} AS i, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS c, {LINE.replace('text', 'substr(text, length(split_part(text, chr(10), 1)) + 1)')} AS r FROM documents)
     SELECT doc_id, CASE WHEN c = '' THEN i ELSE i || chr(10) || chr(10) || 'Context: ' || c END AS prompt, r AS completion FROM x WHERE length(i) >= 5 AND length(r) >= 10""",
 )
 def t13(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("instruction"), F.when(C("doc_id") % 3 == 0, F.lit("")).otherwise(C("source")).alias("context"), F.substring("text", 41, 80).alias("response"))
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    x = table(spark, d, "documents").select("doc_id", line.alias("instruction"), F.when(C("doc_id") % 3 == 0, F.lit("")).otherwise(C("source")).alias("context"), F.substr("text", F.length(line) + 1).alias("response"))
     return R.instructions(x).select("doc_id", "prompt", "completion")
 
 
@@ -79,7 +80,7 @@ def j2(spark, d):
 
 @query("t18_sequences")
 def t18(spark, d):
-    return R.parsed(table(spark, d, "documents").select("doc_id", F.when(C("doc_id") % 3 == 0, F.concat(F.lit("Q: "), F.substring("text", 1, 30), F.lit(" A: "), F.substring("text", 31, 60))).otherwise(C("text")).alias("text")))
+    return R.parsed(table(spark, d, "documents").select("doc_id", F.when(C("doc_id") % 3 == 0, F.concat(F.lit("Q: "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" A: "), C("text"))).otherwise(C("text")).alias("text")))
 
 
 @query("t23_last_user", "SELECT conv_id, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
@@ -97,10 +98,10 @@ def t24(spark, d):
     return table(spark, d, "part").select("p_partkey", R.tools_system(F.when(C("p_partkey") % 3 == 0, none).otherwise(F.array(spec))).alias("body"))
 
 
-@query("t26_prompts", "SELECT doc_id, 'Training example #' || doc_id || ' of 9.' || chr(10) || 'Stage: ' || upper(lang) || ' | Difficulty: ' || upper(source) || chr(10) || chr(10) || substr(text, 1, 10) || chr(10) || chr(10) || 'Write ONLY the example, no labels or meta-text. Make it different from previous examples.' AS prompt, 'Question: ' || lang || chr(10) || 'Answer: ' || source || chr(10) || chr(10) AS shots FROM documents")
+@query("t26_prompts", "SELECT doc_id, 'Training example #' || doc_id || ' of 9.' || chr(10) || 'Stage: ' || upper(lang) || ' | Difficulty: ' || upper(source) || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Write ONLY the example, no labels or meta-text. Make it different from previous examples.' AS prompt, 'Question: ' || lang || chr(10) || 'Answer: ' || source || chr(10) || chr(10) AS shots FROM documents")
 def t26(spark, d):
     shots = F.array(*[F.struct(C("lang").alias("q"), C("source").alias("a"))] * 2)
-    return table(spark, d, "documents").select("doc_id", R.example_prompt(C("doc_id"), 9, C("lang"), C("source"), F.substring("text", 1, 10)).alias("prompt"), R.shots_prefix(shots, 1).alias("shots"))
+    return table(spark, d, "documents").select("doc_id", R.example_prompt(C("doc_id"), 9, C("lang"), C("source"), C("text")).alias("prompt"), R.shots_prefix(shots, 1).alias("shots"))
 
 
 @query("t27_envelopes", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'call_1' ELSE 'call_0,call_1' END AS ids FROM part")

@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import text as T
 from grainmill.operators import conversations as V
+from grainmill.operators import curation as K
 from grainmill.operators import retrieval as R
 from grainmill.operators.dedup import first_rows, pair_key, paragraphs_once, unseen
+from grainmill.operators.ranks import places
+from grainmill.plans.filters import DEDUP_KEY_SQL
 from grainmill.plans.samples import chosen, quoted, whole
 from grainmill.registry import ORACLES, query
 from grainmill.tables import table
 
 C = F.col
-PAIRS = "(SELECT doc_id, substr(text, 1, 20) AS prompt, substr(text, 21, 60) AS completion FROM documents)"
+#: The first line of each text as prompt and all that follows as completion.
+PAIRS = "(SELECT doc_id, split_part(text, chr(10), 1) AS prompt, substr(text, length(split_part(text, chr(10), 1)) + 1) AS completion FROM documents)"
 
 
 def docs(spark, d):
@@ -21,7 +25,8 @@ def docs(spark, d):
 
 
 def pairs(spark, d):
-    return docs(spark, d).select("doc_id", F.substring("text", 1, 20).alias("prompt"), F.substring("text", 21, 60).alias("completion"))
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    return docs(spark, d).select("doc_id", line.alias("prompt"), F.substr("text", F.length(line) + 1).alias("completion"))
 
 
 def talk(spark, d):
@@ -66,7 +71,10 @@ def d4(spark, d):
     return docs(spark, d).groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query("d6_normalised_once")
+@query(
+    "d6_normalised_once",
+    f"WITH k AS (SELECT doc_id, {DEDUP_KEY_SQL} AS k FROM documents) SELECT min(doc_id) AS doc_id FROM k WHERE doc_id % 10 <> 0 AND k NOT IN (SELECT k FROM k WHERE doc_id % 10 = 0) GROUP BY k",
+)
 def d6(spark, d):
     new = docs(spark, d).filter("doc_id % 10 <> 0").select("doc_id", "text")
     old = docs(spark, d).filter("doc_id % 10 = 0").select("text")
@@ -116,12 +124,12 @@ def d13(spark, d):
 
 @query(
     "j1_answers_titles",
-    """WITH q AS (SELECT conv_id, arg_min(substr(text, 1, 40), turn) AS title FROM conversations WHERE role = 'user' AND conv_id % 5 <> 0 GROUP BY conv_id),
+    """WITH q AS (SELECT conv_id, arg_min(text, turn) AS title FROM conversations WHERE role = 'user' AND conv_id % 5 <> 0 GROUP BY conv_id),
     a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND length(text) >= 40)
     SELECT a.conv_id, turn, CASE WHEN title IS NULL THEN 'A: ' || text ELSE 'Q: ' || title || chr(10) || chr(10) || 'A: ' || text END AS body FROM a LEFT JOIN q USING (conv_id)""",
 )
 def j1(spark, d):
-    q = talk(spark, d).filter("role = 'user' AND conv_id % 5 <> 0").groupBy("conv_id").agg(F.min_by(F.substring("text", 1, 40), "turn").alias("title"))
+    q = talk(spark, d).filter("role = 'user' AND conv_id % 5 <> 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
     a = talk(spark, d).filter("role = 'assistant' AND length(text) >= 40")
     body = F.when(C("title").isNull(), F.concat(F.lit("A: "), "text")).otherwise(F.concat(F.lit("Q: "), "title", F.lit("\n\nA: "), "text"))
     return a.join(q, "conv_id", "left").select("conv_id", "turn", body.alias("body"))
@@ -139,10 +147,15 @@ def j2(spark, d):
     return table(spark, d, "orders").join(best, C("o_orderkey") == C("l_orderkey")).filter("b.lang = 'en'").select("o_orderkey", C("b.n").alias("l_linenumber"))
 
 
-@query("j3_leak_guard", "SELECT doc_id FROM documents WHERE lower(trim(substr(text, 1, 30))) NOT IN (SELECT lower(trim(substr(text, 1, 30))) FROM documents WHERE doc_id % 25 = 0)")
+@query(
+    "j3_leak_guard",
+    """WITH q AS (SELECT conv_id, lower(trim(arg_min(text, turn))) AS k FROM conversations WHERE role = 'user' GROUP BY conv_id)
+    SELECT conv_id FROM q WHERE k NOT IN (SELECT k FROM q WHERE conv_id % 25 = 0)""",
+)
 def j3(spark, d):
-    key = F.lower(F.trim(F.substring("text", 1, 30)))
-    return unseen(docs(spark, d).withColumn("k", key), C("k"), docs(spark, d).filter("doc_id % 25 = 0"), key).select("doc_id")
+    """Conversations whose first question isn't one of the held-out conversations' first questions."""
+    q = talk(spark, d).filter("role = 'user'").groupBy("conv_id").agg(F.lower(F.trim(F.min_by("text", "turn"))).alias("k"))
+    return unseen(q, C("k"), q.filter("conv_id % 25 = 0"), C("k")).select("conv_id")
 
 
 @query("j4_existing", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -176,18 +189,39 @@ _STOP_SQL = "[" + ", ".join(map(quoted, R.STOPWORDS)) + "]"
 TERMS = "regexp_extract_all(lower({}), '[a-z0-9'']+')"
 
 
+def fuzzy_pairs(docs_, text="text"):
+    """(doc_id, other): earlier texts whose sets of content terms have a Jaccard index of 1/2 or more.
+
+    Such sets share one of the ``n // 2 + 1`` rarest terms of each, and the sizes differ by a factor of 2 at most.
+    Terms stand in the order of their document counts, as arrays of their places; equal sets meet once.
+    """
+    m = docs_.select("doc_id", F.array_sort(F.array_distinct(R.content_terms(C(text)))).alias("t")).withColumn("k", F.sha2(F.to_json("t"), 256)).filter(F.size("t") > 0)
+    once = m.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("t").alias("t")).withColumn("n", F.size("t"))
+    x = once.select("k", "n", F.explode("t").alias("term"))
+    ranked = x.join(x.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1"), "term").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("r"))
+    # terms of one set only are the rarest and join nothing; they take their places in the prefix
+    width = (F.floor(C("n") / 2) + 1 - (C("n") - F.size("r"))).cast("int")
+    rare = ranked.filter(width > 0).select("k", "n", F.explode(F.slice("r", F.lit(1), width)).alias("e")).select("k", "n", C("e.term").alias("term"))
+    y = rare.select(C("k").alias("l"), C("n").alias("m"), "term")
+    near = rare.join(y, "term").filter("k < l AND 2 * least(n, m) >= greatest(n, m)").select("k", "l").distinct()
+    sets = once.select("k", "t", "n")
+    both = near.join(sets, "k").join(sets.select(C("k").alias("l"), C("t").alias("u"), C("n").alias("m")), "l").withColumn("s", F.size(F.array_intersect("t", "u")))
+    linked = both.filter("2 * s >= n + m - s").select("k", "l")
+    every = linked.unionByName(linked.select(C("l").alias("k"), C("k").alias("l"))).unionByName(sets.select("k", C("k").alias("l")))
+    first = every.join(once.select(C("k").alias("l"), C("doc_id").alias("other")), "l").groupBy("k").agg(F.min("other").alias("other"))
+    return m.join(first, "k").select("doc_id", "other")
+
+
 @query(
     "j9_fuzzy_match",
-    f"""WITH m AS (SELECT doc_id, list_distinct(list_filter({TERMS.format('substr(text, 1, 60)')}, lambda x: NOT list_contains({_STOP_SQL}, x))) AS t FROM documents),
-    p AS (SELECT a.doc_id, b.doc_id AS other, len(list_intersect(a.t, b.t)) AS k, len(a.t) + len(b.t) AS s FROM m a JOIN m b ON a.doc_id > b.doc_id AND list_has_any(a.t, b.t))
-    SELECT doc_id, min(other) AS replaces FROM p WHERE 2 * k >= s - k GROUP BY doc_id""",
+    f"""WITH m AS (SELECT doc_id, list_distinct(list_filter({TERMS.format('text')}, lambda x: NOT list_contains({_STOP_SQL}, x))) AS t FROM documents),
+    x AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM m),
+    k AS (SELECT a.doc_id, b.doc_id AS other, a.n + b.n AS s, count(*) AS k FROM x a JOIN x b ON a.term = b.term AND a.doc_id > b.doc_id AND 2 * least(a.n, b.n) >= greatest(a.n, b.n) GROUP BY ALL)
+    SELECT doc_id, min(other) AS replaces FROM k WHERE 2 * k >= s - k GROUP BY doc_id""",
 )
 def j9(spark, d):
-    m = docs(spark, d).select("doc_id", F.array_distinct(R.content_terms(F.substring("text", 1, 60))).alias("t")).withColumn("n", F.size("t"))
-    x = m.select("doc_id", "n", F.explode("t").alias("term"))
-    y = x.select(C("doc_id").alias("other"), C("n").alias("m"), "term")
-    k = x.join(y, "term").filter("doc_id > other").groupBy("doc_id", "other", "n", "m").agg(F.count("*").alias("k"))
-    return k.filter("2 * k >= n + m - k").groupBy("doc_id").agg(F.min("other").alias("replaces"))
+    """The first earlier text that each text is like, over whole texts."""
+    return fuzzy_pairs(docs(spark, d)).filter("other < doc_id").select("doc_id", C("other").alias("replaces"))
 
 
 @query(
@@ -206,22 +240,45 @@ def r1(spark, d):
 
 @query("r2_memory_add", "SELECT (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY item_id) AS id, text FROM benchmark UNION ALL SELECT doc_id AS id, text FROM documents WHERE doc_id % 9 <> 0")
 def r2(spark, d):
-    from pyspark.sql import Window
-
-    top = docs(spark, d).agg(F.max("doc_id").alias("top"))
-    rank = F.row_number().over(Window.orderBy("item_id"))  # new memories of one call: a handful
-    new = table(spark, d, "benchmark").select("item_id", "text", rank.alias("r")).crossJoin(F.broadcast(top)).select((C("top") + C("r")).alias("id"), "text")
-    return new.unionByName(docs(spark, d).filter("doc_id % 9 <> 0").select(C("doc_id").alias("id"), "text"))
+    """Memories are added, and deleted by id."""
+    old = docs(spark, d).select(C("doc_id").alias("id"), "text")
+    top = old.agg(F.max("id").alias("top"))
+    new = table(spark, d, "benchmark").select("item_id", "text")
+    placed = new.join(places(new.select("item_id"), ["item_id"]), "item_id").crossJoin(F.broadcast(top)).select((C("top") + C("place") + 1).alias("id"), "text")
+    return K.without(old, old.select("id").filter("id % 9 = 0")).unionByName(placed)
 
 
 _STATUS = "CASE WHEN doc_id % 7 = 0 THEN 'rejected' WHEN doc_id % 3 = 0 OR n_chars > 4000 THEN 'approved' ELSE 'pending' END"
 
 
-@query("r3_curation", f"SELECT source, {_STATUS} AS status, count(*) AS n, string_agg(CASE WHEN {_STATUS} = 'approved' THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY ALL")
+@query("r3_curation", f"SELECT source, {_STATUS} AS status, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY ALL")
 def r3(spark, d):
     s = docs(spark, d).withColumn("status", F.expr(_STATUS))
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(C("status") == "approved", C("doc_id")))), lambda x: x.cast("string")), ",")
-    return s.groupBy("source", "status").agg(F.count("*").alias("n"), ids.alias("ids")).withColumn("ids", F.nullif("ids", F.lit("")))
+    return s.groupBy("source", "status").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+@query("r3_approved_text", f"SELECT doc_id AS id, text FROM documents WHERE {_STATUS} = 'approved'")
+def r3_text(spark, d):
+    """What a curated dataset gives to training."""
+    return K.training_text(docs(spark, d).select(C("doc_id").alias("id"), "text", "source", F.lit("").alias("stage"), F.expr(_STATUS).alias("status")))
+
+
+@query(
+    "r3_workflow",
+    r"""WITH a AS (SELECT doc_id AS id, text, source, CASE WHEN doc_id % 5 = 0 THEN 'approved' ELSE 'pending' END AS status FROM documents),
+    n AS (SELECT min(item_id) AS pos, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM benchmark GROUP BY t HAVING t <> '' AND t NOT IN (SELECT text FROM a)),
+    b AS (SELECT id, text, source, status FROM a UNION ALL SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY pos), t, 'items', 'pending' FROM n),
+    c AS (SELECT id, text, source, CASE WHEN id % 6 = 0 THEN 'approved' WHEN id % 3 = 0 THEN 'rejected' ELSE status END AS status FROM b WHERE id % 10 <> 7)
+    SELECT id, source, CASE WHEN status = 'pending' THEN 'rejected' ELSE status END AS status, sha256(text) AS digest FROM c""",
+)
+def r3_workflow(spark, d):
+    """Entries are added, decided one by one (the last decision counts), removed, and the rest rejected."""
+    own = docs(spark, d).select(C("doc_id").alias("id"), "text", "source", F.lit("").alias("stage"), F.when(C("doc_id") % 5 == 0, F.lit("approved")).otherwise(F.lit("pending")).alias("status"))
+    every = K.added(own, table(spark, d, "benchmark").select(C("item_id").alias("pos"), "text"), "items")
+    ids = every.select("id")
+    decisions = ids.filter("id % 3 = 0").select(F.lit(1).alias("pos"), "id", F.lit("rejected").alias("status")).unionByName(ids.filter("id % 6 = 0").select(F.lit(2).alias("pos"), "id", F.lit("approved").alias("status")))
+    left = K.without(K.decided(every, decisions), ids.filter("id % 10 = 7"))
+    return K.all_pending(left, "rejected").select("id", "source", "status", F.sha2("text", 256).alias("digest"))
 
 
 @query("u1_union_sources", "SELECT 0 AS source_rank, doc_id AS id, length(text) AS n FROM documents UNION ALL SELECT 1, page_id, length(html) FROM pages UNION ALL SELECT 2, item_id, length(text) FROM benchmark")
@@ -245,17 +302,17 @@ def u3(spark, d):
     return both.filter(~C("x").isin("src1", "de"))
 
 
-@query("u4_jaccard", f"SELECT doc_id, item_id, len(list_intersect(a, b)) AS k, len(list_distinct(list_concat(a, b))) AS n FROM (SELECT doc_id, {TERMS.format('substr(text, 1, 200)')} AS a FROM documents) JOIN (SELECT item_id, {TERMS.format('text')} AS b FROM benchmark) ON doc_id = item_id")
+@query("u4_jaccard", f"SELECT doc_id, item_id, len(list_intersect(a, b)) AS k, len(list_distinct(list_concat(a, b))) AS n FROM (SELECT doc_id, {TERMS.format('text')} AS a FROM documents) JOIN (SELECT item_id, {TERMS.format('text')} AS b FROM benchmark) ON doc_id = item_id")
 def u4(spark, d):
-    a = docs(spark, d).select("doc_id", R.terms(F.substring("text", 1, 200)).alias("a"))
+    a = docs(spark, d).select("doc_id", R.terms(C("text")).alias("a"))
     b = table(spark, d, "benchmark").select("item_id", R.terms(C("text")).alias("b"))
     return a.join(b, C("doc_id") == C("item_id")).select("doc_id", "item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("k"), F.size(F.array_union("a", "b")).cast("long").alias("n"))
 
 
-@query("u5_recrawl", "SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) WHERE doc_id NOT IN (SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents WHERE n_chars < 500)")
+@query("u5_recrawl", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents WHERE n_chars < 500)")
 def u5(spark, d):
     again = table(spark, d, "labels").select("doc_id").intersect(docs(spark, d).filter("n_chars < 500").select("doc_id"))
-    return docs(spark, d).filter("doc_id % 2 = 0").select("doc_id").subtract(again)
+    return docs(spark, d).select("doc_id").subtract(again)
 
 
 @query("t14_t16_roles", """SELECT conv_id, max_by(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS last_user,
@@ -280,57 +337,57 @@ def t21(spark, d):
     return V.turns(talk(spark, d)).select("conv_id", F.lower(F.trim(V.first_text(t, "user"))).alias("question"), F.array_join(F.transform(V.of_role(t, "assistant"), lambda x: x["text"]), " ").alias("answers"))
 
 
-ALL_PAIRS = "(SELECT doc_id, split_part(text, chr(10), 1) AS prompt, substr(text, length(split_part(text, chr(10), 1)) + 1) AS completion FROM documents)"
+SOURCE_PAIRS = "(SELECT doc_id, lang || '/' || source AS prompt, text AS completion FROM documents)"
 
 
-def all_pairs(spark, d):
-    """The first line of each text as prompt and all that follows as completion."""
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
-    return docs(spark, d).select("doc_id", line.alias("prompt"), F.substr("text", F.length(line) + 1).alias("completion"))
+def source_pairs(spark, d):
+    """Language and source of each text as prompt and the whole text as completion."""
+    return docs(spark, d).select("doc_id", F.concat_ws("/", "lang", "source").alias("prompt"), C("text").alias("completion"))
 
 
-@query("d2_pairs_once_whole", whole(ORACLES["d2_pairs_once"], PAIRS, ALL_PAIRS))
+@query("d2_pairs_once_whole", whole(ORACLES["d2_pairs_once"], PAIRS, SOURCE_PAIRS))
 def d2_whole(spark, d):
-    return first_rows(all_pairs(spark, d), pair_key(C("prompt"), C("completion")), ["doc_id"])
+    return first_rows(source_pairs(spark, d), pair_key(C("prompt"), C("completion")), ["doc_id"])
 
 
-@query("d3_captions_once_whole", whole(ORACLES["d3_captions_once"], PAIRS, ALL_PAIRS))
+@query("d3_captions_once_whole", whole(ORACLES["d3_captions_once"], PAIRS, SOURCE_PAIRS))
 def d3_whole(spark, d):
-    return first_rows(all_pairs(spark, d), pair_key(C("prompt"), C("completion"), "\x00"), ["doc_id"]).select("doc_id")
+    return first_rows(source_pairs(spark, d), pair_key(C("prompt"), C("completion"), "\x00"), ["doc_id"]).select("doc_id")
 
 
-@query("d9_questions_once_whole", whole(ORACLES["d9_questions_once"], PAIRS, ALL_PAIRS))
+@query("d9_questions_once_whole", whole(ORACLES["d9_questions_once"], PAIRS, SOURCE_PAIRS))
 def d9_whole(spark, d):
-    return all_pairs(spark, d).groupBy(F.lower(F.trim("prompt")).alias("q")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
+    return source_pairs(spark, d).groupBy(F.lower(F.trim("prompt")).alias("q")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
 
 
-@query("j3_leak_guard_whole", whole(ORACLES["j3_leak_guard"], "substr(text, 1, 30)", "text"))
+@query("j3_leak_guard_whole", "SELECT doc_id FROM documents WHERE lower(trim(text)) NOT IN (SELECT lower(trim(text)) FROM documents WHERE doc_id % 25 = 0)")
 def j3_whole(spark, d):
     key = F.lower(F.trim("text"))
     return unseen(docs(spark, d).withColumn("k", key), C("k"), docs(spark, d).filter("doc_id % 25 = 0"), key).select("doc_id")
 
 
-@query("j9_fuzzy_match_whole")
+@query(
+    "j9_fuzzy_match_whole",
+    f"""WITH m AS (SELECT conv_id * 1000 + turn AS doc_id, list_distinct(list_filter({TERMS.format('text')}, lambda x: NOT list_contains({_STOP_SQL}, x))) AS t FROM conversations),
+    x AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM m),
+    k AS (SELECT a.doc_id, b.doc_id AS other, a.n + b.n AS s, count(*) AS k FROM x a JOIN x b ON a.term = b.term AND a.doc_id > b.doc_id GROUP BY ALL)
+    SELECT doc_id, min(other) AS replaces FROM k WHERE 2 * k >= s - k GROUP BY doc_id""",
+)
 def j9_whole(spark, d):
-    """Whole texts whose sets of terms have a Jaccard index of 1/2 or more: such sets share one of the n // 2 + 1 rarest terms of each."""
-    m = docs(spark, d).select("doc_id", F.array_distinct(R.content_terms(C("text"))).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
-    x = m.select("doc_id", "n", F.explode("t").alias("term"))
-    ranked = x.join(x.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("r"))
-    rare = ranked.select("doc_id", "n", F.explode(F.slice("r", F.lit(1), (F.floor(C("n") / 2) + 1).cast("int"))).alias("e")).select("doc_id", "n", C("e.term").alias("term"))
-    y = rare.select(C("doc_id").alias("other"), C("n").alias("m"), "term")
-    near = rare.join(y, "term").filter("doc_id > other AND 2 * least(n, m) >= greatest(n, m)").select("doc_id", "other").distinct()
-    both = near.join(m, "doc_id").join(m.select(C("doc_id").alias("other"), C("t").alias("u"), C("n").alias("m")), "other").withColumn("k", F.size(F.array_intersect("t", "u")))
-    return both.filter("2 * k >= n + m - k").groupBy("doc_id").agg(F.min("other").alias("replaces"))
-
-
-@query("u4_jaccard_whole", whole(ORACLES["u4_jaccard"], "substr(text, 1, 200)", "text"))
+    """The same over the turns of conversations: many short texts."""
+    return fuzzy_pairs(talk(spark, d).select((C("conv_id") * 1000 + C("turn")).alias("doc_id"), "text")).filter("other < doc_id").select("doc_id", C("other").alias("replaces"))
+
+
+@query("u4_jaccard_whole", f"SELECT conv_id, a.turn, len(list_intersect(a.t, b.t)) AS k, len(list_distinct(list_concat(a.t, b.t))) AS n FROM (SELECT conv_id, turn, {TERMS.format('text')} AS t FROM conversations) a JOIN (SELECT conv_id, turn - 1 AS turn, {TERMS.format('text')} AS t FROM conversations) b USING (conv_id, turn)")
 def u4_whole(spark, d):
-    a = docs(spark, d).select("doc_id", R.terms(C("text")).alias("a"))
-    b = table(spark, d, "benchmark").select("item_id", R.terms(C("text")).alias("b"))
-    return a.join(b, C("doc_id") == C("item_id")).select("doc_id", "item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("k"), F.size(F.array_union("a", "b")).cast("long").alias("n"))
+    """Each turn of a conversation and the next one."""
+    a = talk(spark, d).select("conv_id", "turn", R.terms(C("text")).alias("a"))
+    b = talk(spark, d).select("conv_id", (C("turn") - 1).alias("turn"), R.terms(C("text")).alias("b"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.size(F.array_intersect("a", "b")).cast("long").alias("k"), F.size(F.array_union("a", "b")).cast("long").alias("n"))
 
 
-@query("u5_recrawl_whole", whole(ORACLES["u5_recrawl"], " WHERE doc_id % 2 = 0", ""))
+@query("u5_recrawl_whole", "SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE length(html) < 2000)")
 def u5_whole(spark, d):
-    again = table(spark, d, "labels").select("doc_id").intersect(docs(spark, d).filter("n_chars < 500").select("doc_id"))
-    return docs(spark, d).select("doc_id").subtract(again)
+    """Pages to keep as done: those that were fetched, less those that came back too short."""
+    pages = table(spark, d, "pages")
+    return pages.select("url").subtract(pages.select("url").intersect(pages.filter("length(html) < 2000").select("url")))

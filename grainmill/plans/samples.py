@@ -12,25 +12,23 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def injected(phrases: list[str], key: str = "doc_id", text: str = "text", size: int | None = 300) -> tuple[Callable[[], Column], str]:
-    """The first characters of a text (all without a size), a blank, and one of the phrases by key (none for one key in n + 1)."""
+def injected(phrases: list[str], key: str = "doc_id", text: str = "text") -> tuple[Callable[[], Column], str]:
+    """A whole text, a blank, and one of the phrases by key (none for one key in n + 1)."""
     n = len(phrases) + 1
-    cut_sql = text if size is None else f"substr({text}, 1, {size})"
 
     def column() -> Column:
-        cut = F.col(text) if size is None else F.substring(F.col(text), 1, size)
-        out = None
+        whole, out = F.col(text), None
         for i, p in enumerate(phrases):
-            own = F.concat(cut, F.lit(" "), F.lit(p))
+            own = F.concat(whole, F.lit(" "), F.lit(p))
             out = F.when(F.col(key) % n == i, own) if out is None else out.when(F.col(key) % n == i, own)
-        return out.otherwise(cut)
+        return out.otherwise(whole)
 
-    cases = " ".join(f"WHEN {i} THEN {cut_sql} || ' ' || {quoted(p)}" for i, p in enumerate(phrases))
-    return column, f"CASE {key} % {n} {cases} ELSE {cut_sql} END"
+    cases = " ".join(f"WHEN {i} THEN {text} || ' ' || {quoted(p)}" for i, p in enumerate(phrases))
+    return column, f"(CASE {key} % {n} {cases} ELSE {text} END)"
 
 
 def whole(oracle: str, cut: str, text: str) -> str:
-    """The oracle of a query of whole texts, from the one that reads a cut of them."""
+    """The oracle of a query of the texts as they are, from the one that reads them with phrases put in."""
     if cut not in oracle:
         raise ValueError(f"not in the oracle: {cut}")
     return oracle.replace(cut, text)

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from grainmill.functions import predicates as P
-from grainmill.functions.bpe import MergeTokenizer, words
+from grainmill.checkpoints import cut
+from grainmill.functions.bpe import MergeTokenizer, WordTokenizer, words
 from grainmill.operators import conversations as V
 from grainmill.operators import mixing as M
 from grainmill.operators import packing as K
+from grainmill.operators.dedup import paragraphs_once
 from grainmill.operators.minhash import keep_longest
+from grainmill.operators.ranks import running_totals
 from grainmill.plans.filters import rx
-from grainmill.plans.samples import chosen, injected, quoted, whole
+from grainmill.plans.samples import injected, whole
 from grainmill.registry import ORACLES, query
-from grainmill.shipping import ship
-from grainmill.sources.readers import training_log
+from grainmill.sources.readers import Preset, archived_pages, fan_articles, halved_budget, preset_rows, shared_budget, training_log, wiki_choice
 from grainmill.tables import table
 
 C = F.col
@@ -36,22 +39,72 @@ def p1(spark, d):
     return docs(spark, d).select("doc_id", F.size(words(C("text"))).cast("long").alias("n"))
 
 
+def vocabulary():
+    """The given byte-level vocabulary that the token queries encode with; its file is never copied."""
+    import public_tokenizers
+
+    return _vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@lru_cache(1)
+def _vocabulary(path):
+    return MergeTokenizer.from_ranks(path, K.CHAT_TOKENS)
+
+
+def digest_of(ids):
+    return F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256)
+
+
+def ids_of(spark, d):
+    return K.encoded(docs(spark, d).select("doc_id", "text"), vocabulary())
+
+
 @query("p4_encoded")
 def p4(spark, d):
-    return K.encoded(docs(spark, d).select("doc_id", "text"), TOKENIZER).select("doc_id", F.size("ids").alias("n"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("digest"))
+    return ids_of(spark, d).select("doc_id", F.size("ids").alias("n"), digest_of(C("ids")).alias("digest"))
+
+
+@query("p3_dropout")
+def p3(spark, d):
+    """Merges are skipped at random, seeded by the text: more ids, the same text."""
+    return K.encoded(docs(spark, d).select("doc_id", "text"), vocabulary(), dropout=0.1, seed=7).select("doc_id", F.size("ids").alias("n"), digest_of(C("ids")).alias("digest"))
+
+
+@query("p5_words")
+def p5(spark, d):
+    """Known words are one id and others are spelt; the words known are those of 50 documents or more."""
+    w = F.split("text", " ")
+    known = docs(spark, d).select(F.explode(F.array_distinct(w)).alias("w")).groupBy("w").count().filter("count >= 50 AND w <> ''").orderBy(F.desc("count"), "w").limit(20_000)
+    t = WordTokenizer([r.w for r in known.collect()], "".join(map(chr, range(33, 127))))
+    x = K.with_tokenizer(docs(spark, d).select("doc_id", "text"), t, ["text"], "ids array<int>", lambda own, texts: [[own.encode(x or "") for x in texts]])
+    return x.select("doc_id", F.size("ids").alias("n"), digest_of(C("ids")).alias("digest"))
 
 
 @query("p6_pretokenized")
 def p6(spark, d):
-    once = docs(spark, d).groupBy(F.sha2("text", 256).alias("k")).agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r")).select("r.*")
-    ids = K.encoded(once, TOKENIZER).filter(F.size("ids") >= 5)
-    checked = F.when(F.array_max("ids") < len(TOKENIZER.id_of) + 4, C("ids")).otherwise(F.raise_error(F.lit("an id outside the vocabulary")).cast("array<int>"))
-    return ids.select("doc_id", F.array_append(checked, F.lit(TOKENIZER.END)).alias("ids"))
+    """Paragraphs once over the whole corpus, then ids with an end mark and each document's offset in the token stream."""
+    once = paragraphs_once(docs(spark, d).select("doc_id", "text"))
+    t = vocabulary()
+    ids = K.encoded(once, t).filter(F.size("ids") >= 5).drop("text")
+    checked = F.when((F.array_max("ids") < len(t)) & (F.array_min("ids") >= 0), C("ids")).otherwise(F.raise_error(F.lit("an id outside the vocabulary")).cast("array<int>"))
+    x = cut(ids.select("doc_id", F.array_append(checked, F.lit(t.END)).alias("ids")))
+    offsets = running_totals(x.select("doc_id", F.size("ids").cast("long").alias("n")), ["doc_id"], C("n"), "offset")
+    return x.join(offsets, "doc_id").select("doc_id", "offset", "ids")
 
 
 @query("p7_packed")
 def p7(spark, d):
-    return K.packed(K.encoded(docs(spark, d).select("doc_id", "text"), TOKENIZER), 512, TOKENIZER.END, 8)
+    x = ids_of(spark, d).select("doc_id", "ids")
+    return K.packed(x, 512, MergeTokenizer.END, K.groups_for(docs(spark, d).count()))
+
+
+@query("p8_masks")
+def p8(spark, d):
+    """What each position of a packed row attends to, as one number a position; and how many pairs that allows."""
+    x = K.shown_spans(p7(spark, d), 512)
+    pairs = F.aggregate(F.transform("sees", lambda s, j: F.when(s >= 0, j - s + 1).otherwise(0)), F.lit(0).cast("long"), lambda a, v: a + v)
+    spans = F.aggregate(F.arrays_zip(C("starts").alias("a"), C("ends").alias("b")), F.lit(0).cast("long"), lambda a, s: a + ((s["b"] - s["a"]) * (s["b"] - s["a"] + 1) / 2).cast("long"))
+    return x.select("pack", "row", F.size("ids").alias("n"), pairs.alias("pairs"), spans.alias("expected"))
 
 
 def _messages(t):
@@ -60,14 +113,12 @@ def _messages(t):
 
 @query("p10_rendered")
 def p10(spark, d):
-    ship(spark)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [K.render(TOKENIZER, [dict(m.asDict() if hasattr(m, "asDict") else m) for m in ms], most=BLOCK) for ms in b["messages"]]
-            yield pd.DataFrame({"conv_id": b["conv_id"], "ids": [i for i, _ in got], "learnt": [m for _, m in got]})
+    def kernel(t, talks):
+        got = [K.render(t, ms, most=BLOCK) for ms in talks]
+        return [[i for i, _ in got], [m for _, m in got]]
 
-    return V.turns(table(spark, d, "conversations")).select("conv_id", _messages(C("t")).alias("messages")).mapInPandas(run, "conv_id long, ids array<int>, learnt array<boolean>")
+    x = V.turns(table(spark, d, "conversations")).select("conv_id", _messages(C("t")).alias("messages"))
+    return K.with_tokenizer(x, vocabulary(), ["messages"], "ids array<int>, learnt array<boolean>", kernel).drop("messages")
 
 
 @query("p9_blocks")
@@ -77,37 +128,63 @@ def p9(spark, d):
         rows = K.next_fit([(list(map(int, i)), list(map(bool, m))) for i, m in zip(pdf["ids"], pdf["learnt"], strict=True)], BLOCK)
         return pd.DataFrame({"part": int(pdf["part"].iloc[0]), "row": range(len(rows)), "x": [x for x, _ in rows], "y": [y for _, y in rows]})
 
-    parts = p10(spark, d).filter((F.size("ids") <= BLOCK + 1) & F.exists("learnt", lambda m: m)).withColumn("part", F.pmod(F.xxhash64("conv_id"), F.lit(8)).cast("int"))
+    groups = K.groups_for(table(spark, d, "conversations").select("conv_id").distinct().count())
+    parts = p10(spark, d).filter((F.size("ids") <= BLOCK + 1) & F.exists("learnt", lambda m: m)).withColumn("part", F.pmod(F.xxhash64("conv_id"), F.lit(groups)).cast("int"))
     return parts.groupBy("part").applyInPandas(run, "part int, row int, x array<int>, y array<int>")
 
 
 @query("p11_fitted")
 def p11(spark, d):
-    ship(spark)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [K.fitted(TOKENIZER, p, c, BLOCK) for p, c in zip(b["prompt"], b["completion"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "status": [s for s, _ in got], "prompt": [p for _, p in got]})
+    def kernel(t, prompts, completions):
+        got = [K.fitted(t, p, c, BLOCK) for p, c in zip(prompts, completions, strict=True)]
+        return [[s for s, _ in got], [p for _, p in got]]
 
     # The last line, or the last word of a text of one line, is the completion; all before it is the prompt.
     x = docs(spark, d).select("doc_id", F.rtrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")).alias("t"))
     x = x.withColumn("completion", F.when(F.contains("t", F.lit("\n")), F.substring_index("t", "\n", -1)).otherwise(F.substring_index("t", " ", -1)))
-    return x.select("doc_id", F.substr("t", F.lit(1), F.length("t") - F.length("completion")).alias("prompt"), "completion").mapInPandas(run, "doc_id long, status string, prompt string")
+    x = x.select("doc_id", F.substr("t", F.lit(1), F.length("t") - F.length("completion")).alias("p"), "completion")
+    return K.with_tokenizer(x, vocabulary(), ["p", "completion"], "status string, prompt string", kernel).select("doc_id", "status", "prompt")
+
+
+def _preferences(x, t, most):
+    def kernel(own, prompts, good, bad):
+        got = [K.preference(own, p, a, b, most) for p, a, b in zip(prompts, good, bad, strict=True)]
+        return [[g[k][i] if g else None for g in got] for k in ("chosen", "rejected") for i in (0, 1)]
+
+    out = K.with_tokenizer(x, t, ["p", "x", "y"], "chosen array<int>, chosen_labels array<int>, rejected array<int>, rejected_labels array<int>", kernel)
+    return out.filter("chosen IS NOT NULL").drop("p", "x", "y")
 
 
 @query("p13_preferences")
 def p13(spark, d):
-    ship(spark)
+    """The first line of a text as prompt; all that follows against the source's name."""
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    return _preferences(docs(spark, d).select("doc_id", line.alias("p"), F.substr("text", F.length(line) + 1).alias("x"), C("source").alias("y")), vocabulary(), 4 * BLOCK)
+
+
+@query("p12_feedback")
+def p12(spark, d):
+    """Chats as preference pairs: what came before an answer, that answer against the one before it."""
+    t = V.turns(table(spark, d, "conversations"))
+    answers = F.filter("t", lambda x: x["role"] == "assistant")
+    shown = F.array_join(F.transform(F.filter("t", lambda x: x["role"] == "user"), lambda x: F.concat(F.lit("User: "), x["text"])), "\n")
+    pairs = t.filter(F.size(answers) >= 2).select(C("conv_id").alias("doc_id"), shown.alias("p"), F.element_at(answers, -1)["text"].alias("x"), F.element_at(answers, -2)["text"].alias("y"))
+    return _preferences(pairs, vocabulary(), BLOCK)
+
+
+@query("x14_parsed")
+def x14(spark, d):
+    """Rendered chats back into content, calls and thinking: the ids that a model would generate for each answer."""
+    def generated(t, x):
+        ids, learnt = K.render(t, [{"role": "assistant", "content": f"<think>{len(x)}</think>{x}", "tool_calls": [{"name": "f", "arguments": {"n": len(x)}}]}])
+        return [i for i, own in zip(ids, learnt, strict=True) if own]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [(k, K.preference(TOKENIZER, p, x, y, BLOCK)) for k, p, x, y in zip(b["doc_id"], b["p"], b["x"], b["y"], strict=True)]
-            got = [(k, g) for k, g in got if g]
-            yield pd.DataFrame({"doc_id": [k for k, _ in got], "chosen": [g["chosen"][0] for _, g in got], "chosen_labels": [g["chosen"][1] for _, g in got], "rejected": [g["rejected"][0] for _, g in got], "rejected_labels": [g["rejected"][1] for _, g in got]})
+    def kernel(t, texts):
+        got = [K.parse(t, generated(t, x or "")) for x in texts]
+        return [[g["content"] for g in got], [g["thinking"] for g in got], [json.dumps(g["tool_calls"]) for g in got]]
 
-    x = docs(spark, d).select("doc_id", F.substring("text", 1, 40).alias("p"), F.substring("text", 41, 60).alias("x"), F.substring("text", 101, 60).alias("y"))
-    return x.mapInPandas(run, "doc_id long, chosen array<int>, chosen_labels array<int>, rejected array<int>, rejected_labels array<int>")
+    x = table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+    return K.with_tokenizer(x, vocabulary(), ["text"], "content string, thinking string, calls string", kernel).drop("text")
 
 
 @query("d5_minhash")
@@ -115,30 +192,37 @@ def d5(spark, d):
     return keep_longest(docs(spark, d).select("doc_id", "text"))
 
 
-_A, _A_SQL = chosen(["all is well", "As an AI, no", "I'm OpenAssistant", "fine words", "a Qwen base model"], "doc_id")
+_A, _A_SQL = injected(["all is well", "As an AI, no", "I'm OpenAssistant", "fine words", "a Qwen base model"])
+_MIX_SQL = f"""WITH x AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS prompt, {_A_SQL} AS completion FROM documents),
+    p AS (SELECT DISTINCT lower(trim(prompt)) AS q FROM x WHERE id % 10 = 0),
+    g AS (SELECT *, CASE WHEN regexp_matches(completion, {rx(P.BOILERPLATE)}) THEN 'boilerplate' WHEN regexp_matches(completion, {rx(P.FOREIGN)}) THEN 'foreign' WHEN lower(trim(prompt)) IN (SELECT q FROM p) THEN 'leak' ELSE 'kept' END AS reason FROM x WHERE id % 3 <> 0)"""
+_REASONS_SQL = f"{_MIX_SQL} SELECT reason, count(*) AS n FROM g GROUP BY ALL"
+_ROWS_SQL = f"{_MIX_SQL} SELECT id, prompt, completion FROM g WHERE reason = 'kept' UNION ALL SELECT id, prompt, completion FROM x, range(8) AS r(k) WHERE id % 3 = 0 AND lower(trim(prompt)) NOT IN (SELECT q FROM p)"
 
 
-@query(
-    "r9_mix_reasons",
-    f"""WITH g AS (SELECT doc_id, lower(trim(substr(text, 1, 12))) AS q, {_A_SQL} AS a FROM documents WHERE doc_id % 3 <> 0),
-    p AS (SELECT DISTINCT lower(trim(substr(text, 1, 12))) AS q FROM documents WHERE doc_id % 10 = 0)
-    SELECT CASE WHEN a = 'As an AI, no' THEN 'boilerplate' WHEN a = {quoted("I'm OpenAssistant")} THEN 'foreign' WHEN q IN (SELECT q FROM p) THEN 'leak' ELSE 'kept' END AS reason, count(*) AS n FROM g GROUP BY ALL""",
-)
+def _mix(spark, d, completion):
+    """General records, probes and own records of whole texts, the first line of each as the prompt."""
+    x = docs(spark, d).select(C("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("prompt"), completion.alias("completion"))
+    return M.sft_mix(x.filter("id % 3 <> 0"), x.filter("id % 10 = 0").select("prompt"), x.filter("id % 3 = 0"), 8)
+
+
+@query("r9_mix_reasons", _REASONS_SQL)
 def r9_reasons(spark, d):
-    x = docs(spark, d).select(C("doc_id").alias("id"), F.substring("text", 1, 12).alias("prompt"), _A().alias("completion"))
-    return M.sft_mix(x.filter("id % 3 <> 0"), x.filter("id % 10 = 0").select("prompt"), x.filter("id % 3 = 0"), 8)[1]
+    return _mix(spark, d, _A())[1]
 
 
-@query(
-    "r9_mix",
-    f"""WITH x AS (SELECT doc_id AS id, substr(text, 1, 12) AS prompt, {_A_SQL} AS completion FROM documents),
-    p AS (SELECT DISTINCT lower(trim(prompt)) AS q FROM x WHERE id % 10 = 0)
-    SELECT id, prompt, completion FROM x WHERE id % 3 <> 0 AND completion NOT IN ('As an AI, no', {quoted("I'm OpenAssistant")}) AND lower(trim(prompt)) NOT IN (SELECT q FROM p)
-    UNION ALL SELECT id, prompt, completion FROM x, range(8) AS r(k) WHERE id % 3 = 0 AND lower(trim(prompt)) NOT IN (SELECT q FROM p)""",
-)
+@query("r9_mix", _ROWS_SQL)
 def r9_mix(spark, d):
-    x = docs(spark, d).select(C("doc_id").alias("id"), F.substring("text", 1, 12).alias("prompt"), _A().alias("completion"))
-    return M.sft_mix(x.filter("id % 3 <> 0"), x.filter("id % 10 = 0").select("prompt"), x.filter("id % 3 = 0"), 8)[0]
+    return _mix(spark, d, _A())[0]
+
+
+@query("r9_fitted_mix")
+def r9_fitted(spark, d):
+    """The mix with every record fitted to a block of ids, those that can't be fitted left out."""
+    def kernel(t, prompts, completions):
+        return [[s for s, _ in (K.fitted(t, p, c, 4 * BLOCK) for p, c in zip(prompts, completions, strict=True))]]
+
+    return K.with_tokenizer(_mix(spark, d, _A())[0], vocabulary(), ["prompt", "completion"], "status string", kernel).filter("status <> 'dropped'").select("id", "status")
 
 
 @query("r4_identity", f"SELECT doc_id FROM (SELECT doc_id, {_A_SQL} AS a FROM documents) WHERE NOT regexp_matches(a, '(?i)qwen|base model')")
@@ -153,15 +237,34 @@ def r5(spark, d):
     return m.select("id", F.get("messages", F.lit(0))["content"].alias("question"), F.get("messages", F.lit(1))["content"].alias("call"))
 
 
+@query("r5_tool_forms", """SELECT p_partkey AS id, 'error' AS form, 4 AS turns, '{"error":"part ' || p_partkey || ' is gone"}' AS third FROM part
+    UNION ALL SELECT p_partkey, 'dialogue', 8, CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT p_partkey, 'restraint', 2, NULL FROM part WHERE p_partkey % 4 <> 0""")
+def r5_forms(spark, d):
+    k, size = C("p_partkey"), C("p_size").cast("string")
+    p = table(spark, d, "part")
+    errors = M.tool_errors(p.select(k.alias("id"), size.alias("value"), F.concat(F.lit("part "), k.cast("string"), F.lit(" is gone")).alias("error")), "Find %s.", "find", "part", "That failed: %s")
+    talks = M.tool_dialogues(p.select(k.alias("id"), F.array(size, k.cast("string")).alias("values"), F.array(size, size).alias("results")), "What is %s?", "And %s?", "find", "part")
+    plain = M.tool_restraint(p.select(k.alias("id"), C("p_name").alias("question"), F.when(k % 4 == 0, F.lit(" ")).otherwise(C("p_type")).alias("answer")))
+    out = None
+    for form, rows in (("error", errors), ("dialogue", talks), ("restraint", plain)):
+        own = rows.select("id", F.lit(form).alias("form"), F.size("messages").alias("turns"), F.get("messages", F.lit(2))["content"].alias("third"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("r6_distractors")
 def r6(spark, d):
-    return M.with_distractors(docs(spark, d).select(C("doc_id").alias("id"), F.substring("text", 1, 40).alias("fact")), 3)
+    return M.with_distractors(docs(spark, d).select(C("doc_id").alias("id"), C("text").alias("fact")), 3)
+
+
+_HALF = "(SELECT doc_id, lang || '/' || source AS prompt, text AS c FROM documents WHERE doc_id % 2 = {})"
 
 
-@query("r7_preference_pairs", "SELECT DISTINCT a.prompt, a.c AS chosen, b.c AS rejected FROM (SELECT substr(text, 1, 8) AS prompt, substr(text, 9, 20) AS c FROM documents WHERE doc_id % 2 = 0) a JOIN (SELECT substr(text, 1, 8) AS prompt, substr(text, 9, 20) AS c FROM documents WHERE doc_id % 2 = 1) b USING (prompt) WHERE a.c <> b.c")
+@query("r7_preference_pairs", f"SELECT prompt, sha256(chosen) AS chosen, sha256(rejected) AS rejected FROM (SELECT DISTINCT a.prompt, a.c AS chosen, b.c AS rejected FROM {_HALF.format(0)} a JOIN {_HALF.format(1)} b USING (prompt) WHERE a.c <> b.c)")
 def r7(spark, d):
-    x = docs(spark, d).select("doc_id", F.substring("text", 1, 8).alias("prompt"), F.substring("text", 9, 20).alias("completion"))
-    return M.preference_pairs(x.filter("doc_id % 2 = 0"), x.filter("doc_id % 2 = 1"))
+    x = docs(spark, d).select("doc_id", F.concat_ws("/", "lang", "source").alias("prompt"), C("text").alias("completion"))
+    pairs = M.preference_pairs(x.filter("doc_id % 2 = 0"), x.filter("doc_id % 2 = 1"))
+    return pairs.select("prompt", F.sha2("chosen", 256).alias("chosen"), F.sha2("rejected", 256).alias("rejected"))
 
 
 @query("r8_search_corpus", "SELECT doc_id, TRUE AS positive FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, FALSE FROM documents WHERE doc_id % 2 = 1")
@@ -176,51 +279,84 @@ def s26(spark, d):
     return training_log(table(spark, d, "events").select(line.alias("value")))
 
 
-@query("s17_wiki_choice", "SELECT lower(trim(c_mktsegment)) AS site, arg_max(c_custkey, (c_acctbal, c_custkey)) AS id FROM customer WHERE c_acctbal >= 500 AND c_mktsegment <> 'MACHINERY' GROUP BY ALL")
+@query("s17_wiki_choice", "SELECT lower(trim(name)) AS name, arg_max(site, (articles, site)) AS site, max(articles) AS articles FROM (SELECT source AS name, lang || '-' || source AS site, lang, count(*) AS articles FROM documents GROUP BY ALL) WHERE coalesce(lang, 'en') = 'en' AND articles >= 5 AND site NOT IN ('en-src1') GROUP BY ALL")
 def s17(spark, d):
-    c = table(spark, d, "customer").filter("c_acctbal >= 500 AND c_mktsegment <> 'MACHINERY'")
-    return c.groupBy(F.lower(F.trim("c_mktsegment")).alias("site")).agg(F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("id"))
+    found = docs(spark, d).groupBy(C("source").alias("name"), F.concat_ws("-", "lang", "source").alias("site"), "lang").agg(F.count("*").alias("articles"))
+    return wiki_choice(found, ["en-src1"], 5)
+
+
+@query("s13_halved_budget", "SELECT lang, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT lang, b, sum(b) OVER (PARTITION BY lang ORDER BY doc_id) - b AS before FROM (SELECT doc_id, lang, strlen(text) AS b FROM documents WHERE lang IN ('en', 'de'))) WHERE before < 250000 GROUP BY lang")
+def s13(spark, d):
+    x = halved_budget(docs(spark, d).select("doc_id", "lang", "text"), ("en", "de"), "lang", 500_000, "doc_id", 100_000)
+    return x.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+
+
+@query(
+    "s14_shared_budget",
+    """WITH x AS (SELECT doc_id, lang, strlen(text) AS b, CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 END AS source_rank FROM documents WHERE length(text) >= 500 AND (doc_id % 4 = 0 OR doc_id % 3 = 0))
+    SELECT doc_id, lang, source_rank, before // 200000 AS file FROM (SELECT *, sum(b) OVER (ORDER BY source_rank, doc_id) - b AS before FROM x WHERE source_rank IS NOT NULL) WHERE before < 700000""",
+)
+def s14(spark, d):
+    """Permissively licensed texts of three languages in order of priority, until they share the budget."""
+    licences = F.when(C("doc_id") % 4 == 0, F.array().cast("array<string>")).when(C("doc_id") % 3 == 0, F.array(F.lit("MIT"))).otherwise(F.array(F.lit("GPL-3.0")))
+    good = docs(spark, d).filter(P.permissive(licences) & (F.length("text") >= 500)).select("doc_id", "lang", "text")
+    return shared_budget(good, {"fr": 0, "en": 1, "es": 2}, "lang", 700_000, "doc_id", 200_000).select("doc_id", "lang", "source_rank", "file")
+
+
+@query("s16_archived_pages")
+def s16(spark, d):
+    return archived_pages(table(spark, d, "pages"), 100).select("page_id", "name", "text")
 
 
-@query("f21_vocab_bounds", "SELECT doc_id, list_max(list_transform(string_split(substr(text, 1, 50), ''), lambda c: unicode(c))) < 200 AS inside FROM documents WHERE length(text) > 0")
+@query("s18_fan_articles")
+def s18(spark, d):
+    title = F.when(C("doc_id") % 5 == 0, F.concat(F.lit("List of "), "source")).otherwise(F.concat_ws(" ", "source", C("doc_id").cast("string")))
+    marked = F.concat(F.lit("'''Bold''' [[Target|shown]] "), "text", F.lit("\n{{Infobox|a={{b}}}}"))
+    return fan_articles(docs(spark, d).select(C("doc_id").alias("id"), title.alias("title"), marked.alias("text")))
+
+
+@query("s10_s12_streamed", r"SELECT source, count(*) AS n FROM (SELECT source, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) - strlen(text) AS before FROM documents WHERE length(text) >= 500 AND length(regexp_replace(text, '\P{L}', '', 'g')) >= 0.5 * length(text) AND length(regexp_replace(text, '[^.?!]', '', 'g')) >= 3) WHERE before < 60000 GROUP BY source")
+def s10(spark, d):
+    """A preset for each source: its rules, then its byte budget."""
+    return preset_rows(docs(spark, d), {f"src{i}": Preset(target_bytes=60_000, human_only=False) for i in range(64)}).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("f21_vocab_bounds", "SELECT doc_id, list_max(list_transform(string_split(text, ''), lambda c: unicode(c))) < 200 AS inside FROM documents WHERE length(text) > 0")
 def f21(spark, d):
-    ids = F.transform(F.split(F.substring("text", 1, 50), ""), lambda c: F.ascii(c))
+    ids = F.transform(F.split("text", ""), lambda c: F.ascii(c))
     return docs(spark, d).filter("length(text) > 0").select("doc_id", ((F.array_max(ids) < 200) & (F.array_min(ids) >= 0)).alias("inside"))
 
 
+@query("f18_f19_f21_ids")
+def f18_ids(spark, d):
+    """The rules of ids, on the ids of whole texts: enough of them, those that fit a block, those inside the vocabulary."""
+    t, ids = vocabulary(), C("ids")
+    inside = (F.array_max(ids) < len(t)) & (F.array_min(ids) >= 0)
+    return ids_of(spark, d).select("doc_id", (F.size(ids) >= 5).alias("enough"), (F.size(ids) <= 4 * BLOCK + 1).alias("sft"), (F.size(ids) <= 4 * BLOCK).alias("dpo"), F.coalesce(inside, F.lit(True)).alias("inside"))
+
+
 @query("f19_fits_block", f"SELECT doc_id, n <= {BLOCK} + 1 AS sft, n <= {BLOCK} AS dpo FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS n FROM documents)")
 def f19(spark, d):
     n = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+"), F.lit(0)))
     return docs(spark, d).select("doc_id", (n <= BLOCK + 1).alias("sft"), (n <= BLOCK).alias("dpo"))
 
 
-@query("f21_vocab_bounds_whole", whole(ORACLES["f21_vocab_bounds"], "substr(text, 1, 50)", "text"))
+@query("f21_vocab_bounds_whole", "SELECT page_id, list_max(list_transform(string_split(html, ''), lambda c: unicode(c))) < 200 AS inside FROM pages WHERE length(html) > 0")
 def f21_whole(spark, d):
-    ids = F.transform(F.split("text", ""), lambda c: F.ascii(c))
-    return docs(spark, d).filter("length(text) > 0").select("doc_id", ((F.array_max(ids) < 200) & (F.array_min(ids) >= 0)).alias("inside"))
-
-
-_ALL_A, _ALL_A_SQL = injected(["all is well", "As an AI, no", "I'm OpenAssistant", "fine words", "a Qwen base model"], size=None)
-_MIX_SQL = f"""WITH x AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS prompt, {_ALL_A_SQL} AS completion FROM documents),
-    p AS (SELECT DISTINCT lower(trim(prompt)) AS q FROM x WHERE id % 10 = 0),
-    g AS (SELECT *, CASE WHEN regexp_matches(completion, {rx(P.BOILERPLATE)}) THEN 'boilerplate' WHEN regexp_matches(completion, {rx(P.FOREIGN)}) THEN 'foreign' WHEN lower(trim(prompt)) IN (SELECT q FROM p) THEN 'leak' ELSE 'kept' END AS reason FROM x WHERE id % 3 <> 0)"""
-
-
-def _all_mix(spark, d):
-    x = docs(spark, d).select(C("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("prompt"), _ALL_A().alias("completion"))
-    return M.sft_mix(x.filter("id % 3 <> 0"), x.filter("id % 10 = 0").select("prompt"), x.filter("id % 3 = 0"), 8)
+    ids = F.transform(F.split("html", ""), lambda c: F.ascii(c))
+    return table(spark, d, "pages").filter("length(html) > 0").select("page_id", ((F.array_max(ids) < 200) & (F.array_min(ids) >= 0)).alias("inside"))
 
 
-@query("r9_mix_reasons_whole", f"{_MIX_SQL} SELECT reason, count(*) AS n FROM g GROUP BY ALL")
+@query("r9_mix_reasons_whole", whole(_REASONS_SQL, _A_SQL, "text"))
 def r9_reasons_whole(spark, d):
-    return _all_mix(spark, d)[1]
+    return _mix(spark, d, C("text"))[1]
 
 
-@query("r9_mix_whole", f"{_MIX_SQL} SELECT id, prompt, completion FROM g WHERE reason = 'kept' UNION ALL SELECT id, prompt, completion FROM x, range(8) AS r(k) WHERE id % 3 = 0 AND lower(trim(prompt)) NOT IN (SELECT q FROM p)")
+@query("r9_mix_whole", whole(_ROWS_SQL, _A_SQL, "text"))
 def r9_mix_whole(spark, d):
-    return _all_mix(spark, d)[0]
+    return _mix(spark, d, C("text"))[0]
 
 
-@query("r4_identity_whole", whole(ORACLES["r4_identity"], _A_SQL, _ALL_A_SQL))
+@query("r4_identity_whole", whole(ORACLES["r4_identity"], _A_SQL, "text"))
 def r4_whole(spark, d):
-    return M.identity(docs(spark, d).select("doc_id", _ALL_A().alias("completion"))).select("doc_id")
+    return M.identity(docs(spark, d).select("doc_id", C("text").alias("completion"))).select("doc_id")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.operators.ranks import running_totals
 from grainmill.shipping import ship
 
 #: Files over this size are left out of a corpus.
@@ -103,10 +105,13 @@ def training_log(lines: DataFrame, column: str = "value") -> DataFrame:
 MAGIC, HEADER = b"ETOK", 256
 
 
+def token_header(count: int, vocabulary: int) -> bytes:
+    return (MAGIC + json.dumps({"count": count, "vocab": vocabulary, "dtype": "uint32"}).encode()).ljust(HEADER, b"\0")
+
+
 def token_file(ids: list[int], vocabulary: int) -> bytes:
     """The bytes of a token file (K6)."""
-    head = MAGIC + json.dumps({"count": len(ids), "vocab": vocabulary, "dtype": "uint32"}).encode()
-    return head.ljust(HEADER, b"\0") + struct.pack(f"<{len(ids)}I", *ids)
+    return token_header(len(ids), vocabulary) + struct.pack(f"<{len(ids)}I", *ids)
 
 
 def read_tokens(data: bytes) -> list[int]:
@@ -146,16 +151,101 @@ def wiki_articles(pages: DataFrame, least: int = 500) -> DataFrame:
     return kept.select("title", dump_wikitext(F.col("text")).alias("text")).filter(quality_filter(F.col("text"), least))
 
 
-def budgeted(spark_rows: DataFrame, target_bytes: int, order: str, batch: int = 5 << 20, text: str = "text") -> DataFrame:
-    """O3, K5: rows in order until ``target_bytes`` are reached, with the number of the file they go to.
+def budgeted(rows: DataFrame, target_bytes: int, order: str | list[str], batch: int = 5 << 20, text: str = "text") -> DataFrame:
+    """O3, K5: rows in ``order``, which must be unique, until ``target_bytes`` are reached, with the number of
+    the file they go to.
 
-    The running sum is over sizes only. A file closes at the first row at which it holds ``batch`` bytes, so
-    files are cut by whole batches of the running sum.
+    The row that reaches the target is the last. Running sums are taken of keys and sizes; then the rows that
+    stay are joined. Files are cut at multiples of ``batch`` bytes of the running sum, so each holds about that.
     """
-    from pyspark.sql import Window
+    order = [order] if isinstance(order, str) else order
+    sized = running_totals(rows.select(*order, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_bytes")), order, F.col("_bytes"))
+    kept = sized.filter(F.col("before") < target_bytes).select(*order, F.floor(F.col("before") / batch).alias("file"))
+    return rows.join(kept, order)
+
+
+@dataclass(frozen=True)
+class Preset:
+    """What is taken of a streamed source."""
+
+    target_bytes: int
+    least_chars: int = 500
+    human_only: bool = True
 
-    used = F.sum(F.octet_length(text)).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return spark_rows.withColumn("before", F.coalesce(used, F.lit(0))).filter(F.col("before") < target_bytes).withColumn("file", F.floor(F.col("before") / batch)).drop("before")
+
+#: The presets of the streamed web corpora; targets are parameters of a run.
+PRESETS = {
+    "fineweb-edu": Preset(50 << 30, human_only=False),
+    "openwebtext": Preset(20 << 30),
+    "c4": Preset(30 << 30),
+    "dclm": Preset(50 << 30),
+}
+
+
+def preset_rows(rows: DataFrame, presets: dict[str, Preset], by: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of the sources that have a preset: its quality rules, then its byte budget, in order.
+
+    All sources go through one running sum, from which each takes its own start, so a large source is no hot key.
+    """
+    from grainmill.functions.predicates import generated_text
+    from grainmill.functions.text import quality_filter
+
+    kept = lambda names, rule: rows.filter(F.col(by).isin(names) & rule)
+    parts = []
+    for human, least in sorted({(p.human_only, p.least_chars) for p in presets.values()}):
+        names = [n for n, p in presets.items() if (p.human_only, p.least_chars) == (human, least)]
+        rule = quality_filter(F.col(text), least)
+        parts.append(kept(names, rule & ~generated_text(F.col(text)) if human else rule))
+    good = parts[0]
+    for p in parts[1:]:
+        good = good.unionByName(p)
+    sized = running_totals(good.select(by, order, F.octet_length(text).cast("long").alias("_bytes")), [by, order], F.col("_bytes"))
+    start = sized.groupBy(by).agg(F.min("before").alias("_start"))
+    target = F.create_map(*[F.lit(x) for n, p in presets.items() for x in (n, p.target_bytes)])
+    inside = sized.join(F.broadcast(start), by).filter(F.col("before") - F.col("_start") < F.try_element_at(target, F.col(by)))  # one row a preset
+    return good.join(inside.select(by, order), [by, order], "left_semi")
+
+
+def shared_budget(rows: DataFrame, ranks: dict[str, int], by: str, target_bytes: int, order: str, batch: int = 5 << 20) -> DataFrame:
+    """Sources in their order of priority until they have ``target_bytes`` together; others are left out."""
+    rank = F.try_element_at(F.create_map(*[F.lit(x) for p in ranks.items() for x in p]), F.col(by))
+    return budgeted(rows.withColumn("source_rank", rank).filter("source_rank IS NOT NULL"), target_bytes, ["source_rank", order], batch)
+
+
+def halved_budget(rows: DataFrame, halves: tuple[str, str], by: str, target_bytes: int, order: str, least_bytes: int = 100_000_000) -> DataFrame:
+    """Half of the bytes from each of two configurations, and at least ``least_bytes`` from each."""
+    each = max(least_bytes, target_bytes // 2)
+    first, second = (budgeted(rows.filter(F.col(by) == h), each, [order]) for h in halves)
+    return first.unionByName(second)
+
+
+def archived_pages(pages: DataFrame, least: int = 500, human_only: bool = True) -> DataFrame:
+    """(page_id, url, name, text): texts of archived pages that pass the quality rule and, if asked, aren't
+    generated; of pages with one name the first stays. ``pages`` has (page_id, url, html)."""
+    from grainmill.functions.predicates import generated_text
+    from grainmill.functions.text import html_text, quality_filter, url_name
+
+    x = pages.select("page_id", "url", url_name(F.col("url")).alias("name"), F.explode(F.array(html_text(F.col("html")))).alias("text"))
+    good = x.filter(quality_filter(F.col("text"), least))
+    return first_of_names(good.filter(~generated_text(F.col("text"))) if human_only else good, F.col("name"), ["page_id"])
+
+
+def fan_articles(pages: DataFrame, least: int = 1500) -> DataFrame:
+    """(id, title, text) of a fan wiki: wikitext of 200 characters or more, no redirects and no titles of the
+    deny-list, cleaned as wikitext and then as text. ``pages`` has (id, title, text)."""
+    from grainmill.functions.predicates import fandom_title, generated_text, redirect
+    from grainmill.functions.text import clean_wiki, fan_wikitext, quality_filter
+
+    kept = pages.filter((F.length("text") >= 200) & ~redirect(F.col("text"), F.lit(None).cast("string")) & ~fandom_title(F.col("title")))
+    x = kept.select("id", "title", F.explode(F.array(clean_wiki(fan_wikitext(F.col("text"))))).alias("text"))
+    return x.filter(quality_filter(F.col("text"), least) & ~generated_text(F.col("text")))
+
+
+def wiki_choice(found: DataFrame, skip: list[str], least: int = 500) -> DataFrame:
+    """Of discovered wikis (site, name, lang, articles) the English ones that aren't on the skip list and have
+    enough articles, one for each site name, the largest."""
+    x = found.filter((F.coalesce("lang", F.lit("en")) == "en") & (F.col("articles") >= least) & ~F.col("site").isin(skip))
+    return x.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.max_by("site", F.struct("articles", "site")).alias("site"), F.max("articles").alias("articles"))
 
 
 def in_priority(parts: list[tuple[int, DataFrame]]) -> DataFrame:

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.checkpoints import delete
+from grainmill.operators.ranks import places
+from grainmill.shipping import ship
+from grainmill.sources.readers import budgeted, token_header
+
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     """K1, K3"""
@@ -32,9 +41,62 @@ def batches(df: DataFrame, path: str, rows: int) -> None:
 
 
 def append_checked(df: DataFrame, path: str, expected: int) -> int:
-    """K7: appends if the table holds ``expected`` rows; a failed write leaves the old rows alone."""
-    have = df.sparkSession.read.parquet(path).count()
+    """K7: appends if the table holds ``expected`` rows; a failed or incomplete write is taken back.
+
+    An append writes new files only, so taking it back deletes the files that weren't there before.
+    """
+    spark = df.sparkSession
+    have = spark.read.parquet(path).count()
     if have != expected:
         raise ValueError(f"the table holds {have} rows, not {expected}")
-    df.write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    before, new = files_of(spark, path), df.count()
+    try:
+        df.write.mode("append").parquet(path)
+        total = spark.read.parquet(path).count()
+        if total != have + new:
+            raise ValueError(f"the table holds {total} rows after the append, not {have + new}")
+    except Exception:
+        for file in files_of(spark, path) - before:
+            delete(spark, file)
+        raise
+    return total
+
+
+def files_of(spark: SparkSession, path: str) -> set[str]:
+    """Data files right below ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return {str(f.getPath()) for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p) if f.getPath().getName().startswith("part-")}
+
+
+def byte_batches(df: DataFrame, path: str, order: str, batch: int = 5 << 20, text: str = "text") -> None:
+    """K5: one folder for each ``batch`` bytes of text, in order."""
+    budgeted(df, 1 << 62, order, batch, text).write.mode("overwrite").partitionBy("file").parquet(path)
+
+
+def indexed(df: DataFrame, path: str, order: str, buckets: int = 64) -> None:
+    """K9: sequences with their places; rows of a range of places lie together, so that few files are read for few places."""
+    numbered = df.join(places(df.select(order), [order]), order)
+    numbered.repartitionByRange(buckets, "place").sortWithinPartitions("place").write.mode("overwrite").parquet(path)
+
+
+def at_places(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """K9: the sequences at the places ``wanted`` (pos, place), with ``pos`` to order them by; a place may come twice."""
+    return wanted.select("pos", "place").join(spark.read.parquet(path), "place")
+
+
+def token_export(ids: DataFrame, path: str, vocabulary: int, order: str = "doc_id", column: str = "ids") -> None:
+    """K6: (name, content): one token file for each task's range of the order, written as rows by Spark's committer.
+
+    A task holds the ids of its range; ``spark.sql.shuffle.partitions`` sets how many ranges there are.
+    """
+    ship(ids.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), []
+        for b in batches:
+            held += [x.values.to_numpy().astype("<u4").tobytes() for x in b.column("ids") if x.is_valid]
+        data = b"".join(held)
+        yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}.bin"]), pa.array([token_header(len(data) // 4, vocabulary) + data])], names=["name", "content"])
+
+    ranged = ids.filter(F.col(column).isNotNull()).select(order, F.col(column).alias("ids")).repartitionByRange(order).sortWithinPartitions(order)
+    ranged.select("ids").mapInArrow(run, "name string, content binary").write.mode("overwrite").parquet(path)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import scalars, text
 from grainmill.functions.bpe import MergeTokenizer, WordTokenizer, marked_words
-from grainmill.operators import minhash, mixing, packing, series
+from grainmill.operators import minhash, mixing, packing, records, series
 from grainmill.operators.dedup import paragraphs_once
+from grainmill.operators.graph import components
 from grainmill.plans.tokens import MERGES, TOKENIZER
 from grainmill.sources import readers, sinks
 from grainmill.streaming import streams
@@ -28,7 +29,7 @@ def test_dedup_key(spark):
     assert one(spark, text.dedup_key, "  File.write, the END.  (a_b)") == "file.write the end ab"
 
 
-@pytest.mark.parametrize("expression,value", [("2 + 3 * 4", "14"), ("7 / 2", "3.5"), ("4.0 * 2", "8"), ("2 ** 5000", None), ("x + 1", None), ("1 // 0", None), ("-3 % 5", "2"), ("", None)])
+@pytest.mark.parametrize("expression,value", [("2 + 3 * 4", "14"), ("7 / 2", "3.5"), ("4.0 * 2", "8"), ("2 ** 5000", None), ("x + 1", None), ("1 // 0", None), ("-3 % 5", "2"), ("", None), ("(10**12)**1000", None), ("(10**12)**300", str(10**3600)), ("(10**12)**1000 // (10**12)**999", str(10**12))])
 def test_calculator(expression, value):
     assert scalars.calculate(expression) == value
 
@@ -87,6 +88,7 @@ def test_fitted_and_preferences():
     assert packing.fitted(TOKENIZER, "p", "x" * 900, 64)[0] == "dropped"
     pair = packing.preference(TOKENIZER, "q", "long answer", "no", 64)
     assert len(pair["chosen"][0]) == len(pair["rejected"][0]) and packing.preference(TOKENIZER, " ", "a", "b", 9) is None
+    assert packing.preference(TOKENIZER, None, "a", "b", 9) is None and packing.preference(TOKENIZER, "q", "a", None, 9) is None
 
 
 def test_next_fit():
@@ -104,6 +106,30 @@ def test_minhash(spark):
     assert int(minhash.mulmod(np.array([a], np.uint64), np.array([b], np.uint64))[0]) == a * b % ((1 << 61) - 1)
 
 
+def test_minhash_chain(spark):
+    """Forty texts, each near the next one only: their pairs form one chain."""
+    pairs = [(i, i + 1) for i in range(40)]
+    got = components(spark.createDataFrame(pairs, "u long, v long").repartition(5)).collect()
+    assert {r.node: r.root for r in got} == dict.fromkeys(range(41), 0)
+    base = [f"{i:03d}" for i in range(400)]
+    texts = [(k, " ".join(["x" * 3 + str(k)] * 0 + base[3 * k : 3 * k + 120])) for k in range(40)]
+    got = minhash.keep_longest(spark.createDataFrame([*texts, (99, None)], "doc_id long, text string")).collect()
+    assert 0 < len(got) <= 41
+
+
+def test_sequences_of_odd_lines():
+    assert records.sequences('{"prompt": "a", "completion": "b"}\n5\n[1]\nnull\n"x"') == ["User: a\nAssistant: b"]
+    assert records.sequences('{"prompt": "", "question": "a", "answer": "b"}') == ['{"prompt": "", "question": "a", "answer": "b"}']
+    assert records.sequences("{" * 100_000) and records.sequences(None) == [] and records.sequences("Q: a A: b Q: c A: d") == ["User: a\nAssistant: b", "User: c\nAssistant: d"]
+
+
+def test_paragraphs_of_copies(spark):
+    p = "a paragraph that is certainly longer than fifty characters"
+    docs = spark.createDataFrame([(i, f"short {i}\n\n{p}\n\n{p} {i}") for i in range(60)] + [(99, None), (98, "")], "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.text for r in paragraphs_once(docs).collect()}
+    assert got[0] == f"short 0\n\n{p}\n\n{p} 0" and got[7] == f"short 7\n\n{p} 7" and len(got) == 60
+
+
 def test_paragraphs(spark):
     p = "a paragraph that is certainly longer than fifty characters"
     got = paragraphs_once(spark.createDataFrame([(1, f"{p}\n\nshort\n\n{p}"), (2, f"{p}\n\nshort")], "doc_id long, text string")).collect()

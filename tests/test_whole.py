@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grainmill import catalog
 from grainmill.operators import packing
 from grainmill.operators import retrieval as R
-from grainmill.plans.tokens import TOKENIZER
+from grainmill.plans.tokens import vocabulary
 
 QUERIES = catalog.queries()
 LONG = "plain words and more of them go on here. " * 120
@@ -28,12 +28,13 @@ def tables(spark, tmp_path):
 def test_p7_packs_whole_documents(spark, tables):
     texts = {1: LONG, 2: "short", 3: "", 4: None, **{i: LONG[: 97 * i] for i in range(5, 40)}}
     rows = QUERIES["p7_packed"](spark, tables("documents", "doc_id long, text string", list(texts.items()))).collect()
-    want = Counter(i for t in texts.values() for i in TOKENIZER.encode(t or ""))
+    own = vocabulary()
+    want = Counter(i for t in texts.values() for i in own.encode(t or ""))
     pieces = [r.ids[a:b] for r in rows for a, b in zip(r.starts, r.ends, strict=True)]
-    assert Counter(i for p in pieces for i in p[:-1]) == want and all(p[-1] == TOKENIZER.END for p in pieces)
+    assert Counter(i for p in pieces for i in p[:-1]) == want and all(p[-1] == own.END for p in pieces)
     assert all(len(r.ids) <= 512 and r.ends[-1] == len(r.ids) for r in rows)
     assert len({(r.pack, r.row) for r in rows}) == len(rows)
-    whole = TOKENIZER.encode(LONG)
+    whole = own.encode(LONG)
     assert {tuple(whole[i : i + 511]) for i in range(0, len(whole), 511)} <= {tuple(p[:-1]) for p in pieces}
 
 
@@ -55,6 +56,7 @@ def test_samples_read_whole_texts(spark, tables):
     by = lambda q, c: {r.doc_id: r[c] for r in QUERIES[q](spark, d).collect()}
     assert by("f2_generated_whole", "generated")[5] and not by("f2_generated_whole", "generated")[11]
     assert by("f10_f11_f12_voice_whole", "boilerplate")[10]
+    assert by("f2_generated", "generated")[5] and by("f10_f11_f12_voice", "boilerplate")[10] and by("t2_one_line", "line")[5].startswith(" ".join(late.split()))
     assert by("t1_clean_whole", "clean")[5] == late.replace("\r\n", "\n")
     assert by("t2_one_line_whole", "line")[5] == " ".join(late.split())
     assert by("t3_clean_wiki_whole", "clean")[5].startswith(LONG.strip())
@@ -67,8 +69,8 @@ def test_keys_are_whole_texts(spark, tables):
     d = tables("documents", "doc_id long, text string", [(25, LONG + "a"), (26, LONG + "b"), (27, LONG + "A "), (28, LONG + "b"), (29, "q\n" + LONG), (30, " Q\n" + LONG)])
     ids = lambda q: sorted(r.doc_id for r in QUERIES[q](spark, d).collect())
     assert ids("j3_leak_guard_whole") == [26, 28, 29, 30]
-    assert ids("d2_pairs_once_whole") == ids("d3_captions_once_whole") == [25, 26, 27, 29, 30]
-    assert sorted((r.doc_id, r.n) for r in QUERIES["d9_questions_once_whole"](spark, d).collect()) == [(25, 2), (26, 2), (29, 2)]
+    assert ids("d2_pairs_once") == ids("d3_captions_once") == [25, 26, 27, 29, 30]
+    assert sorted((r.doc_id, r.n) for r in QUERIES["d9_questions_once"](spark, d).collect()) == [(25, 2), (26, 2), (29, 2)]
 
 
 def test_j9_against_brute_force(spark):
@@ -79,15 +81,15 @@ def test_j9_against_brute_force(spark):
     for a, s in sets.items():
         near = [b for b, t in sets.items() if b < a and s & t and 2 * len(s & t) >= len(s | t)]
         want |= {a: min(near)} if near else {}
-    assert want and {r.doc_id: r.replaces for r in QUERIES["j9_fuzzy_match_whole"](spark, d).collect()} == want
+    assert want and {r.doc_id: r.replaces for r in QUERIES["j9_fuzzy_match"](spark, d).collect()} == want
 
 
 def test_sets_and_bounds_of_whole_texts(spark, tables):
     rows = [(1, LONG + "seldom"), (2, LONG + "\u4e00"), (3, LONG + "\nlast line"), (4, "one short line")]
     tables("benchmark", "item_id long, text string", [(1, "seldom seen")])
     d = tables("documents", "doc_id long, text string", rows)
-    assert QUERIES["u4_jaccard_whole"](spark, d).first().k == 1
-    assert {r.doc_id: r.inside for r in QUERIES["f21_vocab_bounds_whole"](spark, d).collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert QUERIES["u4_jaccard"](spark, d).first().k == 1
+    assert {r.doc_id: r.inside for r in QUERIES["f21_vocab_bounds"](spark, d).collect()} == {1: True, 2: False, 3: True, 4: True}
     got = {r.doc_id: (r.status, r.prompt) for r in QUERIES["p11_fitted"](spark, d).collect()}
     assert got[4] == ("kept", "one short ") and got[3][0] == "trimmed" and LONG.strip().endswith(got[3][1])
 
@@ -100,7 +102,7 @@ def test_rules_judge_the_tables_texts(spark, tables):
     assert sorted(r.doc_id for r in QUERIES["r4_identity_whole"](spark, d).collect()) == [11, 23]
     assert [r.doc_id for r in QUERIES["f20_tag_rules_whole"](spark, d).collect() if r.doc_id == 47] == [47]
     assert "</think>" not in {r.doc_id: r.clean for r in QUERIES["t11_generated_whole"](spark, d).collect()}[11]
-    assert all(r.valid for r in QUERIES["f13_valid_example_whole"](spark, d).collect() if r.doc_id == 23)
+    assert all(r.valid for r in QUERIES["f13_valid_example"](spark, d).collect() if r.doc_id == 23)
     assert {r.id: r.completion for r in QUERIES["r9_mix_whole"](spark, d).collect()}[23] == LONG
 
 
@@ -108,7 +110,7 @@ def test_no_document_or_item_is_left_out(spark, tables):
     tables("labels", "doc_id long", [(1,), (2,), (3,)])
     tables("documents", "doc_id long, text string, n_chars long", [(1, "a", 1), (2, "b", 900), (3, "c", 900), (4, "d", 1), (5, "e", 1)])
     d = tables("benchmark", "item_id long, text string", [(i, "x") for i in range(40)])
-    assert sorted(r.doc_id for r in QUERIES["u5_recrawl_whole"](spark, d).collect()) == [2, 3, 4, 5]
+    assert sorted(r.doc_id for r in QUERIES["u5_recrawl"](spark, d).collect()) == [2, 3, 4, 5]
     got = QUERIES["o16_distractors"](spark, d).collect()
     assert Counter(r.item_id for r in got) == Counter(r.other for r in got) == dict.fromkeys(range(40), 2)
     assert all(r.item_id != r.other for r in got) and len({(r.item_id, r.other) for r in got}) == 80
