@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bounded_sample, cut
+from grainmill.checkpoints import cut
+from grainmill.llm.common import bounded_sample
 from grainmill.llm.vectors import blocks, matrix, unpack, usable
 from grainmill.shipping import ship
 from grainmill.tables import table

@@ -34,8 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import cut, extend, lower_ascii, mix, shared_table, word_hashes
-from grainmill.llm.graph import components, smallest_labels
+from grainmill.checkpoints import cut, shared_table
+from grainmill.llm.common import extend, lower_ascii, mix, word_hashes
+from grainmill.operators.graph import components, smallest_labels
+from grainmill.operators.skew import join_counted
 from grainmill.shipping import ship
 from grainmill.tables import table
 
@@ -492,8 +494,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text",
     joined = classes.join(roots.withColumnRenamed("node", "cls"), "cls").join(n_links, "cls", "left")
     least = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
     linked = joined.join(least, "root").select("cls", "component_id", "links")
-    named = classes.join(linked, "cls", "left").select("cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = named_sets.join(named, "cls")
+    named = classes.join(linked, "cls", "left").select("cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    full = join_counted(named_sets, cut(named), "cls", "copies")
     alone = every.filter("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
     return full.select("doc_id", "n_shingles", "component_id", "n_links", "class_id").unionByName(alone)
 

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import cut, drop_cut
+from grainmill.checkpoints import cut, drop_cut
 from grainmill.llm.vectors import matrix, usable
+from grainmill.operators.skew import join_counted
 from grainmill.shipping import ship
 from grainmill.tables import table
 
@@ -241,17 +242,10 @@ def walk(queries: DataFrame, start: DataFrame, edges: DataFrame, code: DataFrame
 
 
 def named(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, node) of ``rows`` (vec_id, embedding).
-
-    Vectors with more than two tasks' share of the rows, fewer than half as many as tasks, are broadcast.
-    """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = rows.groupBy("embedding").count().filter(F.col("count") > max(1, 2 * rows.count() / tasks)).select("embedding")
-    known = nodes.select("node", "embedding")
-    hot = cut(known.join(F.broadcast(often), "embedding"))
-    own = rows.join(F.broadcast(hot), "embedding")
-    rest = rows.join(F.broadcast(hot.select("embedding")), "embedding", "left_anti").join(known, "embedding")
-    return own.unionByName(rest).select(F.col("vec_id").alias("query_id"), "node")
+    """(query_id, node) of ``rows`` (vec_id, embedding); rows of a frequent vector aren't shuffled by it."""
+    counts = rows.groupBy("embedding").agg(F.count("*").alias("n"))
+    side = cut(nodes.select("node", "embedding").join(counts, "embedding"))
+    return join_counted(rows, side, "embedding", "n").select(F.col("vec_id").alias("query_id"), "node")
 
 
 def search(vectors: DataFrame, wanted: Column, k: int, p: Params = Params()) -> DataFrame:

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import cut, extend
+from grainmill.checkpoints import cut
+from grainmill.llm.common import extend
 from grainmill.tables import table
 
 #: (time, weight) points, from time 0 to 1; weights between points are linear, and positive.

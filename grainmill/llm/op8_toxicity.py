@@ -28,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import Hasher, cut, drop_cut, extend, labelled_ids, mix, text_of, word_bounds
+from grainmill.checkpoints import cut, drop_cut
+from grainmill.llm.common import Hasher, extend, labelled_ids, mix, text_of, word_bounds
 from grainmill.shipping import ship
 from grainmill.tables import table
 
