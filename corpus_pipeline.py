@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm import op1_bpe, op2_jaccard, op4_mix, op8_toxicity, op9_pii
-from grainmill.llm.common import checkpoint_dir, delete, scratch
+from grainmill.checkpoints import checkpoint_dir, delete, scratch
 from grainmill.tables import table
 
 
