@@ -51,8 +51,9 @@ class MergeTokenizer:
         for n in names:
             self.id_of.setdefault(n, 4 + len(self.id_of))
         self.name_of = {i: n for n, i in self.id_of.items()}
-        self.specials = sorted(specials, key=len, reverse=True)
-        self.split = re.compile("|".join([*map(re.escape, self.specials), WORD_OR_SPACE]))
+        longest = sorted(specials, key=len, reverse=True)
+        self.specials = frozenset(specials)
+        self.split = re.compile("|".join([*map(re.escape, longest), WORD_OR_SPACE]))
         self._caches()
 
     @classmethod
@@ -64,7 +65,7 @@ class MergeTokenizer:
 
     def _caches(self) -> None:
         self.pieces = lru_cache(50_000)(self._pieces)
-        self.packed = lru_cache(50_000)(lambda word: array("i", self._pieces(word)).tobytes())
+        self.packed = lru_cache(1 << 17)(self._packed)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("pieces", "packed")}
@@ -101,28 +102,28 @@ class MergeTokenizer:
                 heappush(todo, (r, h, parts[h], parts[i]))
         return tuple(self.id_of.get(p, self.UNKNOWN) for p in parts if p)
 
-    def _words(self, text: str):
-        for w in self.split.findall(text):
-            yield w, w if w in self.specials or not self.bytes else w.encode("utf-8", "surrogatepass").decode("latin-1")
+    def _own(self, word: str) -> str:
+        return word.encode("utf-8", "surrogatepass").decode("latin-1") if self.bytes else word
+
+    def _packed(self, word: str) -> bytes:
+        return array("i", [self.id_of[word]] if word in self.specials else self._pieces(self._own(word))).tobytes()
 
     def encode(self, text: str, ends: bool = True, dropout: float = 0.0, seed: int = 0) -> list[int]:
         if not text:
             return []
         out, chance = [self.BEGIN] if ends else [], random.Random(seed)
-        for w, own in self._words(text):
+        for w in self.split.findall(text):
             if w in self.specials:
                 out.append(self.id_of[w])
             else:
-                out += self._pieces(own, dropout, chance) if dropout else self.pieces(own)
+                out += self._pieces(self._own(w), dropout, chance) if dropout else self.pieces(self._own(w))
         return out + [self.END] if ends else out
 
     def encode_packed(self, text: str) -> bytes:
         """Ids, begin and end among them, as 32-bit integers."""
         if not text:
             return b""
-        one = lambda i: array("i", [i]).tobytes()
-        body = (one(self.id_of[w]) if w in self.specials else self.packed(own) for w, own in self._words(text))
-        return b"".join([one(self.BEGIN), *body, one(self.END)])
+        return b"".join([array("i", [self.BEGIN]).tobytes(), *map(self.packed, self.split.findall(text)), array("i", [self.END]).tobytes()])
 
     def decode(self, ids: list[int]) -> str:
         names = [self.name_of.get(i, "") for i in ids if i > self.UNKNOWN]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.checkpoints import cut
+
 # Words that don't tell one memory from another.
 STOPWORDS = [
     "a", "an", "the", "is", "are", "was", "were", "be", "been", "being",
@@ -23,19 +25,48 @@ def content_terms(c: Column) -> Column:
     return F.array_except(terms(c), F.array(*map(F.lit, STOPWORDS)))
 
 
+def alike(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, other): for each text the first one whose set of content terms has a Jaccard index of 1/2 or
+    more with its own, which may be itself; ``texts`` has (doc_id, text). Texts without content terms are like none.
+
+    Sets of sizes n and m that are alike share ``(n + m) / 3`` terms, so their sizes differ by a factor of 2 at
+    most, and of each set's ``n // 2 + 1`` rarest terms they share what is left of that number when the larger
+    set's other terms are taken off. Only pairs that do are compared. Equal sets count as one.
+    """
+    held = texts.select("doc_id", F.explode(F.array(F.array_sort(F.array_distinct(content_terms(F.col(text)))))).alias("t")).filter(F.size("t") > 0)
+    held = cut(held.withColumn("k", F.sha2(F.to_json("t"), 256)))
+    once = cut(held.groupBy("k").agg(F.min("doc_id").alias("a"), F.first("t").alias("t")).withColumn("n", F.size("t")))
+    x = once.select("a", "n", F.explode("t").alias("term"))
+    seen = x.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = x.join(seen, "term").groupBy("a", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("r"))
+    # terms of one set only are its rarest: they take their places and are shared with none
+    width = (F.floor(F.col("n") / 2) + 1 - (F.col("n") - F.size("r"))).cast("int")
+    rare = cut(ranked.filter(width > 0).select("a", "n", F.explode(F.slice("r", F.lit(1), width)).alias("e")).select("a", "n", F.col("e.term").alias("term")))
+    others = rare.select(F.col("a").alias("b"), F.col("n").alias("m"), "term")
+    met = rare.join(others, "term").filter("a < b AND 2 * least(n, m) >= greatest(n, m)").groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    near = met.filter("shared >= greatest(1, ceil((n + m) / 3) - ceil(greatest(n, m) / 2) + 1)")
+    sets = once.select("a", "t")
+    both = near.join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("t").alias("u")), "b").withColumn("s", F.size(F.array_intersect("t", "u")))
+    linked = both.filter("3 * s >= n + m").select("a", "b")
+    first = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(once.select("a", F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("other"))
+    return held.select("doc_id", "k").join(once.select("k", "a"), "k").join(first, "a").select("doc_id", "other")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best; a term repeated in a query counts as often.
 
     ``docs`` has (doc_id, text), ``queries`` (query_id, text). Postings are cut to the queries' terms before
-    they are counted, so what is shuffled follows the queries' vocabulary.
+    they are counted, so what is shuffled follows the queries' vocabulary; a document's length comes with them,
+    under no term, so texts are split once.
     """
     wanted = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    bags = docs.select("doc_id", terms(F.col("text")).alias("t"))
-    size = bags.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    held = bags.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = held.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = wanted.join(df, "term").join(postings, "term").crossJoin(F.broadcast(size))
+    known = wanted.select("term").distinct().withColumn("_known", F.lit(True))
+    held = docs.select("doc_id", F.explode(F.array(terms(F.col("text")))).alias("t")).select("doc_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.col("t"))).alias("term"))
+    postings = held.join(known, "term", "left").filter("_known OR term = ''").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    postings = cut(postings)
+    size = postings.filter("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    df = postings.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    scored = wanted.join(df, "term").join(postings, "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * tf), 6).alias("score")).filter("score > 0")

@@ -13,12 +13,13 @@ from grainmill.tables import table
 def corpus(docs: DataFrame, min_length: int = 500) -> DataFrame:
     """Cleaned documents that pass the quality rule; of equal texts the smallest doc_id stays.
 
-    Equal texts meet by a digest, so the shuffle carries 32 bytes and an id for each document
-    and partial minima are taken before it; texts themselves aren't shuffled for the grouping.
+    A text is cleaned once, behind a generator, so that neither the rule nor the digest cleans it again. Equal
+    texts meet by a digest, so the shuffle carries 32 bytes and some numbers for each document, partial minima
+    are taken before it, and no text is sorted or shuffled.
     """
-    x = docs.withColumn("text", clean_text("text")).filter(quality_filter(F.col("text"), min_length))
-    first = x.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min_by(F.struct("doc_id", "source", F.length("text").alias("chars"), token_estimate(F.col("text")).alias("tokens")), "doc_id").alias("kept"))
-    return first.select("kept.*")
+    x = docs.select("doc_id", "source", F.explode(F.array(clean_text("text"))).alias("text")).filter(quality_filter(F.col("text"), min_length))
+    small = x.select("doc_id", "source", F.sha2("text", 256).alias("digest"), F.length("text").alias("chars"), token_estimate(F.col("text")).alias("tokens"))
+    return small.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "chars", "tokens")).alias("kept")).select("kept.*")
 
 
 @query(

@@ -189,29 +189,6 @@ _STOP_SQL = "[" + ", ".join(map(quoted, R.STOPWORDS)) + "]"
 TERMS = "regexp_extract_all(lower({}), '[a-z0-9'']+')"
 
 
-def fuzzy_pairs(docs_, text="text"):
-    """(doc_id, other): earlier texts whose sets of content terms have a Jaccard index of 1/2 or more.
-
-    Such sets share one of the ``n // 2 + 1`` rarest terms of each, and the sizes differ by a factor of 2 at most.
-    Terms stand in the order of their document counts, as arrays of their places; equal sets meet once.
-    """
-    m = docs_.select("doc_id", F.array_sort(F.array_distinct(R.content_terms(C(text)))).alias("t")).withColumn("k", F.sha2(F.to_json("t"), 256)).filter(F.size("t") > 0)
-    once = m.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("t").alias("t")).withColumn("n", F.size("t"))
-    x = once.select("k", "n", F.explode("t").alias("term"))
-    ranked = x.join(x.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1"), "term").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("r"))
-    # terms of one set only are the rarest and join nothing; they take their places in the prefix
-    width = (F.floor(C("n") / 2) + 1 - (C("n") - F.size("r"))).cast("int")
-    rare = ranked.filter(width > 0).select("k", "n", F.explode(F.slice("r", F.lit(1), width)).alias("e")).select("k", "n", C("e.term").alias("term"))
-    y = rare.select(C("k").alias("l"), C("n").alias("m"), "term")
-    near = rare.join(y, "term").filter("k < l AND 2 * least(n, m) >= greatest(n, m)").select("k", "l").distinct()
-    sets = once.select("k", "t", "n")
-    both = near.join(sets, "k").join(sets.select(C("k").alias("l"), C("t").alias("u"), C("n").alias("m")), "l").withColumn("s", F.size(F.array_intersect("t", "u")))
-    linked = both.filter("2 * s >= n + m - s").select("k", "l")
-    every = linked.unionByName(linked.select(C("l").alias("k"), C("k").alias("l"))).unionByName(sets.select("k", C("k").alias("l")))
-    first = every.join(once.select(C("k").alias("l"), C("doc_id").alias("other")), "l").groupBy("k").agg(F.min("other").alias("other"))
-    return m.join(first, "k").select("doc_id", "other")
-
-
 @query(
     "j9_fuzzy_match",
     f"""WITH m AS (SELECT doc_id, list_distinct(list_filter({TERMS.format('text')}, lambda x: NOT list_contains({_STOP_SQL}, x))) AS t FROM documents),
@@ -221,7 +198,7 @@ def fuzzy_pairs(docs_, text="text"):
 )
 def j9(spark, d):
     """The first earlier text that each text is like, over whole texts."""
-    return fuzzy_pairs(docs(spark, d)).filter("other < doc_id").select("doc_id", C("other").alias("replaces"))
+    return R.alike(docs(spark, d)).filter("other < doc_id").select("doc_id", C("other").alias("replaces"))
 
 
 @query(
@@ -375,7 +352,7 @@ def j3_whole(spark, d):
 )
 def j9_whole(spark, d):
     """The same over the turns of conversations: many short texts."""
-    return fuzzy_pairs(talk(spark, d).select((C("conv_id") * 1000 + C("turn")).alias("doc_id"), "text")).filter("other < doc_id").select("doc_id", C("other").alias("replaces"))
+    return R.alike(talk(spark, d).select((C("conv_id") * 1000 + C("turn")).alias("doc_id"), "text")).filter("other < doc_id").select("doc_id", C("other").alias("replaces"))
 
 
 @query("u4_jaccard_whole", f"SELECT conv_id, a.turn, len(list_intersect(a.t, b.t)) AS k, len(list_distinct(list_concat(a.t, b.t))) AS n FROM (SELECT conv_id, turn, {TERMS.format('text')} AS t FROM conversations) a JOIN (SELECT conv_id, turn - 1 AS turn, {TERMS.format('text')} AS t FROM conversations) b USING (conv_id, turn)")
