@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+# How numbers stand in answers: marked as final, by themselves, and as fractions.
+MARKED_NUMBER, PLAIN_NUMBER, FRACTION = r"####\s*(-?[\d,]*\.?\d+)", r"(-?[\d,]*\.?\d+)", r"(-?\d+(?:\.\d+)?(?:\s*/\s*\d+)?)"
+
+
 def final_number(c: Column) -> Column:
     """The last number after ####, else the last number; commas go; null without one."""
-    marked = F.try_element_at(F.regexp_extract_all(c, F.lit(r"####\s*(-?[\d,]*\.?\d+)"), F.lit(1)), F.lit(-1))
-    any_ = F.try_element_at(F.regexp_extract_all(c, F.lit(r"(-?[\d,]*\.?\d+)"), F.lit(1)), F.lit(-1))
+    marked, any_ = (F.try_element_at(F.regexp_extract_all(c, F.lit(p), F.lit(1)), F.lit(-1)) for p in (MARKED_NUMBER, PLAIN_NUMBER))
     return F.regexp_replace(F.coalesce(marked, any_), ",", "").try_cast("double")
 
 
 def last_fraction(c: Column) -> Column:
     """The last number, which may be a fraction a/b."""
-    x = F.try_element_at(F.regexp_extract_all(c, F.lit(r"(-?\d+(?:\.\d+)?(?:\s*/\s*\d+)?)"), F.lit(1)), F.lit(-1))
+    x = F.try_element_at(F.regexp_extract_all(c, F.lit(FRACTION), F.lit(1)), F.lit(-1))
     parts = F.split(x, r"\s*/\s*")
     top, bottom = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
     return F.when(bottom.isNull(), top).otherwise(F.try_divide(top, bottom))

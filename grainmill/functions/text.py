@@ -34,10 +34,11 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
 
 
-def chain(c: Column, steps: list[tuple[str, str]]) -> Column:
-    """Regular-expression replacements, one after the other."""
-    for pattern, to in steps:
-        c = F.regexp_replace(c, pattern, to)
+def chain(c: Column, steps: list[tuple]) -> Column:
+    """Regular-expression replacements, one after the other: (pattern, replacement), or (pattern, replacement, times)."""
+    for pattern, to, *times in steps:
+        for _ in range(times[0] if times else 1):
+            c = F.regexp_replace(c, pattern, to)
     return c
 
 
@@ -52,6 +53,7 @@ def one_line(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "(?U)\\s+", " "), "^ | $", "")
 
 
+# What T3 takes out, in this order.
 WIKI_STEPS = [("\\[\\d+\\]", ""), ("(?i)\\[citation needed\\]", ""), ("\\[.*?\\]", ""), ("https?://\\S+", ""), ("[ \\t]+", " ")]
 
 
@@ -60,44 +62,42 @@ def clean_wiki(c: Column) -> Column:
     return lines_kept(chain(c, WIKI_STEPS), lambda x: ~((F.length(x) < 20) & F.endswith(x, F.lit(":"))))
 
 
-def repeated(c: Column, pattern: str, times: int) -> Column:
-    for _ in range(times):
-        c = F.regexp_replace(c, pattern, "")
-    return c
-
-
 # Blocks whose content is not text.
 WIKI_BLOCKS = ["gallery", "source", "syntaxhighlight", "pre", "math", "score", "timeline", "nowiki", "imagemap", "mapframe"]
 WIKI_ENTITIES = [("&nbsp;", " "), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#\\d+;", "")]
 
 
+# What T4 takes out of a fan wiki's text, in this order; nested templates take fifteen turns, tables five.
+FAN_STEPS = [
+    ("(?s)<!--.*?-->", ""), ("(?s)<ref[^>]*>.*?</ref>", ""), ("<ref[^>]*/>", ""),
+    *[(f"(?si)<{t}[^>]*>.*?</{t}>", "") for t in WIKI_BLOCKS], ("<[^>]+/?>", ""),
+    ("(?s)\\{\\|[^{]*?\\|\\}", "", 5), ("\\{\\|.*", ""), ("\\{\\{[^{}]*\\}\\}", "", 15),
+    ("(?i)\\[\\[(File|Image|Archivo|Fichier|Datei):[^\\]]*\\]\\]", ""), ("(?i)\\[\\[Category:[^\\]]*\\]\\]", ""),
+    ("\\[\\[[^\\]|]*\\|([^\\]]*)\\]\\]", "$1"), ("\\[\\[([^\\]]*)\\]\\]", "$1"),
+    ("\\[https?://\\S+\\s+([^\\]]*)\\]", "$1"), ("\\[https?://[^\\]]*\\]", ""), ("'{2,5}", ""),
+    ("(?m)^=+\\s*(.*?)\\s*=+\\s*$", "$1"), ("(?m)^[*#:;]+\\s*", ""),
+    *WIKI_ENTITIES, ("__[A-Z]+__", ""), ("\\n{3,}", "\n\n"), (" {2,}", " "),
+]
+
+# What T6 takes out of a dump's text, in this order; its rules differ from T4's.
+DUMP_STEPS = [
+    ("\\{\\{[^{}]*\\}\\}", "", 8),
+    ("(?m)\\{\\{[^}]{0,500}$", ""), ("(?s)\\{\\|.*?\\|\\}", ""), ("(?si)<ref[^>]*>.*?</ref>", ""), ("(?i)<ref[^>]*/>", ""),
+    ("(?s)<!--.*?-->", ""), ("<[^>]+>", ""), ("(?i)\\[\\[Category:[^\\]]*\\]\\]", ""), ("(?i)\\[\\[(?:File|Image):[^\\]]*\\]\\]", ""),
+    ("\\[\\[[^|\\]]*\\|([^\\]]+)\\]\\]", "$1"), ("\\[\\[([^\\]]+)\\]\\]", "$1"), ("\\[https?://\\S+\\s+([^\\]]+)\\]", "$1"),
+    ("\\[https?://\\S+\\]", ""), ("https?://\\S+", ""), ("'{2,5}", ""), ("(?m)^=+\\s*(.*?)\\s*=+\\s*$", "$1"),
+    ("__[A-Z]+__", ""), ("\\[\\d+\\]", ""), ("(?i)\\[citation needed\\]", ""), ("\\{[^}]*\\}", ""), ("[ \\t]+", " "), ("\\n{3,}", "\n\n"),
+]
+
+
 def fan_wikitext(c: Column) -> Column:
     """T4: wikitext of fan wikis to plain text."""
-    x = chain(c, [("(?s)<!--.*?-->", ""), ("(?s)<ref[^>]*>.*?</ref>", ""), ("<ref[^>]*/>", "")])
-    x = chain(x, [(f"(?si)<{t}[^>]*>.*?</{t}>", "") for t in WIKI_BLOCKS] + [("<[^>]+/?>", "")])
-    x = F.regexp_replace(repeated(x, "(?s)\\{\\|[^{]*?\\|\\}", 5), "\\{\\|.*", "")
-    x = repeated(x, "\\{\\{[^{}]*\\}\\}", 15)
-    x = chain(x, [
-        ("(?i)\\[\\[(File|Image|Archivo|Fichier|Datei):[^\\]]*\\]\\]", ""), ("(?i)\\[\\[Category:[^\\]]*\\]\\]", ""),
-        ("\\[\\[[^\\]|]*\\|([^\\]]*)\\]\\]", "$1"), ("\\[\\[([^\\]]*)\\]\\]", "$1"),
-        ("\\[https?://\\S+\\s+([^\\]]*)\\]", "$1"), ("\\[https?://[^\\]]*\\]", ""), ("'{2,5}", ""),
-        ("(?m)^=+\\s*(.*?)\\s*=+\\s*$", "$1"), ("(?m)^[*#:;]+\\s*", ""),
-        *WIKI_ENTITIES, ("__[A-Z]+__", ""), ("\\n{3,}", "\n\n"), (" {2,}", " "),
-    ])
-    return trimmed(x)
+    return trimmed(chain(c, FAN_STEPS))
 
 
 def dump_wikitext(c: Column) -> Column:
-    """Wikitext of dumps to plain text; its rules differ from T4's."""
-    x = repeated(c, "\\{\\{[^{}]*\\}\\}", 8)
-    x = chain(x, [
-        ("(?m)\\{\\{[^}]{0,500}$", ""), ("(?s)\\{\\|.*?\\|\\}", ""), ("(?si)<ref[^>]*>.*?</ref>", ""), ("(?i)<ref[^>]*/>", ""),
-        ("(?s)<!--.*?-->", ""), ("<[^>]+>", ""), ("(?i)\\[\\[Category:[^\\]]*\\]\\]", ""), ("(?i)\\[\\[(?:File|Image):[^\\]]*\\]\\]", ""),
-        ("\\[\\[[^|\\]]*\\|([^\\]]+)\\]\\]", "$1"), ("\\[\\[([^\\]]+)\\]\\]", "$1"), ("\\[https?://\\S+\\s+([^\\]]+)\\]", "$1"),
-        ("\\[https?://\\S+\\]", ""), ("https?://\\S+", ""), ("'{2,5}", ""), ("(?m)^=+\\s*(.*?)\\s*=+\\s*$", "$1"),
-        ("__[A-Z]+__", ""), ("\\[\\d+\\]", ""), ("(?i)\\[citation needed\\]", ""), ("\\{[^}]*\\}", ""), ("[ \\t]+", " "), ("\\n{3,}", "\n\n"),
-    ])
-    return lines_kept(x, lambda l: ((F.length(l) >= 30) | l.rlike("[.!?:]$")) & ~l.rlike("^[*#;:]+$"))
+    """Wikitext of dumps to plain text; short lines that end no sentence and lines of list marks go."""
+    return lines_kept(chain(c, DUMP_STEPS), lambda l: ((F.length(l) >= 30) | l.rlike("[.!?:]$")) & ~l.rlike("^[*#;:]+$"))
 
 
 # Lines around the text of a book, in the order in which they are looked for.

@@ -37,7 +37,11 @@ _count = " + ".join(f"CAST(contains(t, {quoted(m)}) AS INT)" for m in P.WEAK_MAR
 _strong = " OR ".join(f"contains(t, {quoted(m)})" for m in P.STRONG_MARKERS)
 
 
-@query("f2_generated", f"SELECT doc_id, ({_strong}) OR ({_count}) >= 4 AS generated FROM (SELECT doc_id, lower({_ai_sql}) AS t FROM documents)")
+#: F2 for a lower-case text ``t``.
+GENERATED_SQL = f"({_strong}) OR ({_count}) >= 4"
+
+
+@query("f2_generated", f"SELECT doc_id, {GENERATED_SQL} AS generated FROM (SELECT doc_id, lower({_ai_sql}) AS t FROM documents)")
 def f2(spark, d):
     return docs(spark, d).select("doc_id", P.generated_text(_ai()).alias("generated"))
 
@@ -195,12 +199,13 @@ def f20(spark, d):
 
 
 def sql_chain(x: str, steps) -> str:
-    for p, to in steps:
+    for p, to, *times in steps:
         flags = "g"
         if p.startswith("(?"):
             flags += p[2 : p.index(")")].replace("m", "").replace("U", "")
             p = ("(?m)" if "m" in p[: p.index(")")] else "") + p[p.index(")") + 1 :]
-        x = f"regexp_replace({x}, {quoted(p)}, {quoted(to.replace('$', chr(92)))}, '{flags}')"
+        for _ in range(times[0] if times else 1):
+            x = f"regexp_replace({x}, {quoted(p)}, {quoted(to.replace('$', chr(92)))}, '{flags}')"
     return x
 
 
@@ -319,15 +324,15 @@ def t12(spark, d):
 
 
 _WT = ["{{Infobox|a={{b}}}} '''Bold''' [[Target|shown]] and [[plain]] text.<ref>x</ref>", "== Head ==\n* item one\n[[File:a.png|thumb]]\n[http://a.b c d] end of the line that is long enough.", "{| class=x\n|-\n| cell\n|}\n&nbsp;after &amp; more<!-- gone -->"]
-_wt, _ = injected(_WT)
+_wt, _wt_sql = injected(_WT)
 
 
-@query("t4_fan_wikitext")
+@query("t4_fan_wikitext", "SELECT doc_id, " + sql_chain(_wt_sql, [*T.FAN_STEPS, (TRIM, "")]) + " AS plain FROM documents")
 def t4(spark, d):
     return docs(spark, d).select("doc_id", T.fan_wikitext(_wt()).alias("plain"))
 
 
-@query("t6_dump_wikitext")
+@query("t6_dump_wikitext", "SELECT doc_id, " + sql_lines(sql_chain(_wt_sql, T.DUMP_STEPS), "(length(l) >= 30 OR regexp_matches(l, '[.!?:]$')) AND NOT regexp_matches(l, '^[*#;:]+$')") + " AS plain FROM documents")
 def t6(spark, d):
     return docs(spark, d).select("doc_id", T.dump_wikitext(_wt()).alias("plain"))
 

@@ -12,6 +12,7 @@ from grainmill.operators import series as S
 from grainmill.operators.mixing import ring
 from grainmill.operators.ranks import least_hashed, places
 from grainmill.operators.retrieval import content_terms, terms
+from grainmill.plans.filters import sql_entities
 from grainmill.plans.relational import TERMS, _STOP_SQL
 from grainmill.plans.samples import chosen, injected, quoted
 from grainmill.registry import query
@@ -143,7 +144,7 @@ def x8(spark, d):
     return docs(spark, d).select("doc_id", X.reasoning_reward(_ans(), F.lit("42")).alias("reward"))
 
 
-@query("x9_unescape")
+@query("x9_unescape", f"SELECT page_id, {sql_entities('html')} AS html FROM pages")
 def x9(spark, d):
     return table(spark, d, "pages").select("page_id", X.unescape_all(C("html")).alias("html"))
 
@@ -445,7 +446,7 @@ def o9(spark, d):
     return docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("k"))
 
 
-@query("o10_shuffle")
+@query("o10_shuffle", "SELECT doc_id FROM documents")
 def o10(spark, d):
     return docs(spark, d).select("doc_id").repartitionByRange(F.xxhash64("doc_id", F.lit(42))).sortWithinPartitions(F.xxhash64("doc_id", F.lit(42)))
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from grainmill.functions import predicates as P
+from grainmill.functions import text as T
 from grainmill.checkpoints import cut
 from grainmill.functions.bpe import MergeTokenizer, WordTokenizer, words
 from grainmill.operators import conversations as V
@@ -17,8 +18,8 @@ from grainmill.operators import packing as K
 from grainmill.operators.dedup import paragraphs_once
 from grainmill.operators.minhash import keep_longest
 from grainmill.operators.ranks import running_totals
-from grainmill.plans.filters import rx
-from grainmill.plans.samples import injected, whole
+from grainmill.plans.filters import GENERATED_SQL, TRIM, rx, sql_chain, sql_lines
+from grainmill.plans.samples import injected, quoted, whole
 from grainmill.registry import ORACLES, query
 from grainmill.sources.readers import Preset, archived_pages, fan_articles, halved_budget, preset_rows, shared_budget, training_log, wiki_choice
 from grainmill.tables import table
@@ -303,12 +304,32 @@ def s14(spark, d):
     return shared_budget(good, {"fr": 0, "en": 1, "es": 2}, "lang", 700_000, "doc_id", 200_000).select("doc_id", "lang", "source_rank", "file")
 
 
-@query("s16_archived_pages")
+def _good_sql(text, least):
+    return f"length({text}) >= {least} AND length(regexp_replace({text}, '\\P{{L}}', '', 'g')) >= 0.5 * length({text}) AND length(regexp_replace({text}, '[^.?!]', '', 'g')) >= 3"
+
+
+@query(
+    "s16_archived_pages",
+    rf"""WITH b AS ({ORACLES["t7_html_text"]}),
+    n AS (SELECT page_id, regexp_replace(regexp_replace(substr(regexp_replace(url, '[^\p{{L}}\p{{N}}_]', '_', 'g'), 1, 120), '_+', '_', 'g'), '^_|_$', '', 'g') AS name FROM pages),
+    g AS (SELECT page_id, name, body AS text, lower(body) AS t FROM b JOIN n USING (page_id) WHERE {_good_sql("body", 100)})
+    SELECT page_id, name, text FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id) AS rn FROM g WHERE NOT ({GENERATED_SQL})) WHERE rn = 1""",
+)
 def s16(spark, d):
     return archived_pages(table(spark, d, "pages"), 100).select("page_id", "name", "text")
 
 
-@query("s18_fan_articles")
+_MARKED_SQL = f"{quoted("'" * 3 + "Bold" + "'" * 3 + " [[Target|shown]] ")} || text || chr(10) || '{{{{Infobox|a={{{{b}}}}}}}}'"
+_DENIED_SQL = " OR ".join(f"contains(lower(title), {quoted(x)})" for x in P.FANDOM_TITLE_PARTS)
+
+
+@query(
+    "s18_fan_articles",
+    f"""WITH x AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'List of ' || source ELSE source || ' ' || doc_id END AS title, {_MARKED_SQL} AS text FROM documents),
+    k AS (SELECT id, title, {sql_lines(sql_chain(sql_chain("text", [*T.FAN_STEPS, (TRIM, "")]), T.WIKI_STEPS), "NOT (length(l) < 20 AND ends_with(l, ':'))")} AS text FROM x WHERE length(text) >= 200 AND NOT ({_DENIED_SQL})),
+    g AS (SELECT id, title, text, lower(text) AS t FROM k WHERE {_good_sql("text", 1500)})
+    SELECT id, title, text FROM g WHERE NOT ({GENERATED_SQL})""",
+)
 def s18(spark, d):
     title = F.when(C("doc_id") % 5 == 0, F.concat(F.lit("List of "), "source")).otherwise(F.concat_ws(" ", "source", C("doc_id").cast("string")))
     marked = F.concat(F.lit("'''Bold''' [[Target|shown]] "), "text", F.lit("\n{{Infobox|a={{b}}}}"))

@@ -22,9 +22,14 @@ def accepted(docs: DataFrame, least: int = 500, human_only: bool = True) -> Data
     return good.filter(~generated_text(F.col("text"))) if human_only else good
 
 
-def once(docs: DataFrame, text: str = "text") -> DataFrame:
-    """D1, D4 on a stream: each text once, by digest; the state holds digests only."""
-    return docs.withColumn("digest", F.sha2(text, 256)).dropDuplicates(["digest"])
+def once(docs: DataFrame, text: str = "text", time: str | None = None, within: str = "7 days") -> DataFrame:
+    """D1, D4 on a stream: each text once, by digest; the state holds digests only.
+
+    With a column of event times, digests are forgotten ``within`` after the last text that had them, so the
+    state is bounded; without one it grows with the number of different texts.
+    """
+    x = docs.withColumn("digest", F.sha2(text, 256))
+    return x.withWatermark(time, within).dropDuplicatesWithinWatermark(["digest"]) if time else x.dropDuplicates(["digest"])
 
 
 def counts_by_window(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
