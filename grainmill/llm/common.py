@@ -40,7 +40,7 @@ def extend(df: DataFrame, inputs: list[str], outputs: str, kernel: Callable[[],
     return source.mapInArrow(run, StructType(kept + list(outs)))
 
 
-def slices(b: pa.RecordBatch, inputs: list[str], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(b: pa.RecordBatch, inputs: list[str], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy pieces of a batch with about ``limit`` bytes of input each; a row is never cut."""
     if b.num_rows <= 1:
         yield b

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.checkpoints import cut, shared_table
-from grainmill.llm.common import extend, lower_ascii, mix, word_hashes
+from grainmill.llm.common import extend, lower_ascii, mix, slices, word_hashes
 from grainmill.operators.graph import components, smallest_labels
 from grainmill.operators.skew import join_counted
 from grainmill.shipping import ship
 from grainmill.tables import table
 
 #: Common elements and frequent words known by name, at most; elements a task counts together to find them.
-COMMON, WORDS, CHUNK = 1 << 18, 1 << 16, 4_000_000
+COMMON, WORDS, CHUNK = 1 << 18, 1 << 16, 2_000_000
 #: Documents of an element for each part that the element is dealt to.
 PART_ROWS = 512
 #: Classes and bytes of sets in a block of a tile, at most on average.
@@ -221,7 +221,7 @@ def shared_entries(sets: DataFrame, percent: int, most: int, part_rows: int = PA
         many = counts > part_rows
         hot, parts = common[many], -(-counts[many] // part_rows)
         seen: set[int] = set()
-        for b in batches:
+        for b in (piece for whole in batches for piece in slices(whole, ["grams"])):
             es, cs, ns = [], [], []
             for c, g in zip(b.column("cls").to_pylist(), b.column("grams").to_pylist(), strict=True):
                 if c not in seen:
