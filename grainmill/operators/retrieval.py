@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.checkpoints import cut
+from grainmill.operators.skew import join_counted
 
 # Words that don't tell one memory from another.
 STOPWORDS = [
@@ -52,25 +55,81 @@ def alike(texts: DataFrame, text: str = "text") -> DataFrame:
     return held.select("doc_id", "k").join(once.select("k", "a"), "k").join(first, "a").select("doc_id", "other")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+#: Terms of queries, of some 20 bytes each, that are broadcast at most.
+BROADCAST_TERMS = 100_000
+
+
+def term_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, len, term, tf) for the terms ``known``, and a row with the empty term for each document, which carries its length.
+
+    Few known terms are broadcast, and texts are split once. Beyond that the documents' own rows stay out of the
+    join by term, in which they would be one key. A null text is no document.
+    """
+    held = docs.select("doc_id", F.explode(F.array(terms(F.col("text")))).alias("t")).select("doc_id", F.size("t").alias("len"), "t").filter("t IS NOT NULL")
+    few = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    own = F.concat(F.array(F.lit("")), F.col("t")) if few else F.col("t")
+    rows = held.select("doc_id", "len", F.explode(own).alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    if few:
+        return rows.join(F.broadcast(known.unionByName(known.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
+    return rows.join(known, "term", "left_semi").unionByName(held.select("doc_id", "len", F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
+
+
+@dataclass(frozen=True)
+class Postings:
+    """What documents give to a score by term, and the most that a block of documents gives."""
+
+    rows: DataFrame  # block, term, doc_id, gain
+    bounds: DataFrame  # block, term, most, n
+
+
+def postings(docs: DataFrame, known: DataFrame, block: int = 64, k1: float = 1.5, b: float = 0.75) -> Postings:
+    """The inverted index of ``docs`` (doc_id, text) for the terms ``known``, in blocks of about ``block`` documents."""
+    counts = cut(term_counts(docs, known))
+    n, mean = counts.filter("term = ''").agg(F.count("*"), F.avg("len")).first()
+    rows = counts.filter("term <> ''")
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // block))))
+    rows = cut(join_counted(rows, cut(df.withColumn("times", F.col("df"))), "term", "times").select(place.alias("block"), "term", "doc_id", (idf * tf).alias("gain")))
+    return Postings(rows, cut(rows.groupBy("block", "term").agg(F.max("gain").alias("most"), F.count("*").alias("n"))))
+
+
+def scores_in(index: Postings, wanted: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score, read): whole scores of the documents of the blocks (query_id, block), and the postings read for each."""
+    asked = blocks.select("query_id", "block").join(wanted, "query_id")
+    read = index.rows.join(asked, ["block", "term"])
+    return read.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("gain")), 6).alias("score"), F.count("*").alias("read")).filter("score > 0")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block: int = 64) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best; a term repeated in a query counts as often.
 
-    ``docs`` has (doc_id, text), ``queries`` (query_id, text). Postings are cut to the queries' terms before
-    they are counted, so what is shuffled follows the queries' vocabulary; a document's length comes with them,
-    under no term, so texts are split once.
+    ``docs`` has (doc_id, text), ``queries`` (query_id, text). See ``best_documents``.
+    """
+    return best_documents(docs, queries, k, k1, b, block)[0]
+
+
+def best_documents(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The k best of each query, and (query_id, read, postings): how many of its postings were read.
+
+    A block's largest gains, one a term, bound the score of every document in it. The k blocks with the largest
+    bounds, which are those with rare terms, are read first; their k-th score is one that the result can't
+    fall below, so blocks whose bound is less are skipped. Blocks meet queries by term through their bounds
+    only, and postings are joined by block and term, so a common term's postings are read where they matter.
     """
-    wanted = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    known = wanted.select("term").distinct().withColumn("_known", F.lit(True))
-    held = docs.select("doc_id", F.explode(F.array(terms(F.col("text")))).alias("t")).select("doc_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.col("t"))).alias("term"))
-    postings = held.join(known, "term", "left").filter("_known OR term = ''").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    postings = cut(postings)
-    size = postings.filter("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    df = postings.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
-    scored = wanted.join(df, "term").join(postings, "term").crossJoin(F.broadcast(size))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * tf), 6).alias("score")).filter("score > 0")
-    return top_rows(total, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+    wanted = cut(queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    index = postings(docs, wanted.select("term").distinct(), block, k1, b)
+    tops = cut(index.bounds.join(wanted, "term").groupBy("query_id", "block").agg(F.sum(F.col("times") * F.col("most")).alias("most"), F.sum("n").alias("n")))
+    seeds = cut(top_rows(tops, ["query_id"], [F.desc("most"), F.col("block")], k).select("query_id", "block"))
+    order = [F.desc("score"), F.col("doc_id")]
+    first = cut(scores_in(index, wanted, seeds))
+    floor = top_rows(first, ["query_id"], order, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("have"))
+    # scores are rounded to six places, and documents of equal score are told apart by their ids
+    rest = tops.join(seeds, ["query_id", "block"], "left_anti").join(floor, "query_id", "left").filter(f"coalesce(have, 0) < {k} OR most >= least - 0.00001")
+    total = cut(first.unionByName(scores_in(index, wanted, rest)))
+    share = total.groupBy("query_id").agg(F.sum("read").alias("read")).join(tops.groupBy("query_id").agg(F.sum("n").alias("postings")), "query_id")
+    return top_rows(total.drop("read"), ["query_id"], order, k), share
 
 
 def top_rows(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
