@@ -12,7 +12,8 @@ a bucket. A source has several buckets for each task, and more as the table grow
 
 Defined results: a null text has no words; documents without words are taken 0 times; a null source is
 a source, after all others; ties of the hash are broken by doc_id and size; repeated rows are rows of
-their own; an empty table gives an empty table; columns that clash with an output's name are replaced.
+their own; an empty table gives an empty table; the mix has the columns of its documents, whatever their
+names, as they are carried in one struct.
 """
 
 from __future__ import annotations
@@ -93,13 +94,15 @@ def inverse_demand(share: Column, schedule: Schedule) -> Column:
     return out.otherwise(F.lit(schedule[-1][0]))
 
 
-def placed(docs: DataFrame, mix: Mix = Mix(), text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with size, source_size, target, taken, copies, and position (of the first copy).
+def placed(docs: DataFrame, mix: Mix = Mix(), text_col: str = "text", kept: Column | None = None) -> DataFrame:
+    """doc_id and source of ``docs`` with size, source_size, target, taken, copies, and position (of the first copy).
 
-    ``position`` is in 0..1 for documents the mix takes and above 1, in the same order, for others.
+    ``position`` is in 0..1 for documents the mix takes and above 1, in the same order, for others. ``kept`` is
+    carried along under that name; no column of ``docs`` stands beside what is computed here.
     """
     order = F.xxhash64("doc_id", F.lit(mix.seed))
-    sized = word_counts(docs, text_col)
+    own = [] if kept is None else [kept.alias("kept")]
+    sized = word_counts(docs.select("doc_id", "source", F.col(f"`{text_col}`").alias("text"), *own)).drop("text")
     small = cut(sized.select("doc_id", "source", "size"))
     n = small.count()
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -109,9 +112,7 @@ def placed(docs: DataFrame, mix: Mix = Mix(), text_col: str = "text", keep_text:
     aim = targets(small, mix)
     offsets = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("source").orderBy("_b")) - F.col("_sum"))
     offsets = offsets.join(aim, offsets["source"].eqNullSafe(aim["source"])).select(offsets["source"].alias("_s"), F.col("_b").alias("_k"), "_before", "source_size", "place", "target")
-    outs = {"source_size", "target", "taken", "copies", "position", "place", "size"}
-    rows = bucketed(sized if keep_text else small)
-    rows = rows.select(*[c for c in rows.columns if c.lower() not in outs or c == "size"])
+    rows = bucketed(sized if own else small)
     within = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = rows.join(offsets, rows["source"].eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_k")))
@@ -141,12 +142,12 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), text_col: str = "text") -> DataFram
 
     Columns are those of ``docs``. Copies of a document stand at their own positions.
     """
-    columns = docs.columns
-    rows = placed(docs, mix, text_col, keep_text=True).filter("copies > 0")
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)])
+    rows = placed(docs, mix, text_col, kept).filter("copies > 0")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     share = (F.col("_copy") * F.col("source_size") + F.col("_middle")) / F.col("target")
     rows = rows.withColumn("position", time_of(share, mix))
-    return rows.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id").select(*columns)
+    return rows.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id").select(*[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

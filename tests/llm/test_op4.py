@@ -66,3 +66,11 @@ def test_cases(spark, rows):
     assert len(got) == len(rows) and all(r.taken <= 2 * r["size"] for r in got)
     out = op.mixed(df)
     assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
+
+
+def test_clashing_columns(spark):
+    names = ["_h", "_b", "_in", "_before", "_passes", "_s", "_k", "_middle", "_copy", "place", "copies", "position", "taken", "target", "source_size", "size", "kept", "k0", "_sum"]
+    df = spark.createDataFrame([(i, "a b c", "s", *range(len(names))) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = op.mixed(df)
+    assert out.columns == df.columns
+    assert {tuple(r)[3:] for r in out.collect()} == {tuple(range(len(names)))} and {"taken", "position"} <= set(op.placed(df).columns)
