@@ -31,9 +31,10 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
     groups = op2_jaccard.join(docs.select(key.alias("doc_id"), "text"))
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
-    rows = docs.withColumn("_key", key)
-    return rows.join(keep, rows["_key"] == keep["_kept"], "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key"))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    once = rows.join(keep, "key", "left_semi").dropDuplicates(["key"])
+    return once.select(*[F.col(f"row.k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
