@@ -67,6 +67,12 @@ WIKI_BLOCKS = ["gallery", "source", "syntaxhighlight", "pre", "math", "score", "
 WIKI_ENTITIES = [("&nbsp;", " "), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#\\d+;", "")]
 
 
+# A heading, which keeps its words: signs, words that end in no blank and in no sign before a sign, signs; or signs
+# only. No part of it can end in two places, so a line that is no heading is left after one reading. Below it, the
+# same for engines that don't backtrack.
+HEADING = "(?m)^(?:=++\\s*+(?:=++|(.*?(?=.)(?:[^\\s=]|=(?!=)))\\s*+=++)|={2,})\\s*$"
+PLAIN_HEADING = "(?m)^=+\\s*(.*?)\\s*=+\\s*$"
+
 # What T4 takes out of a fan wiki's text, in this order; nested templates take fifteen turns, tables five.
 FAN_STEPS = [
     ("(?s)<!--.*?-->", ""), ("(?s)<ref[^>]*>.*?</ref>", ""), ("<ref[^>]*/>", ""),
@@ -75,7 +81,7 @@ FAN_STEPS = [
     ("(?i)\\[\\[(File|Image|Archivo|Fichier|Datei):[^\\]]*\\]\\]", ""), ("(?i)\\[\\[Category:[^\\]]*\\]\\]", ""),
     ("\\[\\[[^\\]|]*\\|([^\\]]*)\\]\\]", "$1"), ("\\[\\[([^\\]]*)\\]\\]", "$1"),
     ("\\[https?://\\S+\\s+([^\\]]*)\\]", "$1"), ("\\[https?://[^\\]]*\\]", ""), ("'{2,5}", ""),
-    ("(?m)^=+\\s*(.*?)\\s*=+\\s*$", "$1"), ("(?m)^[*#:;]+\\s*", ""),
+    (HEADING, "$1"), ("(?m)^[*#:;]+\\s*", ""),
     *WIKI_ENTITIES, ("__[A-Z]+__", ""), ("\\n{3,}", "\n\n"), (" {2,}", " "),
 ]
 
@@ -85,7 +91,7 @@ DUMP_STEPS = [
     ("(?m)\\{\\{[^}]{0,500}$", ""), ("(?s)\\{\\|.*?\\|\\}", ""), ("(?si)<ref[^>]*>.*?</ref>", ""), ("(?i)<ref[^>]*/>", ""),
     ("(?s)<!--.*?-->", ""), ("<[^>]+>", ""), ("(?i)\\[\\[Category:[^\\]]*\\]\\]", ""), ("(?i)\\[\\[(?:File|Image):[^\\]]*\\]\\]", ""),
     ("\\[\\[[^|\\]]*\\|([^\\]]+)\\]\\]", "$1"), ("\\[\\[([^\\]]+)\\]\\]", "$1"), ("\\[https?://\\S+\\s+([^\\]]+)\\]", "$1"),
-    ("\\[https?://\\S+\\]", ""), ("https?://\\S+", ""), ("'{2,5}", ""), ("(?m)^=+\\s*(.*?)\\s*=+\\s*$", "$1"),
+    ("\\[https?://\\S+\\]", ""), ("https?://\\S+", ""), ("'{2,5}", ""), (HEADING, "$1"),
     ("__[A-Z]+__", ""), ("\\[\\d+\\]", ""), ("(?i)\\[citation needed\\]", ""), ("\\{[^}]*\\}", ""), ("[ \\t]+", " "), ("\\n{3,}", "\n\n"),
 ]
 

@@ -97,8 +97,30 @@ def combined(parts: list[DataFrame]) -> DataFrame:
     return first_rows(every, pair_key(F.col("prompt"), F.col("completion")), ["part", "at"]).select("prompt", "completion")
 
 
-# The expressions of question-and-answer texts and of dialogues.
-QA_RULES = (r"(?s)Q:\s*(.+?)\s*A:\s*(.+?)(?=Q:|$)", r"(?si)(?:User|Human):\s*(.+?)\s*(?:AI|Assistant):\s*(.+?)(?=(?:User|Human):|$)")
+# What opens a question and its answer, in texts of questions and in dialogues.
+QA_MARKS = ((re.compile("Q:"), re.compile("A:")), (re.compile("(?i)(?:User|Human):"), re.compile("(?i)(?:AI|Assistant):")))
+BLANKS = re.compile(r"\s*")
+
+
+def turns(text: str, ask: re.Pattern, answer: re.Pattern) -> list[tuple[str, str]]:
+    """Questions with their answers; a stripped text is read once from left to right.
+
+    A question has a character before its answer's mark, and an answer goes on to the next question's, at least
+    one character. A mark right behind the blanks of a question opens its answer only if no later one does.
+    """
+    out, at = [], 0
+    while q := ask.search(text, at):
+        start = BLANKS.match(text, q.end()).end()
+        a = answer.search(text, start + 1)
+        if not a or a.end() == len(text):
+            a = answer.match(text, start) if start > q.end() else None
+            if not a or a.end() == len(text):
+                break
+        begin = BLANKS.match(text, a.end()).end()
+        following = ask.search(text, begin + 1)
+        at = following.start() if following else len(text)
+        out.append((text[q.end() : a.start()].strip(), text[begin:at].strip()))
+    return out
 
 
 def of_line(line: str) -> str | None:
@@ -121,8 +143,8 @@ def sequences(text: str | None) -> list[str]:
     out: list[str] = []
     if text.startswith("{") and (out := [*filter(None, map(of_line, filter(None, map(str.strip, text.split("\n")))))]):
         return out
-    for rule in QA_RULES:
-        if out := [pair(a.strip(), b.strip()) for a, b in re.findall(rule, text)]:
+    for marks in QA_MARKS:
+        if out := [pair(q, a) for q, a in turns(text, *marks)]:
             return out
     out = [p for p in map(str.strip, text.split("\n\n")) if len(p) > 50]
     return out or [x for x in map(str.strip, text.split("\n")) if x]

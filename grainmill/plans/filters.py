@@ -200,7 +200,7 @@ def f20(spark, d):
 
 def sql_chain(x: str, steps) -> str:
     for p, to, *times in steps:
-        flags = "g"
+        p, flags = T.PLAIN_HEADING if p == T.HEADING else p, "g"
         if p.startswith("(?"):
             flags += p[2 : p.index(")")].replace("m", "").replace("U", "")
             p = ("(?m)" if "m" in p[: p.index(")")] else "") + p[p.index(")") + 1 :]
