@@ -182,23 +182,26 @@ PRESETS = {
 }
 
 
-def preset_rows(rows: DataFrame, presets: dict[str, Preset], by: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of the sources that have a preset: its quality rules, then its byte budget, in order.
-
-    All sources go through one running sum, from which each takes its own start, so a large source is no hot key.
-    """
+def preset_accepted(rows: DataFrame, presets: dict[str, Preset], by: str = "source", text: str = "text") -> DataFrame:
+    """Rows of the sources that have a preset, after its quality rules."""
     from grainmill.functions.predicates import generated_text
     from grainmill.functions.text import quality_filter
 
-    kept = lambda names, rule: rows.filter(F.col(by).isin(names) & rule)
-    parts = []
+    good = None
     for human, least in sorted({(p.human_only, p.least_chars) for p in presets.values()}):
         names = [n for n, p in presets.items() if (p.human_only, p.least_chars) == (human, least)]
-        rule = quality_filter(F.col(text), least)
-        parts.append(kept(names, rule & ~generated_text(F.col(text)) if human else rule))
-    good = parts[0]
-    for p in parts[1:]:
-        good = good.unionByName(p)
+        rule = F.col(by).isin(names) & quality_filter(F.col(text), least)
+        part = rows.filter(rule & ~generated_text(F.col(text)) if human else rule)
+        good = part if good is None else good.unionByName(part)
+    return good
+
+
+def preset_rows(rows: DataFrame, presets: dict[str, Preset], by: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of the sources that have a preset: its quality rules, then its byte budget, in order.
+
+    All sources go through one running sum, from which each takes its own start, so a large source is no hot key.
+    """
+    good = preset_accepted(rows, presets, by, text)
     sized = running_totals(good.select(by, order, F.octet_length(text).cast("long").alias("_bytes")), [by, order], F.col("_bytes"))
     start = sized.groupBy(by).agg(F.min("before").alias("_start"))
     target = F.create_map(*[F.lit(x) for n, p in presets.items() for x in (n, p.target_bytes)])

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: sources that resume, paragraphs once, and memories kept up to date."""
+"""Structured Streaming forms without a store: sources that resume, texts once by event time, and an upsert of memories."""
 
 from __future__ import annotations
 
@@ -54,14 +54,3 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     swap = near.filter("lower(o_text) <> lower(w_text)").groupBy("o").agg(F.min_by("w_text", "w").alias("text"))
     kept = old.join(swap.withColumnRenamed("text", "_t"), F.col("id") == F.col("o"), "left").select("id", F.coalesce("_t", "text").alias("text"))
     return kept.unionByName(new.join(near.select(F.col("w").alias("id")), "id", "left_anti"))
-
-
-def keep_memories(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """J9, R2 on a stream: each micro-batch makes the next version of the memory table."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        versions = spark.read.parquet(f"{table_path}/v={number - 1}") if number else batch.limit(0)
-        upserted(versions.select("id", "text"), batch.select("id", "text")).write.mode("overwrite").parquet(f"{table_path}/v={number}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

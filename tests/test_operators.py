@@ -200,17 +200,10 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
-def test_memories(spark, tmp_path):
+def test_memories(spark):
     mem = lambda rows: spark.createDataFrame(rows, "id long, text string")
     got = streams.upserted(mem([(1, "my dog is Rex"), (2, "tea at noon")]), mem([(5, "dog called Rex"), (6, "cats sleep")])).collect()
     assert sorted((r.id, r.text) for r in got) == [(1, "dog called Rex"), (2, "tea at noon"), (6, "cats sleep")]
-    src = str(tmp_path / "m")
-    mem([(1, "my dog is Rex")]).coalesce(1).write.parquet(src)
-    stream = lambda: spark.readStream.schema("id long, text string").parquet(src)
-    streams.keep_memories(stream(), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    mem([(2, "dog named Rex")]).coalesce(1).write.mode("append").parquet(src)
-    streams.keep_memories(stream(), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    assert [r.text for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()] == ["dog named Rex"]
 
 
 def test_word_tokenizer():
