@@ -1,28 +1,11 @@
-"""Series: averages over trailing windows, running values, budgets and reverse scans, each within a run."""
+"""Series held in arrays: advantages of an episode, weights of spans. Series of rows are in ``scan``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-
-
-def moving_average(df: DataFrame, value: str, width: int, run: str, step: str, out: str = "average") -> DataFrame:
-    """Mean of the finite values of the last ``width`` rows; other rows carry the average before them, at first 0."""
-    w = Window.partitionBy(run).orderBy(step)
-    own = F.when(finite(F.col(value)), F.avg(F.when(finite(F.col(value)), F.col(value))).over(w.rowsBetween(1 - width, 0)))
-    return df.withColumn("_own", own).withColumn(out, F.coalesce(F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).drop("_own")
-
-
-def running(df: DataFrame, run: str, step: str, **columns: Column) -> DataFrame:
-    """Aggregates over all rows of a run up to each row."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({k: c.over(w) for k, c in columns.items()})
-
-
 def advantages(rewards: Column, values: Column, gamma: float = 0.99, lam: float = 0.95) -> Column:
     """Generalised advantages of an episode: a scan from its end over arrays."""
     n = F.size(rewards)

@@ -12,6 +12,7 @@ from grainmill.operators import series as S
 from grainmill.operators.mixing import ring
 from grainmill.operators.ranks import least_hashed, places
 from grainmill.operators.retrieval import content_terms, terms
+from grainmill.operators.scan import COUNT, LEAST_AND_SUM, MOMENTS, advantages_scan, moving_average_scan, scanned
 from grainmill.plans.filters import sql_entities
 from grainmill.plans.relational import TERMS, _STOP_SQL
 from grainmill.plans.samples import chosen, injected, quoted
@@ -286,18 +287,19 @@ _BAD = "event_id % 7 = 0 OR event_id % 31 < 3"
 )
 def w1(spark, d):
     e = events(spark, d).select("user_id", "event_id", F.when(F.expr(_BAD), F.when(C("event_id") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).otherwise(C("value")).alias("value"))
-    return S.moving_average(e, "value", 5, "user_id", "event_id").select("event_id", F.round("average", 6).alias("average"))
+    return scanned(e, "user_id", C("event_id"), [C("value")], moving_average_scan(5)).select("event_id", F.round("average", 6).alias("average"))
 
 
 @query("w2_w4_running", "SELECT event_id, min(value) OVER w AS best, CAST(sum(event_id % 50) OVER w AS BIGINT) AS bytes FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def w2(spark, d):
-    return S.running(events(spark, d), "user_id", "event_id", best=F.min("value"), bytes=F.sum(C("event_id") % 50)).select("event_id", "best", "bytes")
+    e = events(spark, d).select("user_id", "event_id", "value")
+    return scanned(e, "user_id", C("event_id"), [C("value").cast("double"), C("event_id") % 50], LEAST_AND_SUM).select("event_id", "best", "bytes")
 
 
 @query("w6_running_norm", "SELECT event_id, round(CASE WHEN n > 1 THEN (value - m) / greatest(s, 1e-8) ELSE value END, 5) AS z FROM (SELECT event_id, value, count(*) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))")
 def w6(spark, d):
-    r = S.running(events(spark, d), "user_id", "event_id", n=F.count("*"), m=F.avg("value"), s=F.stddev_pop("value"))
-    return r.select("event_id", F.round(F.when(C("n") > 1, (C("value") - C("m")) / F.greatest("s", F.lit(1e-8))).otherwise(C("value")), 5).alias("z"))
+    r = scanned(events(spark, d).select("user_id", "event_id", "value"), "user_id", C("event_id"), [C("value").cast("double")], MOMENTS)
+    return r.select("event_id", F.round(F.when(C("n") > 1, (C("value") - C("mean")) / F.greatest("deviation", F.lit(1e-8))).otherwise(C("value")), 5).alias("z"))
 
 
 @query("w7_context_trim", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, sum(CASE WHEN role = 'system' THEN 0 ELSE length(text) END) OVER (PARTITION BY conv_id ORDER BY turn DESC) + sum(CASE WHEN role = 'system' THEN length(text) ELSE 0 END) OVER (PARTITION BY conv_id) AS used FROM conversations) WHERE role = 'system' OR back = 1 OR used <= 300")
@@ -335,10 +337,9 @@ def w10(spark, d):
     SELECT user_id, i AS step, round(adv, 6) AS advantage FROM a""",
 )
 def w5(spark, d):
-    e = events(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("e"))
-    v = F.transform("e", lambda x: x["value"])
-    a = e.select("user_id", F.posexplode(S.advantages(v, F.transform(v, lambda x: x * 0.5))).alias("pos", "a"))
-    return a.select("user_id", (C("pos") + 1).cast("long").alias("step"), F.round("a", 6).alias("advantage"))
+    e = events(spark, d).select("user_id", "event_id", "value")
+    found = scanned(e, "user_id", C("event_id"), [C("value").cast("double"), C("value") * 0.5], advantages_scan(), down=True)
+    return scanned(found, "user_id", C("event_id"), [], COUNT).select("user_id", "step", F.round("advantage", 6).alias("advantage"))
 
 
 @query("w11_span_weights", "SELECT conv_id, CAST(sum(CASE WHEN k IN (1, 2) THEN 2.5 ELSE 1 END) AS DOUBLE) AS total FROM (SELECT conv_id, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS u, turn, CASE WHEN turn = fu THEN 1 WHEN turn > fu AND turn <= fa THEN 2 ELSE 0 END AS k FROM (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS fu, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS fa FROM conversations)) GROUP BY conv_id")
