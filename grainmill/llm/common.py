@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,38 @@ from grainmill.shipping import ship
 
 Kernel = Callable[..., list]
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim, _libc.mallopt  # noqa: B018
+except (OSError, AttributeError):
+    _libc = None
+#: glibc's number for the size from which memory is taken from the system, and given back to it, by itself.
+_ALONE = -3
+
+
+def tidy() -> None:
+    """Gives what a worker has freed back to the system.
+
+    Workers live on through a job's later stages, and so would the most memory that any stage took in between.
+    """
+    pa.default_memory_pool().release_unused()
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f``, a kernel over a task's batches, with large arrays apart from small ones, and tidied up at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _libc:
+            _libc.mallopt(_ALONE, 1 << 20)
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return run
+
 
 def extend(df: DataFrame, inputs: list[str], outputs: str, kernel: Callable[[], Kernel]) -> DataFrame:
     """``df`` with the columns of the DDL ``outputs``, computed in Arrow batches.
@@ -36,8 +69,10 @@ def extend(df: DataFrame, inputs: list[str], outputs: str, kernel: Callable[[],
             for piece in slices(b, inputs):
                 cols = f(*[piece.column(c) for c in inputs])
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept_names] + [x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
+            del b, piece, cols
+            tidy()
 
-    return source.mapInArrow(run, StructType(kept + list(outs)))
+    return source.mapInArrow(tidied(run), StructType(kept + list(outs)))
 
 
 def slices(b: pa.RecordBatch, inputs: list[str], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.checkpoints import cut, shared_table
-from grainmill.llm.common import extend, lower_ascii, mix, slices, word_hashes
+from grainmill.llm.common import extend, lower_ascii, mix, slices, tidied, word_hashes
 from grainmill.operators.graph import components, smallest_labels
 from grainmill.operators.skew import join_counted
 from grainmill.shipping import ship
@@ -142,7 +142,7 @@ def counted(df: DataFrame, arrays, least: int) -> DataFrame:
         if held:
             yield out()
 
-    return cut(df.mapInArrow(run, "e long, c long").groupBy("e").agg(F.sum("c").alias("c")))
+    return cut(df.mapInArrow(tidied(run), "e long, c long").groupBy("e").agg(F.sum("c").alias("c")))
 
 
 def most_frequent(sums: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,8 +281,8 @@ def shared_entries(sets: DataFrame, percent: int, most: int, part_rows: int = PA
         if held:
             yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    found = sets.select("cls", "grams").mapInArrow(entries, "e long, part int, cls long, n int")
-    return found.repartition("e", "part").sortWithinPartitions("e", "part", "cls").mapInArrow(tiles, "kind int, a long, b long, least long")
+    found = sets.select("cls", "grams").mapInArrow(tidied(entries), "e long, part int, cls long, n int")
+    return found.repartition("e", "part").sortWithinPartitions("e", "part", "cls").mapInArrow(tidied(tiles), "kind int, a long, b long, least long")
 
 
 def bounded(percent: int, n: np.ndarray, sig: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
@@ -347,7 +347,7 @@ def sets_among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             own &= [not (x in seen or seen.add(x)) if o else False for x, o in zip(c.tolist(), own.tolist(), strict=True)]
             yield b.filter(pa.array(own))
 
-    once = sets.mapInArrow(near, "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
+    once = sets.mapInArrow(tidied(near), "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
     return once.join(nodes.select(F.col("node").alias("cls")), "cls", "left_semi")
 
 
@@ -488,7 +488,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text",
     classes = named_sets.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
     members = cut(nodes.withColumnRenamed("node", "cls").join(classes.select("cls", "copies", "n"), "cls"))
     tiles = found.join(tiled(members, percent, block_rows, block_bytes), "cls")
-    links = cut(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "u long, v long, links long"))
+    links = cut(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidied(_tiles(percent)), "u long, v long, links long"))
     roots = components(links.select("u", "v"))
     n_links = links.groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"))
     joined = classes.join(roots.withColumnRenamed("node", "cls"), "cls").join(n_links, "cls", "left")
