@@ -34,12 +34,17 @@ def tidy() -> None:
         _libc.malloc_trim(0)
 
 
+def large_apart() -> None:
+    """Has arrays of a megabyte or more taken from the system and given back one by one."""
+    if _libc:
+        _libc.mallopt(_ALONE, 1 << 20)
+
+
 def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``f``, a kernel over a task's batches, with large arrays apart from small ones, and tidied up at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _libc:
-            _libc.mallopt(_ALONE, 1 << 20)
+        large_apart()
         try:
             yield from f(batches)
         finally:
