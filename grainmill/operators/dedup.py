@@ -35,5 +35,10 @@ def paragraphs_once(docs: DataFrame, order: str = "doc_id", least: int = 50) ->
 
 
 def unseen(df: DataFrame, key: Column, seen: DataFrame, seen_key: Column) -> DataFrame:
-    """Rows whose key isn't among ``seen``."""
-    return df.join(seen.select(seen_key.alias("_seen")).distinct(), key == F.col("_seen"), "left_anti")
+    """Rows whose key isn't among ``seen``.
+
+    Digests of keys are joined, so texts that are keys move on neither side. A row with a null key stays: nothing
+    seen is equal to it.
+    """
+    digest = lambda c: F.unhex(F.sha2(c.cast("string"), 256))
+    return df.join(seen.filter(seen_key.isNotNull()).select(digest(seen_key).alias("_seen")).distinct(), digest(key) == F.col("_seen"), "left_anti")
