@@ -39,15 +39,10 @@ def json_lines(spark: SparkSession, path: str, key: str = "text", limit: int = 1
     return good.filter("text <> ''").limit(limit)
 
 
-def json_arrays(spark: SparkSession, path: str, key: str = "text") -> DataFrame:
-    """(path, text) of files that hold an array of objects; other files give nothing."""
-    whole = text_files(spark, path, "*.json")
-    items = F.from_json("text", T.ArrayType(T.MapType(T.StringType(), T.StringType())), {"mode": "PERMISSIVE"})
-    return whole.filter(F.startswith(F.ltrim("text"), F.lit("["))).select("path", F.explode(items).alias("o")).select("path", F.trim(F.try_element_at("o", F.lit(key))).alias("text")).filter("text <> ''")
-
-
 def corpus(spark: SparkSession, path: str, key: str = "text") -> DataFrame:
     """(path, text) of every text, JSON-lines and JSON file below ``path``."""
+    from grainmill.sources.json_parts import json_arrays
+
     return text_files(spark, path).unionByName(json_lines(spark, path, key)).unionByName(json_arrays(spark, path, key))
 
 
