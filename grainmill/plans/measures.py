@@ -9,6 +9,7 @@ from grainmill.functions import scalars as X
 from grainmill.functions.text import token_estimate
 from grainmill.operators import conversations as V
 from grainmill.operators import series as S
+from grainmill.operators.batches import length_batches, padded
 from grainmill.operators.mixing import ring
 from grainmill.operators.ranks import least_hashed, places
 from grainmill.operators.retrieval import content_terms, terms
@@ -364,8 +365,8 @@ def o2(spark, d):
 @query("o3_byte_budget", "SELECT source, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT source, strlen(text) AS b, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) - strlen(text) AS before FROM documents) WHERE before < 50000 GROUP BY source")
 def o3(spark, d):
     b = F.octet_length("text")
-    x = docs(spark, d).select("source", "doc_id", b.alias("b"))
-    x = x.withColumn("before", F.sum("b").over(Window.partitionBy("source").orderBy("doc_id")) - C("b")).filter("before < 50000")
+    x = docs(spark, d).select("source", "doc_id", b.cast("long").alias("b"))
+    x = scanned(x, "source", C("doc_id"), [F.lit(0.0), C("b")], LEAST_AND_SUM).filter("bytes - b < 50000").drop("bytes")
     return x.groupBy("source").agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
 
 
@@ -459,11 +460,24 @@ def o11(spark, d):
 
 @query("o12_batches", "SELECT source, (rn - 1) // 8 AS batch, CAST(max(n_chars) AS BIGINT) AS width, CAST(sum(max_n - n_chars) AS BIGINT) AS padding FROM (SELECT *, max(n_chars) OVER (PARTITION BY source, (rn - 1) // 8) AS max_n FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents)) GROUP BY ALL")
 def o12(spark, d):
-    rn = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    x = docs(spark, d).select("source", "n_chars", F.floor((rn - 1) / 8).alias("batch"))
+    x = length_batches(docs(spark, d).select("source", "n_chars", "doc_id"), "source", "n_chars", ["doc_id"], 8)
     return x.groupBy("source", "batch").agg(F.max("n_chars").alias("width"), (F.max("n_chars") * F.count("*") - F.sum("n_chars")).alias("padding"))
 
 
+@query(
+    "o12_padded",
+    f"""WITH x AS (SELECT role, conv_id, turn, list_transform({TERMS.format('text')}, lambda t: length(t)::INT) AS ids FROM conversations),
+    b AS (SELECT *, (row_number() OVER (PARTITION BY role ORDER BY len(ids) DESC, conv_id, turn) - 1) // 16 AS batch FROM x),
+    w AS (SELECT *, max(len(ids)) OVER (PARTITION BY role, batch) AS width FROM b)
+    SELECT conv_id, turn, batch, list_concat(ids, list_transform(range(width - len(ids)), lambda i: 0::INT)) AS ids, list_concat(list_transform(ids, lambda i: 1::INT), list_transform(range(width - len(ids)), lambda i: 0::INT)) AS mask FROM w""",
+)
+def o12_padded(spark, d):
+    """Turns as lengths of their words, in batches of sixteen of a role, padded with 0, with masks."""
+    x = table(spark, d, "conversations").select("role", "conv_id", "turn", F.transform(terms(C("text")), lambda t: F.length(t)).alias("ids")).withColumn("n", F.size("ids"))
+    ids, mask = padded(C("ids"), C("width"), 0)
+    return length_batches(x, "role", "n", ["conv_id", "turn"], 16).select("conv_id", "turn", "batch", ids.alias("ids"), mask.alias("mask"))
+
+
 @query("o13_replay_capacity", "SELECT event_id FROM (SELECT event_id FROM events ORDER BY abs(value) + 1e-6 DESC, event_id LIMIT 500)")
 def o13(spark, d):
     return events(spark, d).orderBy(F.desc(F.abs("value") + 1e-6), "event_id").limit(500).select("event_id")

@@ -99,9 +99,9 @@ def d9(spark, d):
     return pairs(spark, d).groupBy(F.lower(F.trim("prompt")).alias("q")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
 
 
-@query("d10_names_once", r"SELECT min(page_id) AS page_id FROM (SELECT page_id, regexp_replace(regexp_replace(substr(regexp_replace(url, '[^\p{L}\p{N}_]', '_', 'g'), 1, 24), '_+', '_', 'g'), '^_|_$', '', 'g') AS k FROM pages) GROUP BY k")
+@query("d10_names_once", r"SELECT min(page_id) AS page_id FROM (SELECT page_id, regexp_replace(regexp_replace(substr(regexp_replace(url, '[^\p{L}\p{N}_]', '_', 'g'), 1, 120), '_+', '_', 'g'), '^_|_$', '', 'g') AS k FROM pages) GROUP BY k")
 def d10(spark, d):
-    return table(spark, d, "pages").groupBy(F.regexp_replace(F.regexp_replace(F.substring(F.regexp_replace("url", "(?U)[^\\w]", "_"), 1, 24), "_+", "_"), "^_|_$", "").alias("k")).agg(F.min("page_id").alias("page_id")).select("page_id")
+    return table(spark, d, "pages").groupBy(F.regexp_replace(F.regexp_replace(F.substring(F.regexp_replace("url", "(?U)[^\\w]", "_"), 1, 120), "_+", "_"), "^_|_$", "").alias("k")).agg(F.min("page_id").alias("page_id")).select("page_id")
 
 
 @query("d11_sites_once", "SELECT lang AS site, arg_max(source, (n, source)) AS source, max(n) AS n FROM (SELECT lower(trim(lang)) AS lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang")

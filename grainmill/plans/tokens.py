@@ -362,6 +362,19 @@ def f19(spark, d):
     return docs(spark, d).select("doc_id", (n <= BLOCK + 1).alias("sft"), (n <= BLOCK).alias("dpo"))
 
 
+@query(
+    "f19_trainable",
+    f"""WITH t AS (SELECT conv_id, role, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS n FROM conversations)
+    SELECT conv_id, sum(n) <= {BLOCK} + 1 AND coalesce(sum(n) FILTER (role = 'assistant'), 0) > 0 AS sft FROM t GROUP BY conv_id""",
+)
+def f19_trainable(spark, d):
+    """Conversations that fit a block and have a position to learn from: a word of an answer."""
+    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+"), F.lit(0)))
+    t = table(spark, d, "conversations").select("conv_id", "role", n.alias("n"))
+    learnt = F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0))
+    return t.groupBy("conv_id").agg(((F.sum("n") <= BLOCK + 1) & (learnt > 0)).alias("sft"))
+
+
 @query("f21_vocab_bounds_whole", "SELECT page_id, list_max(list_transform(string_split(html, ''), lambda c: unicode(c))) < 200 AS inside FROM pages WHERE length(html) > 0")
 def f21_whole(spark, d):
     ids = F.transform(F.split("html", ""), lambda c: F.ascii(c))
