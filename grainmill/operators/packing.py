@@ -7,14 +7,17 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from grainmill.checkpoints import cut
 from grainmill.functions.bpe import MergeTokenizer
 from grainmill.shipping import ship
 
@@ -57,51 +60,104 @@ def groups_for(rows: int) -> int:
     return max(8, -(-rows // GROUP_ROWS))
 
 
-def packed(df: DataFrame, width: int, end: int, groups: int, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """(pack, row, ids, starts, ends): best-fit packing within hash groups; ``groups_for`` bounds their size.
+def best_fit_runs(counts: np.ndarray, width: int) -> np.ndarray:
+    """What best fit, longest first, does with ``counts[n]`` sequences of length n, as runs of equal steps.
 
-    Packing all rows in one order would be one task; groups of some thousand rows waste as little.
-    Sequences longer than ``width - 1`` are split into pieces of that length and a rest, so nothing is
-    cut off. A whole piece fills a row by itself and goes out as it comes; only rests are held and packed.
+    A run (length, first, row, each, offset) puts ``each`` sequences of a length side by side into every row from
+    ``row`` on, beginning at ``offset``; its sequences are those of their length from place ``first`` to the next
+    run's. Rows with the same room are ranges of row numbers, so the work depends on ``width``, not on the number
+    of sequences. Sorted by length and place.
+    """
+    rooms: list[list[tuple[int, int]]] = [[] for _ in range(width + 1)]  # for each room a heap of (first row, rows)
+    runs, rows = [], 0
+    for n in range(width, 0, -1):
+        left, first = int(counts[n]), 0
+        for room in range(n, width + 1):
+            while left and (rooms[room] or room == width):
+                at, many = heappop(rooms[room]) if rooms[room] else (rows, left)
+                rows = max(rows, at)
+                each = room // n
+                full = min(many, left // each)
+                steps = [(at, full, each)] if full else []
+                if full < many and left > full * each:
+                    steps.append((at + full, 1, min(each, left - full * each)))
+                for row, m, k in steps:
+                    runs.append((n, first, row, k, width - room))
+                    heappush(rooms[room - k * n], (row, m))
+                    first, left = first + m * k, left - m * k
+                end = at + sum(m for _, m, _ in steps)
+                if at == rows:  # rows begun here
+                    rows = end
+                elif end < at + many:
+                    heappush(rooms[room], (end, at + many - end))
+    return np.array(sorted(runs), np.int64).reshape(-1, 5)
+
+
+#: Tasks that ``packed`` deals sequences to at most: each gives the driver ``width`` counts.
+PACK_TASKS = 4096
+
+
+def packed(df: DataFrame, width: int, end: int, ids: str = "ids") -> DataFrame:
+    """(row, ids, starts, ends): one best fit, longest first, over the whole table, each sequence with its end mark.
+
+    Tasks count their sequences by length; the counts alone say what best fit does (``best_fit_runs``). A
+    sequence's place among those of its length, which follows from the counts of earlier tasks, says its row
+    and where in it, so only sequences of one row ever meet. They are written to the shared folder in between,
+    as places hold for the tasks that were counted. Sequences longer than ``width - 1`` are split into pieces of
+    that length and a rest, so nothing is cut off; null sequences are empty ones, an end mark alone.
     """
     ship(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, row, rests = None, 0, []
-
-        def out(rows: list, spans: list[list[tuple[int, int]]], first: int) -> pa.RecordBatch:
-            parts = [[a for a, _ in s] for s in spans], [[b for _, b in s] for s in spans]
-            flat = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r, np.int32) for r in rows]])
-            at = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            columns = [pa.array([pack] * len(rows), pa.int32()), pa.array(range(first, first + len(rows)), pa.int32()), pa.ListArray.from_arrays(at, flat), *[pa.array(x, pa.list_(pa.int32())) for x in parts]]
-            return pa.RecordBatch.from_arrays(columns, names=["pack", "row", "ids", "starts", "ends"])
-
-        for b in batches:
-            full = []
-            for k, x in zip(b.column("pack").to_pylist(), b.column("ids"), strict=True):
-                if k != pack:
-                    if full:
-                        yield out(full, [[(0, width)]] * len(full), row)
-                    if rests:
-                        yield out(*best_fit(rests, width, end), row + len(full))
-                    pack, row, rests, full = k, 0, [], []
-                x = x.values.to_numpy()
-                if len(x) == width - 1:
-                    full.append(np.append(x, np.int32(end)))
-                else:
-                    rests.append(x.copy())  # a view would keep its batch
-            if full:
-                yield out(full, [[(0, width)]] * len(full), row)
-                row += len(full)
-        if rests:
-            yield out(*best_fit(rests, width, end), row)
-
     own = F.coalesce(F.col(ids), F.array().cast("array<int>"))
     last = F.greatest(F.lit(0), F.ceil(F.size(own) / (width - 1)).cast("int") - 1)
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(own, i * (width - 1) + 1, width - 1))
-    x = df.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("pack"), F.col(key).alias("key"), F.posexplode(pieces).alias("piece", "ids"))
-    x = x.repartition("pack").sortWithinPartitions("pack", "key", "piece").select("pack", "ids")
-    return x.mapInArrow(run, "pack int, row int, ids array<int>, starts array<int>, ends array<int>")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_append(F.slice(own, i * (width - 1) + 1, width - 1), F.lit(end)))
+    x = cut(df.coalesce(PACK_TASKS).select(F.explode(pieces).alias("ids")).withColumn("part", F.spark_partition_id()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, part = np.zeros(width + 1, np.int64), None
+        for b in batches:
+            if b.num_rows:
+                part = b.column("part")[0].as_py()
+                counts += np.bincount(lengths(b), minlength=width + 1)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["part", "counts"])
+
+    counted = x.mapInArrow(count, "part int, counts array<long>").toArrow().sort_by("part").combine_chunks()
+    each = np.array(counted["counts"].to_pylist(), np.int64).reshape(counted.num_rows, width + 1)
+    before = dict(zip(counted["part"].to_pylist(), np.cumsum(each, axis=0) - each, strict=True))
+    shared = df.sparkSession.sparkContext.broadcast((before, best_fit_runs(each.sum(0), width)))  # PACK_TASKS * width numbers at most
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, runs = shared.value
+        seen, keys = None, (runs[:, 0] << 48) + runs[:, 1]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if seen is None:
+                seen = before[b.column("part")[0].as_py()].copy()
+            n = lengths(b)
+            order = np.argsort(n, kind="stable")
+            many = np.bincount(n, minlength=width + 1)
+            at = np.empty(len(n), np.int64)
+            at[order] = np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many)
+            at += seen[n]
+            seen += many
+            run = runs[np.searchsorted(keys, (n << 48) + at, "right") - 1]
+            row, slot = np.divmod(at - run[:, 1], run[:, 3])
+            yield pa.RecordBatch.from_arrays([pa.array(run[:, 2] + row), pa.array((run[:, 4] + slot * n).astype(np.int32)), b.column("ids")], names=["row", "start", "ids"])
+
+    own = x.mapInArrow(place, "row long, start int, ids array<int>").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("p"))
+    starts = F.transform("p", lambda s: s["start"])
+    return own.select("row", F.flatten(F.transform("p", lambda s: s["ids"])).alias("ids"), starts.alias("starts"), F.transform("p", lambda s: s["start"] + F.size(s["ids"])).alias("ends"))
+
+
+def lengths(b: pa.RecordBatch) -> np.ndarray:
+    return pc.list_value_length(b.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def inside_vocabulary(ids: Column, size: int) -> Column:
+    """the ids, or a failed job if one of them isn't in a vocabulary of ``size``."""
+    good = F.coalesce((F.array_max(ids) < size) & (F.array_min(ids) >= 0), F.lit(True))
+    return F.when(good, ids).otherwise(F.raise_error(F.lit("an id outside the vocabulary")).cast("array<int>"))
 
 
 def next_fit(examples: list[tuple[list[int], list[bool]]], block: int, pad: int = 0) -> list[tuple[list[int], list[int]]]:

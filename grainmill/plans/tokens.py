@@ -87,16 +87,14 @@ def p6(spark, d):
     once = paragraphs_once(docs(spark, d).select("doc_id", "text"))
     t = vocabulary()
     ids = K.encoded(once, t).filter(F.size("ids") >= 5).drop("text")
-    checked = F.when((F.array_max("ids") < len(t)) & (F.array_min("ids") >= 0), C("ids")).otherwise(F.raise_error(F.lit("an id outside the vocabulary")).cast("array<int>"))
-    x = cut(ids.select("doc_id", F.array_append(checked, F.lit(t.END)).alias("ids")))
+    x = cut(ids.select("doc_id", F.array_append(K.inside_vocabulary(C("ids"), len(t)), F.lit(t.END)).alias("ids")))
     offsets = running_totals(x.select("doc_id", F.size("ids").cast("long").alias("n")), ["doc_id"], C("n"), "offset")
     return x.join(offsets, "doc_id").select("doc_id", "offset", "ids")
 
 
 @query("p7_packed")
 def p7(spark, d):
-    x = ids_of(spark, d).select("doc_id", "ids")
-    return K.packed(x, 512, MergeTokenizer.END, K.groups_for(docs(spark, d).count()))
+    return K.packed(ids_of(spark, d).select("ids"), 512, MergeTokenizer.END)
 
 
 @query("p8_masks")
@@ -105,7 +103,7 @@ def p8(spark, d):
     x = K.shown_spans(p7(spark, d), 512)
     pairs = F.aggregate(F.transform("sees", lambda s, j: F.when(s >= 0, j - s + 1).otherwise(0)), F.lit(0).cast("long"), lambda a, v: a + v)
     spans = F.aggregate(F.arrays_zip(C("starts").alias("a"), C("ends").alias("b")), F.lit(0).cast("long"), lambda a, s: a + ((s["b"] - s["a"]) * (s["b"] - s["a"] + 1) / 2).cast("long"))
-    return x.select("pack", "row", F.size("ids").alias("n"), pairs.alias("pairs"), spans.alias("expected"))
+    return x.select("row", F.size("ids").alias("n"), pairs.alias("pairs"), spans.alias("expected"))
 
 
 def _messages(t):

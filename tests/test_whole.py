@@ -1,7 +1,9 @@
 """Queries read whole texts: what lies far into a document counts too."""
 
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,20 +35,47 @@ def test_p7_packs_whole_documents(spark, tables):
     pieces = [r.ids[a:b] for r in rows for a, b in zip(r.starts, r.ends, strict=True)]
     assert Counter(i for p in pieces for i in p[:-1]) == want and all(p[-1] == own.END for p in pieces)
     assert all(len(r.ids) <= 512 and r.ends[-1] == len(r.ids) for r in rows)
-    assert len({(r.pack, r.row) for r in rows}) == len(rows)
+    assert len({r.row for r in rows}) == len(rows)
     whole = own.encode(LONG)
     assert {tuple(whole[i : i + 511]) for i in range(0, len(whole), 511)} <= {tuple(p[:-1]) for p in pieces}
 
 
-def test_split_pieces_pack_as_one_best_fit(spark):
-    seqs = [(k, list(range(k * 7 % 200))) for k in range(60)]
-    got = packing.packed(spark.createDataFrame(seqs, "doc_id long, ids array<int>"), 64, 99, 1).orderBy("row").collect()
-    pieces = [x[i : i + 63] for _, x in seqs for i in range(0, max(1, len(x)), 63)]
-    rows, spans = packing.best_fit(pieces, 64, 99)
+@pytest.mark.parametrize(("n", "most", "width"), [(60, 200, 64), (400, 70, 64), (500, 16, 128), (300, 3, 32), (1, 1, 8)])
+def test_packing_is_one_best_fit(spark, n, most, width):
+    """Rows and spans are those of one best fit over all pieces, whatever the tasks."""
+    r = random.Random(n)
+    seqs = [(k, [r.randrange(90) for _ in range(r.randrange(most))]) for k in range(n)]
+    got = packing.packed(spark.createDataFrame(seqs, "doc_id long, ids array<int>").coalesce(3), width, 99).orderBy("row").collect()
+    pieces = [x[i : i + width - 1] for _, x in seqs for i in range(0, max(1, len(x)), width - 1)]
+    rows, spans = packing.best_fit(pieces, width, 99)
     assert [r.ids for r in got] == rows and [list(zip(r.starts, r.ends, strict=True)) for r in got] == spans
     assert [r.row for r in got] == list(range(len(rows)))
 
 
+def test_runs_of_large_counts():
+    """A plan for many sequences is as short as one for few, and uses every sequence once within the width."""
+    counts = np.array([0, *[10**9 + 7 * n for n in range(1, 65)]])
+    runs = packing.best_fit_runs(counts, 64)
+    assert len(runs) < 64 * 8
+    few = packing.best_fit_runs(np.minimum(counts, 50), 64)
+    _, spans = packing.best_fit([[0] * (n - 1) for n in range(1, 65) for _ in range(50)], 64, 1)
+    assert few[:, 2].max() < len(spans) <= few[:, 2].max() + 50
+    for n in range(1, 65):
+        own = runs[runs[:, 0] == n]
+        assert own[0, 1] == 0 and (np.diff(own[:, 1]) > 0).all() and (own[:, 4] + own[:, 3] * n <= 64).all()
+
+
+def test_empty_tables_pack_to_none_and_ids_outside_fail(spark):
+    assert packing.packed(spark.createDataFrame([], "ids array<int>"), 16, 1).isEmpty()
+    got = packing.packed(spark.createDataFrame([(None,), ([],)], "ids array<int>"), 16, 1).collect()
+    assert [(r.row, r.ids, r.starts, r.ends) for r in got] == [(0, [1, 1], [0, 1], [1, 2])]
+    rows = spark.createDataFrame([([0, 3],), ([],), (None,)], "ids array<int>")
+    assert [r.x for r in rows.select(packing.inside_vocabulary(F.col("ids"), 4).alias("x")).collect()] == [[0, 3], [], None]
+    for size, bad in ((3, rows), (4, spark.createDataFrame([([-1],)], "ids array<int>"))):
+        with pytest.raises(Exception, match="outside the vocabulary"):
+            bad.select(packing.inside_vocabulary(F.col("ids"), size)).collect()
+
+
 DOCS = "doc_id long, text string, lang string"
 
 
