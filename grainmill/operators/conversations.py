@@ -31,3 +31,10 @@ def before_answer(t: Column) -> Column:
     """The turns before the first assistant's."""
     at = F.array_position(F.transform(t, lambda x: x["role"]), "assistant")
     return F.when(at > 0, F.slice(t, F.lit(1), (at - 1).cast("int"))).otherwise(t)
+
+
+def talks(df: DataFrame) -> DataFrame:
+    """(conv_id, questions, answers): what users and assistants said, in order, of conversations (conv_id, turn, role, text) that have both."""
+    said = df.select("conv_id", "role", F.struct("turn", F.trim("text").alias("text")).alias("s")).filter("role IN ('user', 'assistant') AND s.text <> ''")
+    own = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("s")))), lambda s: s["text"])
+    return said.groupBy("conv_id").agg(own("user").alias("questions"), own("assistant").alias("answers")).filter((F.size("questions") > 0) & (F.size("answers") > 0))

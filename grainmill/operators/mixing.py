@@ -79,10 +79,20 @@ def with_distractors(facts: DataFrame, k: int, seed: int = 3) -> DataFrame:
     return facts.join(lines, "id", "left").select("id", "fact", F.coalesce("others", F.array().cast("array<string>")).alias("distractors"))
 
 
-def preference_pairs(good: DataFrame, bad: DataFrame) -> DataFrame:
-    """(prompt, chosen, rejected) of answers by prompt, each triple once, never equal answers."""
-    x = good.select("prompt", F.col("completion").alias("chosen")).join(bad.select("prompt", F.col("completion").alias("rejected")), "prompt")
-    return x.filter("chosen <> rejected").distinct()
+def preference_pairs(df: DataFrame, rejected: list[list[str]], probes: DataFrame) -> DataFrame:
+    """(prompt, chosen, rejected), each triple once: a question's answer by rotation against one of each pool by rotation.
+
+    ``df`` has (id, questions, answers); ``rejected`` are pools of wrong answers, ``probes`` (prompt) questions of
+    the held-out evaluation, which stay out whatever their case and outer blanks. A question gives as many pairs as
+    there are pools, so the output grows as the questions do. Blank questions and answers, and answers that equal
+    what is rejected, give none.
+    """
+    q = df.select("answers", F.posexplode("questions").alias("i", "prompt")).filter((F.size("answers") > 0) & (F.trim("prompt") != ""))
+    wrong = F.array(*[F.element_at(F.array(*map(F.lit, pool)), F.col("i") % len(pool) + 1) for pool in rejected])
+    x = q.select("prompt", F.element_at("answers", F.col("i") % F.size("answers") + 1).alias("chosen"), F.explode(wrong).alias("rejected"))
+    x = x.filter((F.trim("chosen") != "") & (F.col("chosen") != F.col("rejected")))
+    held = probes.select(F.lower(F.trim("prompt")).alias("_q")).filter("_q IS NOT NULL").distinct()
+    return x.join(held, F.lower(F.trim("prompt")) == F.col("_q"), "left_anti").distinct()
 
 
 def gate(prompt: Column, completion: Column, leaked: Column) -> Column:

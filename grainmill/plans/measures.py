@@ -10,13 +10,16 @@ from grainmill.functions.text import token_estimate
 from grainmill.operators import conversations as V
 from grainmill.operators import series as S
 from grainmill.operators.batches import length_batches, padded
-from grainmill.operators.mixing import ring
+from grainmill.checkpoints import cut
+from grainmill.operators import replay
+from grainmill.operators.conversations import talks
+from grainmill.operators.mixing import ring, teachings
 from grainmill.operators.ranks import least_hashed, places
 from grainmill.operators.retrieval import content_terms, terms
 from grainmill.operators.scan import COUNT, LEAST_AND_SUM, MOMENTS, advantages_scan, moving_average_scan, scanned
 from grainmill.plans.filters import sql_entities
 from grainmill.plans.relational import TERMS, _STOP_SQL
-from grainmill.plans.samples import chosen, injected, quoted
+from grainmill.plans.samples import TALKS_SQL, chosen, injected, quoted
 from grainmill.registry import query
 from grainmill.sources.readers import budgeted
 from grainmill.tables import table
@@ -258,6 +261,19 @@ def a17(spark, d):
     return docs(spark, d).groupBy("source", "lang").count().groupBy("source").agg(F.count("*").alias("phrasings"), (F.count("*") < 3).alias("thin"))
 
 
+@query(
+    "a17_thin_teachings",
+    f"""WITH c AS {TALKS_SQL}, r AS (SELECT conv_id, q[i + 1] AS prompt, unnest(list_distinct([a[i % len(a) + 1], a[(i + 1) % len(a) + 1]])) AS completion FROM (SELECT *, unnest(range(len(q))) AS i FROM c))
+    SELECT count(*) AS teachings, count_if(len(q) < 3) AS thin, (SELECT count(*) FROM (SELECT DISTINCT prompt, completion FROM r)) AS records FROM c""",
+)
+def a17_thin(spark, d):
+    """Conversations as teachings: how many there are, those of fewer than three phrasings, and the distinct records they give."""
+    t = talks(table(spark, d, "conversations"))
+    records = teachings(t.withColumnRenamed("conv_id", "id")).select("prompt", "completion").distinct().agg(F.count("*").alias("records"))
+    thin = F.count_if(F.size("questions") < 3).alias("thin")
+    return t.agg(F.count("*").alias("teachings"), thin).crossJoin(records)  # a row each
+
+
 @query("a18_fingerprint", "SELECT source, substr(sha256(CAST(sum(CAST('0x' || substr(sha256(doc_id || ':' || text), 1, 14) AS BIGINT)) AS VARCHAR) || ':' || count(*)), 1, 16) AS fingerprint FROM documents GROUP BY source")
 def a18(spark, d):
     """A digest of the sum of the rows' digests, each of a text and its id, so no task holds a source's rows."""
@@ -480,13 +496,33 @@ def o12_padded(spark, d):
 
 @query("o13_replay_capacity", "SELECT event_id FROM (SELECT event_id FROM events ORDER BY abs(value) + 1e-6 DESC, event_id LIMIT 500)")
 def o13(spark, d):
-    return events(spark, d).orderBy(F.desc(F.abs("value") + 1e-6), "event_id").limit(500).select("event_id")
+    return replay.kept(events(spark, d).select("event_id", C("value").alias("reward")), 500, "event_id").select("event_id")
+
 
+_DRAW_SQL = "-ln((CAST('0x' || substr(md5('{seed}:' || {key}), 1, 13) AS BIGINT) + 1) / 4503599627370497::DOUBLE) / pow(abs({value}) + 1e-6, 0.6)"
 
-@query("o13_replay_sample")
+
+@query("o13_replay_sample", f"SELECT event_id FROM (SELECT event_id FROM events ORDER BY {_DRAW_SQL.format(seed=7, key='event_id', value='value')}, event_id LIMIT 64)")
 def o13_sample(spark, d):
-    u = (F.pmod(F.xxhash64("event_id", F.lit(7)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-    return events(spark, d).orderBy(-F.log(u) / F.pow(F.abs("value") + 1e-6, F.lit(0.6)), "event_id").limit(64).select("event_id")
+    return replay.sampled(events(spark, d).select("event_id", C("value").alias("reward")), 64, 7, key="event_id").select("event_id")
+
+
+@query(
+    "o13_replay_merged",
+    f"""WITH e AS (SELECT user_id, arg_max(value, event_id) FILTER (event_type <> 'click') AS old, arg_max(value, event_id) FILTER (event_type = 'click') AS new FROM events GROUP BY user_id),
+    kept AS (SELECT user_id, old AS reward FROM e WHERE old IS NOT NULL ORDER BY abs(old) DESC, user_id LIMIT 60),
+    every AS (SELECT user_id, reward FROM kept WHERE user_id NOT IN (SELECT user_id FROM e WHERE new IS NOT NULL) UNION ALL SELECT user_id, new FROM e WHERE new IS NOT NULL),
+    after AS (SELECT user_id, reward FROM every ORDER BY abs(reward) DESC, user_id LIMIT 60),
+    drawn AS (SELECT user_id FROM after ORDER BY {_DRAW_SQL.format(seed=3, key='user_id', value='reward')}, user_id LIMIT 16)
+    SELECT user_id, round(reward, 6) AS reward, user_id IN (SELECT user_id FROM drawn) AS drawn FROM after""",
+)
+def o13_merged(spark, d):
+    """Users' last rewards but clicks, kept to a capacity, then changed by their last clicks; and a sample of what is kept."""
+    last = lambda e: e.groupBy("user_id").agg(F.max_by("value", "event_id").alias("reward")).filter("reward IS NOT NULL")
+    old = replay.kept(last(events(spark, d).filter("event_type <> 'click'")), 60, "user_id")
+    after = cut(replay.merged(old, last(events(spark, d).filter("event_type = 'click'")), 60, "user_id"))
+    drawn = replay.sampled(after, 16, 3, key="user_id").select("user_id", F.lit(True).alias("drawn"))
+    return after.join(drawn, "user_id", "left").select("user_id", F.round("reward", 6).alias("reward"), F.coalesce("drawn", F.lit(False)).alias("drawn"))
 
 
 @query("o14_history", "SELECT event_id FROM (SELECT event_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 20)")

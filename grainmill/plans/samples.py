@@ -39,3 +39,8 @@ def chosen(values: list[str], key: str) -> tuple[Callable[[], Column], str]:
     n = len(values)
     column = lambda: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % n + 1).cast("int"))
     return column, f"list_extract([{', '.join(map(quoted, values))}], CAST({key} % {n} AS INTEGER) + 1)"
+
+
+#: SQL of ``conversations.talks``.
+TALKS_SQL = """(SELECT * FROM (SELECT conv_id, list(trim(text) ORDER BY turn, text) FILTER (role = 'user' AND trim(text) <> '') AS q, list(trim(text) ORDER BY turn, text) FILTER (role = 'assistant' AND trim(text) <> '') AS a
+    FROM conversations GROUP BY conv_id) WHERE len(q) > 0 AND len(a) > 0)"""

@@ -19,7 +19,7 @@ from grainmill.operators.dedup import paragraphs_once
 from grainmill.operators.minhash import keep_longest
 from grainmill.operators.ranks import running_totals
 from grainmill.plans.filters import GENERATED_SQL, TRIM, rx, sql_chain, sql_lines
-from grainmill.plans.samples import injected, quoted, whole
+from grainmill.plans.samples import TALKS_SQL, injected, quoted, whole
 from grainmill.registry import ORACLES, query
 from grainmill.sources.readers import Preset, archived_pages, fan_articles, halved_budget, preset_rows, shared_budget, training_log, wiki_choice
 from grainmill.tables import table
@@ -256,14 +256,21 @@ def r6(spark, d):
     return M.with_distractors(docs(spark, d).select(C("doc_id").alias("id"), C("text").alias("fact")), 3)
 
 
-_HALF = "(SELECT doc_id, lang || '/' || source AS prompt, text AS c FROM documents WHERE doc_id % 2 = {})"
+#: Answers that a preference rejects: claims of another origin, and phrases of assistants.
+_WRONG = [["I come from some other laboratory.", "Another model answers here, not me.", "I was made elsewhere."], ["As an AI, I have no opinion on that.", "I am only a program and cannot say."]]
+_wrong_sql = " UNION ALL ".join(f"SELECT prompt, chosen, [{', '.join(map(quoted, pool))}][i % {len(pool)} + 1] AS rejected FROM q" for pool in _WRONG)
 
 
-@query("r7_preference_pairs", f"SELECT prompt, sha256(chosen) AS chosen, sha256(rejected) AS rejected FROM (SELECT DISTINCT a.prompt, a.c AS chosen, b.c AS rejected FROM {_HALF.format(0)} a JOIN {_HALF.format(1)} b USING (prompt) WHERE a.c <> b.c)")
+@query(
+    "r7_preference_pairs",
+    f"""WITH q AS (SELECT q[i + 1] AS prompt, a[i % len(a) + 1] AS chosen, i FROM (SELECT *, unnest(range(len(q))) AS i FROM {TALKS_SQL})), held AS (SELECT lower(text) AS h FROM conversations WHERE role = 'user' AND turn >= 6 UNION ALL SELECT lower(text) FROM benchmark)
+    SELECT DISTINCT prompt, chosen, rejected FROM ({_wrong_sql}) WHERE chosen <> rejected AND lower(trim(prompt)) NOT IN (SELECT trim(h) FROM held WHERE h IS NOT NULL)""",
+)
 def r7(spark, d):
-    x = docs(spark, d).select("doc_id", F.concat_ws("/", "lang", "source").alias("prompt"), C("text").alias("completion"))
-    pairs = M.preference_pairs(x.filter("doc_id % 2 = 0"), x.filter("doc_id % 2 = 1"))
-    return pairs.select("prompt", F.sha2("chosen", 256).alias("chosen"), F.sha2("rejected", 256).alias("rejected"))
+    """Users' questions with their answers, against wrong ones; the benchmark and questions late in a conversation are probes."""
+    said = table(spark, d, "conversations")
+    probes = said.filter("role = 'user' AND turn >= 6").select(C("text").alias("prompt")).unionByName(table(spark, d, "benchmark").select(C("text").alias("prompt")))
+    return M.preference_pairs(V.talks(said), _WRONG, probes)
 
 
 @query("r8_search_corpus", "SELECT doc_id, TRUE AS positive FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, FALSE FROM documents WHERE doc_id % 2 = 1")

@@ -1,4 +1,4 @@
-"""Streams whose state is a store: texts once, byte budgets, and memories under an inverted index.
+"""Streams whose state is a store: texts once, byte budgets, replay by priority, and memories under an inverted index.
 
 Each takes a batch at a time with ``foreachBatch``; the batch's number is what makes a repetition harmless. Output
 goes to a folder for each batch, written over when it is repeated.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from grainmill.checkpoints import cut, scratch
+from grainmill.operators import replay
 from grainmill.operators.ranks import running_totals
 from grainmill.operators.retrieval import content_terms
 from grainmill.sources.readers import Preset, preset_accepted
@@ -76,6 +77,35 @@ def write_budgeted(stream: DataFrame, presets: dict[str, Preset], out: str, fold
     return _batches(stream, step, folder, checkpoint)
 
 
+def replayed(store: Store, batch: DataFrame, capacity: int) -> None:
+    """Adds experiences (id, seq, reward, ...); one with the id of another takes its place and its priority.
+
+    Of equal ids in a batch the largest ``seq`` stands. What is over the capacity goes for good, the least
+    priorities first. All ids and rewards that are kept are read, whole rows only in the parts of rows that come
+    or go, and only those parts are written.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
+    new = cut(batch.groupBy("id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in batch.columns]), "seq").alias("row")).select("row.*"))
+    old = store.read("replay", schema).select("id", "reward").join(new.select("id"), "id", "left_anti")
+    every = cut(old.withColumn("fresh", F.lit(False)).unionByName(new.select("id", "reward").withColumn("fresh", F.lit(True))))
+    stay = cut(replay.kept(every, capacity).select("id", "fresh"))
+    gone = cut(every.filter("NOT fresh").join(stay, "id", "left_anti").select("id").unionByName(new.select("id")).withColumn("part", part_of(F.col("id"), PARTS)))
+    touched = _parts(gone)
+    left = store.read("replay", schema, touched).join(gone.select("id"), "id", "left_anti")
+    rows = left.unionByName(new.join(stay.filter("fresh").select("id"), "id", "left_semi").select(*batch.columns))
+    store.put("replay", cut(rows.withColumn("part", part_of(F.col("id"), PARTS))), touched)
+
+
+def keep_replay(stream: DataFrame, capacity: int, folder: str, checkpoint: str) -> StreamingQuery:
+    """O13 on a stream (id, seq, reward, ...)."""
+    return _batches(stream, lambda batch, store: replayed(store, batch, capacity), folder, checkpoint)
+
+
+def experiences(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The experiences as the last batch left them; ``replay.sampled`` draws from them."""
+    return Store(spark, folder).read("replay", schema)
+
+
 _TEXTS, _TERMS = "id long, text string, n int", "term string, id long"
 
 
