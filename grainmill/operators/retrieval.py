@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.checkpoints import cut
+from grainmill.checkpoints import cut, drop_cut
+from grainmill.operators.ranks import places, running_totals
 from grainmill.operators.skew import join_counted
+from grainmill.shipping import ship
 
 # Words that don't tell one memory from another.
 STOPWORDS = [
@@ -28,6 +34,12 @@ def content_terms(c: Column) -> Column:
     return F.array_except(terms(c), F.array(*map(F.lit, STOPWORDS)))
 
 
+#: Weight of a block of sets at most: a set weighs its terms and ``SET_WEIGHT``. A task holds two blocks.
+BLOCK_WEIGHT, SET_WEIGHT = 8 << 20, 256
+#: Blocks at least, if there are sets enough; pairs of sets counted at a time.
+LEAST_BLOCKS, CELLS = 6, 1 << 19
+
+
 def alike(texts: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, other): for each text the first one whose set of content terms has a Jaccard index of 1/2 or
     more with its own, which may be itself; ``texts`` has (doc_id, text). Texts without content terms are like none.
@@ -35,24 +47,174 @@ def alike(texts: DataFrame, text: str = "text") -> DataFrame:
     Sets of sizes n and m that are alike share ``(n + m) / 3`` terms, so their sizes differ by a factor of 2 at
     most, and of each set's ``n // 2 + 1`` rarest terms they share what is left of that number when the larger
     set's other terms are taken off. Only pairs that do are compared. Equal sets count as one.
+
+    Sets in the order of their sizes are dealt to blocks, and blocks whose sizes may be alike meet in a task each.
+    Pairs are counted and compared there, and a task gives no more than one row a set, so pairs are never
+    written or shuffled; sets are, once for each block that theirs meets.
     """
+    ship(texts.sparkSession)
     held = texts.select("doc_id", F.explode(F.array(F.array_sort(F.array_distinct(content_terms(F.col(text)))))).alias("t")).filter(F.size("t") > 0)
-    held = cut(held.withColumn("k", F.sha2(F.to_json("t"), 256)))
-    once = cut(held.groupBy("k").agg(F.min("doc_id").alias("a"), F.first("t").alias("t")).withColumn("n", F.size("t")))
-    x = once.select("a", "n", F.explode("t").alias("term"))
-    seen = x.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = x.join(seen, "term").groupBy("a", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("r"))
-    # terms of one set only are its rarest: they take their places and are shared with none
-    width = (F.floor(F.col("n") / 2) + 1 - (F.col("n") - F.size("r"))).cast("int")
-    rare = cut(ranked.filter(width > 0).select("a", "n", F.explode(F.slice("r", F.lit(1), width)).alias("e")).select("a", "n", F.col("e.term").alias("term")))
-    others = rare.select(F.col("a").alias("b"), F.col("n").alias("m"), "term")
-    met = rare.join(others, "term").filter("a < b AND 2 * least(n, m) >= greatest(n, m)").groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
-    near = met.filter("shared >= greatest(1, ceil((n + m) / 3) - ceil(greatest(n, m) / 2) + 1)")
-    sets = once.select("a", "t")
-    both = near.join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("t").alias("u")), "b").withColumn("s", F.size(F.array_intersect("t", "u")))
-    linked = both.filter("3 * s >= n + m").select("a", "b")
-    first = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(once.select("a", F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("other"))
-    return held.select("doc_id", "k").join(once.select("k", "a"), "k").join(first, "a").select("doc_id", "other")
+    held = held.withColumn("k", F.unhex(F.sha2(F.to_json("t"), 256)))
+    names = cut(held.select("doc_id", "k"))
+    once = cut(names.groupBy("k").agg(F.min("doc_id").alias("a")))
+    x = cut(held.join(once.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.size("t").alias("n"), F.explode("t").alias("term")))
+    seen = places(x.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1"), ["df", "term"], "e")
+    sets = cut(x.join(seen.select("term", F.col("e").cast("int").alias("e")), "term").groupBy("a", "n").agg(F.sort_array(F.collect_list("e")).alias("t")))
+    drop_cut(x)
+    linked = _blocks_met(sets).groupBy("a").agg(F.min("b").alias("b"))
+    first = once.join(linked, "a", "left").select("k", F.coalesce("b", "a").alias("other"))
+    return names.join(first, "k").select("doc_id", "other")
+
+
+def _blocks_met(sets: DataFrame) -> DataFrame:
+    """(a, b): for the sets (a, n, t) of two blocks that meet the smallest b < a that is alike, if any."""
+    total = sets.agg(F.sum(F.col("n") + SET_WEIGHT)).first()[0] or 0
+    weight = max(1, min(BLOCK_WEIGHT, -(-total // LEAST_BLOCKS)))
+    placed = running_totals(sets.select("a", "n"), ["n", "a"], (F.col("n") + SET_WEIGHT).cast("long"))
+    placed = cut(placed.select("a", F.floor(F.col("before") / weight).alias("block")))
+    rows = cut(sets.join(placed, "a"))
+    range_ = rows.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    i, j = (range_.select(F.col("block").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "ij")
+    tiles = cut(i.crossJoin(F.broadcast(j)).filter("i <= j AND 2 * most_i >= least_j").select("i", "j"))
+    sides = [rows.join(F.broadcast(tiles), F.col("block") == F.col(c)).select("i", "j", F.lit(s).alias("side"), "a", "n", "t") for s, c in enumerate("ij")]
+    both = sides[0].unionByName(sides[1].filter("i < j")).repartition("i", "j").sortWithinPartitions("i", "j", "side", "n", "a")
+    return both.mapInArrow(_tiles, "a long, b long")
+
+
+@dataclass
+class _Sets:
+    """Sets of one block in the order of their sizes: terms (rarest first) one after the other, from ``at`` on."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    terms: np.ndarray
+
+    @classmethod
+    def of(cls, batches: list[pa.RecordBatch]) -> _Sets:
+        b = pa.Table.from_batches(batches).combine_chunks()
+        t = b.column("t").combine_chunks() if b.num_rows else pa.array([], pa.list_(pa.int32()))
+        at = np.concatenate(([0], np.cumsum(pc.list_value_length(t).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        return cls(b.column("a").to_numpy().astype(np.int64), b.column("n").to_numpy().astype(np.int64), at, t.flatten().to_numpy().astype(np.int64))
+
+    def rare(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, term) of each set's ``n // 2 + 1`` rarest terms; those of one set only take places and aren't kept."""
+        size = np.diff(self.at)
+        width = np.clip(self.n // 2 + 1 - (self.n - size), 0, size)
+        row = np.repeat(np.arange(len(size)), width)
+        return row, self.terms[_spread(self.at[:-1], width)]
+
+
+def _spread(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """``start[0], start[0] + 1, ...`` of ``width[0]`` numbers, then those of ``start[1]``, ..."""
+    return np.repeat(start - (np.cumsum(width) - width), width) + np.arange(width.sum())
+
+
+def _shared(x: _Sets, i: np.ndarray, y: _Sets, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets ``i`` of ``x`` with sets ``j`` of ``y``."""
+    out = np.zeros(len(i), np.int64)
+    size = (x.at[i + 1] - x.at[i]) + (y.at[j + 1] - y.at[j])
+    for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(size) >> 21)) + 1):
+        keys = []
+        for s, k in ((x, i[part]), (y, j[part])):
+            width = s.at[k + 1] - s.at[k]
+            keys.append((np.repeat(np.arange(len(part)), width) << 32) + s.terms[_spread(s.at[k], width)])
+        if len(keys[0]) and len(keys[1]):
+            at = np.searchsorted(keys[1], keys[0])
+            both = keys[1][np.minimum(at, len(keys[1]) - 1)] == keys[0]
+            out[part] = np.bincount(keys[0][both] >> 32, minlength=len(part))
+    return out
+
+
+def _least_alike(x: _Sets, y: _Sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b): for each set of ``x`` and of ``y``, which may be the same, the least b < a of the other that is alike."""
+    best = {id(s): np.full(len(s.ids), np.iinfo(np.int64).max) for s in (x, y)}
+    row, term = y.rare()
+    # pairs (term, row) in order: those of a term with rows of a range of sizes stand together
+    shift = max(1, len(y.ids)).bit_length()
+    index = np.sort((term << shift) + row)
+    own, own_term = x.rare()
+    begin = np.searchsorted(own, np.arange(len(x.ids) + 1))
+    lo = 0
+    while lo < len(x.ids):
+        n = int(x.n[lo])
+        first, step = int(np.searchsorted(y.n, (n + 1) // 2)), 1
+        end = lambda hi: int(np.searchsorted(y.n, 2 * x.n[hi - 1], "right"))  # noqa: E731, B023
+        step = max(1, min(len(x.ids) - lo, CELLS // max(1, end(lo + 1) - first)))
+        hi = lo + step
+        last = end(hi)
+        if last > first:
+            _count_chunk(x, lo, hi, y, first, last, index, shift, own[begin[lo] : begin[hi]], own_term[begin[lo] : begin[hi]], best)
+        lo = hi
+    for s in (x, y) if x is not y else (x,):
+        found = best[id(s)] < s.ids
+        yield s.ids[found], best[id(s)][found]
+
+
+def _count_chunk(x, lo, hi, y, first, last, index, shift, row, term, best) -> None:
+    """Sets ``lo..hi`` of ``x`` against sets ``first..last`` of ``y``: counts of shared rare terms, then those that suffice."""
+    start, stop = (np.searchsorted(index, (term << shift) + k) for k in (first, last))
+    width = stop - start
+    m, mask = last - first, (1 << shift) - 1
+    counts = np.zeros((hi - lo) * m, np.int64)
+    done = 0
+    total = np.cumsum(width)
+    while done < len(width):
+        to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 22), "right")))
+        w = width[done:to]
+        key = np.repeat((row[done:to] - lo) * m - first, w) + (index[_spread(start[done:to], w)] & mask)
+        counts += np.bincount(key, minlength=len(counts))
+        done = to
+    n, k = x.n[lo:hi], y.n[first:last]
+    # what a pair of these sizes shares at least, for the sizes of the chunk
+    least = np.maximum(1, -(-(n[0] + k) // 3) - (np.maximum(n[-1], k) + 1) // 2 + 1)
+    i, j = np.nonzero(counts.reshape(hi - lo, m) >= least)
+    ni, kj = n[i], k[j]
+    enough = (counts[i * m + j] >= np.maximum(1, -(-(ni + kj) // 3) - (np.maximum(ni, kj) + 1) // 2 + 1)) & (2 * np.minimum(ni, kj) >= np.maximum(ni, kj))
+    i, j = i[enough] + lo, j[enough] + first
+    for s, o, p, q in ((x, y, i, j), (y, x, j, i)):
+        # sets of s after those of o that they may be like, nearest the first
+        later = s.ids[p] > o.ids[q]
+        p, q = p[later], q[later]
+        order = np.lexsort((o.ids[q], p))
+        p, q, many = p[order], q[order], 1
+        while len(p):
+            fresh = o.ids[q] < best[id(s)][p]
+            p, q = p[fresh], q[fresh]
+            place = np.arange(len(p)) - np.searchsorted(p, p)
+            now = place < many
+            a, b = p[now], q[now]
+            good = 3 * _shared(s, a, o, b) >= s.n[a] + o.n[b]
+            np.minimum.at(best[id(s)], a[good], o.ids[b[good]])
+            p, q, many = p[~now], q[~now], 4 * many
+        if x is y:
+            break
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the two blocks of each tile; rows come sorted by tile, side and size."""
+    tile, held = None, ([], [])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        x = _Sets.of(held[0])
+        y = _Sets.of(held[1]) if held[1] else x
+        for a, b in _least_alike(x, y):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for b in batches:
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "side")], 1)
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+            if lo == hi:
+                continue
+            own = tuple(keys[lo, :2].tolist())
+            if own != tile:
+                if tile is not None:
+                    yield from out()
+                tile, held = own, ([], [])
+            held[int(keys[lo, 2])].append(b.slice(lo, hi - lo).select(["a", "n", "t"]))
+    if tile is not None:
+        yield from out()
 
 
 #: Terms of queries, of some 20 bytes each, that are broadcast at most.
