@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from grainmill.operators import retrieval as R
@@ -25,3 +26,12 @@ def test_blocks_against_brute_force(spark, monkeypatch, weight, cells):
     texts.append((2000, ""))
     got = {x.doc_id: x.other for x in R.alike(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == expected(texts) and any(a != b for a, b in got.items())
+
+def test_a_task_gives_one_row_a_set():
+    """Of n near copies no task writes n * n pairs."""
+    n = 200
+    terms = np.concatenate([np.arange(40), [1000]] * n).astype(np.int64)
+    terms[40::41] += np.arange(n)
+    x = R._Sets(np.arange(n)[::-1].copy(), np.full(n, 41), np.arange(n + 1) * 41, terms)
+    (a, b), = R._least_alike(x, x)
+    assert len(a) == n - 1 and not b.any()
