@@ -47,3 +47,15 @@ def test_skips_follow_the_seed(t, seed):
             want += [t.id_of[w]] if w in t.specials else heap(t, t._own(w), 0.3, chance)
         for _ in range(2):  # from scratch, and from what is remembered
             assert t.encode(text, ends=False, dropout=0.3, seed=seed) == want
+
+
+def test_fits_read_what_a_block_takes(t, monkeypatch):
+    read = []
+    own = bpe.MergeTokenizer._packed_part
+    t._caches()
+    t.packed_part = bpe.Memo(lambda part: read.append(part) or own(t, part))
+    words = [f"w{i}" for i in range(20_000)]
+    text = " ".join(words)
+    assert K.fitted(t, text, "end", 64)[0] == "trimmed" and K.fitted(t, "q", text, 64) == ("dropped", None)
+    assert len(read) < 1500
+    t._caches()
