@@ -57,5 +57,6 @@ def test_fits_read_what_a_block_takes(t, monkeypatch):
     words = [f"w{i}" for i in range(20_000)]
     text = " ".join(words)
     assert K.fitted(t, text, "end", 64)[0] == "trimmed" and K.fitted(t, "q", text, 64) == ("dropped", None)
-    assert len(read) < 1500
+    got = K.preference(t, "q", text, text[::-1], 64)
+    assert len(got["chosen"][0]) == 64 and len(read) < 1500
     t._caches()
