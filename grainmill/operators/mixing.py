@@ -72,8 +72,34 @@ def ring(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 def with_distractors(facts: DataFrame, k: int, seed: int = 3) -> DataFrame:
     """Each fact with up to k others, drawn from all facts by a ring of hashes; ``facts`` has unique (id, fact).
 
-    Each fact is a distractor of k others, so no key is hot.
+    Each fact is a distractor of k others, so no key is hot. The ring is cut into ranges of hashes, and each range
+    gets the first facts of the next one, so a text moves once and finds its neighbours beside it.
     """
+    from pyspark.sql import Window
+
+    n = facts.count()
+    bits = max(0, (n // RANGE_ROWS).bit_length() - 1)
+    hashed = facts.withColumn("_h", F.xxhash64("id", F.lit(seed)))
+    dealt = hashed.withColumn("_range", F.shiftright("_h", 64 - bits)) if bits else hashed.withColumn("_range", F.lit(0).cast("long"))
+    sizes = dealt.groupBy("_range").count().agg(F.count("*"), F.min("count")).first()
+    if not bits or sizes[0] < 1 << bits or sizes[1] < k:
+        return _with_distractors_of_few(facts, k, seed)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_h", "id"))
+    heads = F.broadcast(dealt.select("id", "_h", "_range").withColumn("_place", place).filter(F.col("_place") <= k).select("id"))
+    half = 1 << (bits - 1)
+    before = F.when(F.col("_range") == -half, F.lit(half - 1)).otherwise(F.col("_range") - 1)
+    both = dealt.withColumn("_guest", F.lit(0)).unionByName(dealt.join(heads, "id", "left_semi").withColumn("_range", before).withColumn("_guest", F.lit(1)))
+    beside = Window.partitionBy("_range").orderBy("_guest", "_h", "id")
+    others = F.array(*[F.lead("fact", i).over(beside) for i in range(1, k + 1)])
+    return both.withColumn("distractors", F.sort_array(F.filter(others, lambda x: x.isNotNull()))).filter("_guest = 0").select("id", "fact", "distractors")
+
+
+#: Facts of a range of the ring, on average, from half as many to as many again.
+RANGE_ROWS = 2048
+
+
+def _with_distractors_of_few(facts: DataFrame, k: int, seed: int) -> DataFrame:
+    """The same by places, for tables that make no ranges."""
     near = ring(facts, "id", k, seed).join(facts.select(F.col("id").alias("other"), F.col("fact").alias("other_fact")), "other")
     lines = near.groupBy("id").agg(F.sort_array(F.collect_list("other_fact")).alias("others"))
     return facts.join(lines, "id", "left").select("id", "fact", F.coalesce("others", F.array().cast("array<string>")).alias("distractors"))
