@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.checkpoints import cut, drop_cut
-from grainmill.operators.ranks import places, running_totals
 from grainmill.operators.skew import join_counted
 from grainmill.shipping import ship
 
@@ -34,10 +35,12 @@ def content_terms(c: Column) -> Column:
     return F.array_except(terms(c), F.array(*map(F.lit, STOPWORDS)))
 
 
-#: Weight of a block of sets at most: a set weighs its terms and ``SET_WEIGHT``. A task holds two blocks.
-BLOCK_WEIGHT, SET_WEIGHT = 8 << 20, 256
-#: Blocks at least, if there are sets enough; pairs of sets counted at a time.
-LEAST_BLOCKS, CELLS = 6, 1 << 19
+#: Weight of a block of sets at most: a set weighs its terms and ``SET_WEIGHT``. A tile holds two blocks.
+BLOCK_WEIGHT, SET_WEIGHT = 1 << 21, 256
+#: Parts that blocks are dealt to at least, and blocks of a part; pairs of sets counted at a time.
+LEAST_PARTS, PART_BLOCKS, CELLS = 8, 8, 1 << 19
+#: Most frequent terms, whose order by frequency is sent to the tasks; bits of a term's hash.
+FREQUENT, HASH_BITS = 1 << 16, 62
 
 
 def alike(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -48,37 +51,94 @@ def alike(texts: DataFrame, text: str = "text") -> DataFrame:
     most, and of each set's ``n // 2 + 1`` rarest terms they share what is left of that number when the larger
     set's other terms are taken off. Only pairs that do are compared. Equal sets count as one.
 
-    Sets in the order of their sizes are dealt to blocks, and blocks whose sizes may be alike meet in a task each.
-    Pairs are counted and compared there, and a task gives no more than one row a set, so pairs are never
-    written or shuffled; sets are, once for each block that theirs meets.
+    Terms are hashes, under a seed that gives no two terms of the texts the same; the most frequent ones come
+    last in the order of rareness. Sets are packed into blocks, which are written once; a tile reads two of them
+    from there, so neither sets nor pairs are shuffled for it, and it gives no more than one row a set.
     """
     ship(texts.sparkSession)
-    held = texts.select("doc_id", F.explode(F.array(F.array_sort(F.array_distinct(content_terms(F.col(text)))))).alias("t")).filter(F.size("t") > 0)
-    held = held.withColumn("k", F.unhex(F.sha2(F.to_json("t"), 256)))
-    names = cut(held.select("doc_id", "k"))
-    once = cut(names.groupBy("k").agg(F.min("doc_id").alias("a")))
-    x = cut(held.join(once.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.size("t").alias("n"), F.explode("t").alias("term")))
-    seen = places(x.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1"), ["df", "term"], "e")
-    sets = cut(x.join(seen.select("term", F.col("e").cast("int").alias("e")), "term").groupBy("a", "n").agg(F.sort_array(F.collect_list("e")).alias("t")))
-    drop_cut(x)
-    linked = _blocks_met(sets).groupBy("a").agg(F.min("b").alias("b"))
-    first = once.join(linked, "a", "left").select("k", F.coalesce("b", "a").alias("other"))
+    seed, frequent = _term_order(texts.select(content_terms(F.col(text)).alias("t")))
+    hashed = texts.select("doc_id", F.transform(content_terms(F.col(text)), lambda x: _hash(x, seed)).alias("t")).filter(F.size("t") > 0)
+    coded = hashed.mapInArrow(lambda batches: _coded(batches, frequent), "doc_id long, n long, k binary, t binary")
+    names = cut(coded.select("doc_id", "k"))
+    once = coded.groupBy("k").agg(F.min_by(F.struct("doc_id", "n", "t"), "doc_id").alias("r")).select("r.*")
+    weight = BLOCK_WEIGHT
+    blocks = cut(once.sortWithinPartitions("n", "doc_id").mapInArrow(lambda batches: _blocks(batches, weight), _BLOCK).withColumn("i", F.monotonically_increasing_id()))
+    linked = _blocks_met(blocks).groupBy("a").agg(F.min("b").alias("b"))
+    first = names.groupBy("k").agg(F.min("doc_id").alias("a")).join(linked, "a", "left").select("k", F.coalesce("b", "a").alias("other"))
     return names.join(first, "k").select("doc_id", "other")
 
 
-def _blocks_met(sets: DataFrame) -> DataFrame:
-    """(a, b): for the sets (a, n, t) of two blocks that meet the smallest b < a that is alike, if any."""
-    total = sets.agg(F.sum(F.col("n") + SET_WEIGHT)).first()[0] or 0
-    weight = max(1, min(BLOCK_WEIGHT, -(-total // LEAST_BLOCKS)))
-    placed = running_totals(sets.select("a", "n"), ["n", "a"], (F.col("n") + SET_WEIGHT).cast("long"))
-    placed = cut(placed.select("a", F.floor(F.col("before") / weight).alias("block")))
-    rows = cut(sets.join(placed, "a"))
-    range_ = rows.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    i, j = (range_.select(F.col("block").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "ij")
-    tiles = cut(i.crossJoin(F.broadcast(j)).filter("i <= j AND 2 * most_i >= least_j").select("i", "j"))
-    sides = [rows.join(F.broadcast(tiles), F.col("block") == F.col(c)).select("i", "j", F.lit(s).alias("side"), "a", "n", "t") for s, c in enumerate("ij")]
-    both = sides[0].unionByName(sides[1].filter("i < j")).repartition("i", "j").sortWithinPartitions("i", "j", "side", "n", "a")
-    return both.mapInArrow(_tiles, "a long, b long")
+def _hash(term: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), term), 64 - HASH_BITS)
+
+
+def _term_order(sets: DataFrame) -> tuple[int, np.ndarray]:
+    """A seed under which no two terms have the same hash, and the hashes of the most frequent terms, rarest first."""
+    x = sets.select(F.explode("t").alias("term"))
+    for seed in count():
+        seen = cut(x.groupBy(_hash(F.col("term"), seed).alias("h")).agg(F.count("*").alias("df"), F.min("term").alias("least"), F.max("term").alias("most")))
+        if seen.filter("least <> most").isEmpty():
+            top = seen.select("h", "df").orderBy(F.desc("df"), "h").limit(FREQUENT).collect()
+            drop_cut(seen)
+            return seed, np.array([r.h for r in reversed(top)], np.int64)
+        drop_cut(seen)
+
+
+def _coded(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, k, t): a set's size, digest and terms, rarest first; frequent terms are numbered above all hashes."""
+    order = np.argsort(frequent)
+    known = frequent[order]
+    for b in batches:
+        t = b.column("t")
+        n = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+        terms = t.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+            terms = np.where(known[at] == terms, (1 << HASH_BITS) + order[at], terms)
+        ends = np.cumsum(n)
+        sets = [np.sort(terms[lo:hi]).tobytes() for lo, hi in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+        digests = [hashlib.sha256(x).digest() for x in sets]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "n", "k", "t"])
+
+
+_BLOCK = "least long, most long, ids binary, ns binary, vocabulary binary, terms binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n, t) in blocks, in their order: a block's terms are numbers of places in its vocabulary."""
+    held: list[tuple[int, int, bytes]] = []
+    weight = 0
+
+    def out() -> pa.RecordBatch:
+        ids, ns, sets = zip(*held, strict=True)
+        vocabulary, terms = np.unique(np.frombuffer(b"".join(sets), np.int64), return_inverse=True)
+        columns = [np.array(x, t).tobytes() for x, t in ((ids, np.int64), (ns, np.int64), (vocabulary, np.int64), (terms, np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([min(ns)], pa.int64()), pa.array([max(ns)], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], names=["least", "most", "ids", "ns", "vocabulary", "terms"])
+
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "t")), strict=True):
+            if held and weight + row[1] + SET_WEIGHT > most:
+                yield out()
+                held, weight = [], 0
+            held.append(row)
+            weight += row[1] + SET_WEIGHT
+    if held:
+        yield out()
+
+
+def _blocks_met(blocks: DataFrame) -> DataFrame:
+    """(a, b): for the sets of two blocks that meet the smallest b < a that is alike, if any.
+
+    Each two parts of the blocks meet in a task, which reads them where they were written; which of two tasks
+    takes a pair of blocks goes by their numbers, so all have work.
+    """
+    n = blocks.count()
+    parts = cut(blocks.repartition(max(1, min(n, max(LEAST_PARTS, n // PART_BLOCKS)))))
+    drop_cut(blocks)
+    x, y = (parts.select([F.col(c).alias(f"{c}_{side}") for c in parts.columns]) for side in "xy")
+    own = "(i_x = i_y OR (i_x < i_y) = (pmod(xxhash64(least(i_x, i_y), greatest(i_x, i_y)), 2) = 0))"
+    tiles = x.join(y.hint("shuffle_replicate_nl"), F.expr(f"{own} AND 2 * most_x >= least_y AND 2 * most_y >= least_x"))
+    return tiles.mapInArrow(_tiles, "a long, b long")
 
 
 @dataclass
@@ -91,11 +151,8 @@ class _Sets:
     terms: np.ndarray
 
     @classmethod
-    def of(cls, batches: list[pa.RecordBatch]) -> _Sets:
-        b = pa.Table.from_batches(batches).combine_chunks()
-        t = b.column("t").combine_chunks() if b.num_rows else pa.array([], pa.list_(pa.int32()))
-        at = np.concatenate(([0], np.cumsum(pc.list_value_length(t).to_numpy(zero_copy_only=False)))).astype(np.int64)
-        return cls(b.column("a").to_numpy().astype(np.int64), b.column("n").to_numpy().astype(np.int64), at, t.flatten().to_numpy().astype(np.int64))
+    def of(cls, ids: np.ndarray, n: np.ndarray, terms: np.ndarray) -> _Sets:
+        return cls(ids, n, np.concatenate(([0], np.cumsum(n))), terms)
 
     def rare(self) -> tuple[np.ndarray, np.ndarray]:
         """(row, term) of each set's ``n // 2 + 1`` rarest terms; those of one set only take places and aren't kept."""
@@ -192,29 +249,17 @@ def _count_chunk(x, lo, hi, y, first, last, index, shift, row, term, best) -> No
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares the two blocks of each tile; rows come sorted by tile, side and size."""
-    tile, held = None, ([], [])
-
-    def out() -> Iterator[pa.RecordBatch]:
-        x = _Sets.of(held[0])
-        y = _Sets.of(held[1]) if held[1] else x
-        for a, b in _least_alike(x, y):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+    """Compares the two blocks of each row; terms become numbers in the two vocabularies together."""
     for b in batches:
-        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "side")], 1)
-        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
-            if lo == hi:
-                continue
-            own = tuple(keys[lo, :2].tolist())
-            if own != tile:
-                if tile is not None:
-                    yield from out()
-                tile, held = own, ([], [])
-            held[int(keys[lo, 2])].append(b.slice(lo, hi - lo).select(["a", "n", "t"]))
-    if tile is not None:
-        yield from out()
+        for k in range(b.num_rows):
+            read = lambda c, t=np.int64: np.frombuffer(b.column(c)[k].as_buffer(), t)  # noqa: E731, B023
+            same = b.column("i_x")[k].as_py() == b.column("i_y")[k].as_py()
+            both = read("vocabulary_x") if same else np.union1d(read("vocabulary_x"), read("vocabulary_y"))
+            side = lambda s: _Sets.of(read(f"ids_{s}"), read(f"ns_{s}"), np.searchsorted(both, read(f"vocabulary_{s}"))[read(f"terms_{s}", np.int32)])  # noqa: E731, B023
+            x = side("x")
+            for a, other in _least_alike(x, x if same else side("y")):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(other)], names=["a", "b"])
+
 
 
 #: Terms of queries, of some 20 bytes each, that are broadcast at most.
