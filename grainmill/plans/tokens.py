@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import predicates as P
 from grainmill.functions import text as T
-from grainmill.checkpoints import cut
 from grainmill.functions.bpe import MergeTokenizer, WordTokenizer, words
 from grainmill.operators import conversations as V
 from grainmill.operators import mixing as M
 from grainmill.operators import packing as K
 from grainmill.operators.dedup import paragraphs_once
 from grainmill.operators.minhash import keep_longest
-from grainmill.operators.ranks import running_totals
 from grainmill.plans.filters import GENERATED_SQL, TRIM, rx, sql_chain, sql_lines
 from grainmill.plans.samples import TALKS_SQL, injected, quoted, whole
 from grainmill.registry import ORACLES, query
@@ -84,12 +82,9 @@ def p5(spark, d):
 @query("p6_pretokenized")
 def p6(spark, d):
     """Paragraphs once over the whole corpus, then ids with an end mark and each document's offset in the token stream."""
-    once = paragraphs_once(docs(spark, d).select("doc_id", "text"))
-    t = vocabulary()
-    ids = K.encoded(once, t).filter(F.size("ids") >= 5).drop("text")
-    x = cut(ids.select("doc_id", F.array_append(K.inside_vocabulary(C("ids"), len(t)), F.lit(t.END)).alias("ids")))
-    offsets = running_totals(x.select("doc_id", F.size("ids").cast("long").alias("n")), ["doc_id"], C("n"), "offset")
-    return x.join(offsets, "doc_id").select("doc_id", "offset", "ids")
+    rows = docs(spark, d).select("doc_id", "text")
+    ranges = max(3 * spark.sparkContext.defaultParallelism, K.groups_for(rows.count()))
+    return K.token_stream(paragraphs_once(rows, ranges=ranges), vocabulary(), "doc_id", least=5)
 
 
 @query("p7_packed")
