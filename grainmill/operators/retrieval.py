@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +35,14 @@ def content_terms(c: Column) -> Column:
     return F.array_except(terms(c), F.array(*map(F.lit, STOPWORDS)))
 
 
-#: Weight of a block of sets at most: a set weighs its terms and ``SET_WEIGHT``. A tile holds two blocks.
-BLOCK_WEIGHT, SET_WEIGHT = 1 << 21, 256
-#: Parts that blocks are dealt to at least, and blocks of a part; pairs of sets counted at a time.
-LEAST_PARTS, PART_BLOCKS, CELLS = 8, 8, 1 << 19
+#: Weight of a block of sets at least and at most, as far as there are ``BLOCKS`` of it: a set weighs its terms and ``SET_WEIGHT``. A tile holds two blocks.
+LEAST_WEIGHT, BLOCK_WEIGHT, BLOCKS, SET_WEIGHT = 1 << 19, 1 << 23, 24, 256
+#: Parts that blocks are dealt to at least, and blocks of a part; shared terms looked at at a time.
+LEAST_PARTS, PART_BLOCKS, CELLS = 8, 8, 1 << 18
 #: Most frequent terms, whose order by frequency is sent to the tasks; bits of a term's hash.
 FREQUENT, HASH_BITS = 1 << 16, 62
+#: Terms, and sets, that a task remembers at most.
+TASK_TERMS = 1 << 19
 
 
 def alike(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -48,80 +50,132 @@ def alike(texts: DataFrame, text: str = "text") -> DataFrame:
     more with its own, which may be itself; ``texts`` has (doc_id, text). Texts without content terms are like none.
 
     Sets of sizes n and m that are alike share ``(n + m) / 3`` terms, so their sizes differ by a factor of 2 at
-    most, and of each set's ``n // 2 + 1`` rarest terms they share what is left of that number when the larger
-    set's other terms are taken off. Only pairs that do are compared. Equal sets count as one.
-
-    Terms are hashes, under a seed that gives no two terms of the texts the same; the most frequent ones come
-    last in the order of rareness. Sets are packed into blocks, which are written once; a tile reads two of them
-    from there, so neither sets nor pairs are shuffled for it, and it gives no more than one row a set.
+    most. Sets go by size into blocks; of two blocks that meet, a set gives as many of its rarest terms as it
+    must for sets that are alike to share some of them (``_dropped``). Only pairs that share enough of them are
+    compared. Equal sets count as one.
+
+    Texts are read once: tasks make the sets and count their terms. Terms are hashes, under a seed that gives no
+    two terms of the texts the same; the most frequent ones come last in the order of rareness. Sets are packed
+    into blocks, which are written once; a tile reads two of them from there, so neither sets nor pairs are
+    shuffled for it, and it gives no more than one row a set.
     """
     ship(texts.sparkSession)
-    seed, frequent = _term_order(texts.select(content_terms(F.col(text)).alias("t")))
-    hashed = texts.select("doc_id", F.transform(content_terms(F.col(text)), lambda x: _hash(x, seed)).alias("t")).filter(F.size("t") > 0)
-    coded = hashed.mapInArrow(lambda batches: _coded(batches, frequent), "doc_id long, n long, k binary, t binary")
-    names = cut(coded.select("doc_id", "k"))
-    once = coded.groupBy("k").agg(F.min_by(F.struct("doc_id", "n", "t"), "doc_id").alias("r")).select("r.*")
-    weight = BLOCK_WEIGHT
-    blocks = cut(once.sortWithinPartitions("n", "doc_id").mapInArrow(lambda batches: _blocks(batches, weight), _BLOCK).withColumn("i", F.monotonically_increasing_id()))
+    read, frequent = _term_sets(texts, text)
+    names = cut(read.filter("k IS NOT NULL").select("doc_id", "k"))
+    once = read.filter("t IS NOT NULL").select("doc_id", "n", "k", "t")
+    total = once.agg(F.sum(F.col("n") + SET_WEIGHT)).first()[0] or 0
+    weight = min(BLOCK_WEIGHT, max(LEAST_WEIGHT, total // BLOCKS))
+    ordered = once.repartitionByRange(max(1, -(-total // weight)), "n", "k").sortWithinPartitions("n", "k", "doc_id")
+    blocks = cut(ordered.mapInArrow(lambda batches: _blocks(_coded(batches, frequent), 2 * weight), _BLOCK).withColumn("i", F.monotonically_increasing_id()))
+    drop_cut(read)
     linked = _blocks_met(blocks).groupBy("a").agg(F.min("b").alias("b"))
     first = names.groupBy("k").agg(F.min("doc_id").alias("a")).join(linked, "a", "left").select("k", F.coalesce("b", "a").alias("other"))
     return names.join(first, "k").select("doc_id", "other")
 
 
-def _hash(term: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), term), 64 - HASH_BITS)
+def _hash(term: bytes, seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(term, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "big") >> (64 - HASH_BITS)
 
 
-def _term_order(sets: DataFrame) -> tuple[int, np.ndarray]:
-    """A seed under which no two terms have the same hash, and the hashes of the most frequent terms, rarest first."""
-    x = sets.select(F.explode("t").alias("term"))
+def _term_sets(texts: DataFrame, text: str) -> tuple[DataFrame, np.ndarray]:
+    """What ``_read`` gives under a seed by which no two terms have the same hash, and the hashes of the most frequent terms, rarest first."""
+    lowered = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col(text)).cast("binary").alias("t")).filter("t IS NOT NULL")
     for seed in count():
-        seen = cut(x.groupBy(_hash(F.col("term"), seed).alias("h")).agg(F.count("*").alias("df"), F.min("term").alias("least"), F.max("term").alias("most")))
+        make = _hash
+        x = cut(lowered.mapInArrow(lambda batches: _read(batches, lambda term: make(term, seed)), _SETS))  # noqa: B023
+        seen = cut(x.filter("term IS NOT NULL").groupBy("h").agg(F.sum("n").alias("df"), F.min("term").alias("least"), F.max("term").alias("most")))
         if seen.filter("least <> most").isEmpty():
             top = seen.select("h", "df").orderBy(F.desc("df"), "h").limit(FREQUENT).collect()
             drop_cut(seen)
-            return seed, np.array([r.h for r in reversed(top)], np.int64)
+            return x, np.array([r.h for r in reversed(top)], np.int64)
         drop_cut(seen)
+        drop_cut(x)
+
+
+_SETS = "doc_id long, n long, k binary, t binary, term binary, h long"
+#: Bytes that are no part of a term become blanks.
+_TERM_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789'" else 32 for c in range(256))
+
+
+def _read(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: a text's set (doc_id, n, k, t) with its size, digest and hashes, and terms (n, term, h) with the sets that have them.
+
+    A set that the task gave for an earlier id has no ``t``.
+    """
+    stop = frozenset(x.encode() for x in STOPWORDS)
+    hashes: dict[bytes, int] = {}
+    seen: dict[bytes, int] = {}
+    counts: Counter[bytes] = Counter()
+
+    def rows(doc_id=None, n=None, k=None, t=None, term=None, h=None) -> pa.RecordBatch:
+        given = {"doc_id": (doc_id, pa.int64()), "n": (n, pa.int64()), "k": (k, pa.binary()), "t": (t, pa.binary()), "term": (term, pa.binary()), "h": (h, pa.int64())}
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), ty) if x is None else pa.array(x, ty) for x, ty in given.values()], names=list(given))
 
+    def counted() -> pa.RecordBatch:
+        out = rows(n=list(counts.values()), term=list(counts), h=[hashes[x] for x in counts])
+        counts.clear()
+        hashes.clear()
+        return out
 
-def _coded(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, k, t): a set's size, digest and terms, rarest first; frequent terms are numbered above all hashes."""
+    for b in batches:
+        ids, ns, ks, ts = [], [], [], []
+        for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), strict=True):
+            own = set(t.translate(_TERM_BYTES).split()) - stop
+            if not own or doc_id is None:
+                continue
+            counts.update(own)
+            for x in own:
+                if x not in hashes:
+                    hashes[x] = make(x)
+            held = np.sort(np.fromiter(map(hashes.__getitem__, own), np.int64, len(own))).tobytes()
+            k = hashlib.sha256(held).digest()
+            first = seen.setdefault(k, doc_id) >= doc_id
+            seen[k] = min(seen[k], doc_id)
+            ids.append(doc_id)
+            ns.append(len(own))
+            ks.append(k)
+            ts.append(held if first else None)
+            if len(seen) > TASK_TERMS:
+                seen.clear()
+        yield rows(doc_id=ids, n=ns, k=ks, t=ts)
+        if len(counts) > TASK_TERMS:
+            yield counted()
+    yield counted()
+
+
+def _coded(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(doc_id, terms): the first of equal sets that follow each other, rarest terms first; frequent terms are numbered above all hashes."""
     order = np.argsort(frequent)
     known = frequent[order]
+    last = None
     for b in batches:
-        t = b.column("t")
-        n = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
-        terms = t.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-            terms = np.where(known[at] == terms, (1 << HASH_BITS) + order[at], terms)
-        ends = np.cumsum(n)
-        sets = [np.sort(terms[lo:hi]).tobytes() for lo, hi in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-        digests = [hashlib.sha256(x).digest() for x in sets]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "n", "k", "t"])
+        for doc_id, k, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "k", "t")), strict=True):
+            if k != last:
+                last, terms = k, np.frombuffer(t, np.int64)
+                at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+                yield doc_id, np.sort(np.where(known[at] == terms, (1 << HASH_BITS) + order[at], terms))
 
 
 _BLOCK = "least long, most long, ids binary, ns binary, vocabulary binary, terms binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, t) in blocks, in their order: a block's terms are numbers of places in its vocabulary."""
-    held: list[tuple[int, int, bytes]] = []
+def _blocks(sets: Iterator[tuple[int, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
+    """Sets (doc_id, terms) in blocks, in their order: a block's terms are numbers of places in its vocabulary."""
+    held: list[tuple[int, np.ndarray]] = []
     weight = 0
 
     def out() -> pa.RecordBatch:
-        ids, ns, sets = zip(*held, strict=True)
-        vocabulary, terms = np.unique(np.frombuffer(b"".join(sets), np.int64), return_inverse=True)
-        columns = [np.array(x, t).tobytes() for x, t in ((ids, np.int64), (ns, np.int64), (vocabulary, np.int64), (terms, np.int32))]
+        ns = [len(t) for _, t in held]
+        vocabulary, terms = np.unique(np.concatenate([t for _, t in held]), return_inverse=True)
+        columns = [np.array(x, t).tobytes() for x, t in (([i for i, _ in held], np.int64), (ns, np.int64), (vocabulary, np.int64), (terms, np.int32))]
         return pa.RecordBatch.from_arrays([pa.array([min(ns)], pa.int64()), pa.array([max(ns)], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], names=["least", "most", "ids", "ns", "vocabulary", "terms"])
 
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "t")), strict=True):
-            if held and weight + row[1] + SET_WEIGHT > most:
-                yield out()
-                held, weight = [], 0
-            held.append(row)
-            weight += row[1] + SET_WEIGHT
+    for doc_id, terms in sets:
+        if held and weight + len(terms) + SET_WEIGHT > most:
+            yield out()
+            held, weight = [], 0
+        held.append((doc_id, terms))
+        weight += len(terms) + SET_WEIGHT
     if held:
         yield out()
 
@@ -154,12 +208,22 @@ class _Sets:
     def of(cls, ids: np.ndarray, n: np.ndarray, terms: np.ndarray) -> _Sets:
         return cls(ids, n, np.concatenate(([0], np.cumsum(n))), terms)
 
-    def rare(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row, term) of each set's ``n // 2 + 1`` rarest terms; those of one set only take places and aren't kept."""
-        size = np.diff(self.at)
-        width = np.clip(self.n // 2 + 1 - (self.n - size), 0, size)
-        row = np.repeat(np.arange(len(size)), width)
-        return row, self.terms[_spread(self.at[:-1], width)]
+    def rare(self, dropped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, term) of each set's rarest terms, all but ``dropped`` of them."""
+        width = np.maximum(0, self.n - dropped)
+        return np.repeat(np.arange(len(width)), width), self.terms[_spread(self.at[:-1], width)]
+
+
+def _dropped(n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of their most frequent terms sets of sizes ``n`` leave out before they meet sets of ``least`` terms or more, and how many
+    shared terms are left then.
+
+    Of sets of n and m terms that are alike ``(n + m) / 3`` are shared; the set whose last kept term is the rarer
+    one has left out ``dropped`` of these at most, and the other one keeps all the rest.
+    """
+    share = -(-(n + np.maximum(least, (n + 1) // 2)) // 3)
+    dropped = np.maximum(0, share - 4 - n // 64)
+    return dropped, share - dropped
 
 
 def _spread(start: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -184,51 +248,50 @@ def _shared(x: _Sets, i: np.ndarray, y: _Sets, j: np.ndarray) -> np.ndarray:
 
 
 def _least_alike(x: _Sets, y: _Sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b): for each set of ``x`` and of ``y``, which may be the same, the least b < a of the other that is alike."""
+    """(a, b): for each set of ``x`` and of ``y``, which may be the same, the least b < a of the other that is alike.
+
+    Both are in the order of their sizes.
+    """
     best = {id(s): np.full(len(s.ids), np.iinfo(np.int64).max) for s in (x, y)}
-    row, term = y.rare()
-    # pairs (term, row) in order: those of a term with rows of a range of sizes stand together
-    shift = max(1, len(y.ids)).bit_length()
-    index = np.sort((term << shift) + row)
-    own, own_term = x.rare()
+    (drop_x, share_x), (drop_y, share_y) = _dropped(x.n, int(y.n.min())), _dropped(y.n, int(x.n.min()))
+    row, term = y.rare(drop_y)
+    own, own_term = x.rare(drop_x)
+    size, m = 1 + max(t.max(initial=0) for t in (term, own_term)), len(y.ids)
+    at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=size))))
+    shift = m.bit_length()
+    rows = (np.sort((term << shift) + row) & ((1 << shift) - 1)).astype(np.int32)
+    held = at[own_term + 1] > at[own_term]
+    own, own_term = own[held], own_term[held]
+    start, width = at[own_term], at[own_term + 1] - at[own_term]
     begin = np.searchsorted(own, np.arange(len(x.ids) + 1))
+    # pairs (row of x, row of y) that share a term, some rows of x at a time
+    met = np.concatenate(([0], np.cumsum(width)))[begin]
     lo = 0
     while lo < len(x.ids):
-        n = int(x.n[lo])
-        first, step = int(np.searchsorted(y.n, (n + 1) // 2)), 1
-        end = lambda hi: int(np.searchsorted(y.n, 2 * x.n[hi - 1], "right"))  # noqa: E731, B023
-        step = max(1, min(len(x.ids) - lo, CELLS // max(1, end(lo + 1) - first)))
-        hi = lo + step
-        last = end(hi)
-        if last > first:
-            _count_chunk(x, lo, hi, y, first, last, index, shift, own[begin[lo] : begin[hi]], own_term[begin[lo] : begin[hi]], best)
+        hi = max(lo + 1, min(lo + (1 << 31) // m - 1, int(np.searchsorted(met, met[lo] + CELLS, "right")) - 1))
+        part = slice(begin[lo], begin[hi])
+        key = np.repeat(((own[part] - lo) * m).astype(np.int32), width[part])
+        key += rows[_spread(start[part], width[part])]
+        key.sort()
+        first, last = np.searchsorted(y.n, [(x.n[lo] + 1) // 2, 2 * x.n[hi - 1] + 1])
+        many = min(share_x[lo:hi].min(), share_y[first:last].min(initial=share_x[lo]))
+        found = key[many - 1 :][key[many - 1 :] == key[: max(0, len(key) - many + 1)]]
+        if len(found):
+            pairs = found[np.concatenate(([True], found[1:] != found[:-1]))]
+            shared = np.searchsorted(key, pairs, "right") - np.searchsorted(key, pairs)
+            i, j = np.divmod(pairs.astype(np.int64), m)
+            i += lo
+            n, k = x.n[i], y.n[j]
+            enough = (shared >= -(-(n + k) // 3) - np.maximum(drop_x[i], drop_y[j])) & (2 * np.minimum(n, k) >= np.maximum(n, k))
+            _compare(x, y, i[enough], j[enough], best)
         lo = hi
     for s in (x, y) if x is not y else (x,):
         found = best[id(s)] < s.ids
         yield s.ids[found], best[id(s)][found]
 
 
-def _count_chunk(x, lo, hi, y, first, last, index, shift, row, term, best) -> None:
-    """Sets ``lo..hi`` of ``x`` against sets ``first..last`` of ``y``: counts of shared rare terms, then those that suffice."""
-    start, stop = (np.searchsorted(index, (term << shift) + k) for k in (first, last))
-    width = stop - start
-    m, mask = last - first, (1 << shift) - 1
-    counts = np.zeros((hi - lo) * m, np.int64)
-    done = 0
-    total = np.cumsum(width)
-    while done < len(width):
-        to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 22), "right")))
-        w = width[done:to]
-        key = np.repeat((row[done:to] - lo) * m - first, w) + (index[_spread(start[done:to], w)] & mask)
-        counts += np.bincount(key, minlength=len(counts))
-        done = to
-    n, k = x.n[lo:hi], y.n[first:last]
-    # what a pair of these sizes shares at least, for the sizes of the chunk
-    least = np.maximum(1, -(-(n[0] + k) // 3) - (np.maximum(n[-1], k) + 1) // 2 + 1)
-    i, j = np.nonzero(counts.reshape(hi - lo, m) >= least)
-    ni, kj = n[i], k[j]
-    enough = (counts[i * m + j] >= np.maximum(1, -(-(ni + kj) // 3) - (np.maximum(ni, kj) + 1) // 2 + 1)) & (2 * np.minimum(ni, kj) >= np.maximum(ni, kj))
-    i, j = i[enough] + lo, j[enough] + first
+def _compare(x: _Sets, y: _Sets, i: np.ndarray, j: np.ndarray, best: dict[int, np.ndarray]) -> None:
+    """Takes pairs of sets ``i`` of ``x`` and ``j`` of ``y`` that are alike into ``best``."""
     for s, o, p, q in ((x, y, i, j), (y, x, j, i)):
         # sets of s after those of o that they may be like, nearest the first
         later = s.ids[p] > o.ids[q]
