@@ -36,13 +36,13 @@ def content_terms(c: Column) -> Column:
 
 
 #: Weight of a block of sets at least and at most, as far as there are ``BLOCKS`` of it: a set weighs its terms and ``SET_WEIGHT``. A tile holds two blocks.
-LEAST_WEIGHT, BLOCK_WEIGHT, BLOCKS, SET_WEIGHT = 1 << 19, 1 << 23, 24, 256
+LEAST_WEIGHT, BLOCK_WEIGHT, BLOCKS, SET_WEIGHT = 1 << 19, 5 << 19, 24, 256
 #: Parts that blocks are dealt to at least, and blocks of a part; shared terms looked at at a time.
 LEAST_PARTS, PART_BLOCKS, CELLS = 8, 8, 1 << 18
 #: Most frequent terms, whose order by frequency is sent to the tasks; bits of a term's hash.
 FREQUENT, HASH_BITS = 1 << 16, 62
 #: Terms, and sets, that a task remembers at most.
-TASK_TERMS = 1 << 19
+TASK_TERMS = 1 << 17
 
 
 def alike(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -66,7 +66,7 @@ def alike(texts: DataFrame, text: str = "text") -> DataFrame:
     total = once.agg(F.sum(F.col("n") + SET_WEIGHT)).first()[0] or 0
     weight = min(BLOCK_WEIGHT, max(LEAST_WEIGHT, total // BLOCKS))
     ordered = once.repartitionByRange(max(1, -(-total // weight)), "n", "k").sortWithinPartitions("n", "k", "doc_id")
-    blocks = cut(ordered.mapInArrow(lambda batches: _blocks(_coded(batches, frequent), 2 * weight), _BLOCK).withColumn("i", F.monotonically_increasing_id()))
+    blocks = cut(ordered.mapInArrow(lambda batches: _blocks(_coded(batches, frequent), weight + weight // 2), _BLOCK).withColumn("i", F.monotonically_increasing_id()))
     drop_cut(read)
     linked = _blocks_met(blocks).groupBy("a").agg(F.min("b").alias("b"))
     first = names.groupBy("k").agg(F.min("doc_id").alias("a")).join(linked, "a", "left").select("k", F.coalesce("b", "a").alias("other"))
@@ -250,7 +250,7 @@ def _shared(x: _Sets, i: np.ndarray, y: _Sets, j: np.ndarray) -> np.ndarray:
 def _least_alike(x: _Sets, y: _Sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(a, b): for each set of ``x`` and of ``y``, which may be the same, the least b < a of the other that is alike.
 
-    Both are in the order of their sizes.
+    Both are in the order of their sizes; a term of ``x`` that no set of ``y`` has may be -1.
     """
     best = {id(s): np.full(len(s.ids), np.iinfo(np.int64).max) for s in (x, y)}
     (drop_x, share_x), (drop_y, share_y) = _dropped(x.n, int(y.n.min())), _dropped(y.n, int(x.n.min()))
@@ -259,8 +259,9 @@ def _least_alike(x: _Sets, y: _Sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size, m = 1 + max(t.max(initial=0) for t in (term, own_term)), len(y.ids)
     at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=size))))
     shift = m.bit_length()
-    rows = (np.sort((term << shift) + row) & ((1 << shift) - 1)).astype(np.int32)
-    held = at[own_term + 1] > at[own_term]
+    rows = (np.sort((term.astype(np.int64) << shift) + row) & ((1 << shift) - 1)).astype(np.int32)
+    del row, term
+    held = (own_term >= 0) & (at[own_term + 1] > at[own_term])
     own, own_term = own[held], own_term[held]
     start, width = at[own_term], at[own_term + 1] - at[own_term]
     begin = np.searchsorted(own, np.arange(len(x.ids) + 1))
@@ -304,7 +305,8 @@ def _compare(x: _Sets, y: _Sets, i: np.ndarray, j: np.ndarray, best: dict[int, n
             place = np.arange(len(p)) - np.searchsorted(p, p)
             now = place < many
             a, b = p[now], q[now]
-            good = 3 * _shared(s, a, o, b) >= s.n[a] + o.n[b]
+            both = _shared(x, a, y, b) if s is x else _shared(x, b, y, a)
+            good = 3 * both >= s.n[a] + o.n[b]
             np.minimum.at(best[id(s)], a[good], o.ids[b[good]])
             p, q, many = p[~now], q[~now], 4 * many
         if x is y:
@@ -312,17 +314,20 @@ def _compare(x: _Sets, y: _Sets, i: np.ndarray, j: np.ndarray, best: dict[int, n
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares the two blocks of each row; terms become numbers in the two vocabularies together."""
+    """Compares the two blocks of each row; terms become numbers in the second one's vocabulary, -1 if they aren't in it."""
     for b in batches:
         for k in range(b.num_rows):
             read = lambda c, t=np.int64: np.frombuffer(b.column(c)[k].as_buffer(), t)  # noqa: E731, B023
-            same = b.column("i_x")[k].as_py() == b.column("i_y")[k].as_py()
-            both = read("vocabulary_x") if same else np.union1d(read("vocabulary_x"), read("vocabulary_y"))
-            side = lambda s: _Sets.of(read(f"ids_{s}"), read(f"ns_{s}"), np.searchsorted(both, read(f"vocabulary_{s}"))[read(f"terms_{s}", np.int32)])  # noqa: E731, B023
-            x = side("x")
-            for a, other in _least_alike(x, x if same else side("y")):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(other)], names=["a", "b"])
-
+            y = _Sets.of(read("ids_y"), read("ns_y"), read("terms_y", np.int32))
+            if b.column("i_x")[k].as_py() == b.column("i_y")[k].as_py():
+                x = y
+            else:
+                own, other = read("vocabulary_x"), read("vocabulary_y")
+                at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                number = np.where(other[at] == own, at, -1).astype(np.int32)
+                x = _Sets.of(read("ids_x"), read("ns_x"), number[read("terms_x", np.int32)])
+            for a, least in _least_alike(x, y):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(least)], names=["a", "b"])
 
 
 #: Terms of queries, of some 20 bytes each, that are broadcast at most.
