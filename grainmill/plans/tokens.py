@@ -96,7 +96,7 @@ def p7(spark, d):
 def p8(spark, d):
     """The packed rows with their masks: each row's ids and spans, what each position attends to as one number a position (all of the mask,
     see ``mask_of``), and the digest of the mask itself; the pairs that it allows, counted in it, against those that the spans do."""
-    x = K.with_masks(K.shown_spans(p7(spark, d), 512), 512)
+    x = K.with_masks(p7(spark, d), 512)
     spans = F.aggregate(F.arrays_zip(C("starts").alias("a"), C("ends").alias("b")), F.lit(0).cast("long"), lambda a, s: a + ((s["b"] - s["a"]) * (s["b"] - s["a"] + 1) / 2).cast("long"))
     return x.select("row", F.size("ids").alias("n"), "pairs", spans.alias("expected"), "ids", "starts", "ends", "sees", "mask_sha256")
 
